@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,5 +27,36 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_strings(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_suffix_array_dedup)}
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root:
+        root = f"file://{tempfile.gettempdir()}/gridloom-shared"  # a session of one machine, as in tests
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import build_lexicon, encode_decode
+
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()
+    coded = encode_decode(docs, path, build_lexicon(docs, path))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded_text"), 256).alias("decoded_sha256"))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_store import document_sums, write_store
+
+    path = shared_folder(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path())
+    return document_sums(spark, path).select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_substring_dedup, op5_suffix_array_dedup, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
