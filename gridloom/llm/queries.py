@@ -13,6 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_overlaps
+
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeated_passages
 
@@ -50,6 +63,41 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded_text"), 256).alias("decoded_sha256"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import EVERY, exact_top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark, "near-dedup"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def learnable(labels: DataFrame) -> DataFrame:
+    """Labels that may be learnt from: those of held-out rows are not."""
+    from .toxicity import held_out
+
+    return labels.where(~held_out()).select("doc_id", "toxic")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, learnable(table(spark, sf_dir, "labels")), shared_folder(spark, "toxicity"))
+    scored = score_texts(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import document_sums, write_store
 
@@ -58,5 +106,14 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sums(spark, path).select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_substring_dedup, op5_suffix_array_dedup, op10_token_store)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_bpe, op4_substring_dedup, op5_suffix_array_dedup, op6_topk, op7_near_dedup, op8_url_filter, op9_toxicity, op10_token_store)}
+
+
+def _oracles() -> dict[str, str]:
+
+    from .url_filter import oracle_sql
+
+    return {"op8_url_filter": oracle_sql()}
+
+
+ORACLE_SQL = _oracles()
