@@ -5,12 +5,14 @@ the width and the way equal windows are grouped differ.  Documents are dealt to
 *blocks* by a hash; a block is the unit of Python work.  Python sends sorted
 binary runs of 64-bit values, cut by value range, never a row for each window:
 
-1. **Grams.**  Every window holds the least of its gram hashes.  A repeated
-   window's least gram occurs at least twice, so one gram in about ``w / 2``
-   travels and the ones seen once rule most windows out.
-2. **Windows.**  What is left is looked up as whole windows, distinct ones of
-   each block only.
-3. **Marking.**  Each block gets back a bit for each window it sent.
+1. **Pieces.**  Every window holds the least of its gram hashes.  Consecutive
+   windows whose least gram stands at the same place make a piece of text, one for about ``w / 2``
+   windows.  Windows can be equal only if their pieces have the same gram, and
+   inside a repeat the pieces themselves are equal: then all their windows are
+   repeated and none needs a look-up.
+2. **Windows.**  Where a gram stands in different pieces, near the ends of
+   repeats, each of these pieces is spelled out as windows, by one block only.
+3. **Marking.**  Each block gets back which of its pieces and windows are repeated.
 
 A group of a value range holds at most one run of each block, whatever the
 number of copies, so a passage in a third of all documents weighs as much as
@@ -37,6 +39,11 @@ LEAST_BLOCKS, MOST_RANGES = 48, 2048
 RUN_SCHEMA = "part int, block int, run binary"
 #: value: 63 bits of hash, then one bit that says "more than once in this block".
 RUN = np.dtype([("value", "<u8"), ("check", "<u4")])
+#: A piece: its gram (and such a bit), and the hash of its text.
+PIECE = np.dtype([("value", "<u8"), ("check", "<u8")])
+#: What a block is told of a piece: that it is repeated, that the block has to spell it out.
+TOLD_PIECE = np.dtype([("value", "<u8"), ("check", "<u8"), ("flags", "<u1")])
+REPEATED, SPELL = 1, 2
 ONE = U64(1)
 
 
@@ -64,27 +71,28 @@ class Windows:
         values, bounds, powers = self.symbols(part.column(self.text))
         return {"values": values, "bounds": bounds, "powers": powers, "hash": prefix_hash(values, powers), "room": room(bounds)}
 
-    def least_grams(self, s: dict) -> None:
-        """Adds ``gram`` of each position, ``least`` of each window and ``chosen`` positions."""
+    def pieces(self, s: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last window (exclusive) of each piece, and its PIECE entry."""
         n, k = len(s["values"]), self.gram
         g = np.full(n, NO_GRAM, U64)
         at = np.flatnonzero(s["room"] >= k)
         g[at] = mix(range_hash(s["hash"], at, at + k, s["powers"])) & ~ONE
-        w = self.width - k + 1
-        s["full"] = s["room"] >= self.width
-        s["gram"], s["least"] = g, sliding(np.minimum, g, w, NO_GRAM)
-        back = np.where(s["full"], s["least"], U64(0))
-        top = sliding(np.maximum, back[::-1], w, U64(0))[::-1]
-        s["chosen"] = (g == top) & (top > 0)
-
-    def candidates(self, s: dict, known: np.ndarray) -> np.ndarray:
-        """Starts of the windows whose least gram occurs at least twice."""
-        n = len(s["values"])
-        if not n:
-            return np.zeros(0, np.int64)
-        change = np.flatnonzero(np.concatenate([[True], s["least"][1:] != s["least"][:-1]]))
-        maybe = np.repeat(member(s["least"][change], known), np.diff(np.append(change, n)))
-        return np.flatnonzero(maybe & s["full"])
+        # the place of the leftmost least gram: its high bits, then its place, are minimised together
+        bits = U64(max(1, n.bit_length()))
+        key = np.full(n, NO_GRAM, U64)
+        key[at] = (g[at] >> bits << bits) | at.astype(U64)
+        least = (sliding(np.minimum, key, self.width - k + 1, NO_GRAM) & ((ONE << bits) - ONE)).astype(np.int64)
+        full = np.zeros(n + 2, bool)
+        full[1:-1] = s["room"] >= self.width
+        change = np.ones(n + 1, bool)
+        change[1:-1] = least[1:] != least[:-1]
+        lo = np.flatnonzero(full[1:] & (change | ~full[:-1]))
+        hi = np.flatnonzero(full[:-1] & (change | ~full[1:]))
+        out = np.empty(len(lo), PIECE)
+        out["value"] = g[least[lo]]
+        size = hi - lo
+        out["check"] = mix(range_hash(s["hash"], lo, hi - 1 + self.width, s["powers"]) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+        return lo, hi, out
 
     def prints(self, s: dict, at: np.ndarray) -> np.ndarray:
         """RUN entries of the windows at ``at``, in that order."""
@@ -103,75 +111,123 @@ class Windows:
         whole, text = self, self.text
         reply = lambda runs: runs.groupBy("part").applyInArrow(whole.answer, "block int, run binary")
 
-        def grams(table: pa.Table) -> pa.Table:
-            out = []
-            for a, b in slices(table, text):
-                s = whole.state(table.slice(a, b - a))
-                whole.least_grams(s)
-                out.append(s["gram"][s["chosen"]])
-            v, c = np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, U64), np.zeros(0, int))
-            run = np.zeros(len(v), RUN)
-            run["value"] = v | (c > 1).astype(U64)
+        def pieces(table: pa.Table) -> pa.Table:
+            run = merged([merged([whole.pieces(s)[2]], PIECE) for s, _ in whole.walk(table)], PIECE)
             return cut(run, int(table.column(BLOCK)[0].as_py()), parts)
 
         def windows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            known = repeated_grams(right)
-            out = [whole.group(whole, s, whole.candidates(s, known)) for s, _ in whole.walk(left)] if len(known) else []
+            spell = told_pieces(right, lambda flags: flags & SPELL > 0)
+            out = []
+            for s, _ in whole.walk(left) if len(spell) else ():
+                lo, hi, piece = whole.pieces(s)
+                hit = in_run(piece, spell)
+                out.append(whole.group(whole, s, spans(lo[hit], hi[hit])))
             return cut(merged(out), int(left.column(BLOCK)[0].as_py()) if left.num_rows else 0, parts)
 
         def last(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            known = repeated_grams(right)
-            again = merged([r for s, _ in whole.walk(left) for r in [merged([whole.prints(s, whole.candidates(s, known))])]] if len(known) else [])
-            hits = again[answered(again, right, parts)]
-            hits["value"] &= ~ONE
+            known = told_pieces(right, lambda flags: flags & REPEATED > 0)
+            spelt = told_pieces(right, lambda flags: flags == SPELL)
+            hits = told_windows(right)
             done = []
-            for s, part in whole.walk(left, len(hits) > 0):
-                at = whole.candidates(s, known) if len(hits) else np.zeros(0, np.int64)
-                done.append(finish(part, s, at[in_run(whole.prints(s, at), hits)]))
+            for s, part in whole.walk(left):
+                starts = np.zeros(0, np.int64)
+                if len(known) or len(hits):
+                    lo, hi, piece = whole.pieces(s)
+                    hit, look = in_run(piece, known), in_run(piece, spelt)
+                    at = spans(lo[look], hi[look])
+                    starts = np.sort(np.concatenate([spans(lo[hit], hi[hit]), at[in_run(whole.prints(s, at), hits)]]))
+                done.append(finish(part, s, starts))
             return pa.concat_tables(done) if done else empty
 
         empty = pa.schema(_arrow(schema)).empty_table()
         by_block = docs.groupBy(BLOCK)
-        first = by_block.applyInArrow(grams, RUN_SCHEMA).groupBy("part").applyInArrow(lambda t: whole.values_told(t), TOLD_SCHEMA)
-        second = by_block.cogroup(first.groupBy("block")).applyInArrow(windows, RUN_SCHEMA).groupBy("part").applyInArrow(lambda t: whole.bits_told(t), TOLD_SCHEMA)
+        first = by_block.applyInArrow(pieces, RUN_SCHEMA).groupBy("part").applyInArrow(lambda t: answer_pieces(t), TOLD_SCHEMA)
+        second = by_block.cogroup(first.groupBy("block")).applyInArrow(windows, RUN_SCHEMA).groupBy("part").applyInArrow(lambda t: answer_windows(t, whole.find), TOLD_SCHEMA)
         return by_block.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(last, schema)
 
-    def walk(self, table: pa.Table, grams: bool = True) -> Iterator[tuple[dict, pa.Table]]:
+    def walk(self, table: pa.Table) -> Iterator[tuple[dict, pa.Table]]:
         for a, b in slices(table, self.text):
             part = table.slice(a, b - a)
-            s = self.state(part)
-            if grams:
-                self.least_grams(s)
-            yield s, part
-
-    def _found(self, table: pa.Table) -> tuple[list, list, list]:
-        blocks = table.column("block").to_pylist()
-        runs = [np.frombuffer(x, RUN) for x in table.column("run").to_pylist()]
-        return blocks, runs, self.find(runs)
+            yield self.state(part), part
 
-    def values_told(self, table: pa.Table) -> pa.Table:
-        """Tells each block which values of its run in this range occur more than once."""
-        rows = [(b, -1, (r["value"][hit] & ~ONE).tobytes()) for b, r, hit in zip(*self._found(table), strict=True) if hit.any()]
-        return _told(rows)
 
-    def bits_told(self, table: pa.Table) -> pa.Table:
-        """The same as a bit for each entry that the block sent."""
-        part = table.column("part")[0].as_py()
-        rows = [(b, part, np.packbits(hit).tobytes()) for b, _, hit in zip(*self._found(table), strict=True) if hit.any()]
-        return _told(rows)
+def _runs(table: pa.Table, kind: np.dtype) -> tuple[list[int], list[np.ndarray]]:
+    return table.column("block").to_pylist(), [np.frombuffer(x, kind) for x in table.column("run").to_pylist()]
 
 
-TOLD_SCHEMA = "block int, part int, told binary"
+def answer_pieces(table: pa.Table) -> pa.Table:
+    """Tells each block which of its pieces in this value range are repeated or have to be spelled out."""
+    blocks, runs = _runs(table, PIECE)
+    x = np.concatenate(runs)
+    whose = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+    order = np.lexsort((whose, x["check"], x["value"] >> ONE))
+    x, whose = x[order], whose[order]
+    fresh = ~same_as_before(x)
+    first = np.flatnonzero(fresh)
+    gram = x["value"][first] >> ONE
+    new_gram = np.append(True, gram[1:] != gram[:-1])
+    pieces_of_gram = np.diff(np.append(np.flatnonzero(new_gram), len(first)))
+    varied = np.repeat(pieces_of_gram > 1, pieces_of_gram)
+    count = np.diff(np.append(first, len(x)))
+    many = (count > 1) | (np.bitwise_or.reduceat(x["value"] & ONE, first) > 0)
+    flags = np.repeat(many * REPEATED, count).astype(np.uint8)
+    flags[first[varied]] |= SPELL
+    out = np.empty(len(x), TOLD_PIECE)
+    out["value"], out["check"], out["flags"] = x["value"] & ~ONE, x["check"], flags
+    keep = np.flatnonzero(flags)
+    keep = keep[np.argsort(whose[keep], kind="stable")]
+    edge = np.searchsorted(whose[keep], np.arange(len(runs) + 1))
+    return _told([(b, PIECES_TOLD, out[keep[i:j]].tobytes()) for b, i, j in zip(blocks, edge[:-1], edge[1:], strict=True) if j > i])
+
+
+def answer_windows(table: pa.Table, find: Callable) -> pa.Table:
+    """Tells each block which windows of its run in this value range occur more than once."""
+    blocks, runs = _runs(table, RUN)
+    rows = []
+    for block, run, hit in zip(blocks, runs, find(runs), strict=True):
+        if hit.any():
+            found = run[hit]
+            found["value"] &= ~ONE
+            rows.append((block, WINDOWS_TOLD, found.tobytes()))
+    return _told(rows)
+
+
+PIECES_TOLD, WINDOWS_TOLD = 0, 1
+TOLD_SCHEMA = "block int, kind int, told binary"
 
 
 def _told(rows: list) -> pa.Table:
     return pa.table({
         "block": pa.array([r[0] for r in rows], pa.int32()),
-        "part": pa.array([r[1] for r in rows], pa.int32()),
+        "kind": pa.array([r[1] for r in rows], pa.int32()),
         "told": pa.array([r[2] for r in rows], pa.binary()),
     })
 
 
+def told(table: pa.Table, kind: int, entry: np.dtype) -> np.ndarray:
+    got = [np.frombuffer(t, entry) for k, t in zip(table.column("kind").to_pylist(), table.column("told").to_pylist(), strict=True) if k == kind]
+    return np.concatenate(got) if got else np.zeros(0, entry)
+
+
+def told_pieces(table: pa.Table, which: Callable) -> np.ndarray:
+    x = told(table, PIECES_TOLD, TOLD_PIECE)
+    x = x[which(x["flags"])]
+    return x[np.lexsort((x["check"], x["value"]))]
+
+
+def told_windows(table: pa.Table) -> np.ndarray:
+    x = told(table, WINDOWS_TOLD, RUN)
+    return x[np.lexsort((x["check"], x["value"]))]
+
+
+def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges ``lo[i]:hi[i]``."""
+    size = hi - lo
+    if not len(size):
+        return np.zeros(0, np.int64)
+    return np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+
+
 def _arrow(schema: str) -> list:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
@@ -194,26 +250,11 @@ def cut(run: np.ndarray, block: int, parts: int) -> pa.Table:
     })
 
 
-def repeated_grams(table: pa.Table) -> np.ndarray:
-    told = [np.frombuffer(t, U64) for p, t in zip(table.column("part").to_pylist(), table.column("told").to_pylist(), strict=True) if p < 0]
-    return np.sort(np.concatenate(told)) if told else np.zeros(0, U64)
-
-
-def answered(run: np.ndarray, table: pa.Table, parts: int) -> np.ndarray:
-    """For each entry of a block's run, whether its answer says "more than once"."""
-    edges, out = part_edges(run, parts), np.zeros(len(run), bool)
-    for p, t in zip(table.column("part").to_pylist(), table.column("told").to_pylist(), strict=True):
-        if p >= 0:
-            n = edges[p + 1] - edges[p]
-            out[edges[p] : edges[p + 1]] = np.unpackbits(np.frombuffer(t, np.uint8), count=n).astype(bool)
-    return out
-
-
-def merged(runs: list[np.ndarray]) -> np.ndarray:
+def merged(runs: list[np.ndarray], kind: np.dtype = RUN) -> np.ndarray:
     """One sorted run of distinct entries; the low bit is set where an entry occurs more than once."""
     runs = [r for r in runs if len(r)]
     if not runs:
-        return np.zeros(0, RUN)
+        return np.zeros(0, kind)
     x = np.concatenate(runs)
     x = x[np.lexsort((x["check"], x["value"] >> ONE))]
     return distinct(x)

@@ -23,7 +23,7 @@ from .fingerprint_index import repeated
 from .repeats import BLOCK, RUN, U64, Windows, covered, merged
 from .textcore import BYTE_CODES, BYTE_POWERS, joined_bytes
 
-WIDTH, GRAM = 400, 256
+WIDTH, GRAM = 400, 272
 _HEAD = 24
 
 
