@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,8 +40,8 @@ _CUT = re.compile(rf"(?<![{WHITE}]) | (?=[^{WHITE}])")
 #: Fixed value: the split pattern of byte-level vocabularies.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 LATIN_END = "\u0250"
-#: Words in the lexicon, words a worker keeps besides, and the longest word that is kept.
-LEXICON_WORDS, CACHED_WORDS, CACHED_CHARS = 1 << 16, 200_000, 64
+#: Words in the lexicon, words in a generation of a worker's cache, and the longest word that is kept.
+LEXICON_WORDS, CACHED_WORDS, CACHED_CHARS = 1 << 16, 400_000, 64
 #: A task reports the words that make up at least this share of its words.
 LEAST_SHARE = 1 / (1 << 18)
 
@@ -143,15 +144,56 @@ class Vocabulary:
         return [part[a:b] for _, (a, b) in ByteLevel(add_prefix_space=False).pre_tokenize_str(part)]
 
 
+class WordCache:
+    """Ids of texts from ids of words; ``learn`` makes those of words that aren't known.
+
+    What is known lies in two generations: a full young one becomes the old one, and a word that is
+    met again moves back to the young one.  So memory is bounded and frequent words stay.
+    """
+
+    def __init__(self, learn, size: int = CACHED_WORDS):
+        self.learn, self.size = learn, size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        cut = [cut_words(t) for t in texts]
+        first = [words[0] for words in cut]  # the only word without a space in front
+        for words in cut:
+            del words[0]
+        young, old = self.young, self.old
+        missing = [w for w in set().union(*cut) if w not in young]
+        todo = []
+        for word in missing:
+            ids = old.get(word)
+            if ids is None:
+                todo.append(word)
+            else:
+                young[word] = ids
+        begins = [w for w in set(first) if w]
+        made = self.learn([*[" " + w for w in todo], *begins])
+        young.update(zip(todo, made))
+        begun = dict(zip(begins, made[len(todo) :]))
+        get = young.__getitem__
+        out = [begun.get(w, b"") + b"".join(map(get, words)) for w, words in zip(first, cut)]
+        for word in missing:
+            if len(word) > CACHED_CHARS:
+                del young[word]
+        if len(young) > self.size:
+            self.old, self.young = young, {}
+        return out
+
+
 class Encoder:
-    """Ids of texts.  Kept by a worker from task to task; ``known`` maps a word to its ids as bytes."""
+    """Kept by a worker from task to task."""
 
     _made: dict = {}
 
     def __init__(self, path: str, lexicon: Lexicon | None):
         self.vocabulary = Vocabulary(path)
         self.lexicon = lexicon
-        self.known: dict[str, bytes] = {}
+        self.encode = WordCache(self._learn).encode
         self.table = pa.array(self.vocabulary.bytes, pa.binary())
 
     @classmethod
@@ -162,41 +204,11 @@ class Encoder:
             cls._made[key] = cls(path, Lexicon.mapped(data) if data else None)
         return cls._made[key]
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that aren't known; all but very long ones are kept."""
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
-        todo = list(words)
-        ranks = self.lexicon.ranks([w.encode() for w in todo]) if self.lexicon else np.full(len(todo), -1)
-        out = {}
-        for word, rank in zip(todo, ranks.tolist()):
-            ids = self.lexicon.ids_of(rank) if rank >= 0 else self.vocabulary.encode_word(word)
-            data = np.array(ids, "<i4").tobytes()
-            if len(word) <= CACHED_CHARS:
-                self.known[word] = data
-            else:
-                out[word] = data
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        cut = []
-        for text in texts:
-            words = cut_words(text)
-            cut.append([words[0], *[" " + w for w in words[1:]]] if words[0] else [" " + w for w in words[1:]])
-        known = self.known
-        new = set()
-        for words in cut:
-            new.update(w for w in words if w not in known)
-        if new and len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = {w for words in cut for w in words}
-        rest = self._learn(new) if new else {}
-        if rest or len(known) > CACHED_WORDS:
-            get = lambda w: known.get(w) or rest.get(w, b"")
-        else:
-            get = known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """By the lexicon, or else by merging."""
+        ranks = self.lexicon.ranks([w.encode() for w in words]).tolist() if self.lexicon else [-1] * len(words)
+        made = [self.lexicon.ids_of(r) if r >= 0 else self.vocabulary.encode_word(w) for w, r in zip(words, ranks)]
+        return [struct.pack(f"<{len(ids)}i", *ids) for ids in made]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts of ``ids[bounds[i]:bounds[i + 1]]``."""

@@ -23,6 +23,7 @@ their ids' names; an empty table makes an empty store.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHED_CHARS, CACHED_WORDS, cut_words
+from .bpe import WordCache
 from .textcore import WORD_POWERS, U64, mix, prefix_hash, range_hash, slices
 
 END_ID = 0
@@ -58,34 +59,18 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.encode = WordCache(self._learn).encode
 
     @classmethod
     def of(cls, path: str) -> "LibraryEncoder":
         if path not in cls._made:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's
-        known = self.known
-        cut = []
-        for text in texts:
-            words = cut_words(text)
-            cut.append([words[0], *[" " + w for w in words[1:]]] if words[0] else [" " + w for w in words[1:]])
-        new = {w for words in cut for w in words if w not in known}
-        if new and len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = {w for words in cut for w in words}
-        rest = {}
-        if new:
-            todo = list(new)
-            for word, found in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-                (known if len(word) <= CACHED_CHARS else rest)[word] = np.array(found.ids, "<u4").tobytes()
-        get = (lambda w: known.get(w) or rest.get(w, b"")) if rest else known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+    def _learn(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for x in found for ids in [x.ids]]
 
 
 # -- chunks -----------------------------------------------------------------
