@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "flagship"
+from .plans import relational_queries, series_queries  # noqa: F401  (they register themselves)
+from .plans.registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "negative_load_evidence"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
