@@ -11,9 +11,10 @@ one set are a *class*, represented by its smallest id; only classes go on.
 * What is left is confirmed on the full sets: 100 * common >= 75 * together.
 
 A band's classes aren't paired with each other.  First each is compared with
-the smallest class of a band of its; confirmed links give components.  Then only
-pairs of one band that lie in different components are compared, all of them.
-So every candidate pair is confirmed, refuted, or inside one component already.
+the smallest class of a band of its; confirmed links give components.  Then all
+pairs of one band that lie in different components are compared on the spot, and
+only the most similar pair of two components is sent on.  So every candidate pair
+is confirmed, refuted, or inside one component already.
 
 Defined results: a null or empty text has an empty set, is linked with nothing
 and is kept; rows with a null id are linked with nothing and kept; rows that
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .textcore import LOWER, U64, WORD_POWERS, joined_bytes, mix, prefix_hash, range_hash, slices, word_bounds, word_hashes
 
 SHINGLE, LEAST_SHARE = 5, (75, 100)
@@ -38,6 +40,11 @@ SHINGLE, LEAST_SHARE = 5, (75, 100)
 BANDS, ROWS = 28, 4
 #: Bits of an odd sketch, and the estimate below which a candidate is dropped: six standard errors off.
 SKETCH_BITS, LEAST_ESTIMATE = 512, 0.5
+#: Classes of one band that are compared by one task with as many others, and shingles compared at a time.
+CHUNK, COLUMNS = 1024, 2048
+#: Bands are compared by the upper halves of the shingles' hashes: so many may coincide by chance; the full
+#: sets decide afterwards.
+SLACK = 2
 _N = BANDS * ROWS
 _DRAWN = np.frombuffer(hashlib.shake_256(b"minhash").digest(8 * _N), "<u4").reshape(2, _N)
 _TIMES, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
@@ -178,6 +185,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; ``folder`` is new and shared."""
+    small_batches(docs)
     signed = _saved(signatures(docs, doc_id, text), f"{folder}/signatures")
     classes = signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     classes = _saved(classes, f"{folder}/classes")
@@ -191,7 +199,7 @@ def near_duplicates(docs: DataFrame, folder: str, doc_id: str = "doc_id", text:
     sets = _saved(_full_sets(docs, members, doc_id, text), f"{folder}/sets")
     links = _saved(confirm(first, sets), f"{folder}/links-1")
     parts = components(links, f"{folder}/components-1")
-    second = _saved(_cross_pairs(members, one, parts).join(first, ["a", "b"], "left_anti"), f"{folder}/pairs-2")
+    second = _saved(_cross_pairs(members, one, sets, parts).join(first, ["a", "b"], "left_anti"), f"{folder}/pairs-2")
     if second.limit(1).count():
         more = _saved(confirm(second, sets), f"{folder}/links-2")
         if more.limit(1).count():
@@ -225,42 +233,79 @@ def _leader_pairs(members: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, shingles as bytes) of the classes that share a band with another."""
+    """(id, shingles as bytes, their upper halves) of the classes that share a band with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch, "text"):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], ["id", "shingles"])
+                sets = shingle_sets(part.column(1))
+                short = [np.unique((s >> U64(32)).astype("<u4")).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(short, pa.binary())], ["id", "shingles", "short"])
 
     wanted = members.select("id").distinct()
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    return texts.join(wanted, "id", "left_semi").mapInArrow(run, "id long, shingles binary").where("octet_length(shingles) > 0").dropDuplicates(["id", "shingles"])
+    return texts.join(wanted, "id", "left_semi").mapInArrow(run, "id long, shingles binary, short binary").where("octet_length(shingles) > 0").dropDuplicates(["id", "shingles"])
+
 
+def _cross_pairs(members: DataFrame, one: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """For any two components that share a band, the pair of classes of that band that is most alike, if it
+    is alike enough; all pairs are compared where they lie, none is sent but this one.
 
-def _cross_pairs(members: DataFrame, one: DataFrame, parts: DataFrame) -> DataFrame:
-    """All pairs of one band in different components that sizes and sketches allow."""
+    A band of many classes is cut into chunks, and a task gets two chunks of it, so no task grows with a band.
+    """
     named = members.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("part"))
-    mixed = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    rows = named.join(mixed, "band", "left_semi").join(one.select("id", "n", "sketch"), "id").select("band", "id", "part", "n", "sketch")
+    mixed = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low < high")
+    mixed = mixed.select("band", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    rows = named.join(mixed, "band").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "id", "part")
+    rows = rows.join(one.select("id", "n", "sketch"), "id").join(sets.select("id", "short"), "id")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, part, n = (table.column(c).to_numpy() for c in ("id", "part", "n"))
+        ids, part, n, chunk = (table.column(c).to_numpy() for c in ("id", "part", "n", "chunk"))
+        across = table.column("x")[0].as_py() != table.column("y")[0].as_py()
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U64).reshape(len(ids), -1)
-        order = np.argsort(n, kind="stable")  # by size: who may be linked lies near
-        ids, part, n, bits = ids[order], part[order], n[order], bits[order]
+        short = table.column("short").to_pylist()
+        # classes whose sketch allows a link with no other component stand out of the comparison
+        open_ = [np.flatnonzero((part != part[i]) & alike(bits[i], n[i], bits, n) & ((chunk != chunk[i]) if across else True)) for i in range(len(ids))]
+        some = np.array([i for i in range(len(ids)) if len(open_[i])], np.int64)
         a, b = [], []
-        for i in range(len(ids)):
-            j = int(np.searchsorted(n, n[i] * LEAST_SHARE[1] // LEAST_SHARE[0], "right"))
-            at = np.arange(i + 1, j)
-            at = at[part[at] != part[i]]
-            if len(at):
-                at = at[alike(bits[i], n[i], bits[at], n[at])]
-                a.append(np.minimum(ids[i], ids[at]))
-                b.append(np.maximum(ids[i], ids[at]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
-
-    return rows.groupBy("band").applyInArrow(lambda t: run(t), "a long, b long").where("a < b").distinct()
-
+        if len(some):
+            common = _common([np.frombuffer(short[i], "<u4") for i in some])
+            place = np.full(len(ids), -1)
+            place[some] = np.arange(len(some))
+            best: dict = {}
+            for i in some:
+                j = open_[i]
+                both = common[place[i], place[j]]
+                union = n[i] + n[j] - both
+                ok = LEAST_SHARE[1] * (both + SLACK) >= LEAST_SHARE[0] * (union - SLACK)
+                for k, share in zip(j[ok].tolist(), (both[ok] / np.maximum(union[ok], 1)).tolist()):
+                    key = (min(part[i], part[k]), max(part[i], part[k]))
+                    if share > best.get(key, (-1.0,))[0]:
+                        best[key] = (share, min(ids[i], ids[k]), max(ids[i], ids[k]))
+            a, b = [x[1] for x in best.values()], [x[2] for x in best.values()]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("band", "x", "y").applyInArrow(lambda t: run(t), "a long, b long").where("a < b").distinct()
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all common parts, by products of 0/1 rows over the shingles that two sets at least have."""
+    values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    row, at = row[keep], column[at[keep]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(at, (lo, lo + COLUMNS))
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[row[i:j], at[i:j] - lo] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
