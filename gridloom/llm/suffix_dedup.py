@@ -61,8 +61,10 @@ def suffix_order(s: dict, at: np.ndarray, width: int) -> tuple[np.ndarray, np.nd
     bottom up, every element finding its place in the neighbouring run by binary search.
     """
     buf = s["buf"]
-    head = np.lib.stride_tricks.sliding_window_view(buf, _HEAD)[at]
-    keys = np.ascontiguousarray(head).view(">u8").astype(U64)
+    head = np.zeros((len(at), _HEAD), np.uint8)
+    n = min(_HEAD, width)
+    head[:, :n] = np.lib.stride_tricks.sliding_window_view(buf, n)[at]
+    keys = head.view(">u8").astype(U64)
     order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
     at, keys = at[order], keys[order]
     tie = np.zeros(len(at), bool)
