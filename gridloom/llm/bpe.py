@@ -30,6 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .lexicon import Lexicon, compile_words
 from .textcore import slices
 
@@ -244,7 +245,7 @@ def count_frequent(docs: DataFrame, text: str = "text", least_share: float = LEA
         rows = [(w, n) for w, n in found.items() if n >= least and w and len(w) <= CACHED_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
-    return docs.select(F.col(f"`{text}`").alias(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select(F.col(f"`{text}`").alias(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
@@ -258,6 +259,7 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = L
 
 def encode_decode(docs: DataFrame, path: str, lexicon: bytes = b"", text: str = "text", decoded: bool = True) -> DataFrame:
     """All columns of ``docs``, with ``ids`` (array of int) and, from these ids, ``decoded_text`` added."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     columns = [c for c in docs.columns if c not in ("ids", "decoded_text")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .textcore import LOWER, U64, joined_bytes, member, mix, slices, word_bounds, word_hashes
 
 #: Fixed masks: 1 is hashed, 0 is ignored.
@@ -130,7 +131,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Benchmark
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least_equal: int = LEAST_EQUAL, least_share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, item_id, n_equal, n_compared, doc_word, item_word, share) of all overlaps."""
     schema = "doc_id long, item_id long, n_equal long, n_compared long, doc_word long, item_word long, share double"
-    narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    narrow = small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for bench in _blocks(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(bench)
@@ -155,6 +156,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least_equal: int = LEAST_EQUAL, least_share: float = LEAST_SHARE) -> DataFrame:
     """``docs`` without the rows that overlap with an item; all columns as they are."""
+    small_batches(docs)
     for bench in _blocks(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(bench)
 

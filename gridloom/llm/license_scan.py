@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .batches import small_batches
 from .decontaminate import BREAKS
 from .textcore import joined_bytes, slices, word_bounds
 
@@ -213,4 +214,4 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), detected]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(n_words, pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds)]], [*columns, *names])
 
-    return docs.select(*[f"`{c}`" for c in [*columns, text]]).mapInArrow(run, fields + SCHEMA)
+    return small_batches(docs).select(*[f"`{c}`" for c in [*columns, text]]).mapInArrow(run, fields + SCHEMA)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .textcore import CHECK_POWERS, NO_GRAM, U64, member, mix, prefix_hash, range_hash, room, slices, sliding
 
 BLOCK = "__block"
@@ -49,6 +50,7 @@ ONE = U64(1)
 
 def in_blocks(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
     """``docs`` with a block number, dealt out by it; rows that are alike meet in one block."""
+    small_batches(docs)
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     n = max(LEAST_BLOCKS, math.ceil(total / BLOCK_BYTES))
     others = [F.col(f"`{c}`") for c, kind in docs.dtypes if kind.startswith(("string", "bigint", "int"))]

@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .bpe import WordCache
 from .textcore import WORD_POWERS, U64, mix, prefix_hash, range_hash, slices
 
@@ -170,7 +171,7 @@ def _stage(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame
                     pa.concat_arrays([pa.array(bodies, pa.binary()), null(n, pa.binary())]),
                 ], ["kind", "doc_id", "n_tokens", "names", "name", "body"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, STAGE_SCHEMA)
+    return small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, STAGE_SCHEMA)
 
 
 def _packs(chunks: DataFrame, parts: int) -> DataFrame:

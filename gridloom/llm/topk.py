@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
+
 K, SCALE, EVERY = 5, 256, 50
 SHARD_ROWS, BLOCK_QUERIES, STEP_QUERIES, LEAF = 4096, 16384, 1024, 128
 RESULT = "query_id long, vec_id long, score long"
@@ -111,6 +113,7 @@ def integers(vector: Column, scale: int = SCALE) -> Column:
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of ``vectors`` by the product of scaled integers."""
+    small_batches(vectors)
     take = lambda df: df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), integers(F.col(f"`{vector}`")).alias("v")).where("id is not null and v is not null").withColumn("dim", F.size("v"))
     points, asked = take(vectors), take(queries)
     count, wanted = points.count(), asked.count()

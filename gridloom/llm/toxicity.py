@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .decontaminate import BREAKS
 from .textcore import BYTE_CODES, BYTE_POWERS, LOWER, U64, joined_bytes, member, mix, prefix_hash, range_hash, slices, word_bounds
 
@@ -137,7 +138,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, folder: str, train_rows: int = TRAIN_ROWS) -> Model:
     """``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); ``folder`` is new and shared."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     _sample(docs, labels, train_rows).write.parquet(folder)
     train = spark.read.schema("text string, toxic int").parquet(folder)
     count = {bool(r.toxic): (r.n, r.words or 0) for r in train.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.size(F.split(F.coalesce("text", F.lit("")), " "))).alias("words")).collect()}
@@ -262,7 +263,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1) and ``passages`` (first and last word, score) added."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c not in ("score", "passages")]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in columns)
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
