@@ -110,10 +110,10 @@ QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_bpe,
 
 
 def _oracles() -> dict[str, str]:
-
+    from .oracles import NEAR, REPEATS, TOPK
     from .url_filter import oracle_sql
 
-    return {"op8_url_filter": oracle_sql()}
+    return {"op4_substring_dedup": REPEATS, "op6_topk": TOPK, "op7_near_dedup": NEAR, "op8_url_filter": oracle_sql()}
 
 
 ORACLE_SQL = _oracles()
