@@ -124,3 +124,24 @@ def test_weights_and_reconciliation(spark):
     assert w[3] == 2 * w[1] and sum(w.values()) == pytest.approx(3)
     assert L.reconcile(df.where("id < 2"), df.where("id >= 2"), df, "id")
     assert not L.reconcile(df, df.where("id = 1"), df, "id")
+
+
+def test_customer_week_end_to_end(spark):
+    """One customer, a week of import 2.0 and export 0.5, one blank reading: 672 values, one filled with 1.5."""
+    from gridloom.operators.weeks import assemble_weeks
+
+    days = []
+    for d in range(7):
+        q = [1.5] * 96
+        if d == 2:
+            q[48] = None
+        days.append(("m", dt.date(2024, 1, 1) + dt.timedelta(days=d), q))
+    df = spark.createDataFrame(days, "mp_id string, date date, q array<double>")
+    links = spark.createDataFrame([("c", "m")], "gp_nr string, mp_id string")
+    row = assemble_weeks(df, links).first()
+    assert row.eligible and row.imputed == 1 and len(row.load) == 672 and row.load[2 * 96 + 48] == 1.5 and row.week_start == dt.date(2024, 1, 1)
+    two = links.unionByName(spark.createDataFrame([("c", "other")], links.schema))
+    assert assemble_weeks(df, two).first().exclusion_reason == "too_many_missing_timestamps"
+    assert assemble_weeks(df.where("date < '2024-01-07'"), links).first().exclusion_reason == "too_many_missing_timestamps"
+    shifted = df.withColumn("date", F.date_add("date", 84))
+    assert assemble_weeks(shifted, links, zone="Europe/Zurich").first().exclusion_reason == "dst_transition_week"
