@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank
+from .windows import average_rank, running_sums
 
 
 def confusion(df: DataFrame, label: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -39,8 +39,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Sum of precision over the gains of recall, equal scores taken together."""
     by = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score))
-    run = by.select("p", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("all"))
+    run = running_sums(by.withColumns({"tp": F.col("p"), "all": F.col("n")}), score, ["tp", "all"], descending=True)
     return run.agg((F.sum(F.col("p") * F.col("tp") / F.col("all")) / F.when(F.sum("p") > 0, F.sum("p"))).alias("average_precision"))
 
 
@@ -62,8 +61,7 @@ def choose_threshold(df: DataFrame, label: str, score: str, rule: str = "highest
     by = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
     total = by.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
     above = df.sparkSession.createDataFrame([(1.0000000000000002, 0, 0)], by.schema)
-    w = Window.orderBy(F.desc("threshold"))
-    run = by.unionByName(above).select("threshold", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    run = running_sums(by.unionByName(above).toDF("threshold", "tp", "fp"), "threshold", ["tp", "fp"], descending=True)
     run = derived(run.withColumns({"fn": F.lit(total.p or 0) - F.col("tp"), "tn": F.lit(total.n or 0) - F.col("fp")}))
     last = F.col("threshold") if rule == "highest" else -F.abs(F.col("threshold") - 0.5)
     return run.agg(F.max_by(F.struct("threshold", "balanced_accuracy", "f1"), F.struct("balanced_accuracy", "f1", last)).alias("b")).select("b.*")
@@ -72,9 +70,10 @@ def choose_threshold(df: DataFrame, label: str, score: str, rule: str = "highest
 def youden(df: DataFrame, label: str, score: str) -> DataFrame:
     """The threshold with the greatest TPR - FPR."""
     by = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    w, every = Window.orderBy(F.desc("threshold")), Window.partitionBy(F.lit(1))
-    j = F.sum("p").over(w) / F.sum("p").over(every) - F.sum("n").over(w) / F.sum("n").over(every)
-    return by.select("threshold", j.alias("j")).agg(F.max("j").alias("j"), F.max_by("threshold", F.struct("j", "threshold")).alias("threshold"))
+    total = by.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
+    run = running_sums(by, "threshold", ["p", "n"], descending=True)
+    j = F.col("p") / F.lit(float(max(total.p or 0, 1))) - F.col("n") / F.lit(float(max(total.n or 0, 1)))
+    return run.select("threshold", j.alias("j")).agg(F.max("j").alias("j"), F.max_by("threshold", F.struct("j", "threshold")).alias("threshold"))
 
 
 def cohens_d(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:

@@ -24,6 +24,24 @@ def largest_drop(years: DataFrame, key: str, value: str, order: str = "year") ->
     return years.withColumn("__d", F.lag(value).over(w) - F.col(value)).groupBy(key).agg(F.max("__d").alias("drop"))
 
 
+def running_sums(df: DataFrame, order: str, sums: Sequence[str], descending: bool = False, buckets: int = 256) -> DataFrame:
+    """Adds ``sums`` up along ``order`` over the whole table, the row itself included, without one partition for all.
+
+    Approximate quantiles cut the order into buckets (what reaches the driver is their bounds); buckets are added
+    up first, then rows within a bucket.  ``order`` is a number and distinct, so no bucket is larger for ties.
+    """
+    cuts = df.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10_000).alias("c")).first().c or []
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    rows = df.withColumn("__bucket", F.size(F.filter(bounds, lambda x: x <= F.col(order))))
+    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    before = Window.orderBy(way("__bucket")).rowsBetween(Window.unboundedPreceding, -1)  # over one row a bucket
+    whole = rows.groupBy("__bucket").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    whole = whole.select("__bucket", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    inside = Window.partitionBy("__bucket").orderBy(way(order))
+    out = rows.join(F.broadcast(whole), "__bucket")  # at most ``buckets`` rows
+    return out.select(*[c for c in df.columns if c not in sums], *[(F.sum(c).over(inside) + F.col(f"__{c}")).alias(c) for c in sums])
+
+
 def average_rank(df: DataFrame, value: str, name: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
     """Ranks from 1; equal values share the mean of theirs; nulls have none.
 
@@ -31,8 +49,10 @@ def average_rank(df: DataFrame, value: str, name: str = "rank", keys: Sequence[s
     (equal ones meet in one row), and ranks are running sums over the distinct values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranks = counts.select(*keys, value, (F.sum("__n").over(w) - (F.col("__n") - 1) / 2).alias(name))
+    if keys:
+        ranks = counts.select(*keys, value, (F.sum("__n").over(Window.partitionBy(*keys).orderBy(value)) - (F.col("__n") - 1) / 2).alias(name))
+    else:
+        ranks = running_sums(counts.withColumn("__all", F.col("__n")), value, ["__all"]).select(value, (F.col("__all") - (F.col("__n") - 1) / 2).alias(name))
     return df.join(ranks, [*keys, value], "left")
 
 
@@ -52,7 +72,7 @@ def reference_percentile(df: DataFrame, value: str, reference: DataFrame, of: st
     both = df.select(F.col(value).alias("__v")).distinct().withColumn("__r", F.lit(0)).unionByName(reference.where(F.col(of).isNotNull()).select(F.col(of).alias("__v"), F.lit(1).alias("__r")))
     grouped = both.groupBy("__v").agg(F.sum("__r").alias("__n"))
     n = reference.agg(F.count(of).alias("n")).first().n
-    shares = grouped.select("__v", (F.sum("__n").over(Window.orderBy("__v")) / F.lit(float(max(n, 1)))).alias(name))
+    shares = running_sums(grouped, "__v", ["__n"]).select("__v", (F.col("__n") / F.lit(float(max(n, 1)))).alias(name))
     return df.join(shares, F.col(value) == F.col("__v"), "left").drop("__v")
 
 

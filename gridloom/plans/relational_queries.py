@@ -370,11 +370,11 @@ def register_rates(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("big_rate", "eco_rate")})
 
 
-@query("SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 4) AS radiation, min(o_totalprice) AS t_min, max(o_totalprice) AS t_max, count(DISTINCT o_custkey) AS stations FROM orders GROUP BY ALL")
+@query("SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 6) AS radiation, min(o_totalprice) AS t_min, max(o_totalprice) AS t_max, count(DISTINCT o_custkey) AS stations FROM orders GROUP BY ALL")
 def daily_weather(spark, sf):
     """A27"""
     o = P.load(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("radiation"), F.col("o_totalprice").alias("t_min"), F.col("o_totalprice").alias("t_max"), F.col("o_custkey").alias("station"))
-    return A.daily_weather(o).withColumn("radiation", r4("radiation"))
+    return A.daily_weather(o).withColumn("radiation", r6("radiation"))
 
 
 @query(P.sql("links", "facts") + ", s AS (SELECT mp_id, sum(kwh) AS score FROM facts GROUP BY mp_id) SELECT gp_nr, max(score) AS score, arg_max(mp_id, (score, -rk)) AS mp_id, count(*) AS n_meters FROM (SELECT gp_nr, links.mp_id, score, row_number() OVER (PARTITION BY gp_nr ORDER BY links.mp_id) AS rk FROM links JOIN s ON links.mp_id = s.mp_id) GROUP BY gp_nr")

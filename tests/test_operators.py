@@ -145,3 +145,18 @@ def test_customer_week_end_to_end(spark):
     assert assemble_weeks(df.where("date < '2024-01-07'"), links).first().exclusion_reason == "too_many_missing_timestamps"
     shifted = df.withColumn("date", F.date_add("date", 84))
     assert assemble_weeks(shifted, links, zone="Europe/Zurich").first().exclusion_reason == "dst_transition_week"
+
+
+def test_running_sums_over_buckets(spark):
+    rng = np.random.default_rng(9)
+    x = rng.permutation(500)
+    df = spark.createDataFrame([(float(v), int(v % 7)) for v in x], "v double, n long")
+    for down in (False, True):
+        got = {r.v: r.n for r in W.running_sums(df, "v", ["n"], down, 16).collect()}
+        order = sorted(x, reverse=down)
+        want, total = {}, 0
+        for v in order:
+            total += v % 7
+            want[float(v)] = total
+        assert got == want
+    assert W.running_sums(df.where("false"), "v", ["n"]).count() == 0
