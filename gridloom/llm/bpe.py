@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +38,15 @@ from .textcore import slices
 #: The characters with the Unicode property White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
 _UNSAFE = re.compile(rf"[{WHITE}] (?:[{WHITE}]|\Z)")
+_UNSAFE_RE2 = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] (?:[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\z)"
 _CUT = re.compile(rf"(?<![{WHITE}]) | (?=[^{WHITE}])")
 #: Fixed value: the split pattern of byte-level vocabularies.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 LATIN_END = "\u0250"
 #: Words in the lexicon, words in a generation of a worker's cache, and the longest word that is kept.
-LEXICON_WORDS, CACHED_WORDS, CACHED_CHARS = 1 << 16, 400_000, 64
+LEXICON_WORDS, CACHED_WORDS, CACHED_CHARS = 1 << 16, 200_000, 64
+#: Bytes of text that are encoded at a time: the more, the fewer distinct words they have for their size.
+ENCODED_BYTES = 6 << 20
 #: A task reports the words that make up at least this share of its words.
 LEAST_SHARE = 1 / (1 << 18)
 
@@ -157,34 +161,55 @@ class WordCache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        cut = [cut_words(t) for t in texts]
-        first = [words[0] for words in cut]  # the only word without a space in front
-        for words in cut:
-            del words[0]
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, each with a space in front, as little-endian 32-bit integers."""
         young, old = self.young, self.old
-        missing = [w for w in set().union(*cut) if w not in young]
+        out = list(map(young.get, words))
         todo = []
-        for word in missing:
-            ids = old.get(word)
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            ids = old.get(words[i])
             if ids is None:
-                todo.append(word)
+                todo.append(i)
             else:
-                young[word] = ids
-        begins = [w for w in set(first) if w]
-        made = self.learn([*[" " + w for w in todo], *begins])
-        young.update(zip(todo, made))
-        begun = dict(zip(begins, made[len(todo) :]))
-        get = young.__getitem__
-        out = [begun.get(w, b"") + b"".join(map(get, words)) for w, words in zip(first, cut)]
-        for word in missing:
-            if len(word) > CACHED_CHARS:
-                del young[word]
+                out[i] = young[words[i]] = ids
+        for i, ids in zip(todo, self.learn([" " + words[i] for i in todo])):
+            out[i] = ids
+            if len(words[i]) <= CACHED_CHARS:
+                young[words[i]] = ids
         if len(young) > self.size:
             self.old, self.young = young, {}
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds): ``ids[bounds[i]:bounds[i + 1]]`` are those of text ``i``.
+
+        Texts are cut, and equal words of the slice are found, without making an object of each word.
+        """
+        texts = pc.fill_null(texts, "")
+        parts = pc.split_pattern(texts, " ")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE_RE2).to_numpy(zero_copy_only=False))
+        if len(odd):  # cuts of these depend on more than the space
+            pieces, at = [], 0
+            for i in odd.tolist():
+                pieces += [parts.slice(at, i - at), pa.array([cut_words(texts[i].as_py())], parts.type)]
+                at = i + 1
+            parts = pa.concat_arrays([*pieces, parts.slice(at)])
+        flat = parts.flatten()
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())]).astype(np.int64)
+        coded = flat.dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary.to_pylist()
+        words_of_begins = [words[i] for i in index[bounds[:-1]].tolist()]  # the only words without a space in front
+        begins = list(dict.fromkeys(w for w in words_of_begins if w))
+        place = {w: len(words) + k for k, w in enumerate(begins)} | {"": len(words) + len(begins)}
+        index[bounds[:-1]] = [place[w] for w in words_of_begins]
+        table = pa.array([*self.ids_of(words), *self.learn(begins), b""], pa.binary())
+        taken = table.take(pa.array(index))
+        ends = np.frombuffer(taken.buffers()[1], "<i4", len(taken) + 1, taken.offset * 4).astype(np.int64)
+        body = taken.buffers()[2]
+        ids = np.frombuffer(body, "<i4", (ends[-1] - ends[0]) // 4, int(ends[0])) if body is not None and body.size else np.zeros(0, "<i4")
+        return ids, (ends[bounds] - ends[0]) // 4
+
 
 class Encoder:
     """Kept by a worker from task to task."""
@@ -208,8 +233,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> list[bytes]:
         """By the lexicon, or else by merging."""
         ranks = self.lexicon.ranks([w.encode() for w in words]).tolist() if self.lexicon else [-1] * len(words)
-        made = [self.lexicon.ids_of(r) if r >= 0 else self.vocabulary.encode_word(w) for w, r in zip(words, ranks)]
-        return [struct.pack(f"<{len(ids)}i", *ids) for ids in made]
+        return [_packed(self.lexicon.ids_of(r) if r >= 0 else self.vocabulary.encode_word(w)) for w, r in zip(words, ranks)]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts of ``ids[bounds[i]:bounds[i + 1]]``."""
@@ -221,6 +245,10 @@ class Encoder:
         return [body[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:])]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 def count_frequent(docs: DataFrame, text: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """(word, n): how often words occur in the whole corpus.
 
@@ -267,11 +295,9 @@ def encode_decode(docs: DataFrame, path: str, lexicon: bytes = b"", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path, shared.value)
         for batch in batches:
-            for a, b in slices(batch, text):
+            for a, b in slices(batch, text, ENCODED_BYTES):
                 part = batch.slice(a, b - a)
-                coded = encoder.encode([t or "" for t in part.column(columns.index(text)).to_pylist()])
-                ids = np.frombuffer(b"".join(coded), "<i4")
-                bounds = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])])
+                ids, bounds = encoder.encode(part.column(columns.index(text)))
                 out = [*part.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
                 if decoded:
                     out.append(pa.array(encoder.decode(ids, bounds), pa.string()))

@@ -26,7 +26,6 @@ _FIELDS = (("arcs", "<u8"), ("target", "<u4"), ("output", "<u4"), ("final", "<u1
 def compile_words(entries: list[tuple[bytes, list[int]]]) -> bytes:
     """The automaton of (word, ids) pairs; words are distinct, in any order."""
     entries = sorted(entries)
-    root: dict = {}
     register: dict[tuple, int] = {}
     states: list[tuple[bool, list[tuple[int, int]]]] = []
     # a path of unfinished states: [is final, [(byte, finished state)]]
@@ -66,7 +65,6 @@ def compile_words(entries: list[tuple[bytes, list[int]]]) -> bytes:
             output.append(seen)
             seen += int(below[to])
         below[n] = seen
-    del root
     ids = [i for _, x in entries for i in x]
     parts = {
         "arcs": arcs, "target": target, "output": output, "final": [s[0] for s in states],

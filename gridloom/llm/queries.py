@@ -43,6 +43,8 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root and (given := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        root = given.get()
     if not root:
         root = f"file://{tempfile.gettempdir()}/gridloom-shared"  # a session of one machine, as in tests
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -30,11 +31,14 @@ def texts(n, seed=1):
 def test_encoder_equals_library(library):
     encoder = bpe.Encoder(PATH, None)
     batch = texts(3000)
-    got = [np.frombuffer(x, "<i4").tolist() for x in encoder.encode(batch)]
+    ids, bounds = encoder.encode(pa.array([*batch, None]).slice(0))
+    got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert got.pop() == []
+    assert encoder.encode(pa.array([], pa.string()))[1].tolist() == [0]
     want = [library.encode(t, add_special_tokens=False).ids for t in batch]
     assert got == want
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in got])])
-    decoded = encoder.decode(np.concatenate([np.array(x, np.int32) for x in got]), bounds)
+    decoded = encoder.decode(ids, bounds)
+    assert decoded.pop() == ""
     assert decoded == [library.decode(x, skip_special_tokens=False) for x in want]
 
 
@@ -42,9 +46,11 @@ def test_generations_bound_the_cache():
     learnt = []
     cache = bpe.WordCache(lambda words: learnt.extend(words) or [w.encode() for w in words], size=3)
     for _ in range(3):
-        assert cache.encode(["a b c d", "e"]) == [b"a b c d", b"e"]
-    assert cache.encode(["x " + "y" * 100]) == [b"x " + b"y" * 100]
-    assert len(cache.young) <= 4
+        assert cache.ids_of(["a", "b", "c"]) == [b" a", b" b", b" c"]
+    assert learnt == [" a", " b", " c"]
+    for k in range(20):
+        assert cache.ids_of([f"w{k}", "y" * 100]) == [b" w%d" % k, b" " + b"y" * 100]
+    assert len(cache.young) + len(cache.old) <= 8 and "y" * 100 not in cache.young
 
 
 def test_lexicon_is_minimal_and_exact():
@@ -113,7 +119,6 @@ def test_store_round_trip(spark, docs, library, tmp_path):
     import pathlib
 
     manifest = next(pathlib.Path(f"{tmp_path}/store/manifest").glob("part-*.parquet"))
-    import pyarrow as pa
     import pyarrow.parquet as pq
 
     t = pq.read_table(manifest)
