@@ -5,10 +5,10 @@ zero, so equal passages give equal chunks wherever they stand.  A chunk's name
 is a hash of its ids; a chunk is stored once.  A document is a *recipe*: the
 names and lengths of its chunks.  The folder holds
 
-* ``chunks/``: packs, rows (pack, body); a body is ``TIDS``, a count, an index
-  of (name, ids, bytes) and the compressed little-endian ids;
-* ``recipes/``: (part, row, doc_id, n_tokens, names), ascending by document id
-  within and across parts;
+* ``content/kind=0/``: packs; a body is ``TIDS``, a count, an index of (name,
+  ids, bytes) and the compressed little-endian ids;
+* ``content/kind=1/``: recipes as they came; ``recipes/``: the same as (part,
+  row, doc_id, n_tokens, names), ascending by id within and across parts;
 * ``manifest/``: for each 4096 recipes of a part their totals and their hash,
   which are the leaves of a Merkle tree; ``root/``: its root.
 
@@ -30,17 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import small_batches
-from .bpe import WordCache
+from .bpe import ENCODED_BYTES, WordCache, byte_letters
 from .textcore import WORD_POWERS, U64, mix, prefix_hash, range_hash, slices
 
 END_ID = 0
 #: Rolling hash: ids it looks at, bits that must be zero (so 2**bits ids a chunk on average), longest chunk.
-ROLL, CUT_BITS, LONGEST = 16, 9, 1 << 14
+ROLL, CUT_BITS, LONGEST = 16, 11, 1 << 15
 PACK_BYTES, NAME = 1 << 20, 16
 _MAGIC = b"TIDS"
 
@@ -60,7 +61,13 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.encode = WordCache(self._learn).encode
+        size = self.tokenizer.get_vocab_size()
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        letters = byte_letters()
+        count = lambda i: len(special[i].encode()) if i in special else sum(c in letters for c in self.tokenizer.id_to_token(i))
+        #: bytes that each token stands for
+        self.bytes = np.array([count(i) for i in range(size)], np.int64)
+        self.encode = WordCache(self._ask).encode
 
     @classmethod
     def of(cls, path: str) -> "LibraryEncoder":
@@ -69,9 +76,26 @@ class LibraryEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _learn(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for x in found for ids in [x.ids]]
+    def _ask(self, words: list[str]) -> list[bytes]:
+        """The library's ids of words.  Words that begin with one space and don't end with white space are asked for
+        together, as one text: none of its tokens crosses their ends, so byte counts tell the words apart."""
+        out: list = [b""] * len(words)
+        # white space but for the space itself isn't printable
+        joined = [i for i, w in enumerate(words) if w[:1] == " " and w[1:2] > " " and w[1].isprintable() and w[-1] != " " and w[-1].isprintable()]
+        for a in range(0, len(joined), 4096):
+            some = [words[i] for i in joined[a : a + 4096]]
+            found = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in some])) + 1
+            flat, last = ids.tobytes(), 0
+            for i, e in zip(joined[a : a + 4096], (4 * ends).tolist()):
+                out[i] = flat[last:e]
+                last = e
+        rest = set(joined)
+        alone = [i for i in range(len(words)) if i not in rest]
+        for i, x in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)):
+            out[i] = struct.pack(f"<{len(x)}I", *x.ids)
+        return out
 
 
 # -- chunks -----------------------------------------------------------------
@@ -136,15 +160,15 @@ def _stage(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = LibraryEncoder.of(tokenizer)
         squeeze = zstandard.ZstdCompressor(level=1)
-        end = np.array([END_ID], "<u4").tobytes()
         sent: set[bytes] = set()
         for batch in batches:
-            for a, b in slices(batch, "text"):
+            for a, b in slices(batch, "text", ENCODED_BYTES):
                 part = batch.slice(a, b - a)
-                coded = [c + end for c in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
-                flat = b"".join(coded)
-                ids = np.frombuffer(flat, "<u4")
-                bounds = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int64)
+                ids, bounds = encoder.encode(part.column(1))
+                # the end id after each document
+                ids = np.insert(ids, bounds[1:], END_ID).astype("<u4")
+                bounds = bounds + np.arange(len(bounds))
+                flat = ids.tobytes()
                 ends = chunk_ends(ids, bounds)
                 if len(sent) > 500_000:
                     sent.clear()
@@ -160,7 +184,7 @@ def _stage(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame
                 cut = np.searchsorted(ends, bounds[1:], "right")
                 before = np.concatenate([[0], cut[:-1]])
                 recipes = [b"".join(names[i] + sizes[i].tobytes() for i in range(x, y)) for x, y in zip(before.tolist(), cut.tolist())]
-                k, n = len(new_names), len(coded)
+                k, n = len(new_names), part.num_rows
                 null = lambda m, kind: pa.nulls(m, kind)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([0] * k + [1] * n, pa.int32()),
@@ -174,36 +198,45 @@ def _stage(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame
     return small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, STAGE_SCHEMA)
 
 
-def _packs(chunks: DataFrame, parts: int) -> DataFrame:
-    """One row for each pack; equal names lie side by side in a partition and are written once."""
+def _packs(stage: DataFrame, parts: int) -> DataFrame:
+    """Packs (kind 0) and recipes (kind 1).  Equal names lie side by side in a partition and are written once."""
+    # a name is a hash, and a task sends it once; recipes are spread by id and content
+    place = F.when(F.col("kind") == 0, F.xxhash64("name")).otherwise(F.xxhash64("doc_id", "names"))
+    sorted_ = stage.withColumn("place", place).repartition(parts, "place").drop("place").sortWithinPartitions("kind", "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, size = b"", [], 0
+        names = ["kind", "doc_id", "n_tokens", "names", "body"]
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack(held)], pa.binary())], names)
+
         for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            chunk = batch.filter(pc.equal(batch.column(0), 0))
+            for name, body in zip(chunk.column(4).to_pylist(), chunk.column(5).to_pylist()):
                 if name == last:
                     continue
                 last = name
                 held.append((name, body))
                 size += len(body)
                 if size >= PACK_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([pack(held)], pa.binary())], ["body"])
+                    yield packed()
                     held, size = [], 0
+            recipe = batch.filter(pc.equal(batch.column(0), 1))
+            if recipe.num_rows:
+                yield pa.RecordBatch.from_arrays([*[recipe.column(i) for i in (0, 1, 2, 3)], pa.nulls(recipe.num_rows, pa.binary())], names)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(held)], pa.binary())], ["body"])
+            yield packed()
 
-    # a name is a hash, and a task sends it once: no partition is larger than others
-    return chunks.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(run, "body binary")
+    return sorted_.mapInArrow(run, "kind int, doc_id long, n_tokens long, names binary, body binary")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the store of ``docs`` under ``path``, which must not exist yet."""
     spark = docs.sparkSession
-    _stage(docs, tokenizer, doc_id, text).write.option("compression", "none").partitionBy("kind").parquet(f"{path}/stage")
-    stage = spark.read.schema(STAGE_SCHEMA).parquet(f"{path}/stage")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    _packs(stage.where("kind = 0").select("name", "body"), parts).write.option("compression", "none").parquet(f"{path}/chunks")
-    recipes = stage.where("kind = 1").select("doc_id", "n_tokens", "names")
+    _packs(_stage(docs, tokenizer, doc_id, text), parts).write.option("compression", "none").partitionBy("kind").parquet(f"{path}/content")
+    recipes = _content(spark, path, 1).select("doc_id", "n_tokens", "names")
     recipes = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "names").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "names")
     numbered = recipes.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     numbered.write.option("compression", "none").parquet(f"{path}/recipes")
@@ -211,6 +244,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_i
     spark.createDataFrame([(merkle_root(spark.read.parquet(f"{path}/manifest")),)], "root string").coalesce(1).write.parquet(f"{path}/root")
 
 
+def _content(spark: SparkSession, path: str, kind: int) -> DataFrame:
+    return spark.read.schema("doc_id long, n_tokens long, names binary, body binary, kind int").parquet(f"{path}/content").where(F.col("kind") == kind)
+
+
 def _leaves(recipes: DataFrame) -> DataFrame:
     """A part's totals and the hash of its recipes in order."""
     line = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.lit(":").cast("binary"), F.col("names")), 256)
@@ -241,7 +278,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(n, len(x), x.tobytes()) for n, x in unpack(body.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["name", "n", "ids"])
 
-    return spark.read.parquet(f"{path}/chunks").mapInArrow(run, "name binary, n long, ids binary")
+    return _content(spark, path, 0).select("body").mapInArrow(run, "name binary, n long, ids binary")
 
 
 def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
@@ -253,7 +290,7 @@ def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(n, zlib.crc32(x.tobytes())) for n, x in unpack(body.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["name", "crc"])
 
-    return spark.read.parquet(f"{path}/chunks").mapInArrow(run, "name binary, crc long")
+    return _content(spark, path, 0).select("body").mapInArrow(run, "name binary, crc long")
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
