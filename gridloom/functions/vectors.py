@@ -146,11 +146,16 @@ def runs(flags: Column, least: int = 1, circular: bool = False) -> Column:
 def close_gaps(flags: Column, gap: int = 1) -> Column:
     """False runs of at most ``gap`` slots between true ones become true."""
     f = F.transform(flags, lambda x: F.coalesce(x, F.lit(False)))
-    near = lambda i, way: F.exists(F.transform(F.sequence(F.lit(1), F.lit(gap)), lambda d: F.coalesce(F.get(f, i + way * d), F.lit(False)) & (i + way * d >= 0)), lambda y: y)
-    if gap == 1:
-        side = lambda i, d: F.when((i + d >= 0) & (i + d < F.size(f)), F.get(f, i + d)).otherwise(False)
-        return F.transform(f, lambda x, i: x | (side(i, -1) & side(i, 1)))
-    return F.transform(f, lambda x, i: x | (near(i, -1) & near(i, 1)))
+    at = lambda i: F.when((i >= 0) & (i < F.size(f)), F.get(f, i)).otherwise(False)
+
+    def fill(x: Column, i: Column) -> Column:
+        # a run of k false slots is closed if true ones stand at distances a before and b after it with a + b = k + 1
+        for a in range(1, gap + 1):
+            for b in range(1, gap + 2 - a):
+                x = x | (at(i - a) & at(i + b))
+        return x
+
+    return F.transform(f, fill)
 
 
 def interpolate(v: Column, limit: int = 4) -> Column:

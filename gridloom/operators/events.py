@@ -16,8 +16,6 @@ def block_events(series: DataFrame, ids: Sequence[str], vector: str = "residual"
     run = series.select(*ids, vector, F.explode(V.runs(flags, least)).alias("r")).select(*ids, vector, F.col("r.start").alias("start"), F.col("r.length").alias("length"))
     x = F.slice(vector, F.col("start") + 1, F.col("length"))
     mid = V.median(x)
-    edge = lambda c, at: F.col(vector)[at]
-    del edge
     before = F.when(F.col("start") > 0, F.get(vector, F.col("start") - 1))
     after = F.get(vector, F.col("start") + F.col("length"))
     return run.select(

@@ -109,7 +109,7 @@ def daily_residual(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.
 def trailing_median(df: DataFrame, keys: Sequence[str], order: str, value: str, n: int = 4) -> DataFrame:
     """Median of the n rows before."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-n, -1)
-    return df.withColumn("before", F.expr("percentile(x, 0.5)") if False else F.percentile(F.col(value), 0.5).over(w))
+    return df.withColumn("before", F.percentile(F.col(value), 0.5).over(w))
 
 
 def leading_fall(df: DataFrame, keys: Sequence[str], order: str, value: str, n: int = 32) -> DataFrame:

@@ -74,7 +74,7 @@ def daily_q20_residual(spark, sf):
 
 @query(P.sql("r") + _HOURS + " SELECT plz, date, hour, round(quantile_cont(x, 0.5) OVER (PARTITION BY plz, date ORDER BY hour ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 4) AS before FROM h")
 def trailing_median(spark, sf):
-    """Through arrays of the frame, for Spark has no framed percentile"""
+    """W15"""
     return W.trailing_median(hours(spark, sf), ["plz", "date"], "hour", "x").select("plz", "date", "hour", r4("before").alias("before"))
 
 
