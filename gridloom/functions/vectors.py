@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 SLOTS = 96
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: array lambdas evaluate what they mention for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     """Sum that takes a missing slot for 0."""
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
@@ -53,12 +58,13 @@ def sorted_slots(v: Column) -> Column:
 
 def quantile(v: Column, q: float) -> Column:
     """Linear interpolation between order statistics; null without values."""
-    s = sorted_slots(v)
-    at = (F.size(s) - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    a = F.try_element_at(s, low + 1)
-    b = F.try_element_at(s, F.least(low + 2, F.size(s)))
-    return F.when(F.size(s) > 0, a + (b - a) * (at - low))
+    def between(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(q)
+        low = F.floor(at).cast("int")
+        a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
+        return F.when(F.size(s) > 0, a + (b - a) * (at - low))
+
+    return bind(sorted_slots(v), between)
 
 
 def median(v: Column) -> Column:
@@ -67,9 +73,8 @@ def median(v: Column) -> Column:
 
 def std(v: Column, ddof: int = 0) -> Column:
     """M06, M07."""
-    w, m = finite(v), mean(v)
-    square = F.aggregate(w, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
-    return F.when(F.size(w) > ddof, F.sqrt(square / (F.size(w) - ddof)))
+    square = lambda w, m: F.aggregate(w, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+    return bind(finite(v), lambda w: bind(mean(w), lambda m: F.when(F.size(w) > ddof, F.sqrt(square(w, m) / (F.size(w) - ddof)))))
 
 
 def steps(v: Column, lag: int = 1) -> Column:
@@ -100,9 +105,8 @@ def hours_above(v: Column, limit: float) -> Column:
 
 def circular_floor(v: Column, width: int = 4) -> Column:
     """Least mean of ``width`` consecutive slots of the ring."""
-    ring = F.concat(v, F.slice(v, 1, width - 1))
-    means = F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: mean(F.slice(ring, i, width)))
-    return F.array_min(finite(means))
+    means = lambda ring: F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: mean(F.slice(ring, i, width)))
+    return bind(F.concat(v, F.slice(v, 1, width - 1)), lambda ring: F.array_min(finite(means(ring))))
 
 
 def fourier(v: Column, k: int) -> Column:
@@ -133,8 +137,11 @@ def runs(flags: Column, least: int = 1, circular: bool = False) -> Column:
     A run of the ring is told from its start: a true slot whose neighbour before it isn't.  Its
     length is the number of leading trues of the ring read from there.
     """
-    n = F.size(flags)
-    f = F.transform(flags, lambda x: F.coalesce(x, F.lit(False)))
+    return bind(F.transform(flags, lambda x: F.coalesce(x, F.lit(False))), lambda f: _runs(f, least, circular))
+
+
+def _runs(f: Column, least: int, circular: bool) -> Column:
+    n = F.size(f)
     before = lambda i: F.when(i > 0, F.get(f, i - 1)).otherwise(F.get(f, n - 1) if circular else F.lit(False))
     starts = F.filter(F.transform(f, lambda x, i: F.when(x & ~before(i), i)), lambda i: i.isNotNull())
     starts = F.when(~F.exists(f, lambda x: ~x) & (n > 0), F.array(F.lit(0))).otherwise(starts)
@@ -145,41 +152,43 @@ def runs(flags: Column, least: int = 1, circular: bool = False) -> Column:
 
 def close_gaps(flags: Column, gap: int = 1) -> Column:
     """False runs of at most ``gap`` slots between true ones become true."""
-    f = F.transform(flags, lambda x: F.coalesce(x, F.lit(False)))
-    at = lambda i: F.when((i >= 0) & (i < F.size(f)), F.get(f, i)).otherwise(False)
 
-    def fill(x: Column, i: Column) -> Column:
-        # a run of k false slots is closed if true ones stand at distances a before and b after it with a + b = k + 1
-        for a in range(1, gap + 1):
-            for b in range(1, gap + 2 - a):
-                x = x | (at(i - a) & at(i + b))
-        return x
+    def closed(f: Column) -> Column:
+        at = lambda i: F.when((i >= 0) & (i < F.size(f)), F.get(f, i)).otherwise(False)
+
+        def fill(x: Column, i: Column) -> Column:
+            # a run of k false slots is closed if true ones stand at distances a before and b after it with a + b = k + 1
+            for a in range(1, gap + 1):
+                for b in range(1, gap + 2 - a):
+                    x = x | (at(i - a) & at(i + b))
+            return x
 
-    return F.transform(f, fill)
+        return F.transform(f, fill)
+
+    return bind(F.transform(flags, lambda x: F.coalesce(x, F.lit(False))), closed)
 
 
 def interpolate(v: Column, limit: int = 4) -> Column:
     """Interior gaps of at most ``limit`` slots filled on the straight line between their ends."""
-    at = F.transform(v, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    known = F.filter(at, lambda p: p["x"].isNotNull())
-    before = lambda i: F.element_at(F.filter(known, lambda p: p["i"] < i), -1)
-    after = lambda i: F.get(F.filter(known, lambda p: p["i"] > i), 0)
+    point = lambda x, i: F.struct(i.alias("i"), x.alias("x"))
+
+    def line(i: Column, a: Column, b: Column) -> Column:
+        return F.when(b["i"] - a["i"] - 1 <= limit, a["x"] + (b["x"] - a["x"]) * (i - a["i"]) / (b["i"] - a["i"]))
 
-    def fill(x: Column, i: Column) -> Column:
-        inside = F.exists(known, lambda p: p["i"] < i) & F.exists(known, lambda p: p["i"] > i)
-        a, b = F.when(inside, before(i)), F.when(inside, after(i))
-        gap = b["i"] - a["i"] - 1
-        return F.coalesce(x, F.when(gap <= limit, a["x"] + (b["x"] - a["x"]) * (i - a["i"]) / (b["i"] - a["i"])))
+    def filled(known: Column) -> Column:
+        before = lambda i: F.try_element_at(F.filter(known, lambda p: p["i"] < i), F.lit(-1))
+        after = lambda i: F.get(F.filter(known, lambda p: p["i"] > i), F.lit(0))
+        return F.transform(v, lambda x, i: F.coalesce(x, bind(before(i), lambda a: bind(after(i), lambda b: line(i, a, b)))))
 
-    return F.transform(v, fill)
+    return bind(F.filter(F.transform(v, point), lambda p: p["x"].isNotNull()), filled)
 
 
 def rank_filter(v: Column, width: int = 33, q: float = 0.2) -> Column:
     """Centred rolling order statistic; the edges repeat the end values."""
     half = width // 2
-    ring = F.concat(F.array_repeat(F.get(v, 0), half), v, F.array_repeat(F.element_at(v, -1), half))
+    wide = F.concat(F.array_repeat(F.get(v, 0), half), v, F.array_repeat(F.element_at(v, -1), half))
     k = int(q * width)
-    return F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: F.get(F.array_sort(F.slice(ring, i, width)), k))
+    return bind(wide, lambda w: F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: F.get(F.array_sort(F.slice(w, i, width)), k)))
 
 
 def resample(v: Column, n: int) -> Column:
@@ -189,7 +198,7 @@ def resample(v: Column, n: int) -> Column:
     low = lambda i: F.floor(at(i)).cast("int")
     value = lambda i: F.get(v, low(i)) + (F.get(v, F.least(low(i) + 1, old - 1)) - F.get(v, low(i))) * (at(i) - low(i))
     raw = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value)
-    return F.transform(raw, lambda x: F.when(total(raw) != 0, x * total(v) / total(raw)).otherwise(x))
+    return bind(raw, lambda r: bind(total(r), lambda whole: bind(total(v), lambda old: F.transform(r, lambda x: F.when(whole != 0, x * old / whole).otherwise(x)))))
 
 
 def circular_mean(hours: Column, period: float = 24.0) -> Column:

@@ -15,14 +15,14 @@ def block_events(series: DataFrame, ids: Sequence[str], vector: str = "residual"
     flags = V.close_gaps(F.transform(vector, lambda x: F.coalesce(x >= amplitude, F.lit(False))), gap)
     run = series.select(*ids, vector, F.explode(V.runs(flags, least)).alias("r")).select(*ids, vector, F.col("r.start").alias("start"), F.col("r.length").alias("length"))
     x = F.slice(vector, F.col("start") + 1, F.col("length"))
-    mid = V.median(x)
+    off = lambda of: V.bind(V.median(x), lambda mid: of(mid))
     before = F.when(F.col("start") > 0, F.get(vector, F.col("start") - 1))
     after = F.get(vector, F.col("start") + F.col("length"))
     return run.select(
-        *ids, "start", "length", (F.col("length") / 4).alias("hours"), mid.alias("median"), V.quantile(x, 0.9).alias("p90"), V.total(x).alias("energy"),
-        V.median(F.transform(x, lambda e: F.abs(e - mid))).alias("mad"),
+        *ids, "start", "length", (F.col("length") / 4).alias("hours"), V.median(x).alias("median"), V.quantile(x, 0.9).alias("p90"), V.total(x).alias("energy"),
+        off(lambda mid: V.median(F.transform(x, lambda e: F.abs(e - mid)))).alias("mad"),
         ((F.element_at(x, -1) - F.get(x, 0)) / F.greatest(F.col("length") - 1, F.lit(1))).alias("slope"),
-        (F.size(F.filter(x, lambda e: F.abs(e - mid) <= 0.15 * mid)) / F.col("length")).alias("plateau_share"),
+        (off(lambda mid: F.size(F.filter(x, lambda e: F.abs(e - mid) <= 0.15 * mid))) / F.col("length")).alias("plateau_share"),
         (F.get(x, 0) - F.coalesce(before, F.lit(0.0))).alias("rise"), (F.element_at(x, -1) - F.coalesce(after, F.lit(0.0))).alias("fall"),
         V.std(x).alias("std"))
 
@@ -108,7 +108,7 @@ def donor_event(vector: Column, start: int, length: int, margin: int = 4) -> Col
     """Of the runs of at least half the core's power, the one that overlaps the core (and an hour around) most."""
     n = F.size(vector)
     core = V.part(vector, max(0, start - margin), start + length + margin)
-    flags = F.transform(vector, lambda x: x >= V.median(core) / 2)
+    flags = V.bind(V.median(core), lambda m: F.transform(vector, lambda x: x >= m / 2))
     lo, hi = start - margin, start + length + margin
     scored = F.transform(V.runs(flags), lambda r: F.struct((F.least(r["start"] + r["length"], F.lit(hi)) - F.greatest(r["start"], F.lit(lo))).alias("overlap"), (-r["start"]).alias("order"), r["start"].alias("start"), r["length"].alias("length")))
     return F.when(n > 0, F.array_max(F.filter(scored, lambda r: r["overlap"] > 0)))
@@ -117,8 +117,8 @@ def donor_event(vector: Column, start: int, length: int, margin: int = 4) -> Col
 def inject(host: Column, event: Column, at: Column, kwh: Column) -> Column:
     """An event's shape, scaled to an energy, added to a host's day on the ring: its energy is kept."""
     n = F.size(host)
-    scale = kwh / V.total(event)
-    return F.transform(host, lambda x, i: x + F.when(F.pmod(i - at, n) < F.size(event), F.get(event, F.pmod(i - at, n)) * scale).otherwise(0.0))
+    shaped = lambda scale: F.transform(host, lambda x, i: x + F.when(F.pmod(i - at, n) < F.size(event), F.get(event, F.pmod(i - at, n)) * scale).otherwise(0.0))
+    return V.bind(kwh / V.total(event), shaped)
 
 
 def noise_band(x: Column) -> Column:
@@ -169,8 +169,9 @@ def distribution_features(series: DataFrame, ids: Sequence[str], vector: str) ->
     top = V.largest(x, 67)
     out = [*ids, V.mean(x).alias("dist_mean"), V.std(x).alias("dist_std"), top.alias("dist_top"), (V.quantile(x, 0.99) - V.median(x)).alias("dist_tail")]
     out += [V.mean(F.transform(V.steps(x, k), F.abs)).alias(f"multi_diff_{k}") for k in (1, 2, 4, 8)]
-    level = F.transform(x, lambda v: F.least(F.lit(9), F.floor((v - F.array_min(x)) / F.greatest(F.array_max(x) - F.array_min(x), F.lit(1e-9)) * 10).cast("int")))
-    share = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.size(F.filter(level, lambda v: v == k)) / F.size(x))
+    ends = F.struct(F.array_min(x).alias("low"), F.greatest(F.array_max(x) - F.array_min(x), F.lit(1e-9)).alias("range"))
+    level = V.bind(ends, lambda e: F.transform(x, lambda v: F.least(F.lit(9), F.floor((v - e["low"]) / e["range"] * 10).cast("int"))))
+    share = V.bind(level, lambda l: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.size(F.filter(l, lambda v: v == k)) / F.size(x)))
     out.append((-V.total(F.transform(share, lambda p: F.when(p > 0, p * F.ln(p)).otherwise(0.0)))).alias("multi_entropy"))
     return series.select(*out)
 
