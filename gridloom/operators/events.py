@@ -154,13 +154,18 @@ def ramp_scores(weeks: DataFrame, ids: Sequence[str], vector: str = "q", level_k
 
 def timed_ramps(series: DataFrame, ids: Sequence[str], vector: str, least_rise: float = 2.0, sustain: int = 4) -> DataFrame:
     """Rises of at least ``least_rise`` kW that last: count, days, median and greatest rise, mean start on the clock."""
-    kw = F.transform(vector, lambda x: x * 4)
-    at = F.transform(kw, lambda x, i: F.struct(i.alias("i"), (x - F.when(i > 0, F.get(kw, i - 1))).alias("rise"), V.mean(F.slice(kw, i + 1, sustain)).alias("level")))
-    big = F.filter(at, lambda p: (p["rise"] >= least_rise) & (p["level"] >= least_rise))
-    ramps = F.transform(big, lambda p: p["rise"])
-    return series.select(*ids, F.size(big).alias("ramps"), V.median(ramps).alias("rise_median"), F.array_max(ramps).alias("rise_max"),
-        F.size(F.array_distinct(F.transform(big, lambda p: F.floor(p["i"] / 96)))).alias("days"),
-        V.circular_mean(F.transform(big, lambda p: (p["i"] % 96) / 4)).alias("start_mean"))
+    def found(kw: Column) -> Column:
+        at = lambda x, i: F.struct(i.alias("i"), (x - F.when(i > 0, F.get(kw, i - 1))).alias("rise"), V.mean(F.slice(kw, i + 1, sustain)).alias("level"))
+        return F.filter(F.transform(kw, at), lambda p: (p["rise"] >= least_rise) & (p["level"] >= least_rise))
+
+    def summary(big: Column) -> Column:
+        rises = F.transform(big, lambda p: p["rise"])
+        return F.struct(F.size(big).alias("ramps"), V.median(rises).alias("rise_median"), F.array_max(rises).alias("rise_max"),
+            F.size(F.array_distinct(F.transform(big, lambda p: F.floor(p["i"] / 96)))).alias("days"),
+            V.circular_mean(F.transform(big, lambda p: (p["i"] % 96) / 4)).alias("start_mean"))
+
+    out = V.bind(V.bind(F.transform(vector, lambda x: x * 4), found), summary)
+    return series.select(*ids, out.alias("r")).select(*ids, "r.*")
 
 
 def distribution_features(series: DataFrame, ids: Sequence[str], vector: str) -> DataFrame:
@@ -179,11 +184,15 @@ def distribution_features(series: DataFrame, ids: Sequence[str], vector: str) ->
 def shape_features(series: DataFrame, ids: Sequence[str], vector: str, components: Sequence[int] = (1, 2, 3, 7, 14, 21, 28), blocks: int = 4) -> DataFrame:
     """Means of blocks of the centred and scaled curve, and Fourier magnitudes."""
     x = F.col(vector)
-    z = F.transform(x, lambda v: (v - F.col("__m")) / F.col("__s"))
-    out = series.withColumn("__m", V.median(x)).withColumn("__s", F.greatest(V.quantile(x, 0.95) - V.quantile(x, 0.05), F.lit(0.1))).withColumn("__z", z)
-    n = F.size("__z")
-    cols = [V.mean(F.slice("__z", (n * b / blocks).cast("int") + 1, (n / blocks).cast("int"))).alias(f"shape_block{b}") for b in range(blocks)]
-    return out.select(*ids, *cols, *[V.fourier(F.col("__z"), k).alias(f"fourier_{k}") for k in components])
+    scale = F.struct(V.median(x).alias("m"), F.greatest(V.quantile(x, 0.95) - V.quantile(x, 0.05), F.lit(0.1)).alias("s"))
+
+    def summary(z: Column) -> Column:
+        n = F.size(z)
+        means = [V.mean(F.slice(z, (n * b / blocks).cast("int") + 1, (n / blocks).cast("int"))).alias(f"shape_block{b}") for b in range(blocks)]
+        return F.struct(*means, *[V.fourier(z, k).alias(f"fourier_{k}") for k in components])
+
+    out = V.bind(V.bind(scale, lambda c: F.transform(x, lambda v: (v - c["m"]) / c["s"])), summary)
+    return series.select(*ids, out.alias("r")).select(*ids, "r.*")
 
 
 def battery_day(days: DataFrame, sunrise: str = "sunrise", sunset: str = "sunset") -> DataFrame:

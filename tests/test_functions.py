@@ -161,3 +161,19 @@ def test_text(spark):
 def test_root_and_shift():
     assert numbers.root(lambda x: x - 2) == pytest.approx(2)
     assert numbers.root(lambda x: 1.0) == 0.0
+
+
+def test_ramps_and_shapes_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [np.abs(rng.normal(size=192)) for _ in range(3)]
+    got = E.timed_ramps(vec(spark, *rows), ["id"], "q", 2.0, 4).orderBy("id").collect()
+    for r, x in zip(got, rows):
+        kw = x * 4
+        big = [i for i in range(1, 192) if kw[i] - kw[i - 1] >= 2 and kw[i : i + 4].mean() >= 2]
+        assert r.ramps == len(big) and r.rise_max == pytest.approx(max(kw[i] - kw[i - 1] for i in big))
+        assert r.rise_median == pytest.approx(np.median([kw[i] - kw[i - 1] for i in big])) and r.days == len({i // 96 for i in big})
+    shapes = E.shape_features(vec(spark, *rows), ["id"], "q", (1, 2), 4).orderBy("id").collect()
+    for r, x in zip(shapes, rows):
+        z = (x - np.median(x)) / max(np.quantile(x, 0.95) - np.quantile(x, 0.05), 0.1)
+        assert [r[f"shape_block{b}"] for b in range(4)] == pytest.approx(z.reshape(4, 48).mean(axis=1))
+        assert [r.fourier_1, r.fourier_2] == pytest.approx(np.abs(np.fft.rfft(z))[1:3] / 192)
