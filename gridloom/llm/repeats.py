@@ -110,8 +110,7 @@ class Windows:
         """``finish(slice table, state, repeated starts)`` yields the rows of ``schema``."""
         docs, n = in_blocks(docs, self.text)
         parts = min(n, MOST_RANGES)
-        whole, text = self, self.text
-        reply = lambda runs: runs.groupBy("part").applyInArrow(whole.answer, "block int, run binary")
+        whole = self
 
         def pieces(table: pa.Table) -> pa.Table:
             run = merged([merged([whole.pieces(s)[2]], PIECE) for s, _ in whole.walk(table)], PIECE)
