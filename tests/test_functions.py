@@ -77,6 +77,8 @@ def test_gap_closing(spark):
     df = vec(spark, [1, 0, 1, 0, 0, 1], [0, 1, 0])
     closed = V.close_gaps(F.transform("q", lambda x: x > 0))
     assert one(df, closed) == [[True, True, True, False, False, True], [False, True, False]]
+    wider = V.close_gaps(F.transform("q", lambda x: x > 0), 2)
+    assert one(df, wider) == [[True] * 6, [False, True, False]]
 
 
 def test_rank_filter_repeats_edges(spark):
