@@ -5,9 +5,9 @@ hashed, so a substituted word under an unmarked position doesn't hide a match.
 Benchmark items are hashed at every position with every mask; documents are
 hashed the same way, and a document's position whose hash an item has is a hit.
 A hit fixes a diagonal (position in the document minus position in the item);
-along it the words are compared one by one, and the best segment (a point for
-an equal word, minus a point for another) counts as an overlap if it is long
-and similar enough.
+along it the words are compared one by one, and of all segments that are long
+and similar enough the one with most equal words (then the shortest, then the
+first) is the overlap.
 
 Documents aren't shuffled: the items' hashes go to the documents, in blocks of
 a bounded number of seeds, whatever the size of the benchmark.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -77,13 +78,26 @@ class Benchmark:
         self.item = np.repeat(np.arange(len(ids)), np.diff(self.bounds))
 
 
-def best_segment(equal: np.ndarray) -> tuple[int, int]:
-    """Begin and end of the segment with most equal words less other ones."""
-    score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    begin = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    return begin, end
+def best_segment(equal: np.ndarray, least_equal: int, least_share: float) -> tuple[int, int] | None:
+    """Begin and end of the segment with most equal words among those with at least ``least_equal`` of them and
+    the share ``least_share``; of such segments the shortest, then the first.  None if no segment is enough."""
+    share = Fraction(str(least_share))
+    # a segment has the share if its score isn't negative; whole numbers, so the limit itself is exact
+    score = np.concatenate([[0], np.cumsum(np.where(equal, share.denominator - share.numerator, -share.numerator))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    place = np.flatnonzero(equal)
+    if not len(place):
+        return None
+    end = place + 1
+    # the first begin whose score isn't above that of the end, moved on to an equal word
+    begin = np.searchsorted(-np.minimum.accumulate(score), -score[end], "left")
+    n_equal = count[end] - count[begin]
+    good = np.flatnonzero(n_equal >= max(1, least_equal))
+    if not len(good):
+        return None
+    begin = place[count[begin[good]]]
+    k = np.lexsort((begin, end[good] - begin, -n_equal[good]))[0]
+    return int(begin[k]), int(end[good][k])
 
 
 def overlaps(words: np.ndarray, bounds: np.ndarray, bench: Benchmark, least_equal: int, least_share: float) -> list[tuple]:
@@ -107,9 +121,9 @@ def overlaps(words: np.ndarray, bounds: np.ndarray, bench: Benchmark, least_equa
         b = bench.words[bench.bounds[item] : bench.bounds[item + 1]]
         lo, hi = max(0, -shift), min(len(b), len(a) - shift)
         equal = a[lo + shift : hi + shift] == b[lo:hi]
-        begin, end = best_segment(equal)
-        n, m = end - begin, int(equal[begin:end].sum())
-        if m >= least_equal and m >= least_share * n:
+        if segment := best_segment(equal, least_equal, least_share):
+            begin, end = segment
+            n, m = end - begin, int(equal[begin:end].sum())
             row = (m, n, lo + begin + shift, lo + begin)
             if (doc, item) not in best or (-row[0], *row[1:]) < (-best[doc, item][0], *best[doc, item][1:]):
                 best[doc, item] = row

@@ -167,6 +167,38 @@ def test_benchmark_blocks_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, D.find_overlaps(docs, items).collect())) == whole and len(whole) == 8
 
 
+def test_best_segment_against_brute_force():
+    rng = np.random.default_rng(11)
+    runs = [(20, 18, 20), (10, 7, 10, 7, 10), (12, 9, 12, 9, 12)]
+    cases = [np.repeat(np.arange(len(r)) % 2 == 0, r) for r in runs]
+    cases.append(np.array([c == "1" for c in "1111111" + "0" * 20 + "11011011101101"]))  # a run of 7 hides 10 of 14
+    cases += [rng.random(int(rng.integers(0, 60))) > rng.choice([0.1, 0.2, 0.3, 0.5]) for _ in range(1500)]
+    found = 0
+    for equal in cases:
+        sums = np.concatenate([[0], np.cumsum(equal)]).tolist()
+        best = None
+        for a in range(len(equal)):
+            for b in range(a + 1, len(equal) + 1):
+                m = sums[b] - sums[a]
+                if m >= 10 and 10 * m >= 7 * (b - a) and (best is None or (-m, b - a, a) < best):
+                    best = (-m, b - a, a)
+        got = D.best_segment(equal, 10, 0.7)
+        assert got == (best and (best[2], best[2] + best[1]))
+        found += best is not None
+    assert found > 300 and all(D.best_segment(c, 10, 0.7) for c in cases[:4])
+
+
+def test_overlaps_between_changed_runs_are_found():
+    item = [f"i{k}" for k in range(58)]
+    texts = []
+    for runs in ((20, 18, 20), (10, 7, 10, 7, 10), (12, 9, 12, 9, 12)):
+        same = np.repeat(np.arange(len(runs)) % 2 == 0, runs)
+        texts.append(" ".join(w if s else f"c{k}" for k, (w, s) in enumerate(zip(item, same))))
+    bench = D.Benchmark([1], [" ".join(item)])
+    got = D.overlaps(*D.words_of(D.pa.array(texts)), bench, D.LEAST_EQUAL, D.LEAST_SHARE)
+    assert [(r[0], r[2]) for r in got] == [(0, 20), (1, 20), (2, 24)]
+
+
 # -- licenses ------------------------------------------------------------------------
 def test_license_rules():
     rules = LS.rules()
