@@ -85,7 +85,7 @@ FAMILIES = (
     ("php-3.01", ("php-3.0", "php-3.01"), ("php",), "php", ("php.net/license",)),
     ("openssl", ("openssl",), ("openssl",), "openssl", ()),
     ("ncsa", ("ncsa",), ("university of illinois/ncsa",), "ncsa", ("opensource.org/licenses/ncsa",)),
-    ("proprietary", (), ("all rights reserved",), "rights reserved", ()),
+    ("proprietary", (), ("all rights reserved",), "reserved", ()),
 )
 #: form: priority and weight in the score.
 FORMS = {"identifier": (100, 0.99), "address": (90, 0.95), "field": (85, 0.9), "grant": (80, 0.9), "title": (60, 0.6), "notice": (10, 0.2)}
@@ -119,7 +119,7 @@ def rules() -> list[Rule]:
             out.append(Rule(label, "title", "licen", rf"\b{spaced}{needed}(?![\w-])"))
     for text in (r"see\s+(?:the\s+)?licen[sc]e\s+file", r"licen[sc]e\s+agreement", r"terms\s+of\s+(?:the|this)\s+licen[sc]e", r"licen[sc]ed\s+under\b"):
         out.append(Rule("notice", "notice", "licen", rf"\b{text}"))
-    for text, word in ((r"copyright\s+(?:\(c\)|©)?\s*\d{4}", "copyright"), (r"without\s+warrant(?:y|ies)\s+of\s+any\s+kind", "warrant"), (r"permission\s+is\s+hereby\s+granted", "hereby granted")):
+    for text, word in ((r"copyright\s+(?:\(c\)|©)?\s*\d{4}", "copyright"), (r"without\s+warrant(?:y|ies)\s+of\s+any\s+kind", "warrant"), (r"permission\s+is\s+hereby\s+granted", "hereby")):
         out.append(Rule("notice", "notice", word, rf"\b{text}"))
     return sorted(dict.fromkeys(out), key=lambda r: (-FORMS[r.form][0], r.label, r.pattern))
 
@@ -138,7 +138,7 @@ class Scanner:
         for i, r in enumerate(self.rules):
             by_word.setdefault(r.keyword, []).append(i)
         # a text without any of these strings can't match a rule; found by the C string search
-        self.gates = ("licen", "spdx", "under", "copyright", "warrant", "rights reserved", "granted", ".org/", "mozilla.org", "docs.python", "php.net", "wtfpl.net")
+        self.gates = ("licen", "spdx", "under", "copyright", "warrant", "reserved", "hereby", ".org/", "mozilla.org", "docs.python", "php.net", "wtfpl.net")
         self.words = ahocorasick.Automaton()
         for word, found in by_word.items():
             self.words.add_word(word, found)

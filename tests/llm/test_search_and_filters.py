@@ -217,6 +217,33 @@ def test_license_rules():
         assert all(re.search(r.pattern, t.lower()) for _, _, r in scan.detections(t.lower()))
 
 
+def test_prefilter_holds_no_rule_back():
+    scan = LS.Scanner()
+
+    def unfiltered(low):
+        spans = [(*m.span(), r) for r, c in zip(scan.rules, scan.compiled) for m in c.finditer(low)]
+        kept = []
+        for a, b, r in sorted(spans, key=lambda x: (-LS.FORMS[x[2].form][0], x[0] - x[1], x[0], x[2].label)):
+            if not any(x <= a and b <= y for x, y, _ in kept):
+                kept.append((a, b, r))
+        return sorted((a, b, r.label, r.form) for a, b, r in kept)
+
+    rnd = random.Random(12)
+    phrases = ["all rights reserved", "permission is hereby granted", "without warranty of any kind", "copyright (c) 2020", "see the license file", "terms of the license", "license: mit", "spdx-license-identifier: isc"]
+    phrases += [f"licensed under the {n}" for *_, names, _, _ in LS.FAMILIES for n in names if n.replace(" ", "").replace("-", "").isalnum()]
+    phrases += [f"{n} license" for *_, names, _, _ in LS.FAMILIES for n in names if n.replace(" ", "").replace("-", "").isalnum()]
+    phrases += [f"at https://{u}" for *_, urls in LS.FAMILIES for u in urls]
+    for t in phrases:
+        for gap in (" ", "\n", "  ", "\t", " \n * "):
+            low = f"x {t.replace(' ', gap)} y"
+            assert [(a, b, r.label, r.form) for a, b, r in scan.detections(low)] == unfiltered(low), low
+    for _ in range(200):
+        low = "".join(w + rnd.choice([" ", "\n", "\r\n", "  ", "\u00a0"]) for t in rnd.sample(phrases, 3) for w in t.split())
+        assert [(a, b, r.label, r.form) for a, b, r in scan.detections(low)] == unfiltered(low), low
+    assert [r.label for *_, r in scan.detections("all rights\nreserved")] == ["proprietary"]
+    assert [r.label for *_, r in scan.detections("permission is hereby\ngranted")] == ["notice"]
+
+
 def test_license_columns(spark):
     docs = [(1, "Mit. LICENSE and the mit-license; apache\nlicense"), (2, None), (3, ""), (4, "GNU general public license é x"), (5, "license mit")]
     got = {r.doc_id: r for r in LS.scan_licenses(spark.createDataFrame([(*d, "old") for d in docs], "doc_id long, text string, labels string")).collect()}
