@@ -17,6 +17,8 @@ from gridloom.llm.toxicity import fit, score_texts
 
 #: Documents with at least this probability of being toxic are rejected.
 MOST_TOXIC = 0.7
+#: Column of the near-duplicate stage that tells rows apart.
+ROW = "__row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +28,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows without an id stay."""
-    judged = near_duplicates(docs.select("doc_id", "text"), shared_folder(spark, "stage-near"))
-    gone = judged.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group: that with the smallest id, null ids last.  A row repeated, or with a null id,
+    is a member like any other; rows without words are linked with nothing, but of one id only one stays."""
+    folder = shared_folder(spark, "stage-near")
+    # the rows' keys are written, so that all that follows sees the same
+    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    judged = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), folder).withColumnRenamed("doc_id", ROW)
+    empty_twice = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.col("doc_id"))
+    named = judged.join(rows.select(ROW, "doc_id"), ROW).select(ROW, "doc_id", empty_twice.alias("of_id"), F.when(empty_twice.isNull(), F.col("component_id")).alias("of_set"))
+    named.write.parquet(f"{folder}/named")
+    named = spark.read.parquet(f"{folder}/named")
+    first = named.groupBy("of_id", "of_set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    gone = named.select(ROW).join(first, ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,20 @@ def test_near_stage_keeps_one_of_each_group(stages):
     assert ids(stages[2]) == set(want.values())
 
 
+def test_repeated_rows_and_null_ids_come_through_once(spark):
+    import corpus_pipeline as C
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    near = text(2).replace("w2x59", "other")
+    rows = [(7, text(1)), (7, text(1)), (None, text(2)), (9, near), (8, text(2)), (None, text(3)), (None, text(3)), (5, text(4)), (5, text(5)), (4, ""), (4, None), (None, ""), (None, ""), (3, "")]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = C.drop_near_copies(spark, df, DATA)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text or "") for r in C.cut_repeated_passages(spark, kept, DATA).collect()), key=str)
+    assert got == sorted([(7, text(1)), (8, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (4, ""), (None, ""), (None, ""), (3, "")], key=str)
+    assert C.drop_near_copies(spark, df.where("false"), DATA).count() == 0
+
+
 def test_passages_are_cut(stages):
     from test_repeats import brute_words
 
