@@ -5,11 +5,12 @@ each host, registered domain and suffix.  A level's bad rate is drawn to that
 of the level above by a beta prior whose mean is the upper level's posterior
 mean and whose strength is fitted over all groups of the level by moments
 (beta-binomial).  A host's pages are blocked if the lower posterior bound of
-its bad rate is above a limit; hosts without labels take the posterior of
-their domain, suffix or the whole.
+its bad rate is above a limit.  Exception: hosts without a labelled page aren't
+judged by reputation, whatever their domain, suffix or the whole; only fixed
+rules block them (the query's SQL says the same).
 
 Defined results: a null url, or one without ``://``, has an empty host and path
-and no rule; an empty host takes the reputation of the whole; repeated rows are
+and no rule; an empty host is a host like any other; repeated rows are
 judged each on its own, a page labelled more than once counts as bad if one
 label says so; without labels nothing is blocked by reputation; an empty table
 gives no rows.  Counts are summed before any join, so a host with a third of
