@@ -14,8 +14,10 @@ smaller id, also where a bound equals the k-th score.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; vectors meet those of equal length only; of rows with one id each
-is a candidate of its own, and a query doesn't meet its own id; fewer than k
-candidates give all of them; empty tables give no rows.
+is a candidate of its own, and a query doesn't meet its own id; queries of one
+id share one list, the k best of all their pairs (as in the query's SQL), so a
+hit of two of them is in it twice; fewer than k candidates give all of them;
+empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -38,6 +38,22 @@ def test_top_k_is_exact(spark, shard_rows):
     assert T.exact_top_k(df.where("false"), df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [40, 1000])
+def test_queries_of_one_id_share_a_list(spark, shard_rows):
+    duckdb = pytest.importorskip("duckdb")
+    from gridloom.llm.oracles import TOPK
+
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(230)]
+    rows += [(50, rows[50][1]), (100, rows[3][1]), (100, rows[4][1]), (350, rows[0][1]), (350, rows[1][1]), (7, rows[9][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in T.exact_top_k(df, df.where("vec_id % 50 = 0"), shard_rows=shard_rows).collect())
+    db = duckdb.connect()
+    db.execute("create table embeddings (vec_id bigint, embedding float[])")
+    db.executemany("insert into embeddings values (?, ?)", rows)
+    assert got == sorted(db.execute(TOPK).fetchall())
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(1)
     points = np.floor(rng.normal(size=(500, 4)) * 50)
