@@ -165,17 +165,18 @@ class WordCache:
         """The ids of distinct words, each with a space in front, as little-endian 32-bit integers."""
         young, old = self.young, self.old
         out = list(map(young.get, words))
+        missing = [i for i, ids in enumerate(out) if ids is None]
         todo = []
-        for i in [i for i, ids in enumerate(out) if ids is None]:
-            ids = old.get(words[i])
+        for i, ids in zip(missing, map(old.get, [words[i] for i in missing])):
             if ids is None:
                 todo.append(i)
             else:
                 out[i] = young[words[i]] = ids
-        for i, ids in zip(todo, self.learn([" " + words[i] for i in todo])):
+        new = [words[i] for i in todo]
+        for i, word, ids in zip(todo, new, self.learn([" " + w for w in new])):
             out[i] = ids
-            if len(words[i]) <= CACHED_CHARS:
-                young[words[i]] = ids
+            if len(word) <= CACHED_CHARS:
+                young[word] = ids
         if len(young) > self.size:
             self.old, self.young = young, {}
         return out

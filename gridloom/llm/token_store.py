@@ -80,24 +80,47 @@ class LibraryEncoder:
         """The library's ids of words.  Words that begin with one space and don't end with white space are asked for
         together, as one text: none of its tokens crosses their ends, so byte counts tell the words apart."""
         out: list = [b""] * len(words)
-        # white space but for the space itself isn't printable
-        joined = [i for i, w in enumerate(words) if w[:1] == " " and w[1:2] > " " and w[1].isprintable() and w[-1] != " " and w[-1].isprintable()]
+        together, size = joinable(words)
+        joined, alone = np.flatnonzero(together), np.flatnonzero(~together).tolist()
         for a in range(0, len(joined), 4096):
-            some = [words[i] for i in joined[a : a + 4096]]
-            found = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0]
+            at = joined[a : a + 4096]
+            places = at.tolist()
+            found = self.tokenizer.encode_batch_fast(["".join([words[i] for i in places])], add_special_tokens=False)[0]
             ids = np.array(found.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in some])) + 1
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size[at])) + 1
             flat, last = ids.tobytes(), 0
-            for i, e in zip(joined[a : a + 4096], (4 * ends).tolist()):
+            for i, e in zip(places, (4 * ends).tolist()):
                 out[i] = flat[last:e]
                 last = e
-        rest = set(joined)
-        alone = [i for i in range(len(words)) if i not in rest]
         for i, x in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)):
             out[i] = struct.pack(f"<{len(x)}I", *x.ids)
         return out
 
 
+#: ASCII characters that print and aren't a space.
+_GRAPHIC = np.array([0x20 < b < 0x7F for b in range(256)])
+
+
+def joinable(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which words begin with one space and both follow it and end with a printable character, and all sizes in bytes."""
+    column = pa.array(words, pa.large_string())
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros(len(words), bool)
+    some = np.flatnonzero(size >= 2)
+    if not len(some):
+        return out, size
+    offsets = np.frombuffer(column.buffers()[1], "<i8", len(words) + 1, column.offset * 8)
+    body = np.frombuffer(column.buffers()[2], np.uint8)
+    begin = offsets[some]
+    # a word is ASCII if its greatest byte is; words of less than two bytes aren't asked about
+    ascii_ = np.maximum.reduceat(body, begin) < 0x80 if len(some) == np.count_nonzero(size) else np.array([words[i].isascii() for i in some.tolist()])
+    out[some] = ascii_ & (body[begin] == 0x20) & _GRAPHIC[body[begin + 1]] & _GRAPHIC[body[offsets[some + 1] - 1]]
+    for i in some[~ascii_ & (body[begin] == 0x20)].tolist():  # white space but for the space itself isn't printable
+        w = words[i]
+        out[i] = w[1] > " " and w[1].isprintable() and w[-1] != " " and w[-1].isprintable()
+    return out, size
+
+
 # -- chunks -----------------------------------------------------------------
 def chunk_ends(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where chunks end (exclusive): at cuts of the rolling hash, at ends of documents, or by length."""
