@@ -37,7 +37,9 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeated_strings
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated_strings(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    cut = remove_repeated_strings(docs)
+    # a cut may fall into a character: kept_text has U+FFFD for its rest, the hash is that of the bytes
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
