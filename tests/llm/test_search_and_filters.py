@@ -293,7 +293,7 @@ def test_short_items_and_repeated_rows(spark):
 # -- licenses ------------------------------------------------------------------------
 def test_license_rules():
     rules = LS.rules()
-    assert len(rules) > 250 and all(r.keyword for r in rules)
+    assert len(rules) > 250 and all(r.keywords for r in rules) and len(LS.SIGNATURES) > 150
     scan = LS.Scanner()
     labels = lambda t: [r.label for _, _, r in scan.detections(t.lower())]
     assert labels("Licensed under the Apache License, Version 2.0.") == ["apache-2.0"]
@@ -308,6 +308,73 @@ def test_license_rules():
         assert all(re.search(r.pattern, t.lower()) for _, _, r in scan.detections(t.lower()))
 
 
+def plain_words(pattern):
+    """A text that a signature matches: of each group its first choice, of what may be left out nothing."""
+    for _ in range(4):
+        pattern = re.sub(r"\((?:\?:)((?:[^()|\\]|\\.)*)(?:\|(?:[^()\\]|\\.)*)?\)(\?|\{0,\d+\}\??)?", lambda m: "" if m[2] else m[1], pattern)
+    pattern = re.sub(r"\.\{1,\d+\}\?", "some words", re.sub(r"\.\{0,\d+\}\?", "", pattern)).replace(r"\d", "2").replace(r"\b", "").replace("2{4}", "2024")
+    pattern = re.sub(r"\[(.)[^\]]*\]\?", "", pattern)
+    pattern = re.sub(r"\[(.)[^\]]*\]", r"\1", pattern)
+    return re.sub(r"(?:\\.|[^\\])\?", "", pattern).replace("\\", "")
+
+
+def test_signatures_match_their_own_words():
+    scan = LS.Scanner()
+    for label, text in LS.SIGNATURES:
+        low = plain_words(text)
+        assert any(r.label == label and r.form in ("clause", "claim", "notice") for i in scan.live(low) for r in [scan.rules[i]] if scan.compiled[i].search(low)), (label, text, low)
+        wrapped = low.replace(" ", "\n * ")
+        assert any(scan.rules[i].label == label and scan.compiled[i].search(wrapped) for i in scan.live(wrapped)), wrapped
+    assert {r.label for *_, r in scan.detections("# permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software")} == {"mit"}
+
+
+def test_intervals_hold_what_lies_within():
+    rnd = random.Random(14)
+    for _ in range(300):
+        held, plain = LS.Intervals(), []
+        for _ in range(40):
+            a = rnd.randint(0, 30)
+            b = a + rnd.randint(1, 10)
+            assert held.hold(a, b) == any(x <= a and b <= y for x, y in plain)
+            if not held.hold(a, b):
+                held.add(a, b)
+                plain.append((a, b))
+
+
+def test_many_detections_are_quick():
+    import time
+
+    scan, low = LS.Scanner(), "see https://opensource.org/licenses/mit or all rights reserved, " * 20_000
+    began = time.process_time()
+    found = scan.detections(low)
+    assert len(found) == 40_000 and time.process_time() - began < 20
+
+
+def test_base_columns_equal_sql(spark):
+    """Places of the base phrases by DuckDB over whole texts, repeated rows, null ids and very long texts included."""
+    duckdb = pytest.importorskip("duckdb")
+    rnd = random.Random(15)
+    words = ["MIT", "License", "license", "apache", "general", "public", "x", "mit-license", "ünï", "general\npublic", "9"]
+    docs = [(i, rnd.choice([" ", ", ", "\n"]).join(rnd.choice(words) for _ in range(rnd.randint(0, 60)))) for i in range(300)]
+    docs += [(7, docs[7][1]), (None, "mit license"), (8, None), (400, ""), (401, "mit license " * 500)]
+    got = LS.scan_licenses(spark.createDataFrame([(*d, 1, 0.5) for d in docs], "doc_id long, text string, n_words int, score double"))
+    assert got.where("score < 0 or score > 1").count() == 0 and got.columns.count("score") == 1
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", docs)
+    want = db.execute("""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    p AS (SELECT r, doc_id, w, unnest([{'f': ['mit', 'license'], 'l': 'mit'}, {'f': ['apache', 'license'], 'l': 'apache'}, {'f': ['general', 'public', 'license'], 'l': 'gpl'}]) AS b FROM d),
+    k AS (SELECT r, doc_id, b.l AS l, list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(b.f)] = b.f) AS places FROM p)
+    SELECT k.doc_id, len(any_value(d.w)), sum(len(places)), min(list_min(places)), max(list_max(places)), coalesce(string_agg(l, ',' ORDER BY l) FILTER (len(places) > 0), '') FROM k JOIN d ON k.r = d.r GROUP BY k.r, k.doc_id""").fetchall()
+    key = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    assert key(got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()) == key(want)
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got.collect())
+    assert LS.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    long = LS.scan_licenses(spark.createDataFrame([(1, "mit license " * 100_000)], "doc_id long, text string")).drop("detections").first()
+    assert (long.n_words, long.n_base, long.first_word, long.last_word, long.labels) == (200_000, 100_000, 0, 199_998, "mit")
+
+
 def test_prefilter_holds_no_rule_back():
     scan = LS.Scanner()
 
@@ -321,9 +388,10 @@ def test_prefilter_holds_no_rule_back():
 
     rnd = random.Random(12)
     phrases = ["all rights reserved", "permission is hereby granted", "without warranty of any kind", "copyright (c) 2020", "see the license file", "terms of the license", "license: mit", "spdx-license-identifier: isc"]
-    phrases += [f"licensed under the {n}" for *_, names, _, _ in LS.FAMILIES for n in names if n.replace(" ", "").replace("-", "").isalnum()]
-    phrases += [f"{n} license" for *_, names, _, _ in LS.FAMILIES for n in names if n.replace(" ", "").replace("-", "").isalnum()]
+    phrases += [f"licensed under the {n}" for *_, names, _ in LS.FAMILIES for n in names if n.replace(" ", "").replace("-", "").isalnum()]
+    phrases += [f"{n} license" for *_, names, _ in LS.FAMILIES for n in names if n.replace(" ", "").replace("-", "").isalnum()]
     phrases += [f"at https://{u}" for *_, urls in LS.FAMILIES for u in urls]
+    phrases += [plain_words(text) for _, text in LS.SIGNATURES]
     for t in phrases:
         for gap in (" ", "\n", "  ", "\t", " \n * "):
             low = f"x {t.replace(' ', gap)} y"
