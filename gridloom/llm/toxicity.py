@@ -1,25 +1,28 @@
 """Toxicity by maximum-scoring segments.
 
-A token's score is its log-odds of standing in a toxic text, under Dirichlet
-priors: a word's class shares are drawn towards those of its prefix, a
-prefix's towards those of the next shorter one, the shortest towards the
-corpus' (so an unseen form of a known stem is scored by its stem).  Evidence is
-the number of different contexts (neighbouring words) in toxic texts, so that
-copies of a passage count once, against occurrences in other texts.
-
-Each token's log-odds less a drift is a step of a walk; one linear scan finds
-all maximal-scoring segments.  Their scores are put on the scale of the extreme
-values of other texts: with ``lam`` the root of E exp(lam * step) = 1 and ``K`` fitted
-to the other texts' best segments, a text of n tokens has a segment of score s
-by chance about ``K n exp(-lam s)`` times.  The normalised scores of a text's
-significant segments are summed, and two more fitted numbers turn the sum into
-a probability.
+A token's score is its log-odds of standing in a toxic text, under a chain of Dirichlet
+priors: a word's class shares are drawn to those of its longest prefix, a prefix's to
+those of the next shorter one, the shortest's to the corpus' (so an unseen form of a
+known stem is scored by its stem).  Evidence is the number of different contexts
+(neighbouring words) in toxic texts, so that copies of a passage count once, against
+occurrences in other texts.
+
+Each token's log-odds, negative ones included, less a drift is a step of a walk; one
+linear scan finds all maximal-scoring segments.  Only rises are visited: falls between
+them are differences of the walk's sums.  The segments' scores are put on the scale of the
+extreme values of other texts: with ``lam`` the root of E exp(lam * step) = 1 and ``K``
+fitted to the other texts' best segments, a text of n tokens has a segment of score s by
+chance about ``K n exp(-lam s)`` times.  The normalised scores of a text's significant
+segments are summed, and two more fitted numbers turn the sum into a probability.
 
 The fit uses a bounded sample (``train_rows``) of labelled texts; nothing but
 the text is ever used to score.  Defined results: a null or empty text has no
-segments and gets the probability of a text without evidence; several labels
-of an id count as toxic if one is; null labels aren't used; if there are no
-labels of one kind, all scores are 0; an empty table gives no rows.
+segments and gets the probability of a text without evidence; rows with null ids are
+scored like others and never learnt from; repeated rows are scored each; of equal
+scores the earlier segment comes first; a long text is scored as a whole; several labels
+of an id count as toxic if one is; null labels aren't used; if there are no labels of
+one kind, all scores are 0; columns ``score`` and ``passages`` are replaced; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,8 +43,10 @@ from .textcore import BYTE_CODES, BYTE_POWERS, LOWER, U64, joined_bytes, member,
 TRAIN_ROWS = 20_000
 #: Prefix lengths in bytes, from short to long; 0 stands for the word itself.
 LEVELS = (4, 5, 6, 7, 0)
-STRENGTH, DRIFT, LEAST_CONTEXTS, LEAST_LOG_ODDS = 20.0, 0.5, 3, 0.7
+STRENGTH, DRIFT, LEAST_CONTEXTS = 20.0, 0.5, 3
 SIGNIFICANT = 0.05
+#: Steps are counted to this part of one, for the calibration.
+BINS = 64
 
 
 @dataclass
@@ -82,40 +87,37 @@ def token_scores(t: dict, model: Model) -> np.ndarray:
     return out
 
 
-def maximal_segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, last, score) of a walk that falls by ``drift`` a step
-    and rises by ``score`` at the places ``at``, in one pass (Ruzzo and Tompa)."""
-    # of each candidate: first place, last place, total before it, total at its end
-    found: list[list] = []
-    for p, s in zip(at.tolist(), score.tolist()):
-        gain = s - drift
-        if gain <= 0:
-            continue
-        before = sum_before(found, p, drift)
-        new = [p, p, before, before + gain]
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
-                break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(a, b, r - l) for a, b, l, r in found]
-
-
-def sum_before(found: list, place: int, drift: float) -> float:
-    """Total of the walk before ``place``: rises so far less the drift of all steps between."""
-    return -drift * place if not found else found[-1][3] - drift * (place - found[-1][1] - 1)
+def maximal_segments(steps: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (first, last, score) of a walk, in order of place, in linear time (Ruzzo and Tompa).
+
+    A candidate knows the last one before it that begins lower; so a search passes each candidate once.
+    """
+    total = np.concatenate([[0.0], np.cumsum(steps)])
+    rises = np.flatnonzero(steps > 0)
+    first, last, low, high, lower = [], [], [], [], []
+    for p, l, r in zip(rises.tolist(), total[rises].tolist(), total[rises + 1].tolist()):
+        begin, j = p, len(low) - 1
+        while j >= 0 and low[j] >= l:
+            j = lower[j]
+        while j >= 0 and high[j] < r:  # joins all candidates from j on
+            begin, l = first[j], low[j]
+            at, j = j, lower[j]
+            for x in (first, last, low, high, lower):
+                del x[at:]
+        first.append(begin)
+        last.append(p)
+        low.append(l)
+        high.append(r)
+        lower.append(j)
+    return [(a, b, y - x) for a, b, x, y in zip(first, last, low, high)]
 
 
 def text_segments(t: dict, scores: np.ndarray) -> Iterator[list[tuple[int, int, float]]]:
-    up = np.flatnonzero(scores > DRIFT)
-    edge = np.searchsorted(up, t["bounds"])
+    steps = scores - DRIFT
+    edge = t["bounds"]
+    rising = np.concatenate([[0], np.cumsum(steps > 0)])[edge]
     for i in range(len(edge) - 1):
-        mine = up[edge[i] : edge[i + 1]]
-        yield maximal_segments(mine - t["bounds"][i], scores[mine], DRIFT) if len(mine) else []
+        yield maximal_segments(steps[edge[i] : edge[i + 1]]) if rising[i + 1] > rising[i] else []
 
 
 def evidence(segments: list, n: int, lam: float, k: float) -> float:
@@ -156,20 +158,29 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str, train_rows: int = TRAIN
                 near = np.zeros(n + 2, U64)
                 near[1:-1] = word
                 ctx = mix(near[:-2] * U64(3) + near[2:] * U64(7) + word)
+                above, of = np.full(n, -1), np.zeros(n, U64)  # each word's longest prefix so far: level, feature
                 for k, level in enumerate(LEVELS):
                     at, h = features(t, level)
-                    both = np.unique(np.stack([h, ctx[at]], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), k), pa.int32()), pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64))], ["level", "feature", "context"])
-
-    seen = train.where("toxic = 1").select("text").mapInArrow(contexts, "level int, feature long, context long")
-    often = seen.distinct().groupBy("level", "feature").count().where(F.col("count") >= LEAST_CONTEXTS).toPandas()
+                    both, row = np.unique(np.stack([h, ctx[at]], 1), axis=0, return_index=True)
+                    at = at[row]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(both), k), pa.int32()), pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64)),
+                        pa.array(above[at], pa.int32()), pa.array(of[at].view(np.int64)),
+                    ], ["level", "feature", "context", "above", "prefix"])
+                    if level:
+                        at, h = features(t, level)
+                        above[at], of[at] = k, h
+
+    seen = train.where("toxic = 1").select("text").mapInArrow(contexts, "level int, feature long, context long, above int, prefix long")
+    seen = seen.groupBy("level", "feature", "context").agg(F.first("above").alias("above"), F.first("prefix").alias("prefix"))
+    often = seen.groupBy("level", "feature").agg(F.count("*").alias("n"), F.first("above").alias("above"), F.first("prefix").alias("prefix")).where(F.col("n") >= LEAST_CONTEXTS).toPandas()
     level = []
     for k in range(len(LEVELS)):
         mine = often[often.level == k]
         h = mine.feature.to_numpy(np.int64).view(U64)
         order = np.argsort(h)
-        level.append((h[order], mine["count"].to_numpy(np.float64)[order]))
-    shared = spark.sparkContext.broadcast([h for h, _ in level])
+        level.append((h[order], mine.n.to_numpy(np.float64)[order], mine.above.to_numpy(np.int64)[order], mine.prefix.to_numpy(np.int64).view(U64)[order]))
+    shared = spark.sparkContext.broadcast([x[0] for x in level])
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(len(h), np.int64) for h in shared.value]
@@ -185,51 +196,53 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str, train_rows: int = TRAIN
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["level", "at", "n"])
 
     clean = train.where("toxic = 0").select("text").mapInArrow(occurrences, "level int, at long, n long").groupBy("level", "at").agg(F.sum("n").alias("n")).toPandas()
-    model = _log_odds(level, clean, count)
-
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(_log_odds(level, clean, count))
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch, "text"):
                 part = batch.slice(a, b - a)
                 t = tokens(part.column(0))
-                s = token_scores(t, sent.value)
-                up = s > DRIFT
-                n = np.diff(t["bounds"])
-                seg = [[x for *_, x in found] for found in text_segments(t, s)]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(n, pa.int64()), pa.array(seg, pa.list_(pa.float64())), pa.array([s[i:j][up[i:j]].tolist() for i, j in zip(t["bounds"][:-1], t["bounds"][1:])], pa.list_(pa.float64()))], ["toxic", "n", "segments", "up"])
+                seg = [[x for *_, x in found] for found in text_segments(t, token_scores(t, sent.value))]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.diff(t["bounds"]), pa.int64()), pa.array(seg, pa.list_(pa.float64()))], ["toxic", "n", "segments"])
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch, "text"):
+                bins, n = np.unique(np.round((token_scores(tokens(batch.column(0).slice(a, b - a)), sent.value) - DRIFT) * BINS).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n, pa.int64())], ["bin", "n"])
 
-    rows = train.select("text", "toxic").mapInArrow(best, "toxic int, n long, segments array<double>, up array<double>").collect()  # bounded by train_rows
-    return _calibrate(model, rows)
+    rows = train.select("text", "toxic").mapInArrow(walks, "toxic int, n long, segments array<double>").collect()  # bounded by train_rows
+    steps = train.where("toxic = 0").select("text").mapInArrow(histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    return _calibrate(sent.value, rows, np.array([(r.bin / BINS, r.n) for r in sorted(steps)]).reshape(-1, 2))
 
 
 def _log_odds(level: list, clean, count: dict) -> Model:
     base = count[True][1] / max(1, count[True][1] + count[False][1])
     base = min(max(base, 1e-6), 1 - 1e-6)
     prior = math.log(base / (1 - base))
-    out = []
-    for k, (h, toxic) in enumerate(level):
+    shares: list = []
+    for k, (h, toxic, above, prefix) in enumerate(level):
         other = np.zeros(len(h))
         mine = clean[clean.level == k]
         other[mine["at"].to_numpy(np.int64)] = mine["n"].to_numpy(np.float64)
-        # the share of a feature is drawn to the corpus'; a form that is known only by its prefix has the prefix's
-        q = (toxic + STRENGTH * base) / (toxic + other + STRENGTH)
-        out.append((h, np.log(q / (1 - q)) - prior))
-    # at each level keep what says something, or what takes back what a shorter prefix says
-    kept = []
-    for k, (h, value) in enumerate(out):
-        use = (value >= LEAST_LOG_ODDS) | (LEVELS[k] == 0)
-        kept.append((h[use], value[use]))
-    return Model(kept, 1.0, 1.0, 0.0, 1.0)
-
-
-def _calibrate(model: Model, rows: list) -> Model:
+        mean = np.full(len(h), base)  # that of the level above, which was done before
+        for up in range(k):
+            at = np.flatnonzero(above == up)
+            found = np.searchsorted(level[up][0], prefix[at])
+            ok = found < len(level[up][0])
+            ok[ok] = level[up][0][found[ok]] == prefix[at[ok]]
+            mean[at[ok]] = shares[up][found[ok]]
+        shares.append((toxic + STRENGTH * mean) / (toxic + other + STRENGTH))
+    return Model([(x[0], np.log(q / (1 - q)) - prior) for x, q in zip(level, shares)], 1.0, 1.0, 0.0, 1.0)
+
+
+def _calibrate(model: Model, rows: list, steps: np.ndarray) -> Model:
+    """``steps``: (step, number) of the other texts' tokens."""
     other = [r for r in rows if not r.toxic]
-    steps = sum(max(r.n, 1) for r in other)
-    ups = np.array([x - DRIFT for r in other for x in r.up])
-    # the root of E exp(lam * step) = 1, steps being -DRIFT but for the rises
-    mean = lambda lam: ((steps - len(ups)) * math.exp(-DRIFT * lam) + np.exp(np.minimum(lam * ups, 500)).sum()) / steps
+    total = max(1.0, steps[:, 1].sum())
+    # the root of E exp(lam * step) = 1
+    mean = lambda lam: (steps[:, 1] * np.exp(np.minimum(lam * steps[:, 0], 500))).sum() / total
     lo, hi = 1e-3, 20.0
     for _ in range(60):
         mid = (lo + hi) / 2
@@ -238,7 +251,7 @@ def _calibrate(model: Model, rows: list) -> Model:
     # K so that the expected number of segments at the other texts' scores is the number found
     found = sorted((s for r in other for s in r.segments), reverse=True)
     tail = found[: max(1, len(found) // 10)]
-    k = len(tail) / (steps * math.exp(-lam * tail[-1])) if tail else 1.0
+    k = len(tail) / (total * math.exp(-lam * tail[-1])) if tail else 1.0
     model.lam, model.k = lam, max(k, 1e-9)
     x = np.array([evidence([(0, 0, s) for s in r.segments], r.n, model.lam, model.k) for r in rows])
     y = np.array([float(bool(r.toxic)) for r in rows])

@@ -442,19 +442,47 @@ def test_reputation_shrinks_and_blocks(spark):
 
 # -- toxicity -----------------------------------------------------------------------------
 def test_maximal_segments_against_brute_force():
+    """The best segment, then the same on what is left of it and right of it."""
     rnd = random.Random(7)
-    for _ in range(200):
-        n = rnd.randint(1, 14)
-        score = [rnd.choice([0, 0, 0.9, 1.7, 3.1]) for _ in range(n)]
-        at = np.array([i for i, s in enumerate(score) if s > 0.5])
-        got = X.maximal_segments(at, np.array([score[i] for i in at]), 0.5)
-        walk = np.concatenate([[0], np.cumsum([s - 0.5 for s in score])])
-        if got:
-            best = max(walk[j] - walk[i] for i in range(n) for j in range(i + 1, n + 1))
-            assert max(s for *_, s in got) == pytest.approx(best)
-        assert all(b < a for (_, b, _), (a, _, _) in zip(got, got[1:]))
-        for a, b, s in got:
-            assert s == pytest.approx(walk[b + 1] - walk[a])
+
+    def best_of(walk, lo, hi):
+        found = [(walk[j] - walk[i], i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)]
+        if not found or max(found)[0] <= 0:
+            return []
+        s, i, j = max(found)
+        return [*best_of(walk, lo, i), (i, j - 1, s), *best_of(walk, j, hi)]
+
+    for _ in range(400):
+        steps = np.array([rnd.choice([-1, 1, 1, -3, 0.3]) * rnd.random() for _ in range(rnd.randint(0, 18))])
+        got, want = X.maximal_segments(steps), best_of(np.concatenate([[0], np.cumsum(steps)]), 0, len(steps))
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+def test_scan_is_linear():
+    import time
+
+    for steps in (np.tile([0.5, -1.0], 100_000), np.tile([1.0, -0.5], 100_000), np.concatenate([np.tile([0.5, -1.0], 100_000), np.full(200_000, 1.0)])):
+        began = time.process_time()
+        X.maximal_segments(steps)
+        assert time.process_time() - began < 5
+
+
+def test_shares_are_drawn_along_the_chain():
+    """A word is drawn to its longest prefix, that to the next shorter one, the shortest to the corpus."""
+    pd = pytest.importorskip("pandas")
+    of = lambda *x: np.array(x, np.uint64)
+    none = (of(), np.zeros(0), np.zeros(0, np.int64), of())
+    level = [(of(10), np.array([30.0]), np.array([-1]), of(0)), (of(20), np.array([5.0]), np.array([0]), of(10)), none, none, (of(7, 9), np.array([3.0, 3.0]), np.array([1, -1]), of(20, 0))]
+    clean = pd.DataFrame({"level": [0, 4], "at": [0, 1], "n": [10, 40]})
+    model = X._log_odds(level, clean, {True: (1, 100), False: (1, 900)})
+    k, base = X.STRENGTH, 0.1
+    a = (30 + k * base) / (40 + k)
+    b = (5 + k * a) / (5 + k)
+    want = [a, b, (3 + k * b) / (3 + k), (3 + k * base) / (43 + k)]
+    odds = lambda q: np.log(q / (1 - q)) - np.log(base / (1 - base))
+    assert [*model.level[0][1], *model.level[1][1], *model.level[4][1]] == pytest.approx([odds(q) for q in want])
+    assert model.level[4][1][1] < 0
 
 
 def test_toxicity_learns_words_and_stems(spark, tmp_path):
@@ -468,7 +496,7 @@ def test_toxicity_learns_words_and_stems(spark, tmp_path):
                 w.insert(rnd.randrange(len(w)), rnd.choice(["scum", f"blarg{rnd.choice('abcdefghij')}{rnd.choice('xyz')}{rnd.randint(0, 60)}"]))
         docs.append((i, " ".join(w)))
         labels.append((i, int(toxic)))
-    docs += [(5000, None), (5001, ""), (5002, "SCUM, blargunseen scum!")]
+    docs += [(5000, None), (5001, ""), (5002, "SCUM, blargunseen scum!"), (None, "scum scum scum"), (5003, "word1 word2 " * 300_000 + "scum blargaxx scum")]
     df = spark.createDataFrame([(*d, 0.5) for d in docs], "doc_id long, text string, score double")
     lab = spark.createDataFrame([*labels, (0, None), (None, 1)], "doc_id long, toxic int")
     model = X.fit(df.select("doc_id", "text"), lab.where(~X.held_out()), folder(tmp_path))
@@ -476,6 +504,7 @@ def test_toxicity_learns_words_and_stems(spark, tmp_path):
     held = [(out[i].score, y) for i, y in labels if out[i].held]
     right = np.mean([(s >= 0.7) == bool(y) for s, y in held])
     assert right > 0.97 and len(held) > 300
+    assert out[None].score > 0.7 and not out[None].held and out[5003].score > 0.7
     assert out[5002].score > 0.7 and out[5002].passages and out[5000].score == out[5001].score < 0.1
     empty = X.fit(df.select("doc_id", "text"), lab.where("toxic = 7"), folder(tmp_path))
     assert X.score_texts(df, empty).agg(F.max("score")).first()[0] < 1e-6
