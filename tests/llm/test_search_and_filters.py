@@ -436,10 +436,54 @@ def test_reputation_shrinks_and_blocks(spark):
     rows += [(1000, "http://one.bad.io/"), (1001, "http://farm.bad.io/x")]
     labels += [(0, 0, 0), (None, 0, 0), (2000, 0, 1), (3, None, None)]
     out = {r.page_id: r for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
-    assert out[1001].verdict == "block" and out[0].verdict == "block" and out[5].verdict == "allow" and out[1000].verdict == "allow"
+    assert out[1001].verdict == "block" and out[0].verdict == "block" and out[5].verdict == "allow"
+    assert out[1000].verdict == "block"  # a host without labels has the posterior of its domain
     assert len(out) == len(rows)
 
 
+def test_hosts_without_labels_take_the_level_above(spark):
+    rows = [(i, f"http://w{i % 30}.{'bad' if i % 2 else 'good'}.co.uk/") for i in range(600)] + [(1000, "http://new.bad.co.uk:80/"), (1001, "http://new.good.co.uk/"), (1002, "http://other.co.uk/"), (1003, "http://10.0.0.7/"), (None, "http://new.bad.co.uk/"), (1004, "http://new.bad.co.uk/" + "x" * 200_000)]
+    labels = [(i, 1 - i % 2, 0) for i in range(600)]
+    pages = spark.createDataFrame([(*r, "h", 1) for r in rows], "page_id long, url string, host string, n int")
+    out = {r.page_id: r for r in U.judge_urls(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert out[1000].verdict == out[None].verdict == out[1004].verdict == "block" and out[1001].verdict == "allow" and out[1002].verdict == "allow" and out[1003].verdict == "allow"
+
+
+def test_registered_domains(spark):
+    hosts = ["a.b.co.uk", "co.uk", "b.co.uk", "x.y.example.com:8080", "example.com", "localhost", "", "10.1.2.3:99", "[::1]", "notco.uk", "www.notco.uk"]
+    domain, suffix = U.domain_of(F.col("h"))
+    got = {r.h: (r.d, r.s) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", domain.alias("d"), suffix.alias("s")).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "x.y.example.com:8080": ("example.com", "com"), "example.com": ("example.com", "com"),
+                   "localhost": ("localhost", "localhost"), "": ("", ""), "10.1.2.3:99": ("10.1.2.3", ""), "[::1]": ("[::1]", ""), "notco.uk": ("notco.uk", "uk"), "www.notco.uk": ("notco.uk", "uk")}
+
+
+def test_beta_probability(spark):
+    """Against sums of the density over a fine grid of rates."""
+    cases = [(3.4, 0.6), (1.0, 1.0), (50.0, 70.0), (0.5, 2.0), (400.0, 700.0), (20.0, 0.05)]
+    got = spark.createDataFrame(cases, "a double, b double").select("a", "b", U.above_limit(F.col("a"), F.col("b")).alias("p")).collect()
+    u = np.linspace(-700, 700, 2_000_001)
+    for r in got:
+        w = np.exp(-r.a * np.logaddexp(0, -u) - r.b * np.logaddexp(0, u))
+        assert r.p == pytest.approx(float(w[u > np.log(U.MOST_BAD / (1 - U.MOST_BAD))].sum() / w.sum()), abs=2e-3)
+
+
+def test_url_verdicts_equal_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rnd = random.Random(16)
+    hosts = ["a.bad.co.uk", "b.bad.co.uk", "c.bad.co.uk", "good.org", "x.good.org", "mixed.net", "10.0.0.1", "[::1]:9", "", "solo", "P.Mixed.net:80"]
+    rows = [(i, rnd.choice(["http://", "", "https://"]) + h + rnd.choice(["/en/7", "/es/", "", "?q", "/de/8"])) for i in range(400) for h in [rnd.choice(hosts)]] + [(None, "http://good.org/"), (3, None), (3, "http://c.bad.co.uk/")]
+    labels = [(i, int(rnd.random() < (0.1 if "bad" in (u or "") else 0.8)), rnd.choice([0, None])) for i, u in rows[:200]] + [(None, 0, 1), (5, None, None)]
+    got = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    db = duckdb.connect()
+    db.execute("create table pages (page_id bigint, url varchar)")
+    db.executemany("insert into pages values (?, ?)", rows)
+    db.execute("create table labels (doc_id bigint, quality int, toxic int)")
+    db.executemany("insert into labels values (?, ?, ?)", labels)
+    key = lambda x: sorted((tuple(r) for r in x), key=str)
+    want = key(db.execute(U.oracle_sql()).fetchall())
+    assert key(got.select("page_id", "host", "path", "rule", "verdict").collect()) == want and {r[4] for r in want if r[3] is None} == {"allow", "block"}
+
+
 # -- toxicity -----------------------------------------------------------------------------
 def test_maximal_segments_against_brute_force():
     """The best segment, then the same on what is left of it and right of it."""
