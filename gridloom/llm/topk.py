@@ -1,23 +1,23 @@
 """Exact top-k search by inner product with a KD-tree in every shard.
 
-Vectors are integers.  A shard's tree splits at the median of the widest
-dimension and keeps the tight bounding box of every node; the score of a query
-against a box is at most ``sum max(q * low, q * high)``.  Nodes are visited best
-bound first, and a node is left out as soon as its bound can't reach the
-query's k-th best score.  That score is propagated: a query first searches one
-shard, the one of its own vector, and takes its k-th score as a start to all
-others, so most leaves are never opened where vectors cluster.
-
-Queries meet shards in blocks: a task holds one shard and one block of queries,
-both of bounded size, and returns at most k rows a query.  Ties go to the
-smaller id, also where a bound equals the k-th score.
-
-Defined results: vectors that are null or hold null or non-finite components
-take no part; vectors meet those of equal length only; of rows with one id each
-is a candidate of its own, and a query doesn't meet its own id; queries of one
-id share one list, the k best of all their pairs (as in the query's SQL), so a
-hit of two of them is in it twice; fewer than k candidates give all of them;
-empty tables give no rows.
+Vectors are integers.  A KD-tree over a bounded sample (``SAMPLE_ROWS``) cuts the space into
+cells at medians of the widest dimension; a cell's rows are cut into shards of about
+``SHARD_ROWS`` rows, and its tight bounding box is taken over all of its rows.  A shard has
+a KD-tree of its own with the tight box of every node.  The score of a query against a box
+is at most ``sum max(q * low, q * high)``.  Nodes are visited best bound first, and a node is
+left out as soon as its bound can't reach the query's k-th best score.
+
+That score is propagated: a query first searches one shard of its own cell and takes its
+k-th score as a start.  A cell whose bound is below it isn't visited: the query isn't sent
+there.  What is left meets in blocks: a task holds one shard and one block of queries, both
+of bounded size, and returns at most k rows a query.  Ties go to the smaller id, also where
+a bound equals the k-th score.  The sample decides only which cells there are.
+
+Defined results: vectors that are null or hold null or non-finite components take no part,
+nor do null ids; vectors meet those of equal length only; of rows with one id each is a
+candidate and, if asked for, a query of its own, with a list of its own (equal rows have
+equal lists); a query doesn't meet rows of its own id; fewer than k candidates give all of
+them; other columns aren't read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import small_batches
 
 K, SCALE, EVERY = 5, 256, 50
-SHARD_ROWS, BLOCK_QUERIES, STEP_QUERIES, LEAF = 4096, 16384, 1024, 128
-RESULT = "query_id long, vec_id long, score long"
+SHARD_ROWS, BLOCK_QUERIES, STEP_QUERIES, LEAF = 16384, 16384, 1024, 128
+#: Rows that the cells are fitted on, cells at most, and numbers in their boxes at most.
+SAMPLE_ROWS, CELLS, BOX_NUMBERS = 1 << 16, 1024, 1 << 22
+FOUND = "query_id long, hash long, copies long, vec_id long, score long"
 
 
 class Tree:
@@ -113,50 +116,175 @@ def integers(vector: Column, scale: int = SCALE) -> Column:
     return F.when(~bad, F.transform(value, lambda x: F.floor(x * scale).cast("double")))
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+class Cells:
+    """Cuts of the space of one length; cells are numbered from ``first``."""
+
+    def __init__(self, sample: np.ndarray, cells: int, first: int):
+        self.axis, self.cut, self.below, self.cell = [], [], [], []
+        todo, self.first, self.count = [(sample, cells, -1, 0)], first, 0
+        while todo:
+            rows, n, parent, side = todo.pop()
+            node = len(self.axis)
+            if parent >= 0:
+                self.below[parent][side] = node
+            width = rows.max(axis=0) - rows.min(axis=0) if len(rows) else np.zeros(rows.shape[1])
+            axis = int(np.argmax(width)) if len(width) else 0
+            leaf = n < 2 or len(rows) < 2 or not len(width) or width[axis] <= 0
+            middle = 0.0 if leaf else float(np.median(rows[:, axis]))
+            right = np.zeros(0, bool) if leaf else rows[:, axis] >= middle
+            if not leaf and right.all():  # the median is the least value: it stays on the left
+                right = rows[:, axis] > middle
+                middle = float(rows[right, axis].min())
+            self.axis.append(axis)
+            self.cut.append(middle)
+            self.below.append([node, node])
+            self.cell.append(first + self.count if leaf else -1)
+            self.count += leaf
+            if not leaf:
+                todo += [(rows[right], n - n // 2, node, 1), (rows[~right], n // 2, node, 0)]
+        self.axis, self.cut, self.below, self.cell = np.array(self.axis), np.array(self.cut), np.array(self.below), np.array(self.cell)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(points), np.int64)
+        row = np.arange(len(points))
+        while (open_ := self.cell[at] < 0).any():
+            side = points[row[open_], self.axis[at[open_]]] >= self.cut[at[open_]]
+            at[open_] = self.below[at[open_], side.astype(np.int64)]
+        return self.cell[at]
+
+
+def by_length(column: pa.Array):
+    """(rows, matrix) of each length that vectors have."""
+    size = pc.list_value_length(column).to_numpy()
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        yield n, rows, _matrix(column.take(pa.array(rows)))
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of ``vectors`` by the product of scaled integers."""
-    small_batches(vectors)
-    take = lambda df: df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), integers(F.col(f"`{vector}`")).alias("v")).where("id is not null and v is not null").withColumn("dim", F.size("v"))
-    points, asked = take(vectors), take(queries)
-    count, wanted = points.count(), asked.count()
-    shards, blocks = max(1, math.ceil(count / shard_rows)), max(1, math.ceil(wanted / BLOCK_QUERIES))
-    # a shard is dealt by a hash of id and vector: equal vectors spread over all shards
-    points = points.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("home", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    candidates = points.select("shard", every_block.alias("block"), "dim", F.lit(0).alias("side"), "id", "v", F.lit(None).cast("double").alias("floor"))
-
-    def search(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        side = table.column("side").to_numpy()
-        at, ask = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_q, out_i, out_s = [], [], []
-        if len(at) and len(ask):
-            pick = lambda rows: (table.column("id").take(pa.array(rows)).to_numpy(), _matrix(table.column("v").take(pa.array(rows)).combine_chunks()))
-            tree = Tree(*pick(at)[::-1])
-            for a in range(0, len(ask), STEP_QUERIES):
-                rows = ask[a : a + STEP_QUERIES]
-                ids, q = pick(rows)
-                floor = np.nan_to_num(table.column("floor").take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.float64), nan=-1e300)
-                for i, (s, who) in zip(ids.tolist(), tree.search(ids, q, floor, k)):
-                    out_q += [i] * len(who)
-                    out_i += who.tolist()
-                    out_s += s.tolist()
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_i, pa.int64()), "score": pa.array([int(x) for x in out_s], pa.int64())})
-
-    home = asked.select(F.col("home").alias("shard"), "block", "dim", F.lit(1).alias("side"), "id", "v", F.lit(None).cast("double").alias("floor"))
-    first = candidates.unionByName(home).groupBy("shard", "block", "dim").applyInArrow(lambda t: search(t), RESULT)
-    # the k-th score at home, where there are k: the start everywhere else
-    floor = best_of(first, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("kth")).cast("double").alias("floor"))
-    others = asked.join(floor, "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-    others = others.select("shard", "block", "dim", F.lit(1).alias("side"), "id", "v", "floor")
-    rest = candidates.unionByName(others).groupBy("shard", "block", "dim").applyInArrow(lambda t: search(t), RESULT)
-    return best_of(first.unionByName(rest) if shards > 1 else first, k, rank=True)
-
-
-def best_of(found: DataFrame, k: int, rank: bool = False) -> DataFrame:
-    """The k best rows of each query: at most k from each shard come in."""
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "vec_id"))), 1, k).alias("best"))
-    rows = best.select("query_id", F.posexplode("best").alias("at", "hit"))
-    out = [F.col("query_id"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.order")).alias("score")]
-    return rows.select(out[0], *([(F.col("at") + 1).cast("int").alias("rank")] if rank else []), *out[1:])
+    spark = small_batches(vectors).sparkSession
+    take = lambda df: df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), integers(F.col(f"`{vector}`")).alias("v")).where("id is not null and v is not null")
+    points = take(vectors)
+    asked = take(queries).groupBy("id", "v").agg(F.count("*").alias("copies")).withColumn("hash", F.xxhash64("v"))
+    fitted = _fit_cells(points, shard_rows)
+    if not fitted:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    cells = spark.sparkContext.broadcast(fitted)  # bounded by BOX_NUMBERS
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.zeros(batch.num_rows, np.int64)
+            for n, rows, matrix in by_length(batch.column(batch.schema.get_field_index("v"))):
+                cell[rows] = cells.value[n].of(matrix) if n in cells.value else -1
+            yield batch.append_column("cell", pa.array(cell, pa.int32()))
+
+    place = lambda df: df.mapInArrow(placed, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", cell int")
+
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            number = batch.column(2).to_numpy()
+            for _, rows, matrix in by_length(batch.column(1)):
+                for c in np.unique(number[rows]).tolist():
+                    mine = matrix[number[rows] == c]
+                    box = (len(mine), mine.min(axis=0), mine.max(axis=0))
+                    if c in held:
+                        box = (held[c][0] + box[0], np.minimum(held[c][1], box[1]), np.maximum(held[c][2], box[2]))
+                    held[c] = box
+        kind = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b[0] for b in held.values()], pa.int64()), pa.array([b[1] for b in held.values()], kind), pa.array([b[2] for b in held.values()], kind)], ["cell", "n", "low", "high"])
+
+    points = place(points.select("id", "v"))
+    partial = points.mapInArrow(boxes, "cell int, n long, low array<double>, high array<double>")
+    edge = lambda name, least: F.aggregate(F.collect_list(name), F.lit(None).cast("array<double>"), lambda a, x: F.when(a.isNull(), x).otherwise(F.zip_with(a, x, lambda p, q: least(p, q))))
+    summed = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), edge("low", F.least).alias("low"), edge("high", F.greatest).alias("high"))
+    # a task has one box for each cell: they are joined in two steps, so no group holds one of every task
+    rows = summed(summed(partial.withColumn("salt", F.spark_partition_id() % 256), "cell", "salt"), "cell").collect()  # a row for each cell
+    box = {r.cell: (max(1, math.ceil(r.n / shard_rows)), np.array(r.low), np.array(r.high)) for r in rows}
+    shards = spark.sparkContext.broadcast(box)
+    wanted = asked.count()
+    blocks = max(1, math.ceil(wanted / block_queries))
+    # equal rows spread over a cell's shards; a row is one shard's as long as its place in the scan is the same
+    spread = lambda df: df.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.element_at(F.map_from_arrays(*[F.array(*[F.lit(x) for x in y]) for y in (list(box), [b[0] for b in box.values()])]), F.col("cell"))).cast("int"))
+    points = spread(points).select("cell", "shard", "id", "v")
+    asked = place(asked.select("id", "hash", "copies", "v")).withColumn("block", F.pmod(F.xxhash64("id", "hash"), F.lit(blocks)).cast("int"))
+
+    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        out: list[list] = [[], [], [], [], []]
+        if left.num_rows and right.num_rows:
+            of = lambda t, name: t.column(name).to_numpy(zero_copy_only=False)
+            tree = Tree(_matrix(right.column("v").combine_chunks()), of(right, "id"))
+            for a in range(0, left.num_rows, STEP_QUERIES):
+                part = left.slice(a, STEP_QUERIES)
+                ids = of(part, "id")
+                floor = np.nan_to_num(of(part, "floor").astype(np.float64), nan=-1e300)
+                found = tree.search(ids, _matrix(part.column("v").combine_chunks()), floor, k)
+                for i, h, c, (score, who) in zip(ids.tolist(), of(part, "hash").tolist(), of(part, "copies").tolist(), found):
+                    for column, x in zip(out, ([i] * len(who), [h] * len(who), [c] * len(who), who.tolist(), [int(s) for s in score])):
+                        column += x
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "hash", "copies", "vec_id", "score"), out)})
+
+    def met(some: DataFrame) -> DataFrame:
+        """The k best of each query in each shard that it is sent to."""
+        keys = ["cell", "shard", "block"]
+        blocked = some.select(F.col("cell").alias("c"), F.col("shard").alias("s"), F.col("block").alias("b")).distinct()
+        needed = points.withColumnsRenamed({"cell": "c", "shard": "s"})
+        needed = needed.join(blocked, ["c", "s"]) if blocks > 1 else needed.withColumn("b", F.lit(0))
+        return some.groupBy(*keys).cogroup(needed.groupBy("c", "s", "b")).applyInArrow(search, FOUND)
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query with the shards of the cells that may hold one of its k best."""
+        numbers = {}
+        for c, (_, low, _) in shards.value.items():
+            numbers.setdefault(len(low), []).append(c)
+        for batch in batches:
+            floor = np.nan_to_num(batch.column(batch.schema.get_field_index("floor")).to_numpy(zero_copy_only=False).astype(np.float64), nan=-1e300)
+            for n, rows, q in by_length(batch.column(batch.schema.get_field_index("v"))):
+                if n not in numbers:
+                    continue
+                low, high = (np.array([shards.value[c][i] for c in numbers[n]]) for i in (1, 2))
+                count = np.array([shards.value[c][0] for c in numbers[n]])
+                for a in range(0, len(rows), STEP_QUERIES):
+                    some = q[a : a + STEP_QUERIES]
+                    bound = np.maximum(some, 0) @ high.T + np.minimum(some, 0) @ low.T
+                    row, at = np.nonzero(bound >= floor[rows[a : a + STEP_QUERIES]][:, None])
+                    many = count[at]
+                    shard = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    picked = batch.take(pa.array(np.repeat(rows[a + row], many)))
+                    cell = pa.array(np.repeat(np.array(numbers[n])[at], many), pa.int32())
+                    yield picked.set_column(picked.schema.get_field_index("cell"), "cell", cell).append_column("shard", pa.array(shard, pa.int32()))
+
+    home = spread(asked).withColumn("floor", F.lit(None).cast("double"))
+    start = best_of(met(home), k)
+    # the k-th score at home, where there are k
+    floor = start.groupBy("query_id", "hash").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "hash", F.col("kth").cast("double").alias("floor"))
+    asked = asked.join(floor, ["id", "hash"], "left")
+    sent = asked.mapInArrow(reach, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema) + ", shard int")
+    best = best_of(met(sent), k)
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("query_id", "rank", "vec_id", "score")
+
+
+def _fit_cells(points: DataFrame, shard_rows: int) -> dict[int, Cells]:
+    """Cells of each length, from a sample."""
+    sizes = {r.dim: r["count"] for r in points.groupBy(F.size("v").alias("dim")).count().collect()}
+    total = sum(sizes.values())
+    if not total:
+        return {}
+    some = points.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / total) * (1 << 30))) if total > SAMPLE_ROWS else points
+    sample: dict = {n: [] for n in sizes}
+    for r in some.select("v").toLocalIterator():  # about SAMPLE_ROWS
+        sample[len(r.v)].append(r.v)
+    out, first = {}, 0
+    for n, rows in sorted(sample.items()):
+        most = max(1, min(CELLS, BOX_NUMBERS // max(1, 2 * n), math.ceil(sizes[n] / shard_rows)))
+        out[n] = Cells(np.array(rows, np.float64).reshape(len(rows), n), most, first)
+        first += out[n].count
+    return out
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, with their rank; Spark limits them before the exchange too."""
+    order = Window.partitionBy("query_id", "hash").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

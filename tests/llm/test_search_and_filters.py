@@ -21,25 +21,26 @@ def folder(tmp_path):
 
 
 # -- top-k ---------------------------------------------------------------------
-@pytest.mark.parametrize("shard_rows", [40, 1000])
-def test_top_k_is_exact(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows,block", [(40, 4), (7, 10_000), (1000, 10_000)])
+def test_top_k_is_exact(spark, shard_rows, block):
+    """By brute force; every query row has a list of its own, equal rows and rows of one id included."""
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(230)]
     rows += [(300, rows[0][1]), (350, rows[0][1]), (301, None), (302, [float("nan")] * 6), (303, [None] * 6), (304, [float("inf")] + [0.0] * 5), (305, [1.0, 2.0]), (350, rows[1][1]), (None, rows[2][1]), (400, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in T.exact_top_k(df, df.where("vec_id % 50 = 0"), shard_rows=shard_rows).where("query_id <> 350").collect())
+    rows += [(350, rows[1][1]), (50, rows[50][1]), (7, rows[9][1])] + [(1000 + i, rows[3][1]) for i in range(100)] + [(450, [0.5, 0.25])]
+    df = spark.createDataFrame([(*r, 3, 4) for r in rows], "vec_id long, embedding array<float>, cell int, shard int")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in T.exact_top_k(df, df.where("vec_id % 50 = 0"), shard_rows=shard_rows, block_queries=block).collect())
     ok = [(i, np.floor(256 * np.float32(v).astype(float))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for i, v in ok:
-        if i % 50 == 0 and i != 350:
+        if i % 50 == 0:
             best = sorted((-int(v @ w), j) for j, w in ok if j != i and len(w) == len(v))[:5]
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert got == sorted(want)
     assert T.exact_top_k(df.where("false"), df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("shard_rows", [40, 1000])
-def test_queries_of_one_id_share_a_list(spark, shard_rows):
+def test_top_k_equals_its_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from gridloom.llm.oracles import TOPK
 
@@ -47,13 +48,24 @@ def test_queries_of_one_id_share_a_list(spark, shard_rows):
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(230)]
     rows += [(50, rows[50][1]), (100, rows[3][1]), (100, rows[4][1]), (350, rows[0][1]), (350, rows[1][1]), (7, rows[9][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in T.exact_top_k(df, df.where("vec_id % 50 = 0"), shard_rows=shard_rows).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in T.exact_top_k(df, df.where("vec_id % 50 = 0"), shard_rows=40).collect())
     db = duckdb.connect()
     db.execute("create table embeddings (vec_id bigint, embedding float[])")
     db.executemany("insert into embeddings values (?, ?)", rows)
     assert got == sorted(db.execute(TOPK).fetchall())
 
 
+def test_cells_cut_at_medians():
+    rng = np.random.default_rng(17)
+    points = np.round(rng.normal(size=(2000, 3)) * 50)
+    points[:700] = points[0]  # a third of all rows are one vector
+    cells = T.Cells(points, 16, 5)
+    found = cells.of(points)
+    assert cells.count > 8 and found.min() == 5 and set(found.tolist()) == set(range(5, 5 + cells.count))
+    assert (found[:700] == found[0]).all() and np.bincount(found - 5).max() < 1100
+    assert T.Cells(np.ones((50, 2)), 8, 0).count == 1 and T.Cells(np.zeros((3, 0)), 8, 0).of(np.zeros((2, 0))).tolist() == [0, 0]
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(1)
     points = np.floor(rng.normal(size=(500, 4)) * 50)
