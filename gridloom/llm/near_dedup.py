@@ -11,20 +11,26 @@ one set are a *class*, represented by its smallest id; only classes go on.
 * What is left is confirmed on the full sets: 100 * common >= 75 * together.
 
 A band's classes aren't paired with each other.  First each is compared with
-the smallest class of a band of its; confirmed links give components.  Then all
-pairs of one band that lie in different components are compared on the spot, and
-only the most similar pair of two components is sent on.  So every candidate pair
-is confirmed, refuted, or inside one component already.
+the smallest class of a band of its; confirmed links give components.  Then, in each band,
+the classes outside of its largest component are compared with all of the band that lie in
+other components, on their full sets, on the spot; of the pairs that are similar enough only
+the most similar one of two components is sent on.  So every candidate pair is confirmed,
+refuted, or inside one component already.  A band is cut into chunks of bounded rows and
+bytes, and a task gets two of them.  What stays quadratic is a band of many classes of which no
+component holds most.
 
 Defined results: a null or empty text has an empty set, is linked with nothing
 and is kept; rows with a null id are linked with nothing and kept; rows that
-repeat an id are judged by their own text each; an empty table gives no rows.
-Component links live in files of a shared folder, never on the driver.
+repeat an id are judged by their own text each (a component's id is the smallest id of its
+rows, so a row is kept if its own id is that one); a text of fewer words than a shingle is one
+shingle; a long text is one set like any other; other columns aren't read; an empty table
+gives no rows.  Component links live in files of a shared folder, never on the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +46,9 @@ SHINGLE, LEAST_SHARE = 5, (75, 100)
 BANDS, ROWS = 28, 4
 #: Bits of an odd sketch, and the estimate below which a candidate is dropped: six standard errors off.
 SKETCH_BITS, LEAST_ESTIMATE = 512, 0.5
-#: Classes of one band that are compared by one task with as many others, and shingles compared at a time.
-CHUNK, COLUMNS = 1024, 2048
-#: Bands are compared by the upper halves of the shingles' hashes: so many may coincide by chance; the full
-#: sets decide afterwards.
-SLACK = 2
+#: Classes of one band, and bytes of their sets, that are compared by one task with as many others, and
+#: shingles compared at a time.
+CHUNK, CHUNK_BYTES, COLUMNS = 1024, 16 << 20, 2048
 _N = BANDS * ROWS
 _DRAWN = np.frombuffer(hashlib.shake_256(b"minhash").digest(8 * _N), "<u4").reshape(2, _N)
 _TIMES, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
@@ -171,7 +175,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = _saved(both.distinct(), f"{folder}/edges")
     label = _saved(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id"), f"{folder}/label-0")
-    for k in range(1, 64):
+    for k in itertools.count(1):
         near = edges.join(label, edges["b"] == label["id"]).groupBy("a").agg(F.min("label").alias("near"))
         step = label.join(near, label["id"] == near["a"]).select("id", "label", F.least("label", "near").alias("low"))
         upper = label.select(F.col("id").alias("low"), F.col("label").alias("above"))
@@ -187,25 +191,24 @@ def near_duplicates(docs: DataFrame, folder: str, doc_id: str = "doc_id", text:
     """(doc_id, n_shingles, component_id, kept) of every row; ``folder`` is new and shared."""
     small_batches(docs)
     signed = _saved(signatures(docs, doc_id, text), f"{folder}/signatures")
-    classes = signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    classes = _saved(classes, f"{folder}/classes")
-    one = signed.join(classes, (signed["set_key"] == classes["set_key"]) & (signed["doc_id"] == classes["id"]), "left_semi").dropDuplicates(["doc_id", "set_key"])
-    # an id that repeats with other texts can stand for several classes: a class is named by id and key
-    one = _saved(one.select(F.col("doc_id").alias("id"), "set_key", F.col("n_shingles").alias("n"), "bands", "sketch"), f"{folder}/one")
+    # a class is named by a number of its own: an id that repeats with other texts can be the smallest of several
+    classes = signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    classes = _saved(classes.withColumn("id", F.monotonically_increasing_id()), f"{folder}/classes")
+    one = signed.join(classes, (signed["set_key"] == classes["set_key"]) & (signed["doc_id"] == classes["first"])).select("id", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["id"])
+    one = _saved(one, f"{folder}/one")
     banded = one.select("id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("band", "leader")
     members = _saved(banded.join(buckets, "band").where("id >= leader"), f"{folder}/members")
     first = _saved(_leader_pairs(members, one), f"{folder}/pairs-1")
-    sets = _saved(_full_sets(docs, members, doc_id, text), f"{folder}/sets")
+    sets = _saved(_full_sets(docs, members, classes, doc_id, text), f"{folder}/sets")
     links = _saved(confirm(first, sets), f"{folder}/links-1")
     parts = components(links, f"{folder}/components-1")
-    second = _saved(_cross_pairs(members, one, sets, parts).join(first, ["a", "b"], "left_anti"), f"{folder}/pairs-2")
-    if second.limit(1).count():
-        more = _saved(confirm(second, sets), f"{folder}/links-2")
-        if more.limit(1).count():
-            parts = components(links.unionByName(more), f"{folder}/components-2")
-    of_class = classes.join(parts, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    more = _saved(_cross_links(members, one, sets, parts), f"{folder}/links-2")
+    if more.limit(1).count():
+        parts = components(links.unionByName(more), f"{folder}/components-2")
+    named = classes.join(parts, "id", "left").select("set_key", "first", F.coalesce("component", "id").alias("part"))
+    lowest = named.groupBy("part").agg(F.min("first").alias("component"))
+    out = signed.select("doc_id", "n_shingles", "set_key").join(named.join(lowest, "part").select("set_key", "component"), "set_key", "left")
     part = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(True)).alias("kept"))
 
@@ -232,48 +235,55 @@ def _leader_pairs(members: DataFrame, one: DataFrame) -> DataFrame:
     return _sketched(pairs, one).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
-def _full_sets(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, shingles as bytes, their upper halves) of the classes that share a band with another."""
+def _full_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, shingles as bytes) of the classes that share a band with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch, "text"):
-                part = batch.slice(a, b - a)
-                sets = shingle_sets(part.column(1))
-                short = [np.unique((s >> U64(32)).astype("<u4")).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(short, pa.binary())], ["id", "shingles", "short"])
+                sets = shingle_sets(batch.column(0).slice(a, b - a))
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "shingles"])
 
-    wanted = members.select("id").distinct()
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    return texts.join(wanted, "id", "left_semi").mapInArrow(run, "id long, shingles binary, short binary").where("octet_length(shingles) > 0").dropDuplicates(["id", "shingles"])
+    wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("first"), F.col(f"`{text}`").alias("text"))
+    found = texts.join(wanted.select("first").distinct(), "first", "left_semi").select("text").mapInArrow(run, "set_key binary, shingles binary")
+    return found.join(wanted, "set_key").select("id", "shingles").dropDuplicates(["id"])
 
 
-def _cross_pairs(members: DataFrame, one: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
+def _cross_links(members: DataFrame, one: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
     """For any two components that share a band, the pair of classes of that band that is most alike, if it
     is alike enough; all pairs are compared where they lie, none is sent but this one.
 
-    A band of many classes is cut into chunks, and a task gets two chunks of it, so no task grows with a band.
+    The classes of a band's largest component are only compared with the others.  A band of many classes is cut
+    into chunks, and a task gets two of it, so no task grows with a band.
     """
-    named = members.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("part"))
-    mixed = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).where("low < high")
-    mixed = mixed.select("band", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    rows = named.join(mixed, "band").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "id", "part")
-    rows = rows.join(one.select("id", "n", "sketch"), "id").join(sets.select("id", "short"), "id")
+    named = members.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("part")).join(one.select("id", "n"), "id")
+    sized = named.groupBy("band", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    bands = sized.groupBy("band").agg(F.count("*").alias("parts"), F.sum("rows").alias("all"), F.sum("n").alias("all_n"), F.max(F.struct("rows", "n", "part")).alias("top")).where("parts > 1")
+    chunks = lambda rows, n: F.greatest(F.ceil(rows / CHUNK), F.ceil(8 * n / CHUNK_BYTES), F.lit(1)).cast("int")
+    mixed = bands.select("band", F.col("top.part").alias("main"), chunks(F.col("top.rows"), F.col("top.n")).alias("inner"), chunks(F.col("all") - F.col("top.rows"), F.col("all_n") - F.col("top.n")).alias("outer"))
+    # chunks of the others are numbered from 0, those of the largest component behind them
+    rows = named.join(mixed, "band").withColumn("main", F.col("part") == F.col("main"))
+    spread = F.xxhash64("id")
+    rows = rows.withColumn("chunk", F.when(F.col("main"), F.col("outer") + F.pmod(spread, F.col("inner"))).otherwise(F.pmod(spread, F.col("outer"))).cast("int"))
+    every = F.col("outer") + F.when(F.col("main"), 0).otherwise(F.col("inner"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), every - 1)))
+    rows = rows.select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "id", "part", "n")
+    rows = rows.join(one.select("id", "sketch"), "id").join(sets, "id")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, part, n, chunk = (table.column(c).to_numpy() for c in ("id", "part", "n", "chunk"))
         across = table.column("x")[0].as_py() != table.column("y")[0].as_py()
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U64).reshape(len(ids), -1)
-        short = table.column("short").to_pylist()
+        full = table.column("shingles").to_pylist()
         # classes whose sketch allows a link with no other component stand out of the comparison
         open_ = [np.flatnonzero((part != part[i]) & alike(bits[i], n[i], bits, n) & ((chunk != chunk[i]) if across else True)) for i in range(len(ids))]
         some = np.array([i for i in range(len(ids)) if len(open_[i])], np.int64)
         a, b = [], []
         if len(some):
-            common = _common([np.frombuffer(short[i], "<u4") for i in some])
+            common = _common([np.frombuffer(full[i], "<u8") for i in some])
             place = np.full(len(ids), -1)
             place[some] = np.arange(len(some))
             best: dict = {}
@@ -281,15 +291,15 @@ def _cross_pairs(members: DataFrame, one: DataFrame, sets: DataFrame, parts: Dat
                 j = open_[i]
                 both = common[place[i], place[j]]
                 union = n[i] + n[j] - both
-                ok = LEAST_SHARE[1] * (both + SLACK) >= LEAST_SHARE[0] * (union - SLACK)
-                for k, share in zip(j[ok].tolist(), (both[ok] / np.maximum(union[ok], 1)).tolist()):
+                ok = LEAST_SHARE[1] * both >= LEAST_SHARE[0] * union
+                for k, share in zip(j[ok].tolist(), (both[ok] / union[ok]).tolist()):
                     key = (min(part[i], part[k]), max(part[i], part[k]))
                     if share > best.get(key, (-1.0,))[0]:
                         best[key] = (share, min(ids[i], ids[k]), max(ids[i], ids[k]))
             a, b = [x[1] for x in best.values()], [x[2] for x in best.values()]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("band", "x", "y").applyInArrow(lambda t: run(t), "a long, b long").where("a < b").distinct()
+    return rows.groupBy("band", "x", "y").applyInArrow(lambda t: run(t), "a long, b long").distinct()
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:

@@ -127,6 +127,27 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path, monkeypatch):
     assert len(set(want.values())) > 30
 
 
+@pytest.mark.parametrize("bytes_", [1 << 12, 16 << 20])
+def test_rows_of_one_id_and_mixed_bands(spark, tmp_path, monkeypatch, bytes_):
+    """Rows that repeat an id with other texts, a class that shares bands with a large component, a long text."""
+    monkeypatch.setattr(N, "CHUNK", 8)
+    monkeypatch.setattr(N, "CHUNK_BYTES", bytes_)
+    rnd = random.Random(18)
+    base = [f"v{k}" for k in range(80)]
+    near = lambda n: " ".join(f"y{rnd.randint(0, 10**6)}" if k in set(rnd.sample(range(80), n)) else w for k, w in enumerate(base))
+    docs = [(i, near(1)) for i in range(10, 60)] + [(i, near(6)) for i in range(60, 75)]
+    docs += [(5, "one two three four five six"), (5, near(0)), (5, "other words of this id that are long enough"), (4, "other words of this id that are long enough"), (3, "x " * 30_000), (2, "x " * 29_000), (1, " ".join(f"z{k}" for k in range(30_000)))]
+    own = {n: t for n, (_, t) in enumerate(docs)}
+    want, sets = brute_components(list(own.items()))  # by row
+    lowest = {}
+    for n, (i, _) in enumerate(docs):
+        lowest[want[n]] = min(lowest.get(want[n], i), i)
+    expect = sorted((i, len(sets[n]), lowest[want[n]], lowest[want[n]] == i) for n, (i, _) in enumerate(docs))
+    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, component_id int, id int").repartition(3)
+    assert sorted(map(tuple, N.near_duplicates(df, folder(tmp_path)).collect())) == expect
+    assert lowest[want[51 + 15]] == 5 and {x for x in lowest.values()} >= {1, 2, 4}
+
+
 def test_near_duplicates_of_nothing(spark, tmp_path):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), folder(tmp_path)).count() == 0
 
@@ -145,7 +166,7 @@ def test_odd_sketches_estimate_high_similarity():
 
 def test_common_parts():
     rng = np.random.default_rng(5)
-    sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint32)) for _ in range(9)]
+    sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(9)]
     got = N._common(sets)
     for i in range(9):
         for j in range(9):
