@@ -1,103 +1,105 @@
 """Log-structured index of window fingerprints.
 
-Runs are sorted, immutable and hold distinct entries.  New runs are merge-joined
-with the ones already there; every ``FANOUT`` runs of one level are compacted
-into one run of the next, where an entry that occurred in more than one of them
-gets its low bit set.  The same structure serves in memory, for one value range
-of a batch, and as Parquet runs of an index that outlives a batch.
+A *run* is a Parquet table of pieces (see ``repeats``): the hash of a piece's gram, a digest of
+its words, how often it occurred, and the hashes of its windows.  A run is sorted, written once and
+never changed.  A new batch's pieces are joined with all runs by gram: equal ones are repeated at
+once; where a gram stands in different pieces, their windows are joined in turn.  ``ingest`` writes
+the batch as a run of level 0; every ``fanout`` runs of a level are compacted into one run of the
+next, in which a piece stands once.
+
+All of it is Spark: joins and sums by key, of which none holds more than one row for each block of
+documents, run and distinct piece.  Pieces count as equal if the 64-bit hash of the gram and the
+64-bit BLAKE2 digest of the words agree; windows if the hashes of gram and window do.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .repeats import ONE, RUN, RUN_SCHEMA, in_run, merged
-
 FANOUT = 8
-
-
-class RunSet:
-    """Runs of one value range, by level."""
-
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, [[]]
-
-    def add(self, run: np.ndarray) -> None:
-        level = 0
-        self.levels[0].append(run)
-        while len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(merged(full))
-            level += 1
-
-    def compact(self) -> np.ndarray:
-        run = merged([r for level in self.levels for r in level])
-        self.levels = [[run]]
-        return run
-
-
-def repeated(runs: list[np.ndarray]) -> list[np.ndarray]:
-    """For each run, which of its entries occur more than once in all of them."""
-    index = RunSet()
-    for run in runs:
-        index.add(run)
-    whole = index.compact()
-    many = whole[(whole["value"] & ONE) > 0].copy()
-    many["value"] &= ~ONE
-    out = []
-    for run in runs:
-        bare = run.copy()
-        bare["value"] &= ~ONE
-        out.append(in_run(bare, many))
-    return out
+PIECES = "block int, gram long, digest long, n long"
+SPELLED = "block int, gram long, window long, n long"
+ENTRIES = "gram long, digest long, n long, windows array<long>"
+#: Block of what comes from a run.
+HISTORY = -1
 
 
 class FingerprintIndex:
-    """Runs in a shared folder: ``path/level=L/`` holds Parquet rows (part, block, run).
-
-    ``batch`` rows have the same form; ``seen`` tells which of their entries the
-    history or another run of the batch holds, ``ingest`` adds them as a run of
-    level 0 and compacts full levels.  A run is written once and never changed.
-    """
+    """Runs below ``path`` (``level=L/run=N``); those that are there already are found again.  Without a path the
+    history is empty, and nothing can be ingested."""
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
         self.spark, self.path, self.fanout = spark, path, fanout
-        self.runs: list[tuple[int, str]] = []
-        self._next = 0
+        self.runs: list[tuple[int, int]] = _complete_runs(spark, path) if path else []
+        self._next = 1 + max((n for _, n in self.runs), default=-1)
 
     def history(self) -> DataFrame:
         if not self.runs:
-            return self.spark.createDataFrame([], RUN_SCHEMA)
-        return self.spark.read.parquet(*[p for _, p in self.runs])
-
-    def seen(self, batch: DataFrame) -> DataFrame:
-        """(block, run): the entries of each block that occur elsewhere, history included."""
-
-        def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            new, old = ([np.frombuffer(x, RUN) for x in t.column("run").to_pylist()] for t in (left, right))
-            rows = [(b, r[hit].tobytes()) for b, r, hit in zip(left.column("block").to_pylist(), new, repeated(new + old), strict=False) if hit.any()]
-            return pa.table({"block": pa.array([b for b, _ in rows], pa.int32()), "run": pa.array([r for _, r in rows], pa.binary())})
-
-        return batch.groupBy("part").cogroup(self.history().groupBy("part")).applyInArrow(join, "block int, run binary")
-
-    def ingest(self, batch: DataFrame) -> None:
-        self._write(0, batch)
+            return self.spark.createDataFrame([], ENTRIES)
+        return self.spark.read.schema(ENTRIES).parquet(*[self._place(*r) for r in self.runs])
+
+    def told_pieces(self, batch: DataFrame) -> DataFrame:
+        """(block, gram, digest, repeated, spell): of the batch's pieces (PIECES) those that are repeated, in the batch
+        or in a run, or whose gram also stands in another piece; one block spells each of the latter."""
+        rows = batch
+        if self.runs:
+            rows = rows.unionByName(self.history().select(F.lit(HISTORY).alias("block"), "gram", "digest", "n"))
+        same, of_gram = Window.partitionBy("gram", "digest"), Window.partitionBy("gram")
+        marked = rows.withColumns({"total": F.sum("n").over(same), "who": F.min("block").over(same), "low": F.min("digest").over(of_gram), "high": F.max("digest").over(of_gram)})
+        told = marked.where(f"block <> {HISTORY} and (total > 1 or low < high)")
+        return told.select("block", "gram", "digest", (F.col("total") > 1).alias("repeated"), ((F.col("low") < F.col("high")) & (F.col("block") == F.col("who"))).alias("spell"))
+
+    def told_windows(self, spelled: DataFrame, told: DataFrame) -> DataFrame:
+        """(block, gram, window): of the spelled windows (SPELLED) those that occur more than once, runs included."""
+        rows = spelled
+        if self.runs:
+            old = self.history().join(told.select("gram").distinct(), "gram", "left_semi")
+            rows = rows.unionByName(old.select(F.lit(HISTORY).alias("block"), "gram", F.explode("windows").alias("window"), F.lit(1).cast("long").alias("n")))
+        total = F.sum("n").over(Window.partitionBy("gram", "window"))
+        return rows.withColumn("total", total).where(f"block <> {HISTORY} and total > 1").select("block", "gram", "window")
+
+    def ingest(self, entries: DataFrame) -> None:
+        """Adds a batch (ENTRIES) as a run and compacts full levels."""
+        self._write(0, entries)
         level = 0
         while len(full := [r for r in self.runs if r[0] == level]) >= self.fanout:
-            self.runs = [r for r in self.runs if r[0] != level]
-            self._write(level + 1, self.spark.read.parquet(*[p for _, p in full]))
+            self._write(level + 1, self.spark.read.schema(ENTRIES).parquet(*[self._place(*r) for r in full]))
+            self.runs = [r for r in self.runs if r not in full]
+            for r in full:  # a run that is left behind by a crash holds what the next level holds too: see _complete_runs
+                _drop(self.spark, self._place(*r))
             level += 1
 
-    def _write(self, level: int, rows: DataFrame) -> None:
-        def compact(table: pa.Table) -> pa.Table:
-            run = merged([np.frombuffer(x, RUN) for x in table.column("run").to_pylist()])
-            return pa.table({"part": table.column("part").slice(0, 1), "block": pa.array([-1], pa.int32()), "run": pa.array([run.tobytes()], pa.binary())})
+    def _place(self, level: int, n: int) -> str:
+        return f"{self.path}/level={level}/run={n:06d}"
 
-        path, self._next = f"{self.path}/level={level}/run-{self._next:06d}", self._next + 1
-        rows.select("part", F.lit(-1).alias("block"), "run").groupBy("part").applyInArrow(compact, RUN_SCHEMA).write.parquet(path)
-        self.runs.append((level, path))
+    def _write(self, level: int, rows: DataFrame) -> None:
+        if not self.path:
+            raise ValueError("an index without a path can't ingest")
+        number, self._next = self._next, self._next + 1
+        run = rows.groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"))
+        run.sortWithinPartitions("gram", "digest").write.parquet(self._place(level, number))
+        self.runs.append((level, number))
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    files, place = _folder(spark, path)
+    files.delete(place, True)
+
+
+def _complete_runs(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(level, number) of the runs that were written to the end.  A run replaces all older ones of the level below:
+    those that a crash kept from being dropped don't count."""
+    files, place = _folder(spark, path)
+    found = []
+    for level in files.listStatus(place) if files.exists(place) else []:
+        for run in files.listStatus(level.getPath()):
+            if files.exists(spark._jvm.org.apache.hadoop.fs.Path(run.getPath(), "_SUCCESS")):
+                found.append((int(level.getPath().getName().partition("=")[2]), int(run.getPath().getName().partition("=")[2])))
+    newest = {level: max(n for l, n in found if l == level) for level, _ in found}
+    return sorted((l, n) for l, n in found if n > newest.get(l + 1, -1))

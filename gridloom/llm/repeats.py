@@ -1,9 +1,9 @@
-"""Which windows of fixed width start more than once in a corpus, exactly.
+"""Which windows of fixed width start more than once in a corpus.
 
 Both removal operators (words, bytes) ask the same question; only the symbols,
-the width and the way equal windows are grouped differ.  Documents are dealt to
-*blocks* by a hash; a block is the unit of Python work.  Python sends sorted
-binary runs of 64-bit values, cut by value range, never a row for each window:
+the width and the way equal windows are found differ.  Rows are dealt to
+*blocks* by their place, so rows that are alike don't pile up in one; a block is the unit of
+Python work, and a partition holds many of them.
 
 1. **Pieces.**  Every window holds the least of its gram hashes.  Consecutive
    windows whose least gram stands at the same place make a piece of text, one for about ``w / 2``
@@ -14,14 +14,14 @@ binary runs of 64-bit values, cut by value range, never a row for each window:
    repeats, each of these pieces is spelled out as windows, by one block only.
 3. **Marking.**  Each block gets back which of its pieces and windows are repeated.
 
-A group of a value range holds at most one run of each block, whatever the
-number of copies, so a passage in a third of all documents weighs as much as
-any other.  Windows count as equal only if a 63-bit and an independent 32-bit
-hash agree.
+Python sends a piece or window once for each block, whatever the number of copies, so a
+passage in a third of all documents weighs one entry a block.  Pieces count as equal only if
+the hash of their gram and a BLAKE2 digest of their symbols agree.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import small_batches
-from .textcore import CHECK_POWERS, NO_GRAM, U64, member, mix, prefix_hash, range_hash, room, slices, sliding
+from .textcore import NO_GRAM, U64, member, mix, prefix_hash, range_hash, room, slices, sliding
 
 BLOCK = "__block"
 BLOCK_BYTES = 8 << 20
-LEAST_BLOCKS, MOST_RANGES = 48, 2048
+LEAST_BLOCKS = 48
+#: Bytes of text that a partition holds, at most about: many blocks.
+PARTITION_BYTES = 1 << 30
 RUN_SCHEMA = "part int, block int, run binary"
 #: value: 63 bits of hash, then one bit that says "more than once in this block".
-RUN = np.dtype([("value", "<u8"), ("check", "<u4")])
+RUN = np.dtype([("value", "<u8"), ("check", "<u8")])
 #: A piece: its gram (and such a bit), and the hash of its text.
 PIECE = np.dtype([("value", "<u8"), ("check", "<u8")])
 #: What a block is told of a piece: that it is repeated, that the block has to spell it out.
@@ -49,32 +51,40 @@ ONE = U64(1)
 
 
 def in_blocks(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
-    """``docs`` with a block number, dealt out by it; rows that are alike meet in one block."""
+    """``docs`` with a block number, dealt out by it; rows that are alike spread over the blocks."""
     small_batches(docs)
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     n = max(LEAST_BLOCKS, math.ceil(total / BLOCK_BYTES))
-    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if kind.startswith(("string", "bigint", "int"))]
-    return docs.withColumn(BLOCK, F.pmod(F.xxhash64(*others), F.lit(n)).cast("int")).repartition(n, BLOCK), n
+    parts = min(n, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION_BYTES)))
+    return docs.withColumn(BLOCK, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")).repartition(parts, BLOCK), n
+
+
+def digests(body: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2 digests of ``body[begin[i]:end[i]]``."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(body[i:j], digest_size=8).digest() for i, j in zip(begin.tolist(), end.tolist())]), "<u8").astype(U64)
 
 
 @dataclass(frozen=True)
 class Windows:
-    """Windows of ``width`` symbols.  ``symbols`` makes (values, bounds, hash powers) of an Arrow slice."""
+    """Windows of ``width`` symbols.  ``symbols`` makes of an Arrow slice (values, bounds, hash powers, bytes,
+    first byte of each symbol, byte behind it)."""
 
     text: str
     width: int
     gram: int
     symbols: Callable
-    group: Callable  # (slice state, starts) -> RUN array of the distinct windows at these starts
-    find: Callable  # runs of one value range -> for each run, which of its entries are repeated
+    group: Callable | None = None  # (slice state, starts) -> RUN array of the distinct windows at these starts
+    find: Callable | None = None  # runs of one value range -> for each run, which of its entries are repeated
 
     # -- one slice of a block ------------------------------------------------
     def state(self, part: pa.Table) -> dict:
-        values, bounds, powers = self.symbols(part.column(self.text))
-        return {"values": values, "bounds": bounds, "powers": powers, "hash": prefix_hash(values, powers), "room": room(bounds)}
+        values, bounds, powers, body, first, last = self.symbols(part.column(self.text))
+        return {"values": values, "bounds": bounds, "powers": powers, "hash": prefix_hash(values, powers), "room": room(bounds), "body": body, "first": first, "last": last}
 
-    def pieces(self, s: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last window (exclusive) of each piece, and its PIECE entry."""
+    def pieces(self, s: dict, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last window (exclusive) of each piece, and its PIECE entry; only those whose gram is
+        ``known``, if that is given (ascending)."""
         n, k = len(s["values"]), self.gram
         g = np.full(n, NO_GRAM, U64)
         at = np.flatnonzero(s["room"] >= k)
@@ -90,26 +100,33 @@ class Windows:
         change[1:-1] = least[1:] != least[:-1]
         lo = np.flatnonzero(full[1:] & (change | ~full[:-1]))
         hi = np.flatnonzero(full[:-1] & (change | ~full[1:]))
+        value = g[least[lo]]
+        if known is not None:
+            some = member(value, known)
+            lo, hi, value = lo[some], hi[some], value[some]
         out = np.empty(len(lo), PIECE)
-        out["value"] = g[least[lo]]
-        size = hi - lo
-        out["check"] = mix(range_hash(s["hash"], lo, hi - 1 + self.width, s["powers"]) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+        out["value"], out["check"] = value, self.digest(s, lo, hi - 1 + self.width)
         return lo, hi, out
 
+    def digest(self, s: dict, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of the bytes of symbols ``lo`` to ``hi`` (exclusive)."""
+        return digests(s["body"], s["first"][lo], s["last"][hi - 1])
+
     def prints(self, s: dict, at: np.ndarray) -> np.ndarray:
         """RUN entries of the windows at ``at``, in that order."""
         out = np.empty(len(at), RUN)
-        out["value"] = mix(range_hash(s["hash"], at, at + self.width, s["powers"])) & ~ONE
-        if "check" not in s:
-            s["check"] = prefix_hash(mix(s["values"] ^ U64(0x5851F42D4C957F2D)), CHECK_POWERS)
-        out["check"] = mix(range_hash(s["check"], at, at + self.width, CHECK_POWERS)) >> U64(32)
+        out["value"] = self.window_hashes(s, at) & ~ONE
+        out["check"] = self.digest(s, at, at + self.width)
         return out
 
+    def window_hashes(self, s: dict, at: np.ndarray) -> np.ndarray:
+        return mix(range_hash(s["hash"], at, at + self.width, s["powers"]))
+
     # -- the passes ----------------------------------------------------------
     def mark(self, docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
         """``finish(slice table, state, repeated starts)`` yields the rows of ``schema``."""
         docs, n = in_blocks(docs, self.text)
-        parts = min(n, MOST_RANGES)
+        parts = n
         whole = self
 
         def pieces(table: pa.Table) -> pa.Table:
@@ -120,7 +137,7 @@ class Windows:
             spell = told_pieces(right, lambda flags: flags & SPELL > 0)
             out = []
             for s, _ in whole.walk(left) if len(spell) else ():
-                lo, hi, piece = whole.pieces(s)
+                lo, hi, piece = whole.pieces(s, spell["value"])
                 hit = in_run(piece, spell)
                 out.append(whole.group(whole, s, spans(lo[hit], hi[hit])))
             return cut(merged(out), int(left.column(BLOCK)[0].as_py()) if left.num_rows else 0, parts)
@@ -129,11 +146,12 @@ class Windows:
             known = told_pieces(right, lambda flags: flags & REPEATED > 0)
             spelt = told_pieces(right, lambda flags: flags == SPELL)
             hits = told_windows(right)
+            told_of = np.unique(np.concatenate([known["value"], spelt["value"]]))
             done = []
             for s, part in whole.walk(left):
                 starts = np.zeros(0, np.int64)
                 if len(known) or len(hits):
-                    lo, hi, piece = whole.pieces(s)
+                    lo, hi, piece = whole.pieces(s, told_of)
                     hit, look = in_run(piece, known), in_run(piece, spelt)
                     at = spans(lo[look], hi[look])
                     starts = np.sort(np.concatenate([spans(lo[hit], hi[hit]), at[in_run(whole.prints(s, at), hits)]]))
@@ -261,6 +279,19 @@ def merged(runs: list[np.ndarray], kind: np.dtype = RUN) -> np.ndarray:
     return distinct(x)
 
 
+def repeated(runs: list[np.ndarray]) -> list[np.ndarray]:
+    """For each sorted run, which of its entries occur more than once in all of them."""
+    whole = merged(runs)
+    many = whole[(whole["value"] & ONE) > 0].copy()
+    many["value"] &= ~ONE
+    out = []
+    for run in runs:
+        bare = run.copy()
+        bare["value"] &= ~ONE
+        out.append(in_run(bare, many))
+    return out
+
+
 def same_as_before(x: np.ndarray) -> np.ndarray:
     same = np.zeros(len(x), bool)
     same[1:] = ((x["value"][1:] ^ x["value"][:-1]) <= 1) & (x["check"][1:] == x["check"][:-1])
@@ -282,17 +313,16 @@ def in_run(x: np.ndarray, run: np.ndarray) -> np.ndarray:
     values = run["value"] & ~ONE
     out = np.zeros(len(x), bool)
     at = np.flatnonzero(member(x["value"], values))
-    lo = np.searchsorted(values, x["value"][at])
-    for step in range(1, 1 << 30):  # entries with equal first hashes stand side by side
-        ok = lo < len(run)
-        at, lo = at[ok], lo[ok]
-        same = values[lo] == x["value"][at]
-        at, lo = at[same], lo[same]
-        if not len(at):
-            return out
-        hit = run["check"][lo] == x["check"][at]
-        out[at[hit]] = True
-        at, lo = at[~hit], lo[~hit] + 1
+    value, check = x["value"][at], x["check"][at]
+    lo, end = np.searchsorted(values, value, "left"), np.searchsorted(values, value, "right")
+    hi = end.copy()
+    while (open_ := np.flatnonzero(lo < hi)).size:  # entries of one value stand by their check
+        mid = (lo[open_] + hi[open_]) >> 1
+        below = run["check"][mid] < check[open_]
+        lo[open_] = np.where(below, mid + 1, lo[open_])
+        hi[open_] = np.where(below, hi[open_], mid)
+    ok = np.flatnonzero(lo < end)
+    out[at[ok]] = run["check"][lo[ok]] == check[ok]
     return out
 
 

@@ -2,13 +2,17 @@
 
 A window is ``width`` consecutive words (``[^\\x20\\x09-\\x0D]+``, unchanged) of one
 document.  Each word covered by a window that also starts anywhere else, in the
-same document or another, is removed.  Windows are judged on the input, so the
-result doesn't depend on an order of documents.
+same document, another one, or one of an index's history, is removed.  Windows are judged on
+the input, so the result doesn't depend on an order of documents.
+
+A table is one batch: its pieces and windows are joined with the runs of a ``FingerprintIndex``
+(``index``; an empty history without one), and ``ingest`` adds it to them for the next batch.
 
 Defined results: a null or empty text has no words and comes back as an empty
 text; a text of fewer words than ``width`` is kept whole; equal rows count as
-separate documents (both lose what they share); a null id is passed through;
-an empty table gives no rows; columns other than the text are never read.
+separate documents (both lose what they share); null ids and all other columns are passed
+through, but for columns with the names of results, which are replaced, and ``__block``, which
+is lost; a long text is cut by no bound but its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,48 +23,127 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .fingerprint_index import repeated
-from .repeats import BLOCK, Windows, covered, merged
-from .textcore import WORD_POWERS, joined_bytes, word_bounds, word_hashes
+from .fingerprint_index import ENTRIES, PIECES, SPELLED, FingerprintIndex
+from .repeats import BLOCK, ONE, PIECE, Windows, covered, in_blocks, in_run, merged, spans
+from .textcore import U64, WORD_POWERS, joined_bytes, word_bounds, word_hashes
 
 WIDTH, GRAM = 35, 16
 
 
 def word_symbols(column: pa.ChunkedArray) -> tuple:
+    """Words, and a body in which they are joined by one space."""
     buf, bounds = joined_bytes(column)
     start, end, in_words = word_bounds(buf, bounds)
-    return word_hashes(buf, start, end), in_words, WORD_POWERS
+    last = np.cumsum(end - start + 1) - 1
+    first = last - (end - start)
+    body = np.full(int(last[-1]) + 1 if len(last) else 0, 0x20, np.uint8)
+    body[spans(first, last)] = buf[spans(start, end)]
+    return word_hashes(buf, start, end), in_words, WORD_POWERS, body.tobytes(), first, last
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
 
+def _entry(table: pa.Table, value: str, check: str) -> np.ndarray:
+    """Rows as ascending PIECE entries."""
+    out = np.empty(table.num_rows, PIECE)
+    out["value"] = table.column(value).to_numpy().view(U64) << ONE
+    out["check"] = table.column(check).to_numpy().view(U64)
+    return out[np.lexsort((out["check"], out["value"]))]
 
-def sorted_run(windows: Windows, s: dict, at: np.ndarray) -> np.ndarray:
-    return merged([windows.prints(s, at)])
 
+def _windows_of(windows: Windows, s: dict, lo: np.ndarray, hi: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of pieces, and their PIECE entries: the gram, and the window's hash as check."""
+    at = spans(lo, hi)
+    out = np.empty(len(at), PIECE)
+    out["value"], out["check"] = np.repeat(piece["value"], hi - lo), windows.window_hashes(s, at)
+    return at, out
 
-def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+
+def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, index: FingerprintIndex | None = None) -> DataFrame:
     """All columns of ``docs``, with ``kept_text`` (kept words joined by one space), ``n_words``,
     ``n_removed`` and ``spans`` (first and last removed word of each maximal run) added."""
-    windows = Windows(text, width, min(gram, width), word_symbols, sorted_run, repeated)
+    windows = Windows(text, width, min(gram, width), word_symbols)
+    index = index or FingerprintIndex(docs.sparkSession)
     columns = [c for c in docs.columns if c not in (BLOCK, "kept_text", "n_words", "n_removed", "spans")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
 
+    def pieces(table: pa.Table) -> pa.Table:
+        run = merged([merged([windows.pieces(s)[2]], PIECE) for s, _ in windows.walk(table)], PIECE)
+        return pa.table({"block": _block(table, len(run)), "gram": _signed(run["value"] >> ONE), "digest": _signed(run["check"]), "n": _signed(U64(1) + (run["value"] & ONE))})
+
+    def spell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        told, out = _entry(right, "gram", "digest"), []
+        for s, _ in windows.walk(left) if len(told) else ():
+            lo, hi, piece = windows.pieces(s, told["value"])
+            hit = in_run(piece, told)
+            out.append(_windows_of(windows, s, lo[hit], hi[hit], piece[hit])[1])
+        run = merged(out, PIECE)
+        return pa.table({"block": _block(left, len(run)), "gram": _signed(run["value"] >> ONE), "window": _signed(run["check"]), "n": _signed(U64(1) + (run["value"] & ONE))})
+
+    def last(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = right.column("kind").to_numpy()
+        known, open_, hits = (_entry(right.take(pa.array(np.flatnonzero(kind == k))), "gram", "check") for k in range(3))
+        told_of = np.unique(np.concatenate([known["value"], open_["value"]]))
+        done = []
+        for s, part in windows.walk(left):
+            starts = np.zeros(0, np.int64)
+            if len(known) or len(hits):
+                lo, hi, piece = windows.pieces(s, told_of)
+                hit, look = in_run(piece, known), in_run(piece, open_)
+                at, entry = _windows_of(windows, s, lo[look], hi[look], piece[look])
+                starts = np.sort(np.concatenate([spans(lo[hit], hi[hit]), at[in_run(entry, hits)]]))
+            done.append(finish(part, s, starts))
+        return pa.concat_tables(done) if done else left.slice(0, 0).select(columns)
+
     def finish(part: pa.Table, s: dict, starts: np.ndarray) -> pa.Table:
         bounds = s["bounds"]
         gone = covered(starts, width, len(s["values"]))
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[bounds])
-        kept, spans = [], []
+        kept, cut = [], []
         for i, value in enumerate(part.column(text).to_pylist()):
             words = value.encode().split() if value else []
             if removed[i]:
                 mask = gone[bounds[i] : bounds[i + 1]]
                 words = compress(words, ~mask)
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
-                spans.append([{"first": int(a), "last": int(b) - 1} for a, b in edge.reshape(-1, 2)])
+                cut.append([{"first": int(a), "last": int(b) - 1} for a, b in edge.reshape(-1, 2)])
             else:
-                spans.append([])
+                cut.append([])
             kept.append(b" ".join(words).decode())
         out = part.select(columns)
         out = out.append_column("kept_text", pa.array(kept, pa.string()))
         out = out.append_column("n_words", pa.array(np.diff(bounds), pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
-        return out.append_column("spans", pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))))
+        return out.append_column("spans", pa.array(cut, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))))
+
+    blocked, _ = in_blocks(docs.select(*[f"`{c}`" for c in columns]), text)
+    by_block = blocked.groupBy(BLOCK)
+    told = index.told_pieces(by_block.applyInArrow(pieces, PIECES))
+    spelled = by_block.cogroup(told.where("spell").groupBy("block")).applyInArrow(spell, SPELLED)
+    found = index.told_windows(spelled, told)
+    # kind 0: a repeated piece; 1: one whose windows have to be looked up; 2: a repeated window
+    news = told.selectExpr("block", "gram", "digest as check", "if(repeated, 0, 1) as kind").unionByName(found.selectExpr("block", "gram", "window as check", "2 as kind"))
+    return by_block.cogroup(news.groupBy("block")).applyInArrow(last, f"{fields}, kept_text string, n_words long, n_removed long, spans array<struct<first:long,last:long>>")
+
+
+def _block(table: pa.Table, n: int) -> pa.Array:
+    return pa.array(np.full(n, table.column(BLOCK)[0].as_py() if table.num_rows else 0), pa.int32())
+
+
+def ingest(docs: DataFrame, index: FingerprintIndex, text: str = "text", width: int = WIDTH, gram: int = GRAM) -> None:
+    """Adds all windows of ``docs`` to the index' history; their text isn't kept."""
+    windows = Windows(text, width, min(gram, width), word_symbols)
+
+    def entries(batches):
+        for batch in batches:
+            for s, _ in windows.walk(batch):
+                lo, hi, piece = windows.pieces(s)
+                at, entry = _windows_of(windows, s, lo, hi, piece)
+                edges = np.concatenate([[0], np.cumsum(hi - lo)])
+                spelled = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), _signed(entry["check"]))
+                yield pa.RecordBatch.from_arrays([_signed(piece["value"] >> ONE), _signed(piece["check"]), pa.array(np.ones(len(lo)), pa.int64()), spelled], ["gram", "digest", "n", "windows"])
+
+    from .batches import small_batches
 
-    return windows.mark(docs.select(*[f"`{c}`" for c in columns]), finish, f"{fields}, kept_text string, n_words long, n_removed long, spans array<struct<first:long,last:long>>")
+    index.ingest(small_batches(docs).select(f"`{text}`").mapInArrow(entries, ENTRIES))

@@ -5,12 +5,15 @@ document that also starts anywhere else is removed.  Within a slice the
 candidate suffixes are put in order by a mergesort that compares two suffixes
 by their common extension: a binary search over prefix polynomial hashes, so a
 comparison takes about log2(width) steps.  Neighbours with a common extension of
-``width`` bytes are compared byte by byte before they count as one string.
-Slices, blocks and value ranges are then merged by fingerprint.
+``width`` bytes are compared byte by byte before they count as one string.  The order decides
+inside a slice; the distinct strings of slices and blocks are then matched by value range, where
+a polynomial hash and a BLAKE2 digest of the bytes must agree.
 
 Defined results: null is an empty text; a text shorter than ``width`` bytes is
-kept whole; equal rows count as separate documents; an empty table gives no
-rows; kept bytes may cut a character, so they come back as binary.
+kept whole; equal rows count as separate documents; null ids and other columns are passed
+through, but for the text and columns with the names of results, which are replaced; a long
+text is cut by no bound but its own; an empty table gives no rows; kept bytes may cut a
+character, so they come back as binary.
 """
 
 from __future__ import annotations
@@ -19,8 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .fingerprint_index import repeated
-from .repeats import BLOCK, RUN, U64, Windows, covered, merged
+from .repeats import BLOCK, RUN, U64, Windows, covered, merged, repeated
 from .textcore import BYTE_CODES, BYTE_POWERS, joined_bytes
 
 WIDTH, GRAM = 400, 272
@@ -29,7 +31,8 @@ _HEAD = 24
 
 def byte_symbols(column: pa.ChunkedArray) -> tuple:
     buf, bounds = joined_bytes(column)
-    return BYTE_CODES[buf], bounds, BYTE_POWERS
+    at = np.arange(len(buf) + 1)
+    return BYTE_CODES[buf], bounds, BYTE_POWERS, buf.tobytes(), at[:-1], at[1:]
 
 
 def common_extension(h: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
@@ -124,7 +127,7 @@ def suffix_run(windows: Windows, s: dict, at: np.ndarray) -> np.ndarray:
 class ByteWindows(Windows):
     def state(self, part: pa.Table) -> dict:
         s = super().state(part)
-        s["buf"], _ = joined_bytes(part.column(self.text))
+        s["buf"] = np.frombuffer(s["body"], np.uint8)
         return s
 
 

@@ -41,7 +41,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-BYTE_POWERS, WORD_POWERS, CHECK_POWERS = _Powers("byte"), _Powers("word"), _Powers("check")
+BYTE_POWERS, WORD_POWERS = _Powers("byte"), _Powers("word")
 BYTE_CODES = np.frombuffer(hashlib.shake_256(b"byte codes").digest(2048), "<u8").astype(U64) | U64(1)
 
 

@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 
 from gridloom.llm import suffix_dedup as SD
-from gridloom.llm.fingerprint_index import FingerprintIndex, RunSet, repeated
-from gridloom.llm.repeats import RUN
-from gridloom.llm.substring_dedup import remove_repeated_passages
+from gridloom.llm.fingerprint_index import FingerprintIndex
+from gridloom.llm.repeats import RUN, merged, repeated
+from gridloom.llm.substring_dedup import ingest, remove_repeated_passages
 from gridloom.llm.suffix_dedup import remove_repeated_strings
 from gridloom.llm.textcore import sliding
 
@@ -28,9 +28,9 @@ def corpus(seed, n=60, words=40):
     return out + [(n, None), (n + 1, ""), (n + 2, "a " * 60), (n + 3, out[0][1]), (n + 3, out[0][1]), (None, out[1][1]), (n + 4, "é " * 30 + "日本 " * 20)]
 
 
-def brute_words(docs, width):
+def brute_words(docs, width, history=()):
     words = [(t or "").encode().split() for _, t in docs]
-    seen = Counter(tuple(w[k : k + width]) for w in words for k in range(len(w) - width + 1))
+    seen = Counter(tuple(w[k : k + width]) for w in [*words, *[(t or "").encode().split() for _, t in history]] for k in range(len(w) - width + 1))
     out = []
     for w in words:
         gone = np.zeros(len(w), bool)
@@ -110,23 +110,72 @@ def run_of(*values):
 def test_runs_are_compacted_and_joined():
     runs = [run_of(1, 5, 9), run_of(2, 5), run_of(7), run_of(9, 11)]
     assert [h.tolist() for h in repeated(runs)] == [[False, True, True], [False, True], [False], [True, False]]
-    index = RunSet(fanout=2)
-    for r in runs:
-        index.add(r)
-    whole = index.compact()
+    whole = merged(runs)
     assert (whole["value"] >> np.uint64(1)).tolist() == [1, 2, 5, 7, 9, 11]
     assert (whole["value"] & np.uint64(1)).tolist() == [0, 0, 1, 0, 1, 0]
 
 
-def test_index_across_batches(spark, tmp_path):
-    index = FingerprintIndex(spark, f"file://{tmp_path}/index", fanout=2)
-    batch = lambda block, *v: (0, block, bytearray(run_of(*v).tobytes()))
-    frame = lambda *b: spark.createDataFrame(list(b), "part int, block int, run binary")
-    told = lambda df: {r.block: (np.frombuffer(bytes(r.run), RUN)["value"] >> np.uint64(1)).tolist() for r in df.collect()}
-    first, second, third = frame(batch(1, 3, 4), batch(2, 4)), frame(batch(3, 3, 8)), frame(batch(4, 8, 99))
-    assert told(index.seen(first)) == {1: [4], 2: [4]}
-    index.ingest(first)
-    assert told(index.seen(second)) == {3: [3]}
-    index.ingest(second)
-    assert [level for level, _ in index.runs] == [1]
-    assert told(index.seen(third)) == {4: [8]}
+@pytest.mark.parametrize("width,gram", [(8, 4), (35, 16)])
+def test_batches_against_their_history(spark, tmp_path, width, gram):
+    """Each batch is judged against all before it; runs are compacted and found again by a later session's index."""
+    path = f"file://{tmp_path}/index"
+    rnd = random.Random(width)
+    common = [f"p{rnd.randint(0, 9)}" for _ in range(3 * width)]
+    history = []
+    for batch in range(5):
+        docs = []
+        for i in range(25):
+            w = [f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(0, 2 * width))]
+            a = rnd.randint(0, len(common) - 1)
+            k = rnd.randint(0, len(w))
+            w[k:k] = common[a : a + rnd.randint(0, 2 * width)] if rnd.random() < 0.6 else []
+            docs.append((i, " ".join(w)))
+        docs += [(100, None), (101, history[3][1] if history else "")]
+        index = FingerprintIndex(spark, path, fanout=2)
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeated_passages(df, width=width, gram=gram, index=index).collect())
+        want = brute_words(docs, width, history)
+        assert got == Counter((d[0], *b) for d, b in zip(docs, want))
+        ingest(df, index, width=width, gram=gram)
+        history += docs
+    assert sorted(level for level, _ in index.runs) == [0, 2]
+    assert FingerprintIndex(spark, path).runs == sorted(index.runs)
+    with pytest.raises(ValueError, match="path"):
+        ingest(df, FingerprintIndex(spark), width=width, gram=gram)
+
+
+def test_strings_at_the_true_width(spark, monkeypatch):
+    """400 bytes, over several slices and blocks, a long text and letters of several bytes included."""
+    from gridloom.llm import repeats, textcore
+
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1 << 14)
+    monkeypatch.setattr(textcore.slices, "__defaults__", (1 << 12,))
+    rnd = random.Random(9)
+    passages = ["".join(rnd.choice("abcdefgh é") for _ in range(900)) for _ in range(4)]
+    docs = []
+    for i in range(120):
+        t = "".join(rnd.choice("abcdefghij ") for _ in range(rnd.randint(0, 700)))
+        if i % 3 == 0:
+            p, a = rnd.choice(passages), rnd.randint(0, 300)
+            t += p[a : a + rnd.randint(300, 600)] + "z" * rnd.randint(0, 3)
+        docs.append((i, t))
+    docs += [(200, "ab" * 1500), (201, docs[0][1]), (None, docs[3][1]), (202, "é" * 500), (203, "x" * 399), (203, "x" * 399), (204, "".join(rnd.choice("qrst") for _ in range(20_000)) + passages[0])]
+    body = [(t or "").encode() for _, t in docs]
+    seen = Counter(b[k : k + 400] for b in body for k in range(len(b) - 399))
+    want = Counter()
+    for (i, _), b in zip(docs, body):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        want[i, int(gone.sum()), bytes(np.frombuffer(b, np.uint8)[~gone])] += 1
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_bytes int").repartition(5)
+    got = Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in remove_repeated_strings(df).collect())
+    assert got == want and sum(n > 0 for _, n, _ in got) > 20
+
+
+def test_long_texts_and_equal_rows(spark):
+    long = " ".join(f"w{k}" for k in range(150_000))
+    df = spark.createDataFrame([(1, long), (2, "a " + long), (None, "x y z " * 20), (None, "x y z " * 20), (3, "q " + " ".join(f"u{k}" for k in range(34)))], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, len(r.kept_text)) for r in remove_repeated_passages(df).collect())
+    assert got == [(0, 60, 60, 0), (0, 60, 60, 0), (1, 150_000, 150_000, 0), (2, 150_001, 150_000, 1), (3, 35, 0, 127)]
