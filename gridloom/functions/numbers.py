@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -69,3 +70,17 @@ def slope_and_r(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column, syy
     xx, yy, xy = n * sxx - sx * sx, n * syy - sy * sy, n * sxy - sx * sy
     slope = F.when((n >= least) & (xx > 1e-12), F.greatest(F.lit(-most), F.least(F.lit(most), xy / xx)))
     return slope, F.when((n >= least) & (xx > 1e-12) & (yy > 1e-12), xy / F.sqrt(xx * yy))
+
+
+def incomplete_beta(a: float, b: float, x: float, steps: int = 20_000) -> float:
+    """The regularised incomplete beta function, for two numbers of a half at least: the density in the angle t, with
+    x = sin(t)**2, is bounded; the middles of equal steps are summed."""
+    if not 0 < x < 1:
+        return float(x >= 1)
+    scale = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + math.log(2)
+    width = math.asin(math.sqrt(x)) / steps
+    total = 0.0
+    for k in range(steps):
+        t = (k + 0.5) * width
+        total += math.exp(scale + (2 * a - 1) * math.log(math.sin(t)) + (2 * b - 1) * math.log(math.cos(t)))
+    return min(1.0, total * width)

@@ -174,12 +174,18 @@ def household_extremes(meters: DataFrame, key: str, values: Sequence[str], flags
 
 
 def windowed_extremes(months: DataFrame, windows: DataFrame, values: Sequence[str], least_months: int = 2) -> DataFrame:
-    """The same over the months that a sample's window touches."""
+    """The same over the months that a sample's window touches.  Samples of a household whose windows touch the same
+    months share one result, which is made once."""
     from .relational import months_overlapping
 
-    inside = months_overlapping(windows.select("sample_id", "gp_nr", "first_day", "last_day"), months)
-    per_meter = inside.groupBy("sample_id", "mp_id").agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in values]).where(F.col("n") >= least_months)
-    return household_extremes(per_meter, "sample_id", values)
+    asked = windows.where("first_day <= last_day").select("sample_id", "gp_nr", F.trunc("first_day", "month").alias("first_day"), F.trunc("last_day", "month").alias("last_day"))
+    keys = ["gp_nr", "first_day", "last_day"]
+    inside = months_overlapping(asked.select(*keys).distinct(), months)
+    per_meter = inside.groupBy(*keys, "mp_id").agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in values]).where(F.col("n") >= least_months)
+    aggs = [F.count("*").alias("n_meters")]
+    for v in values:
+        aggs += [F.max(v).alias(f"{v}_max"), F.min(v).alias(f"{v}_min")]
+    return asked.join(per_meter.groupBy(*keys).agg(*aggs), keys).drop(*keys)
 
 
 def means_and_stds(df: DataFrame, keys: Sequence[str], columns: Sequence[str], clear: str | None = None, date: str = "date") -> DataFrame:
@@ -334,3 +340,13 @@ def universe(meters: DataFrame, key: str, export_days: str, flag: str, least_day
         if row.kept is not None and row.kept < least_kept:
             raise ValueError(f"only {row.kept:.3f} of the labelled households are in the universe")
     return out.where(inside)
+
+
+def acceptance(df: DataFrame, key: str, counts: dict[str, Column], expected: dict[str, int] | None = None) -> DataFrame:
+    """Households and rows that pass each test, in one row; an error if any differs from what is expected."""
+    out = df.agg(F.count_distinct(key).alias("households"), *[F.count_if(test).alias(name) for name, test in counts.items()])
+    if expected:
+        row = out.first().asDict()
+        if wrong := {n: row.get(n) for n, want in expected.items() if row.get(n) != want}:
+            raise ValueError(f"counts aren't as expected: {wrong}")
+    return out

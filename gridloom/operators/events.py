@@ -27,16 +27,84 @@ def block_events(series: DataFrame, ids: Sequence[str], vector: str = "residual"
         V.std(x).alias("std"))
 
 
-def week_evidence(events: DataFrame, keys: Sequence[str], test: Column, name: str, scale: float = 3.0, tolerance: int = 4) -> DataFrame:
-    """A family's events in a week, how many days repeat a start within a tolerance, and 1 - exp(-n / scale).
-
-    Starts are compared through buckets of the tolerance's width and their neighbours, so the join is by equality.
+def daily_residual(power: Column, day: int = 96, q: float = 0.2) -> Column:
+    """Power less the quantile of its day."""
+    base = lambda i: V.quantile(F.slice(power, i * day + 1, day), q)
+    bases = F.transform(F.sequence(F.lit(0), (F.size(power) / day).cast("int") - 1), base)
+    return V.bind(bases, lambda b: F.transform(power, lambda x, i: x - F.get(b, F.floor(i / day).cast("int"))))
+
+
+def load_events(weeks: DataFrame, ids: Sequence[str], kwh: str = "q", amplitude: float = 3.0, day: int = 96, residual=daily_residual) -> DataFrame:
+    """Events of a week's curve, in kW: runs of residual >= amplitude, one slot closed, an hour at least, each with
+    its power, energy, edges, shape and place.  ``residual(power, day)`` takes the baseline off."""
+    base = weeks.select(*ids, F.transform(kwh, lambda e: e * 4.0).alias("x"))
+    base = base.select(*ids, "x", residual(F.col("x"), day).alias("res"))
+    base = base.select(*ids, "x", "res", F.transform("res", lambda e: e >= amplitude).alias("high"))
+    run = base.select(*ids, "x", "res", "high", F.explode(V.runs(V.close_gaps(F.col("high"), 1), 4)).alias("r"))
+    s, n = F.col("r.start"), F.col("r.length")
+    run = run.select(*ids, "x", "high", s.alias("start"), (s + n).alias("end"), n.alias("n"), F.slice("res", s + 1, n).alias("y"), F.slice("x", s + 1, n).alias("p"))
+    run = run.withColumn("power", V.median(F.col("y")))
+    s, e, n, x, y, p, mid = (F.col(c) for c in ("start", "end", "n", "x", "y", "p", "power"))
+    share = lambda flags: F.size(F.filter(flags, lambda f: f)) / n
+    rise = F.when(s > 0, F.get(x, s) - F.get(x, s - 1)).otherwise(0.0)
+    fall = F.when(e < F.size(x), F.get(x, e - 1) - F.get(x, e)).otherwise(0.0)
+    scaled = F.transform(y, lambda v: v / F.greatest(mid, F.lit(0.1)))
+    line = lambda i: 1.2 - 0.4 * i / F.greatest(n - 1, F.lit(1))
+    miss = F.least(V.mean(F.transform(scaled, lambda v: F.abs(v - 1))), V.mean(F.transform(scaled, lambda v, i: F.abs(v - line(i)))))
+    near = F.slice(x, F.greatest(s - 4, F.lit(0)) + 1, F.least(e + 4, F.size(x)) - F.greatest(s - 4, F.lit(0)))
+    noon = lambda v, i: (v < 0) & (((s + i) % day) >= 40 * day // 96) & (((s + i) % day) < 60 * day // 96)
+    run = run.withColumns({"rise": rise, "fall": fall})
+    r, f = F.col("rise"), F.col("fall")
+    return run.select(
+        *ids, "start", "end", (n / 4).alias("duration"), "power", V.quantile(y, 0.9).alias("power90"),
+        (V.total(F.transform(y, lambda v: F.greatest(v, F.lit(0.0)))) / 4).alias("energy"),
+        V.median(F.transform(y, lambda v: F.abs(v - mid))).alias("mad"), ((F.element_at(y, -1) - F.get(y, 0)) / F.greatest(n - 1, F.lit(1))).alias("slope"),
+        share(F.transform(y, lambda v: F.abs(v - mid) <= F.greatest(F.lit(0.5), 0.2 * mid))).alias("plateau"), "rise", "fall",
+        (F.least(F.greatest(r, F.lit(0.0)), F.greatest(f, F.lit(0.0))) / F.greatest(F.abs(r), F.abs(f), F.lit(0.1))).alias("symmetry"),
+        F.floor(s / day).cast("int").alias("day"), (F.floor((e - 1) / day) != F.floor(s / day)).alias("cross_midnight"),
+        share(F.transform(p, lambda v: v < 0)).alias("negative_share"), share(F.transform(p, noon)).alias("midday_export_share"),
+        share(F.transform(F.slice("high", s + 1, n), lambda h: ~h)).alias("interrupted_share"),
+        F.array_max(F.transform(V.steps(near), F.abs)).alias("nearby_ramp"), (1 / (1 + miss)).alias("template"),
+        (s % day * 24 / day).alias("start_hour"), (e % day * 24 / day).alias("end_hour"))
+
+
+def event_features(weeks: DataFrame, events: DataFrame, ids: Sequence[str], family: str = "block", duration: float = 1.5, tolerance: float = 0.75, variation: float = 0.3, edge: float = 0.8, symmetry: float = 0.3, min_events: float = 2.0, repeat_days: float = 2.0) -> DataFrame:
+    """13 ``event_*`` columns and ``score`` of every week, from its events (E01) of enough duration; all 0 without any.
+
+    Repetition is the number of days with an event of like power.  Families: block, plateau (flat, with two edges alike),
+    template (score times the mean fit to a template), repeat_block and repeat_plateau (score times the share of
+    ``repeat_days``).  A week's events are few: they meet in one array.
     """
-    e = events.where(test).select(*keys, "day", "start").withColumn("__b", F.floor(F.col("start") / tolerance))
-    near = e.withColumn("__b", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1))).select(*keys, "__b", F.col("day").alias("d2"), F.col("start").alias("s2"))
-    days = e.join(near, [*keys, "__b"]).where(F.abs(F.col("start") - F.col("s2")) <= tolerance).groupBy(*keys, "day", "start").agg(F.count_distinct("d2").alias("n"))
-    out = days.groupBy(*keys).agg(F.count("*").alias(f"{name}_events"), F.max("n").alias(f"{name}_repetition"))
-    return out.withColumn(f"{name}_score", 1 - F.exp(-F.col(f"{name}_events") / scale))
+    e = events.where(F.col("duration") >= duration)
+    if family in ("plateau", "repeat_plateau"):
+        e = e.where((F.col("mad") / F.greatest("power", F.lit(0.1)) <= variation) & (F.col("rise") >= edge) & (F.col("fall") >= edge) & (F.col("symmetry") >= symmetry))
+    paired = (F.col("rise") > 0.8) & (F.col("fall") > 0.8) & (F.col("symmetry") > 0.3)
+    night = (F.col("start_hour") < 6) | (F.col("start_hour") >= 22)
+    each = F.collect_list(F.struct("power", "day"))
+    g = e.groupBy(*ids).agg(
+        F.count("*").cast("double").alias("event_count"), F.count_distinct("day").cast("double").alias("event_days"), F.sum("duration").alias("event_duration"), F.sum("energy").alias("event_energy"),
+        F.max("duration").alias("event_longest"), F.percentile("power", 0.5).alias("event_power"), F.avg("plateau").alias("event_plateau"), F.avg(paired.cast("double")).alias("event_paired"),
+        F.avg("template").alias("event_template"), F.avg(night.cast("double")).alias("event_night"), F.avg("negative_share").alias("event_negative"), F.avg("interrupted_share").alias("event_interruptions"),
+        each.alias("__all"))
+    alike = lambda a: F.size(F.array_distinct(F.transform(F.filter("__all", lambda b: F.abs(b["power"] - a["power"]) <= tolerance), lambda b: b["day"])))
+    g = g.withColumn("event_repetition", F.array_max(F.transform("__all", alike)).cast("double")).drop("__all")
+    out = weeks.select(*ids).join(g, list(ids), "left").fillna(0.0, [c for c in g.columns if c not in ids])
+    score = 1 - F.exp(-F.col("event_count") / min_events)
+    if family.startswith("repeat"):
+        score = score * F.least(F.col("event_repetition") / repeat_days, F.lit(1.0))
+    if family == "template":
+        score = score * F.col("event_template")
+    return out.withColumn("score", score)
+
+
+def edge_evidence(weeks: DataFrame, events: DataFrame, ids: Sequence[str], duration: float = 1.0, rise: float = 1.0, variation: float = 0.3, paired: bool = False) -> DataFrame:
+    """Of a week's events those that last, begin with a rise and are flat (and, if asked for, end with a fall like
+    it): ``strong_event_count`` and ``maximum_rise``."""
+    test = (F.col("duration") >= duration) & (F.col("rise") >= rise) & (F.col("power") > 0) & (F.col("mad") / F.greatest("power", F.lit(0.1)) <= variation)
+    if paired:
+        test = test & (F.col("fall") >= rise / 2) & (F.col("symmetry") >= 0.3)
+    g = events.where(test).groupBy(*ids).agg(F.count("*").alias("strong_event_count"), F.max("rise").alias("maximum_rise"))
+    return weeks.select(*ids).join(g, list(ids), "left").fillna(0, ["strong_event_count"]).fillna(0.0, ["maximum_rise"])
 
 
 def sequential_events(series: DataFrame, ids: Sequence[str], vector: str = "q", low: float = 0.8, high: float = 3.0, least: int = 4) -> DataFrame:
@@ -65,14 +133,17 @@ def sequential_events(series: DataFrame, ids: Sequence[str], vector: str = "q",
         return out
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            rows = [(*pdf.loc[k, list(ids)], *e) for k in pdf.index for e in scan(np.array(pdf.loc[k, vector], float))]
-            yield pd.DataFrame(rows, columns=[*ids, "start", "length", "excess"])
+        for batch in batches:
+            curves = batch.column(len(ids)).to_pylist()
+            found = [(k, *e) for k, x in enumerate(curves) for e in scan(np.array([np.nan if v is None else v for v in x or ()], float))]
+            at, start, length, excess = zip(*found) if found else ((), (), (), ())
+            keys = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(excess, pa.float64())], [*ids, "start", "length", "excess"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in series.select(*ids).dtypes)
-    return series.select(*ids, vector).mapInPandas(run, f"{fields}, start int, length int, excess double")
+    return series.select(*ids, vector).mapInArrow(run, f"{fields}, start int, length int, excess double")
 
 
 def plateaus(profiles: DataFrame, ids: Sequence[str], p10: str = "p10", p50: str = "p50", least_kw: float = 0.25, least_hours: float = 0.5) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import exact_quantile, numbered
+
 
 def split_groups(df: DataFrame, group: str, label: str, shares: Sequence[float] = (0.6, 0.2, 0.2), names: Sequence[str] = ("train", "validation", "test"), seed: int = 0) -> DataFrame:
     """(group, label, split): groups of each label are put in an order drawn by hash and cut by shares.
@@ -14,8 +16,7 @@ def split_groups(df: DataFrame, group: str, label: str, shares: Sequence[float]
     A group lies in one split; its label is the greatest of its rows.
     """
     groups = df.groupBy(group).agg(F.max(label).alias(label))
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)
-    placed = groups.withColumn("__r", F.row_number().over(w)).join(groups.groupBy(label).agg(F.count("*").alias("__n")), label)
+    placed = numbered(groups, [group], [label], seed).join(groups.groupBy(label).agg(F.count("*").alias("__n")), label)
     at, edge = (F.col("__r") - 0.5) / F.col("__n"), 0.0
     out = None
     for share, name in zip(shares[:-1], names[:-1]):
@@ -27,8 +28,7 @@ def split_groups(df: DataFrame, group: str, label: str, shares: Sequence[float]
 def folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
     """(group, label, fold), stratified, a group in one fold."""
     groups = df.groupBy(group).agg(F.max(label).alias(label))
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)
-    return groups.select(group, label, ((F.row_number().over(w) - 1) % k).cast("int").alias("fold"))
+    return numbered(groups, [group], [label], seed).select(group, label, ((F.col("__r") - 1) % k).cast("int").alias("fold"))
 
 
 def equal_weights(df: DataFrame, group: str) -> DataFrame:
@@ -63,8 +63,8 @@ def reconcile(labelled: DataFrame, exploratory: DataFrame, all_rows: DataFrame,
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], indicator: bool = True) -> DataFrame:
-    """Medians of all columns in one pass; with an indicator of what was missing."""
-    row = df.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first()
+    """Medians of the columns, exact; with an indicator of what was missing."""
+    row = {c: exact_quantile(df, c, 0.5) for c in columns}
     new: dict[str, Column] = {}
     for c in columns:
         if indicator:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import logit, root, shift_logit
+from ..sources.sinks import write_once
+from .windows import exact_quantile, numbered
 
 
 
@@ -92,15 +94,13 @@ def elkan_noto(df: DataFrame, positive: str, score_: str = "score", prior: float
 def permutation_importance(model, df: DataFrame, features: Sequence[str], label: str, metric, repeats: int = 5, seed: int = 0) -> dict[str, float]:
     """Mean loss of a metric if a feature's values are dealt anew; rows are paired by two hash orders."""
     base = metric(score(model, df))
-    from pyspark.sql import Window
-
     out = {}
-    numbered = df.withColumn("__i", F.row_number().over(Window.orderBy(F.xxhash64(*df.columns, F.lit(seed)))))
+    placed = numbered(df, df.columns, seed=seed, name="__i")
     for f in features:
         losses = []
         for r in range(repeats):
-            other = df.select(F.col(f).alias("__v"), F.row_number().over(Window.orderBy(F.xxhash64(*df.columns, F.lit(seed + r + 1)))).alias("__i"))
-            dealt = numbered.join(other, "__i").withColumn(f, F.col("__v")).select(*df.columns)
+            other = numbered(df, df.columns, seed=seed + r + 1, name="__i").select(F.col(f).alias("__v"), "__i")
+            dealt = placed.join(other, "__i").withColumn(f, F.col("__v")).select(*df.columns)
             losses.append(base - metric(score(model, dealt)))
         out[f] = sum(losses) / len(losses)
     return out
@@ -108,7 +108,25 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label:
 
 def rate_matched_threshold(df: DataFrame, score_: str, rate: float) -> float:
     """The threshold that flags a given share."""
-    return df.agg(F.percentile(score_, 1 - rate).alias("t")).first().t
+    return exact_quantile(df, score_, 1 - rate)
+
+
+def surrogate_scores(labelled: DataFrame, population: DataFrame, key: str, features: Sequence[str], label: str, rate: float, fit=fit_logistic, **options) -> DataFrame:
+    """A model of the labelled rows scores the others of a population, which then are flagged at a given rate."""
+    others = population.join(labelled.select(key).distinct(), key, "left_anti")
+    scored = score(fit(labelled, features, label, **options), others)
+    threshold = rate_matched_threshold(scored, "score", rate)
+    return scored.withColumn("flagged", (F.col("score") >= F.lit(threshold)).cast("int"))
+
+
+def one_shot(spark, path: str, config: dict, digest: str, test) -> DataFrame:
+    """A frozen configuration is tested once: an error if it isn't the one that was frozen, or was tested before;
+    what ``test()`` gives is written and read from there."""
+    if freeze(config) != digest:
+        raise ValueError("the configuration isn't the frozen one")
+    place = f"{path.rstrip('/')}/{digest}"
+    write_once(test(), place)
+    return spark.read.parquet(place)
 
 
 def freeze(config: dict) -> str:

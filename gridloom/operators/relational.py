@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .windows import numbered
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -86,10 +87,11 @@ def meter_chain(households: DataFrame, mapping: DataFrame) -> DataFrame:
 def linked_meters(households: DataFrame, mapping: DataFrame, customers: DataFrame) -> DataFrame:
     """Distinct links of known customers to meters, with how many meters a designation and how
     many customers a meter has."""
-    links = households.select("gp_nr", "zpb").distinct().join(mapping.select("zpb", "mp_id").distinct(), "zpb", "left")
-    links = links.join(customers.select("gp_nr").distinct(), "gp_nr").where("mp_id is not null")
-    per_zpb = links.groupBy("zpb").agg(F.count_distinct("mp_id").alias("meters_of_zpb"))
-    per_meter = links.groupBy("mp_id").agg(F.count_distinct("gp_nr").alias("customers_of_meter"))
+    meters = mapping.select("zpb", "mp_id").where("mp_id is not null").distinct()
+    known = households.select("gp_nr", "zpb").distinct().join(customers.select("gp_nr").distinct(), "gp_nr", "left_semi")
+    links = known.join(meters, "zpb")
+    per_zpb = meters.groupBy("zpb").agg(F.count("*").alias("meters_of_zpb"))
+    per_meter = links.select("mp_id", "gp_nr").distinct().groupBy("mp_id").agg(F.count("*").alias("customers_of_meter"))
     return links.join(per_zpb, "zpb").join(per_meter, "mp_id")
 
 
@@ -169,11 +171,19 @@ def grid(spark, **values: Sequence) -> DataFrame:
 
 
 def assign_random(hosts: DataFrame, donors: DataFrame, seed: int = 0) -> DataFrame:
-    """Each host gets one donor, the same one for a seed."""
+    """Each host gets one donor, the same one for a seed.
+
+    Donors get numbers without a partition that holds all of them; hosts meet them by number.
+    """
     n = donors.count()
-    numbered = donors.withColumn("__k", F.row_number().over(Window.orderBy(*donors.columns)) - 1)
-    picked = hosts.withColumn("__k", F.pmod(F.xxhash64(*hosts.columns, F.lit(seed)), F.lit(max(n, 1))).cast("int"))
-    return picked.join(F.broadcast(numbered), "__k").drop("__k")
+    placed = numbered(donors, donors.columns, seed=seed, name="__n").withColumn("__k", F.col("__n") - 1).drop("__n")
+    picked = hosts.withColumn("__k", F.pmod(F.xxhash64(*hosts.columns, F.lit(seed)), F.lit(max(n, 1))))
+    return picked.join(placed, "__k").drop("__k")  # Spark broadcasts the donors if they are small enough
+
+
+def enrich(df: DataFrame, rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Columns of the row that an id names; ids without one have nulls, an id that repeats is an error."""
+    return join_checked(df, rows.select(key, *columns), [key])
 
 
 def with_group(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:

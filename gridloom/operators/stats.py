@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import incomplete_beta
 from .windows import average_rank, running_sums
 
 
@@ -76,6 +77,16 @@ def youden(df: DataFrame, label: str, score: str) -> DataFrame:
     return run.select("threshold", j.alias("j")).agg(F.max("j").alias("j"), F.max_by("threshold", F.struct("j", "threshold")).alias("threshold"))
 
 
+def youden_out_of_fold(df: DataFrame, label: str, score: str, fold: str, k: int) -> DataFrame:
+    """``threshold`` and ``predicted`` of each row, by the threshold that is best on the other folds."""
+    out = None
+    for i in range(k):
+        t = youden(df.where(F.col(fold) != i), label, score).select(F.lit(i).alias(fold), "threshold")
+        out = t if out is None else out.unionByName(t)
+    rows = df.join(F.broadcast(out), fold)  # a row for each fold
+    return rows.withColumn("predicted", (F.col(score) >= F.col("threshold")).cast("int"))
+
+
 def cohens_d(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     """Difference of means over the pooled deviation, for each feature."""
     long = df.select(label, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")).select(label, "x.*")
@@ -92,6 +103,17 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.corr("__a", "__b").alias("rho"), F.count("*").alias("n"))
 
 
+def spearman_test(df: DataFrame, a: str, b: str) -> tuple[float, int, float]:
+    """Rho, number of pairs, and the two-sided p of Student's t with n - 2 degrees of freedom."""
+    row = spearman(df, a, b).first()
+    if row.rho is None or row.n < 3:
+        return row.rho, row.n, float("nan")
+    if abs(row.rho) >= 1:
+        return row.rho, row.n, 0.0
+    freedom = row.n - 2
+    return row.rho, row.n, incomplete_beta(freedom / 2, 0.5, 1 - row.rho * row.rho)
+
+
 def by_year(df: DataFrame, year: str, label: str, predicted: str, least: int = 5) -> DataFrame:
     """Metrics of years with enough of both classes."""
     out = confusion(df, label, predicted, [year])
@@ -103,10 +125,12 @@ def bootstrap(df: DataFrame, metric: Callable[[DataFrame, str], DataFrame], resa
     by ``__b``.  Each row has a Poisson weight for each resample, drawn from a hash: no row is copied to the driver."""
     u = (F.xxhash64(F.col(key), F.col("__b"), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
     edges, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
+    k = 0
+    while total + p > total:  # all weights that a hash of 53 bits can tell
         total += p
         edges.append(total)
-        p /= k + 1
+        k += 1
+        p /= k
     weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges[1:]), F.when(u >= edges[0], 1).otherwise(0))
     rows = df.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__w", weight).where("__w > 0")
     values = metric(rows, "__w").where("value is not null")

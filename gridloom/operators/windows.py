@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +43,36 @@ def running_sums(df: DataFrame, order: str, sums: Sequence[str], descending: boo
     return out.select(*[c for c in df.columns if c not in sums], *[(F.sum(c).over(inside) + F.col(f"__{c}")).alias(c) for c in sums])
 
 
+def numbered(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), seed: int = 0, name: str = "__r", buckets: int = 1024) -> DataFrame:
+    """Rows numbered from 1 within ``keys`` in an order drawn by a hash of the columns ``order``.
+
+    No partition holds a whole group: the hash cuts it into buckets, rows are numbered within a bucket, and buckets are
+    counted first (for each group ``buckets`` rows at most).
+    """
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in order], F.lit(seed))
+    rows = df.withColumn("__h", h).withColumn("__bucket", F.shiftright("__h", 64 - (buckets - 1).bit_length()))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys, "__bucket").agg(F.count("*").alias("__size"))
+    starts = sizes.select(*keys, "__bucket", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("__h", *[F.col(f"`{c}`") for c in order])
+    out = rows.join(starts, [*keys, "__bucket"]).withColumn(name, F.col("__before") + F.row_number().over(inside))
+    return out.select(*df.columns, name)
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """The quantile between order statistics over a whole table: values are counted, and ranks are running sums over the
+    distinct ones, so no buffer holds them all."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first().n
+    if not total:
+        return None
+    at = (total - 1) * q
+    low = math.floor(at)
+    upto = running_sums(counts, "v", ["n"])
+    row = upto.agg(F.min(F.when(F.col("n") > low, F.col("v"))).alias("a"), F.min(F.when(F.col("n") > math.ceil(at), F.col("v"))).alias("b")).first()
+    return row.a + (row.b - row.a) * (at - low)
+
+
 def average_rank(df: DataFrame, value: str, name: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
     """Ranks from 1; equal values share the mean of theirs; nulls have none.
 

@@ -141,8 +141,10 @@ def mapping_audit(spark, sf):
     links = P.links(spark, sf)
     customers = P.load(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("gp_nr"))
     known = R.semi(links, customers, ["gp_nr"])
-    out = R.with_group(known, ["gp_nr"], F.count_distinct("mp_id").alias("meters"))
-    return R.with_group(out, ["mp_id"], F.count_distinct("gp_nr").alias("customers")).select("gp_nr", "mp_id", "meters", "customers")
+    # links are distinct, so rows are meters (customers)
+    per_customer = known.groupBy("gp_nr").agg(F.count("*").alias("meters"))
+    per_meter = known.groupBy("mp_id").agg(F.count("*").alias("customers"))
+    return known.join(per_customer, "gp_nr").join(per_meter, "mp_id").select("gp_nr", "mp_id", "meters", "customers")
 
 
 @query("SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")

@@ -225,14 +225,6 @@ def block_events(spark, sf):
     return e.select("mp_id", "start", "length", r4("median").alias("median"), r4("p90").alias("p90"), r4("energy").alias("energy"))
 
 
-@query(P.sql("r") + ", e AS (SELECT plz, date_trunc('week', date)::DATE AS week, date AS day, slot AS start FROM r WHERE kwh >= 60 GROUP BY ALL), d AS (SELECT a.plz, a.week, a.day, a.start, count(DISTINCT b.day) AS n FROM e a JOIN e b ON a.plz = b.plz AND a.week = b.week AND abs(a.start - b.start) <= 4 GROUP BY ALL) SELECT plz, week, count(*) AS block_events, max(n) AS block_repetition, round(1 - exp(-count(*) / 3.0), 6) AS block_score FROM d GROUP BY ALL")
-def event_week_features(spark, sf):
-    """E02, E03, D04"""
-    e = P.readings(spark, sf).where("kwh >= 60").select("plz", F.date_sub("date", F.weekday("date")).alias("week"), F.col("date").alias("day"), F.col("slot").alias("start")).distinct()
-    out = E.week_evidence(e, ["plz", "week"], F.lit(True), "block")
-    return out.withColumn("block_score", F.round("block_score", 6))
-
-
 @query()
 def sequential_events(spark, sf):
     """Stateful scan, against brute force in the tests"""

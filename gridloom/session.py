@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -16,3 +19,14 @@ CONF = {
 def session(app: str = "gridloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=CONF | conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``.  Without that setting only a session
+    of one machine has one."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/gridloom-shared"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -160,3 +160,69 @@ def test_running_sums_over_buckets(spark):
             want[float(v)] = total
         assert got == want
     assert W.running_sums(df.where("false"), "v", ["n"]).count() == 0
+
+
+def test_numbers_without_one_partition(spark):
+    df = spark.createDataFrame([(f"k{i}", i % 2) for i in range(300)], "k string, y int")
+    rows = W.numbered(df, ["k"], ["y"]).collect()
+    for y in (0, 1):
+        assert sorted(r["__r"] for r in rows if r.y == y) == list(range(1, 151))
+    again = {(r.k, r["__r"]) for r in W.numbered(df.repartition(7), ["k"], ["y"]).collect()}
+    assert again == {(r.k, r["__r"]) for r in rows}
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(10)
+    x = np.round(rng.normal(size=777), 1)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    for q in (0.0, 0.1, 0.5, 0.987, 1.0):
+        assert W.exact_quantile(df, "v", q) == pytest.approx(np.quantile(x, q))
+    assert W.exact_quantile(df.where("false"), "v", 0.5) is None
+
+
+def test_spearman_p(spark):
+    from gridloom.functions.numbers import incomplete_beta
+
+    assert incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248, abs=1e-6)
+    df = spark.createDataFrame([(float(i), float(v)) for i, v in enumerate([2, 1, 4, 3, 6, 5, 8, 7, 10, 9])], "a double, b double")
+    rho, n, p = S.spearman_test(df, "a", "b")
+    assert n == 10 and rho == pytest.approx(0.9393939) and p == pytest.approx(5.484e-05, rel=1e-3)
+
+
+def test_surrogate_and_one_shot(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = [(i, float(x), int(x > 0.5)) for i, x in enumerate(rng.normal(size=300))]
+    df = spark.createDataFrame(rows, "id int, x double, y int")
+    out = M.surrogate_scores(df.where("id < 150"), df, "id", ["x"], "y", 0.2)
+    assert out.count() == 150 and 25 <= out.where("flagged = 1").count() <= 35 and out.where("flagged = 1").agg(F.min("x")).first()[0] > out.where("flagged = 0").agg(F.max("x")).first()[0] - 1e-9
+    config = {"c": 1.0}
+    digest = M.freeze(config)
+    assert M.one_shot(spark, f"file://{tmp_path}", config, digest, lambda: df).count() == 300
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        M.one_shot(spark, f"file://{tmp_path}", config, digest, lambda: df)
+    with pytest.raises(ValueError, match="frozen"):
+        M.one_shot(spark, f"file://{tmp_path}", {"c": 2.0}, digest, lambda: df)
+
+
+def test_acceptance(spark):
+    df = spark.createDataFrame([(1, True), (1, False), (2, True)], "k int, f boolean")
+    assert A.acceptance(df, "k", {"marked": F.col("f")}, {"households": 2, "marked": 2}).first().marked == 2
+    with pytest.raises(ValueError, match="marked"):
+        A.acceptance(df, "k", {"marked": F.col("f")}, {"marked": 3})
+
+
+def test_repetition_is_by_power(spark):
+    """Three days of like power at different hours repeat; days of other power don't."""
+    from gridloom.operators import events as E
+
+    def week(starts, powers):
+        x = np.zeros(672)
+        for d, (s, p) in enumerate(zip(starts, powers)):
+            x[96 * d + s : 96 * d + s + 8] = p / 4
+        return x.tolist()
+
+    df = spark.createDataFrame([("alike", week([10, 40, 70], [5, 5.2, 4.9])), ("other", week([10, 10, 10], [4, 6, 9])), ("none", [0.0] * 672)], "id string, q array<double>")
+    e = E.load_events(df, ["id"])
+    got = {r.id: r for r in E.event_features(df, e, ["id"], "repeat_block", repeat_days=3).collect()}
+    assert got["alike"].event_repetition == 3 and got["other"].event_repetition == 1 and got["none"].event_count == 0
+    assert got["alike"].score == pytest.approx(1 - np.exp(-1.5)) and got["other"].score == pytest.approx((1 - np.exp(-1.5)) / 3) and got["none"].score == 0

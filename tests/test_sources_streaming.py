@@ -34,6 +34,18 @@ def test_export_variants(spark, tmp_path):
         assert r.mp_id == "m1" and r.date == dt.date(2024, 1, 2) and len(r.q) == 96 and r.q[0] == 0.5 and r.q[95] is None
 
 
+def test_headers_are_checked_before_reading(spark, tmp_path):
+    export_file(tmp_path / "Mai 2024" / "a.csv", ["MP ID", "OBIS-Code", "Datum", "PLZ", *exports.interval_names()[1:]], [["m"] * 99])
+    with pytest.raises(ValueError, match="quarter hours"):
+        exports.read_exports(spark, f"file://{tmp_path}/Mai 2024/a.csv")
+    assert exports.read_exports(spark, f"file://{tmp_path}/Mai 2024/a.csv", check=False).count() == 1
+
+
+def test_months_are_read_apart(spark):
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 31)), (2, dt.date(2024, 2, 1)), (3, None), (4, dt.date(2024, 2, 29))], "id int, date date")
+    assert exports.months_in_order(df, lambda m, rows: (m.month, sorted(r.id for r in rows.collect()))) == [(1, [1]), (2, [2, 4])]
+
+
 def test_finished_file_beats_stalled():
     found = exports.choose_exports(["/d/Mai 2024/x.csv.tmp.9", "/d/Mai 2024/y.csv", "/d/misc/z.csv"])
     assert [e.path for e in found] == ["/d/Mai 2024/y.csv"]
