@@ -1,10 +1,18 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again.
 
 toxicity -> near duplicates -> repeated passages -> benchmark passages -> token ids
+
+Defined results: a null or empty text is not toxic, is kept by the near-duplicate stage (of one id only
+once) and comes out with no ids; rows with null ids, and rows that repeat an id with other texts, are
+documents of their own; of equal rows one stays; an empty table gives no rows; other columns, whatever
+their names, are passed through up to the last stage, which has ``lang`` and ``source`` if there are any;
+a long text is one document.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +29,26 @@ MOST_TOXIC = 0.7
 ROW = "__row"
 
 
+def passing_through(stage):
+    """The stage over columns under names of their own, so that none meets a name that an operator gives a result."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"__column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+        out = stage(spark, docs.withColumnsRenamed(names), sf_dir)
+        return out.withColumnsRenamed({new: old for old, new in names.items()}).select(*[f"`{c}`" for c in docs.columns])
+
+    return run
+
+
+@passing_through
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects toxic documents; the model never sees the labels of held-out rows."""
     model = fit(docs.select("doc_id", "text"), learnable(table(spark, sf_dir, "labels")), shared_folder(spark, "stage-toxicity"))
     return score_texts(docs, model).where(F.col("score") < MOST_TOXIC).select(*docs.columns)
 
 
+@passing_through
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group: that with the smallest id, null ids last.  A row repeated, or with a null id,
     is a member like any other; rows without words are linked with nothing, but of one id only one stays."""
@@ -44,6 +66,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
+@passing_through
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages that occur more than once out of the texts; ``n_chars`` follows the text."""
     cut = remove_repeated_passages(docs)
@@ -55,6 +78,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.select(*docs.columns)
 
 
+@passing_through
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that overlap with a benchmark item."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -63,8 +87,9 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and the hash of what they decode to."""
     path = tokenizer_path()
-    coded = encode_decode(docs, path, build_lexicon(docs, path))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded_text"), 256).alias("decoded_sha256"))
+    more = [c for c in ("lang", "source") if c in docs.columns]
+    coded = encode_decode(docs.select("doc_id", "text", *more), path, build_lexicon(docs, path))
+    return coded.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded_text"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -12,7 +12,9 @@ the same with any lexicon, an empty one included.
 
 Defined results: a null or empty text has no ids and decodes to an empty text;
 the string of a special token in a text is that token, as the library has it;
-equal rows are encoded each on their own; an empty table gives no rows.
+equal rows are encoded each on their own; null ids and other columns are passed through, but
+``ids`` and ``decoded_text``, which are replaced; a long text is encoded as a whole; of words
+that occur equally often the smaller ones are in the lexicon; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -254,7 +256,8 @@ def count_frequent(docs: DataFrame, text: str = "text", least_share: float = LEA
     """(word, n): how often words occur in the whole corpus.
 
     Every word of every text is counted.  A task reports a word if it makes up ``least_share`` of the
-    task's words, so its rows are bounded and any word above that share of the corpus is found.
+    task's words, so its rows are bounded.  A task with more distinct words than it may hold forgets those that
+    are rare so far; one that comes late can be missed then, which costs time, for ids are the same without it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,9 +11,7 @@ whole batch of words walks through it in lock-step.
 
 from __future__ import annotations
 
-import hashlib
 import mmap
-import os
 import tempfile
 
 import numpy as np
@@ -95,16 +93,11 @@ class Lexicon:
 
     @classmethod
     def mapped(cls, data: bytes) -> "Lexicon":
-        """The same from a mapped file, which is unlinked at once: the mapping outlives the name."""
-        name = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}-{os.getpid()}")
-        try:
-            with open(name, "wb") as f:
-                f.write(data)
-            with open(name, "rb") as f:
-                return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-        finally:
-            if os.path.exists(name):
-                os.unlink(name)
+        """The same from a mapped file without a name: the mapping outlives it."""
+        with tempfile.TemporaryFile() as f:
+            f.write(data)
+            f.flush()
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 for one that isn't in the lexicon."""

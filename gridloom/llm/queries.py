@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,7 +49,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root and (given := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         root = given.get()
     if not root:
-        root = f"file://{tempfile.gettempdir()}/gridloom-shared"  # a session of one machine, as in tests
+        return scratch(spark, name)  # an error unless the session is one of one machine, as in tests
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -9,15 +9,18 @@ names and lengths of its chunks.  The folder holds
   ids, bytes) and the compressed little-endian ids;
 * ``content/kind=1/``: recipes as they came; ``recipes/``: the same as (part,
   row, doc_id, n_tokens, names), ascending by id within and across parts;
-* ``manifest/``: for each 4096 recipes of a part their totals and their hash,
-  which are the leaves of a Merkle tree; ``root/``: its root.
+* ``manifest/``: for each 4096 recipes of a part their totals and their hash (of
+  id, number of tokens and names), which are the leaves of a Merkle tree; ``root/``: its root.
 
 Reading verifies every chunk against its name and every part of the recipes
-against the manifest before it returns anything made from them.
+against the manifest before it returns anything made from them; ``read_documents`` puts the
+ids together again and holds their number against the recipe.
 
 Defined results: a null or empty text is the end id alone; equal rows have a
 recipe each and share chunks; null ids come first; ties of an id are ordered by
-their ids' names; an empty table makes an empty store.
+their chunks' names; a long text is many chunks; only id and text are read, so other columns
+can't clash; an empty table makes an empty store; a missing chunk is an error.  Parts are as
+many as the session's shuffle partitions.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ END_ID = 0
 ROLL, CUT_BITS, LONGEST = 16, 11, 1 << 15
 PACK_BYTES, NAME = 1 << 20, 16
 _MAGIC = b"TIDS"
+#: A chunk in a recipe: its name and its number of ids.
+_ENTRY = np.dtype([("name", f"V{NAME}"), ("n", "<u4")])
 
 
 # -- ids --------------------------------------------------------------------
@@ -273,7 +278,7 @@ def _content(spark: SparkSession, path: str, kind: int) -> DataFrame:
 
 def _leaves(recipes: DataFrame) -> DataFrame:
     """A part's totals and the hash of its recipes in order."""
-    line = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.lit(":").cast("binary"), F.col("names")), 256)
+    line = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.concat(F.lit(":"), F.col("n_tokens").cast("string"), F.lit(":")).cast("binary"), F.col("names")), 256)
     summed = recipes.select("part", "row", "doc_id", "n_tokens", line.alias("line"))
     # rows of a part lie in one file: what is hashed is 64 letters a document, in blocks of rows
     block = summed.groupBy("part", F.shiftright("row", 12).alias("block")).agg(
@@ -337,6 +342,26 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("part", "row", "doc_id", (F.col("part_start") + F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "names")
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(part, row, doc_id, start, n_tokens, ids as little-endian bytes): every document, put together from its chunks."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [np.frombuffer(x, _ENTRY) for x in batch.column(2).to_pylist()]
+            count = np.array([len(x) for x in names], np.int64)
+            pick = pa.array(np.repeat(np.arange(len(count)), count))
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(place), pa.array([x.tobytes() for n in names for x in n["name"]], pa.binary())], ["part", "row", "place", "name"])
+
+    recipes = read_recipes(spark, path)
+    used = recipes.select("part", "row", "names").mapInArrow(entries, "part int, row long, place long, name binary")
+    found = used.join(read_chunks(spark, path), "name", "left").groupBy("part", "row").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("all"), F.count("*").alias("chunks"))
+    body = F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    whole = recipes.drop("names").join(found.select("part", "row", body.alias("ids")), ["part", "row"])
+    broken = F.raise_error(F.lit("a document isn't as long as its recipe says"))
+    return whole.withColumn("ids", F.when(F.octet_length("ids") == 4 * F.col("n_tokens"), F.col("ids")).otherwise(broken.cast("binary")))
+
+
 # -- checksums of documents from those of chunks ------------------------------
 _POLY = 0xEDB88320
 
@@ -372,7 +397,7 @@ def document_sums(spark: SparkSession, path: str) -> DataFrame:
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [np.frombuffer(x, np.dtype([("name", f"V{NAME}"), ("n", "<u4")])) for x in batch.column(3).to_pylist()]
+            names = [np.frombuffer(x, _ENTRY) for x in batch.column(3).to_pylist()]
             count = np.array([len(x) for x in names], np.int64)
             if not count.sum():
                 continue
@@ -386,6 +411,8 @@ def document_sums(spark: SparkSession, path: str) -> DataFrame:
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.column(2).null_count:
+                raise ValueError("a recipe names a chunk that isn't there")
             x = shifted(batch.column(2).to_numpy(), batch.column(3).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x.astype(np.int64), pa.int64())], ["part", "row", "term"])
 

@@ -133,3 +133,31 @@ def test_empty_store(spark, tmp_path):
     path = f"file://{tmp_path}/empty"
     ts.write_store(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
     assert ts.document_sums(spark, path).count() == 0
+
+
+def test_documents_are_put_together_again(spark, docs, library, tmp_path):
+    rows, df = docs
+    path = f"file://{tmp_path}/again"
+    ts.write_store(df.selectExpr("doc_id", "text", "1 as n_tokens", "'x' as names", "2 as kind"), path, PATH)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in ts.read_documents(spark, path).collect())
+    assert got == sorted((i if i is not None else -1, library.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in rows)
+    # a store whose chunks are gone says so
+    import pathlib
+    import shutil
+
+    shutil.rmtree(next(pathlib.Path(f"{tmp_path}/again/content").glob("kind=0")))
+    with pytest.raises(Exception, match="isn't there"):
+        ts.document_sums(spark, path).collect()
+
+
+def test_long_texts_null_ids_and_clashing_columns(spark, library, tmp_path):
+    long = "word and another one, " * 20_000
+    df = spark.createDataFrame([(None, long, [1], "d"), (1, long, [2], "d"), (1, long, None, None)], "doc_id long, text string, ids array<int>, decoded_text string")
+    want = library.encode(long, add_special_tokens=False).ids
+    out = bpe.encode_decode(df, PATH, bpe.build_lexicon(df, PATH)).collect()
+    assert len(out) == 3 and all(list(r.ids) == want and r.decoded_text == long for r in out)
+    path = f"file://{tmp_path}/long"
+    ts.write_store(df, path, PATH)
+    sums = sorted(((r.doc_id or 0), r.start, r.n_tokens, r.crc) for r in ts.document_sums(spark, path).collect())
+    n, crc = len(want) + 1, zlib.crc32(np.array([*want, 0], "<u4").tobytes())
+    assert sums == [(0, 0, n, crc), (1, n, n, crc), (1, 2 * n, n, crc)]

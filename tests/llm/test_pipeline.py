@@ -87,3 +87,33 @@ def test_run_gives_the_same_rows(spark, stages):
 
     key = lambda df: sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in df.collect())
     assert key(C.run(spark, DATA)) == key(stages[5])
+
+
+def test_nulls_empties_repeats_and_clashing_columns(spark, tmp_path):
+    """All five stages over rows of every odd kind, whose columns have the names of results."""
+    import corpus_pipeline as C
+
+    folder = f"file://{tmp_path}"
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rude = lambda k: " ".join(f"v{k}x{j} scumword blargword" for j in range(20))
+    bench = " ".join(f"b{j}" for j in range(30))
+    rows = [(k, text(k)) for k in range(40)] + [(100 + k, rude(k)) for k in range(40)]
+    rows += [(1, text(1)), (None, text(50)), (None, text(50)), (201, ""), (202, None), (None, None), (203, "short"), (204, f"before {bench} after"), (205, " ".join(f"l{j}" for j in range(60_000))), (None, rude(60))]
+    extra = "score double, passages string, ids int, decoded_text string, kept boolean, kept_text string, n_words int, spans int, shingles int, block int, n_chars int"
+    df = spark.createDataFrame([(*r, "en", "s", 0.5, "p", 1, "d", False, "k", 2, 3, 4, 5, len(r[1] or "")) for r in rows], f"doc_id long, text string, lang string, source string, {extra}")
+    df.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(40)] + [(100 + k, 1, 1) for k in range(40)] + [(None, None, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, bench), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = df
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.schema == docs.schema or [f.dataType for f in out.schema] == [f.dataType for f in docs.schema] and out.columns == docs.columns
+        docs = out
+    got = C.run(spark, folder).collect()
+    known = sorted(r.doc_id for r in got if r.doc_id is not None)
+    assert known == [*range(40), 201, 202, 203, 205] and sum(r.doc_id is None for r in got) == 2
+    assert {r.doc_id: r.n_tokens for r in got}[201] == 0 and all(r.lang == "en" for r in got)
+    df.where("false").write.parquet(f"{folder}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{folder}/none/{name}.parquet")
+    assert C.run(spark, f"{folder}/none").count() == 0
