@@ -11,6 +11,7 @@ from . import proxies as P
 from .registry import query
 
 r4 = lambda c: F.round(c, 4)
+r9 = lambda c: F.round(c, 9)
 #: A week of 672 slots: the ring of 64, doubled, and moved on by five slots each day.
 _WEEK = P.sql("vec") + ", x AS (SELECT mp_id, CAST(k AS INTEGER) AS k, CAST(k // 96 AS INTEGER) AS d, CAST(k % 96 AS INTEGER) AS s, 4.0 * (2.0 * q[(k + 5 * (k // 96)) % 64 + 1]) AS x FROM vec, range(0, 672) t(k))"
 
@@ -41,18 +42,18 @@ def events(spark, sf):
     return E.load_events(weeks(spark, sf), ["mp_id"], amplitude=1.0)
 
 
-@query(_EVENTS + ' SELECT mp_id, start, "end", CAST(day AS INTEGER) AS day, cross_midnight, ' + ", ".join(f"round({c}, 4) AS {c}" for c in _MEASURES) + " FROM events")
+@query(_EVENTS + ' SELECT mp_id, start, "end", CAST(day AS INTEGER) AS day, cross_midnight, ' + ", ".join(f"round({c}, 9) AS {c}" for c in _MEASURES) + " FROM events")
 def load_events(spark, sf):
     """22 columns of every event"""
     e = events(spark, sf)
-    return e.select("mp_id", "start", "end", "day", "cross_midnight", *[r4(c).alias(c) for c in _MEASURES])
+    return e.select("mp_id", "start", "end", "day", "cross_midnight", *[r9(c).alias(c) for c in _MEASURES])
 
 
 _FEATURES = ("count", "days", "duration", "energy", "longest", "power", "plateau", "paired", "repetition", "template", "night", "negative", "interruptions")
 _BY_WEEK = """{n} AS (SELECT a.mp_id, count(*)::DOUBLE AS event_count, count(DISTINCT day)::DOUBLE AS event_days, sum(duration) AS event_duration, sum(energy) AS event_energy, max(duration) AS event_longest, quantile_cont(power, 0.5) AS event_power, avg(plateau) AS event_plateau,
   avg(CASE WHEN rise > 0.8 AND fall > 0.8 AND symmetry > 0.3 THEN 1.0 ELSE 0 END) AS event_paired, max(rep)::DOUBLE AS event_repetition, avg(template) AS event_template, avg(CASE WHEN start_hour < 6 OR start_hour >= 22 THEN 1.0 ELSE 0 END) AS event_night, avg(negative_share) AS event_negative, avg(interrupted_share) AS event_interruptions
   FROM {n}_e a JOIN (SELECT a.mp_id, a.start, count(DISTINCT b.day) AS rep FROM {n}_e a JOIN {n}_e b ON a.mp_id = b.mp_id AND abs(a.power - b.power) <= 0.3 GROUP BY ALL) r ON a.mp_id = r.mp_id AND a.start = r.start GROUP BY a.mp_id)"""
-_ROW = "SELECT v.mp_id, '{f}' AS family, " + ", ".join(f"round(coalesce(event_{c}, 0), 4) AS event_{c}" for c in _FEATURES) + ", round((1 - exp(-coalesce(event_count, 0) / 2)) * {w}, 4) AS score FROM vec v LEFT JOIN {n} ON v.mp_id = {n}.mp_id"
+_ROW = "SELECT v.mp_id, '{f}' AS family, " + ", ".join(f"round(coalesce(event_{c}, 0), 9) AS event_{c}" for c in _FEATURES) + ", round((1 - exp(-coalesce(event_count, 0) / 2)) * {w}, 9) AS score FROM vec v LEFT JOIN {n} ON v.mp_id = {n}.mp_id"
 
 
 @query(_EVENTS + ", b_e AS (SELECT * FROM events WHERE duration >= 1.5), p_e AS (SELECT * FROM b_e WHERE mad / greatest(power, 0.1) <= 0.3 AND rise >= 0.8 AND fall >= 0.8 AND symmetry >= 0.3), " + _BY_WEEK.format(n="b") + ", " + _BY_WEEK.format(n="p") + " "
@@ -61,13 +62,13 @@ def load_event_features(spark, sf):
     """13 columns and the score of each family; repetition by like power"""
     w, e = weeks(spark, sf), events(spark, sf)
     out = [E.event_features(w, e, ["mp_id"], f, tolerance=0.3).withColumn("family", F.lit(f)) for f in ("block", "template", "repeat_block", "plateau", "repeat_plateau")]
-    return R.stacked(*out).select("mp_id", "family", *[r4(f"event_{c}").alias(f"event_{c}") for c in _FEATURES], r4("score").alias("score"))
+    return R.stacked(*out).select("mp_id", "family", *[r9(f"event_{c}").alias(f"event_{c}") for c in _FEATURES], r9("score").alias("score"))
 
 
-@query(_EVENTS + ", s AS (SELECT mp_id, count(*) AS n, max(rise) AS r FROM events WHERE duration >= 1 AND rise >= 1 AND power > 0 AND mad / greatest(power, 0.1) <= 0.3 AND fall >= 0.5 AND symmetry >= 0.3 GROUP BY ALL) SELECT v.mp_id, coalesce(n, 0) AS strong_event_count, round(coalesce(r, 0), 4) AS maximum_rise FROM vec v LEFT JOIN s ON v.mp_id = s.mp_id")
+@query(_EVENTS + ", s AS (SELECT mp_id, count(*) AS n, max(rise) AS r FROM events WHERE duration >= 1 AND rise >= 1 AND power > 0 AND mad / greatest(power, 0.1) <= 0.3 AND fall >= 0.5 AND symmetry >= 0.3 GROUP BY ALL) SELECT v.mp_id, coalesce(n, 0) AS strong_event_count, round(coalesce(r, 0), 9) AS maximum_rise FROM vec v LEFT JOIN s ON v.mp_id = s.mp_id")
 def edge_evidence(spark, sf):
     """E03"""
-    return E.edge_evidence(weeks(spark, sf), events(spark, sf), ["mp_id"], paired=True).withColumn("maximum_rise", r4("maximum_rise"))
+    return E.edge_evidence(weeks(spark, sf), events(spark, sf), ["mp_id"], paired=True).withColumn("maximum_rise", r9("maximum_rise"))
 
 
 _TIMED = ("ramp_count", "all_ramp_count", "sustained_count", "paired_count", "active_days", "cross_midnight_count", "max_rise_kw", "median_rise_kw", "mean_level_kw", "mean_plateau_cv", "mean_edge_symmetry", "start_concentration", "start_sin", "start_cos")
