@@ -188,6 +188,35 @@ def windowed_extremes(months: DataFrame, windows: DataFrame, values: Sequence[st
     return asked.join(per_meter.groupBy(*keys).agg(*aggs), keys).drop(*keys)
 
 
+def windowed_profile(months: DataFrame, windows: DataFrame, hp_ratio: float = 3.0, hp_share: float = 0.2, production_kwh: float = 50.0, multi_unit: int = 4, least_months: int = 2) -> DataFrame:
+    """The 13 ``w_*`` outputs of a sample's window, from meter-months (gp_nr, mp_id, month, register, kwh, n_days):
+    meters, their greatest winter over summer ratio and least summer share, meters like heat pumps, and meters that only
+    produce.  A window without import has no row."""
+    from .relational import months_overlapping
+
+    keys = ["gp_nr", "first_day", "last_day"]
+    asked = windows.where("first_day <= last_day").select("sample_id", "gp_nr", F.trunc("first_day", "month").alias("first_day"), F.trunc("last_day", "month").alias("last_day"))
+    total = months.groupBy("gp_nr").agg(F.count_distinct("mp_id").alias("w_n_meters"))
+    inside = months_overlapping(asked.select(*keys).distinct(), months)
+    drawn, s = F.col("register") == "import", season(F.month("month"))
+    a_day = F.col("kwh") / F.greatest(F.col("n_days"), F.lit(1))
+    per = inside.groupBy(*keys, "mp_id").agg(
+        F.avg(F.when(drawn & (s == "summer"), a_day)).alias("summer"), F.avg(F.when(drawn & (s == "winter"), a_day)).alias("winter"), F.sum(F.when(drawn, F.col("kwh"))).alias("imp"),
+        F.count_if(drawn).alias("n"), F.coalesce(F.sum(F.when(~drawn, F.col("kwh"))), F.lit(0.0)).alias("exp")).where("n > 0")
+    both = F.coalesce("summer", F.lit(0.0)) + F.coalesce("winter", F.lit(0.0))
+    per = per.withColumns({"ratio": F.when(F.col("summer") > 0.01, F.col("winter") / F.col("summer")), "share": F.when(both > 0, F.col("summer") / both)})
+    hp = F.coalesce((F.col("ratio") >= hp_ratio) & (F.col("share") <= hp_share) & (F.col("n") >= least_months), F.lit(False))
+    made = (F.col("exp") > 0) & (F.col("imp") <= production_kwh)
+    out = per.groupBy(*keys).agg(
+        F.count("*").alias("w_n_meters_with_data"), F.max("ratio").alias("w_meter_max_winter_summer_ratio"), F.min("share").alias("w_meter_min_summer_share"), ratio(F.max("imp"), F.sum("imp")).alias("w_meter_concentration"),
+        F.count_if(hp).alias("w_n_heat_pump_like_meters"), F.count_if(made).alias("w_n_production_only_meters"), F.max("n").alias("w_n_months_in_window")).join(total, "gp_nr")
+    flag = lambda c: c.cast("int")
+    n, h = F.col("w_n_meters_with_data"), F.col("w_n_heat_pump_like_meters")
+    out = out.withColumns({"w_is_multi_meter": flag(F.col("w_n_meters") > 1), "w_is_multi_unit": flag(F.col("w_n_meters") >= multi_unit), "w_is_winter_dominant": flag(h > 0),
+        "w_has_dedicated_hp_meter": flag((n > 1) & (h > 0) & (n > h)), "w_has_production_only_meter": flag(F.col("w_n_production_only_meters") > 0)})
+    return asked.join(out, keys).drop(*keys)
+
+
 def means_and_stds(df: DataFrame, keys: Sequence[str], columns: Sequence[str], clear: str | None = None, date: str = "date") -> DataFrame:
     """Mean and standard deviation of each column, and means over clear days."""
     aggs = [F.count_distinct(date).alias("n_days")]

@@ -211,6 +211,28 @@ def household_labels(spark, sf):
     return o.groupBy("o_custkey").agg(A.any_mark("mark").alias("flag"), A.first_filled("o_orderpriority", "o_orderkey", "5-LOW").alias("priority"))
 
 
+_W_COUNTS = ("w_n_meters", "w_n_meters_with_data", "w_is_multi_meter", "w_is_multi_unit", "w_n_heat_pump_like_meters", "w_is_winter_dominant", "w_has_dedicated_hp_meter", "w_n_production_only_meters", "w_has_production_only_meter", "w_n_months_in_window")
+_W_RATIOS = ("w_meter_max_winter_summer_ratio", "w_meter_min_summer_share", "w_meter_concentration")
+
+
+@query(P.sql("facts") + """, m AS (SELECT CAST(CAST(mp_id AS BIGINT) % 20 AS VARCHAR) AS gp_nr, mp_id, make_date(year, month, 1) AS month, register, kwh, n_days FROM facts), t AS (SELECT gp_nr, count(DISTINCT mp_id) AS total FROM m GROUP BY gp_nr),
+w AS (SELECT o_orderkey AS sample_id, CAST(o_custkey % 20 AS VARCHAR) AS gp_nr, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate + INTERVAL 300 DAY AS DATE) AS b FROM orders),
+p AS (SELECT sample_id, w.gp_nr, mp_id, avg(kwh / n_days) FILTER (register = 'import' AND month(month) IN (5,6,7,8)) AS su, avg(kwh / n_days) FILTER (register = 'import' AND month(month) IN (11,12,1,2)) AS wi, sum(kwh) FILTER (register = 'import') AS imp, count(*) FILTER (register = 'import') AS n, coalesce(sum(kwh) FILTER (register = 'export'), 0) AS exp
+  FROM w JOIN m ON w.gp_nr = m.gp_nr AND month BETWEEN date_trunc('month', a) AND date_trunc('month', b) GROUP BY ALL HAVING count(*) FILTER (register = 'import') > 0),
+r AS (SELECT *, CASE WHEN su > 0.01 THEN wi / su END AS ratio, CASE WHEN coalesce(su, 0) + coalesce(wi, 0) > 0 THEN su / (coalesce(su, 0) + coalesce(wi, 0)) END AS share FROM p),
+h AS (SELECT *, coalesce(ratio >= 1.1 AND share <= 0.48 AND n >= 2, false) AS hp, exp > 0 AND imp <= 400 AS made FROM r),
+g AS (SELECT sample_id, gp_nr, count(*) AS n, max(ratio) AS ratio, min(share) AS share, max(imp) / sum(imp) AS conc, count(*) FILTER (hp) AS hp, count(*) FILTER (made) AS made, max(n) AS months FROM h GROUP BY ALL)
+SELECT sample_id, total AS w_n_meters, n AS w_n_meters_with_data, CAST(total > 1 AS INTEGER) AS w_is_multi_meter, CAST(total >= 4 AS INTEGER) AS w_is_multi_unit, round(ratio, 6) AS w_meter_max_winter_summer_ratio, round(share, 6) AS w_meter_min_summer_share, round(conc, 6) AS w_meter_concentration,
+  hp AS w_n_heat_pump_like_meters, CAST(hp > 0 AS INTEGER) AS w_is_winter_dominant, CAST(n > 1 AND hp > 0 AND n > hp AS INTEGER) AS w_has_dedicated_hp_meter, made AS w_n_production_only_meters, CAST(made > 0 AS INTEGER) AS w_has_production_only_meter, months AS w_n_months_in_window FROM g JOIN t ON g.gp_nr = t.gp_nr""")
+def windowed_profile(spark, sf):
+    """13 outputs; limits are set so that the stand-ins pass and fail them"""
+    m = P.facts(spark, sf).select((F.col("mp_id").cast("bigint") % 20).cast("string").alias("gp_nr"), "mp_id", F.make_date("year", "month", F.lit(1)).alias("month"), "register", "kwh", "n_days")
+    d = F.to_date("o_orderdate")
+    w = P.load(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_id"), (F.col("o_custkey") % 20).cast("string").alias("gp_nr"), d.alias("first_day"), F.date_add(d, 300).alias("last_day"))
+    out = A.windowed_profile(m, w, 1.1, 0.48, 400.0)
+    return out.select("sample_id", *_W_COUNTS, *[r6(c).alias(c) for c in _W_RATIOS])
+
+
 @query("SELECT CAST(count(DISTINCT c_custkey) AS BIGINT) AS households, CAST(count(*) FILTER (c_acctbal > 0) AS BIGINT) AS positive, CAST(count(*) FILTER (c_acctbal > 0 AND c_nationkey < 10) AS BIGINT) AS positive_metered, CAST(count(*) FILTER (c_nationkey BETWEEN 3 AND 7) AS BIGINT) AS in_window FROM customer")
 def acceptance_counts(spark, sf):
     """Counts that have to come out as agreed"""
