@@ -20,6 +20,14 @@ SQL = {
     "scored": """scored AS (SELECT d.doc_id, CAST(n_chars AS DOUBLE) AS score, toxic AS label, quality, lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id)""",
 }
 
+#: The stateful step detector over the rings, limits 0.1 and 0.6, two slots at least: a recursion that moves on by a slot, or behind an accepted run.
+STEPS = """WITH RECURSIVE vec AS (SELECT CAST(vec_id AS VARCHAR) AS mp_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings),
+scan AS (SELECT mp_id, 1 AS i, NULL::INTEGER AS start, NULL::INTEGER AS length, NULL::DOUBLE AS excess FROM vec UNION ALL
+  SELECT mp_id, CAST(CASE WHEN ok THEN i + n ELSE i + 1 END AS INTEGER), CASE WHEN ok THEN i END, CASE WHEN ok THEN n END, CASE WHEN ok THEN mid END FROM
+    (SELECT *, up AND n >= 2 AND mid BETWEEN 0.1 AND 0.6 AS ok FROM (SELECT *, list_aggregate(list_transform(q[i + 1:i + n], lambda x: x - base), 'quantile_cont', 0.5) AS mid FROM
+      (SELECT *, CAST(coalesce(nullif(list_position(list_transform(q[i + 1:64], lambda x: x - base >= 0.8 * 0.1), false), 0), 65 - i) - 1 AS INTEGER) AS n FROM
+        (SELECT scan.mp_id, i, q, list_aggregate(q[greatest(i - 3, 1):i], 'quantile_cont', 0.5) AS base, q[i + 1] - q[i] >= 0.8 * 0.1 AS up FROM scan JOIN vec ON scan.mp_id = vec.mp_id WHERE i < 64))))),
+found AS (SELECT mp_id, start, length, excess FROM scan WHERE start IS NOT NULL) """
 #: CRC-32 of a text in DuckDB: bytes, then bits, folded into a register.
 CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
 

@@ -232,9 +232,9 @@ def block_events(spark, sf):
     return e.select("mp_id", "start", "length", r4("median").alias("median"), r4("p90").alias("p90"), r4("energy").alias("energy"))
 
 
-@query()
+@query(P.STEPS + "SELECT mp_id, start, length, round(excess, 4) AS excess FROM found")
 def sequential_events(spark, sf):
-    """Stateful scan, against brute force in the tests"""
+    """Stateful scan"""
     return E.sequential_events(P.profiles(spark, sf), ["mp_id"], "q", 0.1, 0.6, 2).withColumn("excess", r4("excess"))
 
 

@@ -88,7 +88,9 @@ def winter_over_night(spark, sf):
     return v.select("mp_id", F.round(K.winter_over_night(V.total(F.col("q")), V.total(V.part(F.col("q"), 0, 20))), 3).alias("ratio"))
 
 
-@query()
+@query(P.STEPS + """, n AS (SELECT f.*, label FROM found f JOIN vec ON f.mp_id = vec.mp_id WHERE start >= 40 OR start < 12), d AS (SELECT label, count(*) AS days FROM vec GROUP BY label),
+e AS (SELECT label, count(DISTINCT start // 96) AS nights, quantile_cont(length, 0.5) / 4 AS hours, CASE WHEN count(*) >= 3 AND avg(length * excess / 4) > 0 THEN stddev_pop(length * excess / 4) / avg(length * excess / 4) END AS cv FROM n GROUP BY label)
+SELECT CAST(d.label AS VARCHAR) AS sample_id, round(100 * coalesce(nights, 0) / days::DOUBLE, 6) AS ev_mode2_nights100, round(coalesce(hours, 0), 6) AS ev_mode2_med_hours, round(cv, 6) AS ev_mode2_energy_cv FROM d LEFT JOIN e ON d.label = e.label""")
 def night_plateaus(spark, sf):
     """From the sequential detector's events"""
     from ..operators.events import sequential_events
