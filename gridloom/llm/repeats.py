@@ -35,8 +35,8 @@ from .batches import small_batches
 from .textcore import NO_GRAM, U64, member, mix, prefix_hash, range_hash, room, slices, sliding
 
 BLOCK = "__block"
-BLOCK_BYTES = 8 << 20
-LEAST_BLOCKS = 48
+BLOCK_BYTES = 2 << 20
+LEAST_BLOCKS = 16
 #: Bytes of text that a partition holds, at most about: many blocks.
 PARTITION_BYTES = 1 << 30
 RUN_SCHEMA = "part int, block int, run binary"
