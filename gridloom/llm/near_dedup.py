@@ -13,7 +13,8 @@ one set are a *class*, represented by its smallest id; only classes go on.
 A band's classes aren't paired with each other.  First each is compared with
 the smallest class of a band of its; confirmed links give components.  Then, in each band,
 the classes outside of its largest component are compared with all of the band that lie in
-other components, on their full sets, on the spot; of the pairs that are similar enough only
+other components, each pair in the first band that it shares: by their sketches, then, what is left,
+on their full sets, on the spot; of the pairs that are similar enough only
 the most similar one of two components is sent on.  So every candidate pair is confirmed,
 refuted, or inside one component already.  A band is cut into chunks of bounded rows and
 bytes, and a task gets two of them.  What stays quadratic is a band of many classes of which no
@@ -194,11 +195,12 @@ def near_duplicates(docs: DataFrame, folder: str, doc_id: str = "doc_id", text:
     # a class is named by a number of its own: an id that repeats with other texts can be the smallest of several
     classes = signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"))
     classes = _saved(classes.withColumn("id", F.monotonically_increasing_id()), f"{folder}/classes")
-    one = signed.join(classes, (signed["set_key"] == classes["set_key"]) & (signed["doc_id"] == classes["first"])).select("id", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["id"])
-    one = _saved(one, f"{folder}/one")
-    banded = one.select("id", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("band", "leader")
-    members = _saved(banded.join(buckets, "band").where("id >= leader"), f"{folder}/members")
+    one = signed.withColumnRenamed("doc_id", "first").join(classes, ["set_key", "first"]).dropDuplicates(["set_key", "first"])
+    one = _saved(one.select("id", "first", F.col("n_shingles").alias("n"), "bands", "sketch"), f"{folder}/one")
+    banded = one.select("id", "first", F.explode("bands").alias("band"))
+    # a band's leader is the class with the smallest document: copies tend to come after what they were made from
+    buckets = banded.groupBy("band").agg(F.min(F.struct("first", "id")).alias("leader"), F.count("*").alias("size")).where("size > 1").select("band", "leader")
+    members = _saved(banded.join(buckets, "band").select("band", "id", "leader"), f"{folder}/members")
     first = _saved(_leader_pairs(members, one), f"{folder}/pairs-1")
     sets = _saved(_full_sets(docs, members, classes, doc_id, text), f"{folder}/sets")
     links = _saved(confirm(first, sets), f"{folder}/links-1")
@@ -231,8 +233,9 @@ def _sketched(pairs: DataFrame, one: DataFrame) -> DataFrame:
 
 def _leader_pairs(members: DataFrame, one: DataFrame) -> DataFrame:
     """Each class with the smallest leader that its sketch resembles."""
-    pairs = members.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    return _sketched(pairs, one).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    pairs = members.where("id <> leader.id").select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
+    order = one.select(F.col("id").alias("a"), F.col("first").alias("order"))
+    return _sketched(pairs, one).join(order, "a").groupBy("b").agg(F.min(F.struct("order", "a")).alias("best")).select("best.a", "b")
 
 
 def _full_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -247,13 +250,14 @@ def _full_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, doc_id:
 
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("first"), F.col(f"`{text}`").alias("text"))
-    found = texts.join(wanted.select("first").distinct(), "first", "left_semi").select("text").mapInArrow(run, "set_key binary, shingles binary")
-    return found.join(wanted, "set_key").select("id", "shingles").dropDuplicates(["id"])
+    # by merge at every size: a broadcast that only few classes allow would make another plan of a small table
+    found = texts.join(wanted.select("first").distinct().hint("merge"), "first", "left_semi").select("text").mapInArrow(run, "set_key binary, shingles binary")
+    return found.dropDuplicates(["set_key"]).join(wanted.select("set_key", "id"), "set_key").select("id", "shingles")
 
 
 def _cross_links(members: DataFrame, one: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """For any two components that share a band, the pair of classes of that band that is most alike, if it
-    is alike enough; all pairs are compared where they lie, none is sent but this one.
+    """Links between components that share a band; all pairs of its classes are compared where they lie, and a task
+    sends no more links than join its components.
 
     The classes of a band's largest component are only compared with the others.  A band of many classes is cut
     into chunks, and a task gets two of it, so no task grows with a band.
@@ -262,44 +266,58 @@ def _cross_links(members: DataFrame, one: DataFrame, sets: DataFrame, parts: Dat
     sized = named.groupBy("band", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     bands = sized.groupBy("band").agg(F.count("*").alias("parts"), F.sum("rows").alias("all"), F.sum("n").alias("all_n"), F.max(F.struct("rows", "n", "part")).alias("top")).where("parts > 1")
     chunks = lambda rows, n: F.greatest(F.ceil(rows / CHUNK), F.ceil(8 * n / CHUNK_BYTES), F.lit(1)).cast("int")
-    mixed = bands.select("band", F.col("top.part").alias("main"), chunks(F.col("top.rows"), F.col("top.n")).alias("inner"), chunks(F.col("all") - F.col("top.rows"), F.col("all_n") - F.col("top.n")).alias("outer"))
+    small = (F.col("all") <= CHUNK) & (8 * F.col("all_n") <= CHUNK_BYTES)  # one task compares it all
+    mixed = bands.select("band", small.alias("small"), F.col("top.part").alias("main"), chunks(F.col("top.rows"), F.col("top.n")).alias("inner"), chunks(F.col("all") - F.col("top.rows"), F.col("all_n") - F.col("top.n")).alias("outer"))
     # chunks of the others are numbered from 0, those of the largest component behind them
     rows = named.join(mixed, "band").withColumn("main", F.col("part") == F.col("main"))
     spread = F.xxhash64("id")
-    rows = rows.withColumn("chunk", F.when(F.col("main"), F.col("outer") + F.pmod(spread, F.col("inner"))).otherwise(F.pmod(spread, F.col("outer"))).cast("int"))
-    every = F.col("outer") + F.when(F.col("main"), 0).otherwise(F.col("inner"))
+    rows = rows.withColumn("chunk", F.when(F.col("small"), 0).when(F.col("main"), F.col("outer") + F.pmod(spread, F.col("inner"))).otherwise(F.pmod(spread, F.col("outer"))).cast("int"))
+    every = F.when(F.col("small"), 1).otherwise(F.col("outer") + F.when(F.col("main"), 0).otherwise(F.col("inner")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), every - 1)))
     rows = rows.select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "id", "part", "n")
-    rows = rows.join(one.select("id", "sketch"), "id").join(sets, "id")
+    rows = rows.join(one.select("id", "sketch", "bands"), "id")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+    def still_open(table: pa.Table) -> tuple[list[np.ndarray], tuple]:
+        """For each class, the classes of other components that its sketch allows a link with and that share no earlier band."""
+        part, n, chunk = (table.column(c).to_numpy() for c in ("part", "n", "chunk"))
+        across = table.column("x")[0].as_py() != table.column("y")[0].as_py()
+        band = table.column("band")[0].as_py()
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U64).reshape(len(part), -1)
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(part), -1)
+        found = []
+        for i in range(len(part)):
+            j = np.flatnonzero((part != part[i]) & alike(bits[i], n[i], bits, n) & ((chunk != chunk[i]) if across else True))
+            first = (keys[j] == keys[i]).argmax(axis=1)
+            found.append(j[keys[i][first] == band])
+        return found, (part, n)
+
+    def sketched(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        return table.filter(pa.array([len(j) > 0 for j in still_open(table)[0]], pa.bool_()))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, part, n, chunk = (table.column(c).to_numpy() for c in ("id", "part", "n", "chunk"))
-        across = table.column("x")[0].as_py() != table.column("y")[0].as_py()
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U64).reshape(len(ids), -1)
-        full = table.column("shingles").to_pylist()
-        # classes whose sketch allows a link with no other component stand out of the comparison
-        open_ = [np.flatnonzero((part != part[i]) & alike(bits[i], n[i], bits, n) & ((chunk != chunk[i]) if across else True)) for i in range(len(ids))]
-        some = np.array([i for i in range(len(ids)) if len(open_[i])], np.int64)
+        ids, full = table.column("id").to_numpy(), table.column("shingles").to_pylist()
+        open_, (part, n) = still_open(table)
         a, b = [], []
-        if len(some):
-            common = _common([np.frombuffer(full[i], "<u8") for i in some])
-            place = np.full(len(ids), -1)
-            place[some] = np.arange(len(some))
-            best: dict = {}
-            for i in some:
-                j = open_[i]
-                both = common[place[i], place[j]]
-                union = n[i] + n[j] - both
-                ok = LEAST_SHARE[1] * both >= LEAST_SHARE[0] * union
-                for k, share in zip(j[ok].tolist(), (both[ok] / union[ok]).tolist()):
-                    key = (min(part[i], part[k]), max(part[i], part[k]))
-                    if share > best.get(key, (-1.0,))[0]:
-                        best[key] = (share, min(ids[i], ids[k]), max(ids[i], ids[k]))
-            a, b = [x[1] for x in best.values()], [x[2] for x in best.values()]
+        if any(len(j) for j in open_):
+            common = _common([np.frombuffer(x, "<u8") for x in full])
+            joined = np.unique(part, return_inverse=True)[1]  # what the links so far join
+            for i, j in enumerate(open_):
+                j = j[joined[j] != joined[i]]
+                both = common[i, j]
+                j = j[LEAST_SHARE[1] * both >= LEAST_SHARE[0] * (n[i] + n[j] - both)]
+                while len(j):
+                    a.append(min(ids[i], ids[j[0]]))
+                    b.append(max(ids[i], ids[j[0]]))
+                    joined[joined == joined[j[0]]] = joined[i]
+                    j = j[joined[j] != joined[i]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("band", "x", "y").applyInArrow(lambda t: run(t), "a long, b long").distinct()
+    keys = ["band", "x", "y"]
+    left = rows.groupBy(*keys).applyInArrow(lambda t: sketched(t), schema)
+    return left.join(sets, "id").groupBy(*keys).applyInArrow(lambda t: run(t), "a long, b long").distinct()
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
