@@ -111,14 +111,37 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sums(spark, path).select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_bpe, op4_substring_dedup, op5_suffix_array_dedup, op6_topk, op7_near_dedup, op8_url_filter, op9_toxicity, op10_token_store)}
+def op11_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .backoff_lm import score_texts
+
+    scored = score_texts(table(spark, sf_dir, "documents"), shared_folder(spark, "backoff-lm"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), shared_folder(spark, "centroids"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared_folder(spark, "resampling"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_bpe, op4_substring_dedup, op5_suffix_array_dedup, op6_topk, op7_near_dedup, op8_url_filter, op9_toxicity, op10_token_store, op11_backoff_lm, op12_centroids, op13_resampling)}
 
 
 def _oracles() -> dict[str, str]:
-    from .oracles import NEAR, REPEATS, TOPK
+    from .oracles import BACKOFF, CENTROIDS, NEAR, REPEATS, RESAMPLING, TOPK
     from .url_filter import oracle_sql
 
-    return {"op4_substring_dedup": REPEATS, "op6_topk": TOPK, "op7_near_dedup": NEAR, "op8_url_filter": oracle_sql()}
+    return {
+        "op4_substring_dedup": REPEATS, "op6_topk": TOPK, "op7_near_dedup": NEAR, "op8_url_filter": oracle_sql(),
+        "op11_backoff_lm": BACKOFF, "op12_centroids": CENTROIDS, "op13_resampling": RESAMPLING,
+    }
 
 
 ORACLE_SQL = _oracles()
