@@ -266,20 +266,6 @@ def shape_features(series: DataFrame, ids: Sequence[str], vector: str, component
     return series.select(*ids, out.alias("r")).select(*ids, "r.*")
 
 
-def battery_day(days: DataFrame, sunrise: str = "sunrise", sunset: str = "sunset") -> DataFrame:
-    """Of a day's import and export arrays: hours of no import after sunset, the first import then,
-    shares of export after noon, longest flat block in daylight."""
-    up, down = F.floor(F.col(sunrise) * 4).cast("int"), F.ceil(F.col(sunset) * 4).cast("int")
-    evening = F.slice("imp", down + 1, F.greatest(F.lit(96) - down, F.lit(0)))
-    zero = V.leading_run(F.transform(evening, lambda x: x <= 0.005))
-    noon = V.total(V.part(F.col("exp"), 48, 96))
-    light = F.slice("exp", up + 1, F.greatest(down - up, F.lit(0)))
-    flat = V.longest_run(F.transform(V.steps(light), lambda d: F.abs(d) <= 0.02))
-    return days.select("mp_id", "date", V.total(F.col("imp")).alias("imp_kwh"), V.total(F.col("exp")).alias("exp_kwh"),
-        (zero / 4).alias("zero_hours_after_sunset"), F.get(evening, zero).alias("first_import"),
-        F.when(V.total(F.col("exp")) > 0, noon / V.total(F.col("exp"))).alias("post_noon_share"), flat.alias("flat_slots"))
-
-
 def stable_share(vector: Column, width: float = 0.05, least: int = 8) -> Column:
     """Share of slots in runs in which no step is larger than ``width``."""
     calm = V.runs(F.transform(V.steps(vector), lambda d: F.abs(d) <= width), least - 1)

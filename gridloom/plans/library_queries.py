@@ -90,18 +90,6 @@ def export_summary(spark, sf):
     return A.export_summary(export_days(spark, sf)).withColumns({"export_kwh": r4("export_kwh"), "peak_slot": r4("peak_slot")})
 
 
-@query(P.sql("vec") + """, d AS (SELECT mp_id, list_transform(list_concat(q, q[1:32]), lambda x: greatest(x, 0)) AS imp, list_transform(list_concat(q, q[1:32]), lambda x: greatest(-x, 0)) AS exp FROM vec),
-e AS (SELECT mp_id, imp, exp, imp[82:96] AS eve, exp[25:81] AS light FROM d), z AS (SELECT *, coalesce(list_position(list_transform(eve, lambda x: x <= 0.005), false), 16) - 1 AS zero FROM e),
-s AS (SELECT mp_id, i, abs(light[i + 1] - light[i]) <= 0.02 AS f FROM e, range(1, 57) t(i)), g AS (SELECT mp_id, i - row_number() OVER (PARTITION BY mp_id ORDER BY i) AS g FROM s WHERE f), l AS (SELECT mp_id, max(n) AS flat FROM (SELECT mp_id, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY mp_id)
-SELECT z.mp_id, DATE '2024-07-01' AS date, round(list_sum(imp), 4) AS imp_kwh, round(list_sum(exp), 4) AS exp_kwh, zero / 4.0 AS zero_hours_after_sunset, round(eve[zero + 1], 4) AS first_import, round(CASE WHEN list_sum(exp) > 0 THEN list_sum(exp[49:96]) / list_sum(exp) END, 4) AS post_noon_share, CAST(coalesce(flat, 0) AS INTEGER) AS flat_slots
-FROM z LEFT JOIN l ON z.mp_id = l.mp_id""")
-def battery_days(spark, sf):
-    """Measures of a day's import and export around sunset"""
-    day = F.concat("q", F.slice("q", 1, 32))
-    v = P.profiles(spark, sf).select("mp_id", F.lit("2024-07-01").cast("date").alias("date"), F.transform(day, lambda x: F.greatest(x, F.lit(0.0))).alias("imp"), F.transform(day, lambda x: F.greatest(-x, F.lit(0.0))).alias("exp"), F.lit(6.0).alias("sunrise"), F.lit(20.25).alias("sunset"))
-    return E.battery_day(v).withColumns({c: r4(c) for c in ("imp_kwh", "exp_kwh", "first_import", "post_noon_share")})
-
-
 @query(P.sql("vec") + "SELECT CAST(label AS VARCHAR) AS sample_id, round(max(r), 4) AS max_ramp, round(100 * avg(CASE WHEN r >= 1.5 THEN 1.0 ELSE 0 END), 4) AS ramp_days_per_100 FROM (SELECT label, list_max(list_transform(list_zip(q[2:64], q[1:63]), lambda p: (p[1] - p[2]) * 4)) AS r FROM vec) GROUP BY label")
 def ramp_scores(spark, sf):
     """V14"""

@@ -1,12 +1,15 @@
 """Relational, aggregate, label, statistics and model operators on small cases."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions import draws
 from gridloom.operators import aggregates as A
+from gridloom.operators import audit, battery
 from gridloom.operators import labels as L
 from gridloom.operators import models as M
 from gridloom.operators import relational as R
@@ -59,13 +62,110 @@ def test_profile_needs_support(spark):
     assert A.slot_profile(df.where("date < '2025-07-09'")).count() == 0
 
 
-def test_battery_day(spark):
-    from gridloom.operators.events import battery_day
+def battery_days(spark, *rows):
+    """Rows of (date, imp, exp) with the sun between 5 and 20."""
+    data = [("m", "8000", d, True, imp, exp, 5.0, 20.0) for d, imp, exp in rows]
+    return battery.battery_day(spark.createDataFrame(data, "mp_id string, plz string, date date, is_clear boolean, imp array<double>, exp array<double>, sunrise double, sunset double"))
 
+
+def test_battery_day_of_both_registers(spark):
     imp = [0.05] * 80 + [0.0] * 8 + [0.05] * 8
-    df = spark.createDataFrame([("m", dt.date(2025, 7, 15), imp, [0.0] * 96, 5.0, 20.0)], "mp_id string, date date, imp array<double>, exp array<double>, sunrise double, sunset double")
-    row = battery_day(df).first()
-    assert row.zero_hours_after_sunset == 2.0 and row.imp_kwh > 0 and row.post_noon_share is None
+    row = battery_days(spark, (dt.date(2025, 7, 15), imp, [0.0] * 96)).first()
+    assert row.day_kwh == pytest.approx(4.4) and row.zero_run_after_sunset == 2.0 and row.step_slot == 88 and row.step_magnitude == 0.05
+    assert row.evening_zero_share == 0.5 and row.both_zero_share == pytest.approx(8 / 96) and row.both_zero_share_daylight == 0
+    assert row.exp_start_slot is None and row.exp_peak_flatness is None and row.exp_peak_kw == 0
+    assert row.night_flat_block_share == 1 and row.night_block_power == 0.25 and row.has_both and row.export_share_of_daylight_energy == 0
+
+
+def test_battery_day_without_a_register_or_season(spark):
+    imp = [0.1] * 96
+    rows = {r.date.month * 100 + r.date.day: r for r in battery_days(spark, (dt.date(2025, 1, 5), imp, imp), (dt.date(2025, 5, 5), imp, None), (dt.date(2025, 5, 6), None, imp), (dt.date(2025, 5, 7), None, None)).collect()}
+    assert rows[105].zero_run_after_sunset is None and rows[105].night_flat_block_share is None and rows[105].flat_interval_share is None and rows[105].evening_zero_share == 0
+    assert rows[505].exp_day_kwh is None and rows[505].both_zero_share is None and rows[505].day_kwh == pytest.approx(9.6) and not rows[505].has_both
+    assert rows[506].day_kwh is None and rows[506].exp_peak_flatness == 1
+    assert all(rows[507][c] is None for c in battery.DAY_MEASURES)
+
+
+def test_flat_blocks(spark):
+    ramp = [i / 95 for i in range(96)]
+    ramp[20:28] = [0.25] * 8
+    jagged = [0.0, 1.0] * 48
+    part = list(jagged)
+    part[10:14] = [0.5] * 4
+    part[30:33] = [0.5] * 3  # too short
+    gap = [0.3] * 96
+    gap[3] = None  # a block of three, one missing, the rest
+    df = spark.createDataFrame([(0, ramp), (1, jagged), (2, part), (3, gap), (4, [None] * 96)], "i int, v array<double>")
+    got = {r.i: r.b for r in df.select("i", battery.flat_block(F.col("v")).alias("b")).collect()}
+    assert got[0].share >= 8 / 96 and got[0].power == 1.0
+    assert tuple(got[1]) == (0.0, None) and tuple(got[2]) == (4 / 96, 2.0)
+    assert got[3].share == 92 / 96 and got[3].power == 1.25 and tuple(got[4]) == (0.0, None)
+
+
+def test_flat_block_over_slots_that_are_apart(spark):
+    v = [9.0] * 96
+    for s in battery.NIGHT_SLOTS:
+        v[s] = 0.1
+    df = spark.createDataFrame([(v,)], "v array<double>")
+    assert tuple(df.select(battery.flat_block(battery.picked(F.col("v"), battery.NIGHT_SLOTS)).alias("b")).first().b) == (1.0, 0.5)
+
+
+def test_battery_month(spark):
+    rows = [(dt.date(2025, 5, d), [0.1 * d] * 96, [0.0] * 96) for d in (1, 2, 3)]
+    row = battery.battery_month(battery_days(spark, *rows)).first()
+    assert row.n_days == 3 and row.day_kwh_mean == pytest.approx(19.2) and row.day_kwh_std == pytest.approx(9.6) and row.evening_zero_share_clear == 0
+
+
+def test_signed_ranks_are_exact_for_few_pairs(spark):
+    """Against all signs, one by one."""
+    import itertools
+
+    for d in ([1.5, -0.5, 2.5, 3.5, 4.5], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0], [-3.0, 1.0, -2.0, 4.0]):
+        ranks = sorted(range(len(d)), key=lambda i: abs(d[i]))
+        w = sum(r + 1 for r, i in enumerate(ranks) if d[i] > 0)
+        sums = [sum(r + 1 for r, s in enumerate(signs) if s) for signs in itertools.product((0, 1), repeat=len(d))]
+        p = min(1.0, 2 * min(sum(s <= w for s in sums), sum(s >= w for s in sums)) / len(sums))
+        row = audit.signed_rank_test(spark.createDataFrame([(0.0, x) for x in d], "a double, b double"), "a", "b").first()
+        assert (row.n, row.w_plus, row.method) == (len(d), w, "exact") and row.p == pytest.approx(p)
+
+
+def test_signed_ranks_with_ties_and_zeros(spark):
+    df = spark.createDataFrame([(1, 0.0, x) for x in (1.0, 1.0, -1.0, 2.0, 0.0)] + [(2, 0.0, 0.0), (3, None, 1.0)], "k int, a double, b double")
+    got = {r.k: r for r in audit.signed_rank_test(df, "a", "b", ["k"]).collect()}
+    # ranks 2, 2, -2, 4: W+ = 8, mean 5, variance (4 * 5 * 9 - 24 / 2) / 24 = 7
+    assert got[1].method == "normal" and got[1].w_plus == 8 and got[1].p == pytest.approx(math.erfc(3 / math.sqrt(7) / math.sqrt(2)))
+    assert got[2].n == 0 and got[2].p is None and 3 not in got
+
+
+def test_error_function(spark):
+    xs = [0.0, 1e-9, 0.1, 0.5, 1.0, 2.0, 3.5, 5.9, 6.0, 40.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(audit.erf(F.col("x"))).collect()]
+    assert got == pytest.approx([math.erf(x) for x in xs], abs=1e-14)
+
+
+def test_audit_of_one_class_and_of_few_pairs(spark):
+    rows = spark.createDataFrame([("a", 1, 0.9), ("b", 1, 0.2)], "gp_nr string, label int, probability double")
+    row = audit.audit_set_a(rows, resamples=5).first()
+    assert row.error and row.tp == 1 and row.fn == 1 and row.roc_auc is None and row.accuracy is None and row.resamples == 0
+    pairs = spark.createDataFrame([("a", 0.1, 0.9)] * 3, "gp_nr string, before double, after double")
+    assert audit.audit_set_b(pairs).first().note == "too few paired households"
+    row = audit.audit_set_b(spark.createDataFrame([(str(i), 0.1, 0.2 + i / 50) for i in range(8)], "gp_nr string, before double, after double")).first()
+    assert row.win_rate == 1 and row.method == "exact" and row.wilcoxon_p == pytest.approx(2 / 256)
+
+
+def test_controls_are_never_trained_on(spark):
+    labels = spark.createDataFrame([("p", True, None, True, True, None), ("p", None, False, None, None, dt.date(2024, 1, 1)), ("n", False, True, True, True, None), ("m", True, False, False, True, None)],
+        "gp_nr string, battery_positive boolean, audit_negative boolean, has_pv_row boolean, has_meter boolean, battery_commissioning_date date")
+    oof = spark.createDataFrame([("p", 2023, "U", 0.1), ("p", 2024, "P", 0.6), ("p", 2025, "P", 0.8), ("m", 2025, "P", 0.7), ("n", 2025, "U", 0.4)], "gp_nr string, year int, pu_label string, probability double")
+    years = spark.createDataFrame([("n", 2024, 12, 0.5), ("n", 2025, 3, 0.9)], "gp_nr string, year int, n_months int, raw double")
+    got = sorted(tuple(r) for r in audit.control_rows(oof, labels, years, F.col("raw")).collect())
+    assert got == [("n", 0, pytest.approx(0.5)), ("p", 1, 0.8)]
+
+
+def test_draws_are_uniform_and_poisson(spark):
+    d = spark.range(20_000).select(draws.uniform(3, "id").alias("u"))
+    row = d.agg(F.avg("u"), F.min("u"), F.max("u"), F.avg(draws.poisson(F.col("u"))), F.var_pop(draws.poisson(F.col("u"))), F.count_distinct("u")).first()
+    assert abs(row[0] - 0.5) < 0.01 and 0 <= row[1] and row[2] < 1 and abs(row[3] - 1) < 0.03 and abs(row[4] - 1) < 0.05 and row[5] == 20_000
 
 
 def test_ranks_and_change_point(spark):
