@@ -17,6 +17,7 @@ is lost; a long text is cut by no bound but its own; an empty table gives no row
 
 from __future__ import annotations
 
+import re
 from itertools import compress
 
 import numpy as np
@@ -28,6 +29,26 @@ from .repeats import BLOCK, ONE, PIECE, Windows, covered, in_blocks, in_run, mer
 from .textcore import U64, WORD_POWERS, joined_bytes, word_bounds, word_hashes
 
 WIDTH, GRAM = 35, 16
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
+    """``raw`` without runs of words (first, last).  A run goes with the white space behind it; if that holds line ends, a run that
+    begins its line goes with them and its own indentation, another leaves them.  All else stays as it is."""
+    words = [m.span() for m in _WORD.finditer(raw)]
+    out, at = [], 0
+    for first, last in cut:
+        begin, end = words[first][0], words[last][1]
+        before = raw.rfind(b"\n", words[first - 1][1] if first else 0, begin) + 1
+        until = words[last + 1][0] if last + 1 < len(words) else len(raw)
+        behind = raw.rfind(b"\n", end, until) + 1
+        if not behind:
+            end = until
+        elif before or not first:
+            begin, end = before, behind
+        out.append(raw[at:begin])
+        at = end
+    return b"".join([*out, raw[at:]])
 
 
 def word_symbols(column: pa.ChunkedArray) -> tuple:
@@ -61,9 +82,9 @@ def _windows_of(windows: Windows, s: dict, lo: np.ndarray, hi: np.ndarray, piece
     return at, out
 
 
-def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, index: FingerprintIndex | None = None) -> DataFrame:
-    """All columns of ``docs``, with ``kept_text`` (kept words joined by one space), ``n_words``,
-    ``n_removed`` and ``spans`` (first and last removed word of each maximal run) added."""
+def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, index: FingerprintIndex | None = None, layout: bool = False) -> DataFrame:
+    """All columns of ``docs``, with ``kept_text`` (kept words joined by one space; with ``layout``, the text as it is without the
+    removed words), ``n_words``, ``n_removed`` and ``spans`` (first and last removed word of each maximal run) added."""
     windows = Windows(text, width, min(gram, width), word_symbols)
     index = index or FingerprintIndex(docs.sparkSession)
     columns = [c for c in docs.columns if c not in (BLOCK, "kept_text", "n_words", "n_removed", "spans")]
@@ -103,15 +124,14 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = W
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[bounds])
         kept, cut = [], []
         for i, value in enumerate(part.column(text).to_pylist()):
-            words = value.encode().split() if value else []
-            if removed[i]:
-                mask = gone[bounds[i] : bounds[i + 1]]
-                words = compress(words, ~mask)
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
-                cut.append([{"first": int(a), "last": int(b) - 1} for a, b in edge.reshape(-1, 2)])
+            raw, mask = value.encode() if value else b"", gone[bounds[i] : bounds[i + 1]]
+            runs = [(a, b - 1) for a, b in np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]))).reshape(-1, 2).tolist()] if removed[i] else []
+            cut.append([{"first": a, "last": b} for a, b in runs])
+            if layout:
+                kept.append((without(raw, runs) if runs else raw).decode())
             else:
-                cut.append([])
-            kept.append(b" ".join(words).decode())
+                words = raw.split()
+                kept.append(b" ".join(compress(words, ~mask) if runs else words).decode())
         out = part.select(columns)
         out = out.append_column("kept_text", pa.array(kept, pa.string()))
         out = out.append_column("n_words", pa.array(np.diff(bounds), pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))

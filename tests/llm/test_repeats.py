@@ -28,17 +28,16 @@ def corpus(seed, n=60, words=40):
     return out + [(n, None), (n + 1, ""), (n + 2, "a " * 60), (n + 3, out[0][1]), (n + 3, out[0][1]), (None, out[1][1]), (n + 4, "é " * 30 + "日本 " * 20)]
 
 
-def brute_words(docs, width, history=()):
+def brute_gone(docs, width, history=()):
+    """The places of each document's words that go."""
     words = [(t or "").encode().split() for _, t in docs]
     seen = Counter(tuple(w[k : k + width]) for w in [*words, *[(t or "").encode().split() for _, t in history]] for k in range(len(w) - width + 1))
-    out = []
-    for w in words:
-        gone = np.zeros(len(w), bool)
-        for k in range(len(w) - width + 1):
-            if seen[tuple(w[k : k + width])] > 1:
-                gone[k : k + width] = True
-        out.append((len(w), int(gone.sum()), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
-    return out
+    return [{j for k in range(len(w) - width + 1) if seen[tuple(w[k : k + width])] > 1 for j in range(k, k + width)} for w in words]
+
+
+def brute_words(docs, width, history=()):
+    words = [(t or "").encode().split() for _, t in docs]
+    return [(len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()) for w, gone in zip(words, brute_gone(docs, width, history))]
 
 
 @pytest.mark.parametrize("width,gram", [(5, 3), (8, 4), (8, 8), (35, 16)])
@@ -179,3 +178,23 @@ def test_long_texts_and_equal_rows(spark):
     df = spark.createDataFrame([(1, long), (2, "a " + long), (None, "x y z " * 20), (None, "x y z " * 20), (3, "q " + " ".join(f"u{k}" for k in range(34)))], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed, len(r.kept_text)) for r in remove_repeated_passages(df).collect())
     assert got == [(0, 60, 60, 0), (0, 60, 60, 0), (1, 150_000, 150_000, 0), (2, 150_001, 150_000, 1), (3, 35, 0, 127)]
+
+
+def test_what_is_kept_keeps_its_layout(spark):
+    """Lines, paragraphs, tabs and indentation of kept words stay."""
+    passage = " ".join(f"boiler{j}" for j in range(12))
+    code = "def f():\n    return 1\n\n\tif x:\n\t\ty\n\n"
+    prose = "  A first paragraph.\n\nA second one.  \n"
+    rows = [(1, code + passage + "\n\n" + prose), (2, prose.upper() + "\n" + passage.replace(" ", "\n")), (3, passage), (4, "\n a\tb \n"), (5, None), (6, ""), (7, f"x {passage}\n  y"), (8, f"  {passage}  z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.kept_text, r.n_removed) for r in remove_repeated_passages(df, width=6, gram=3, layout=True).collect()}
+    assert got == {1: (code + prose, 12), 2: (prose.upper() + "\n", 12), 3: ("", 12), 4: ("\n a\tb \n", 0), 5: ("", 0), 6: ("", 0), 7: ("x \n  y", 12), 8: ("  z", 12)}
+
+
+def test_words_taken_out_of_a_text():
+    from gridloom.llm.substring_dedup import without
+
+    raw = b" a\tb  c\n\n  d e "
+    assert without(raw, [(0, 0)]) == b" b  c\n\n  d e " and without(raw, [(1, 2)]) == b" a\t\n\n  d e " and without(raw, [(0, 2)]) == b"  d e "
+    assert without(raw, [(4, 4)]) == b" a\tb  c\n\n  d " and without(raw, [(0, 1), (3, 3)]) == b" c\n\n  e " and without(raw, [(3, 4)]) == b" a\tb  c\n\n  " and without(raw, [(0, 4)]) == b" "
+    assert without(b"x\n  y\n    z\n", [(1, 1)]) == b"x\n    z\n" and without(b"y\n", [(0, 0)]) == b""
