@@ -109,27 +109,33 @@ def edge_evidence(weeks: DataFrame, events: DataFrame, ids: Sequence[str], durat
 
 def sequential_events(series: DataFrame, ids: Sequence[str], vector: str = "q", low: float = 0.8, high: float = 3.0, least: int = 4) -> DataFrame:
     """Steps of at least 0.8 * low over the median of up to four samples before, as long as the excess stays
-    above it; accepted if the median excess is within [low, high] and the run is long enough.  The scan goes on
-    behind an accepted run, so it is told in Python over Arrow batches, a series at a time.
+    above it; accepted if the median excess is within [low, high] and the run is long enough.
     """
+    return banded_events(series, ids, vector, {"": (low, high)}, least).drop("band")
+
+
+def banded_events(series: DataFrame, ids: Sequence[str], vector: str, bands: dict[str, tuple[float, float]], least: int) -> DataFrame:
+    """E04 for several bands of power in one pass: (ids, band, start, length, excess).  The scan goes on behind an accepted
+    run, so it is told in Python over Arrow batches, a series and a band at a time."""
     import numpy as np
 
-    def scan(x: np.ndarray) -> list[tuple[int, int, float]]:
+    def scan(x: np.ndarray, low: float, high: float) -> list[tuple[int, int, float]]:
         out, i = [], 1
-        while i < len(x):
-            before = x[max(0, i - 4) : i]
+        rises = np.flatnonzero(np.diff(x) >= 0.8 * low) + 1
+        for at in rises.tolist():
+            if at < i:
+                continue
+            before = x[max(0, at - 4) : at]
             before = before[np.isfinite(before)]
-            base = float(np.median(before)) if len(before) else np.nan
-            if np.isfinite(base) and x[i] - x[i - 1] >= 0.8 * low:
-                j = i
-                while j < len(x) and x[j] - base >= 0.8 * low:
-                    j += 1
-                excess = float(np.median(x[i:j] - base)) if j > i else 0.0
-                if j - i >= least and low <= excess <= high:
-                    out.append((i, j - i, excess))
-                    i = j
-                    continue
-            i += 1
+            if not len(before):
+                continue
+            base = float(np.median(before))
+            low_again = np.flatnonzero(~(x[at:] - base >= 0.8 * low))
+            length = int(low_again[0]) if len(low_again) else len(x) - at
+            excess = float(np.median(x[at : at + length] - base)) if length else 0.0
+            if length >= least and low <= excess <= high:
+                out.append((at, length, excess))
+                i = at + length
         return out
 
     def run(batches):
@@ -137,13 +143,14 @@ def sequential_events(series: DataFrame, ids: Sequence[str], vector: str = "q",
 
         for batch in batches:
             curves = batch.column(len(ids)).to_pylist()
-            found = [(k, *e) for k, x in enumerate(curves) for e in scan(np.array([np.nan if v is None else v for v in x or ()], float))]
-            at, start, length, excess = zip(*found) if found else ((), (), (), ())
+            arrays = [np.array([np.nan if v is None else v for v in x or ()], float) for x in curves]
+            found = [(k, name, *e) for k, x in enumerate(arrays) for name, (low, high) in bands.items() for e in scan(x, low, high)]
+            at, band, start, length, excess = zip(*found) if found else ((), (), (), (), ())
             keys = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(excess, pa.float64())], [*ids, "start", "length", "excess"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(band, pa.string()), pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(excess, pa.float64())], [*ids, "band", "start", "length", "excess"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in series.select(*ids).dtypes)
-    return series.select(*ids, vector).mapInArrow(run, f"{fields}, start int, length int, excess double")
+    return series.select(*ids, vector).mapInArrow(run, f"{fields}, band string, start int, length int, excess double")
 
 
 def plateaus(profiles: DataFrame, ids: Sequence[str], p10: str = "p10", p50: str = "p50", least_kw: float = 0.25, least_hours: float = 0.5) -> DataFrame:

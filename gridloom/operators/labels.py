@@ -55,11 +55,18 @@ def label_variants(df: DataFrame, week: str, earliest: str, latest: str, ev: str
     return df.withColumns({f"label_{w}": temporal_label(F.col(ev), F.col(week), F.col(earliest), F.col(latest), w) for w in washouts})
 
 
+def reconciliation(labelled: DataFrame, exploratory: DataFrame, all_rows: DataFrame, key: str) -> DataFrame:
+    """One row: how many keys each table has, keys that are there twice, in no part, or in a part only."""
+    flag = lambda df, n: df.groupBy(key).agg(F.count("*").alias(n))
+    both = flag(labelled, "a").join(flag(exploratory, "b"), key, "full").join(all_rows.select(key).distinct().withColumn("c", F.lit(1)), key, "full")
+    n = F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))
+    return both.agg(F.count("a").alias("labelled"), F.count("b").alias("exploratory"), F.count("c").alias("whole"), F.count_if(n > 1).alias("twice"), F.count_if(n == 0).alias("left_out"), F.count_if(F.col("c").isNull()).alias("foreign"))
+
+
 def reconcile(labelled: DataFrame, exploratory: DataFrame, all_rows: DataFrame, key: str) -> bool:
     """Labelled and exploratory rows together are all rows, none twice."""
-    both = labelled.select(key).unionByName(exploratory.select(key))
-    twice = both.groupBy(key).count().where("count > 1").limit(1).count()
-    return not twice and both.distinct().count() == all_rows.select(key).distinct().count()
+    row = reconciliation(labelled, exploratory, all_rows, key).first()
+    return not (row.twice or row.left_out or row.foreign)
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], indicator: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import draws, text
 from .windows import numbered
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -173,11 +173,11 @@ def grid(spark, **values: Sequence) -> DataFrame:
 def assign_random(hosts: DataFrame, donors: DataFrame, seed: int = 0) -> DataFrame:
     """Each host gets one donor, the same one for a seed.
 
-    Donors get numbers without a partition that holds all of them; hosts meet them by number.
+    Donors get numbers without a partition that holds all of them; hosts draw a number and meet them by it.
     """
     n = donors.count()
     placed = numbered(donors, donors.columns, seed=seed, name="__n").withColumn("__k", F.col("__n") - 1).drop("__n")
-    picked = hosts.withColumn("__k", F.pmod(F.xxhash64(*hosts.columns, F.lit(seed)), F.lit(max(n, 1))))
+    picked = hosts.withColumn("__k", draws.number(f"host {seed}", *hosts.columns) % F.lit(max(n, 1)))
     return picked.join(placed, "__k").drop("__k")  # Spark broadcasts the donors if they are small enough
 
 
@@ -225,9 +225,10 @@ def explain_rows(df: DataFrame, labels: dict[str, str], least: float = 0.7, n: i
     return df.withColumn(name, F.array_join(F.transform(top, lambda x: x["t"]), "; "))
 
 
-def shuffled(df: DataFrame, key: str, seed: int) -> Column:
-    """Position of a row in an order drawn by hash; no driver, same order each time."""
-    return F.xxhash64(F.col(key), F.lit(seed))
+def shuffled(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """Position of each row, from 0, in an order drawn by a hash of its key: no driver, no partition that holds all rows, the same
+    order each time."""
+    return numbered(df, [key], seed=seed, name=name).withColumn(name, F.col(name) - 1)
 
 
 # -- sets -----------------------------------------------------------------------------

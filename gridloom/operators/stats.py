@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import incomplete_beta
+from ..functions import draws
 from .windows import average_rank, running_sums
 
 
@@ -103,15 +104,18 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.corr("__a", "__b").alias("rho"), F.count("*").alias("n"))
 
 
-def spearman_test(df: DataFrame, a: str, b: str) -> tuple[float, int, float]:
-    """Rho, number of pairs, and the two-sided p of Student's t with n - 2 degrees of freedom."""
-    row = spearman(df, a, b).first()
-    if row.rho is None or row.n < 3:
-        return row.rho, row.n, float("nan")
-    if abs(row.rho) >= 1:
-        return row.rho, row.n, 0.0
-    freedom = row.n - 2
-    return row.rho, row.n, incomplete_beta(freedom / 2, 0.5, 1 - row.rho * row.rho)
+def spearman_test(df: DataFrame, a: str, b: str, steps: int = 20_000) -> DataFrame:
+    """One row: rho, number of pairs, and the two-sided p of Student's t with n - 2 degrees of freedom.
+
+    p is a ratio of integrals of sin(t) ** (n - 3), whose middles of equal steps are summed: from 0 to the angle whose squared sine
+    is 1 - rho ** 2, over that to a right angle.
+    """
+    row = spearman(df, a, b)
+    power = F.col("n").cast("double") - 3
+    upto = lambda end: F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.lit(0.0), lambda s, k: s + F.pow(F.sin((k + 0.5) * end / steps), power)) * end
+    rest = F.greatest(F.lit(0.0), 1 - F.col("rho") * F.col("rho"))
+    p = F.when(rest <= 0, 0.0).otherwise(F.least(F.lit(1.0), upto(F.asin(F.sqrt(rest))) / upto(F.lit(math.pi / 2))))
+    return row.select("rho", "n", F.when(F.col("rho").isNotNull() & (F.col("n") >= 3), p).alias("p"))
 
 
 def by_year(df: DataFrame, year: str, label: str, predicted: str, least: int = 5) -> DataFrame:
@@ -122,16 +126,9 @@ def by_year(df: DataFrame, year: str, label: str, predicted: str, least: int = 5
 
 def bootstrap(df: DataFrame, metric: Callable[[DataFrame, str], DataFrame], resamples: int = 200, seed: int = 0, key: str = "sample_id") -> DataFrame:
     """2.5th and 97.5th percentile of a metric over resamples: ``metric(rows, weight column)`` aggregates
-    by ``__b``.  Each row has a Poisson weight for each resample, drawn from a hash: no row is copied to the driver."""
-    u = (F.xxhash64(F.col(key), F.col("__b"), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
-    edges, p, total = [], 0.36787944117144233, 0.0
-    k = 0
-    while total + p > total:  # all weights that a hash of 53 bits can tell
-        total += p
-        edges.append(total)
-        k += 1
-        p /= k
-    weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges[1:]), F.when(u >= edges[0], 1).otherwise(0))
+    by ``__b``, null if it has none (a resample of one class), which leaves that resample out.  Each row has a Poisson weight for each resample,
+    drawn from a hash: no row is copied to the driver."""
+    weight = draws.poisson(draws.uniform(seed, key, "__b"))
     rows = df.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__w", weight).where("__w > 0")
     values = metric(rows, "__w").where("value is not null")
     return values.agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count("*").alias("resamples"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -72,6 +73,37 @@ def battery_scores(days: DataFrame, key: str = "sample_id", noon: int = 50, even
     return d.groupBy(key).agg(share(shoulder).alias("bat_pm_share_shoulder"), share(sun).alias("bat_pm_share_sun"), F.when(part(night) > 0, part(evening) / part(night)).alias("bat_eve_night"))
 
 
+#: Name, power band in kW, least samples as specified and as tuned; the one that isn't counted among the tuned.
+EV_CLASSES = (("L1", 1.4, 1.8, 24, 24), ("L2_small", 3.6, 4.8, 4, 12), ("L2_large", 5.8, float("inf"), 2, 8))
+EV_UNTUNED, EV_SCAN, EV_RAMP_KW, EV_SPEC_KW = "L1", 2, 9.0, 5.8
+
+
+def charger_scores(days: DataFrame, key: str = "sample_id", classes=EV_CLASSES, untuned: str = EV_UNTUNED, ramp_kw: float = EV_RAMP_KW, spec_kw: float = EV_SPEC_KW, slots: int = 96) -> DataFrame:
+    """From days (key, date, net) in kW: the greatest rise within a day, days with a large one for each 100, and for each class of
+    chargers its runs for each 100 days: all that are long enough, and those longer than tuned.
+
+    Only whole days count.  Runs may pass midnight: a household's days are put end to end, one row each, and scanned once for all classes.
+    """
+    from .events import banded_events
+
+    whole = valid_days(days).select(key, "date", F.transform("net", lambda x: F.greatest(x, F.lit(0.0))).alias("imp"))
+    rise = F.array_max(V.steps(F.col("imp")))
+    share = lambda kw: 100 * F.avg((rise >= kw).cast("double"))
+    daily = whole.groupBy(key).agg(F.count("*").alias("n_days"), F.max(rise).alias("ev_ramp_max"), share(ramp_kw).alias("ev_ramp_days100"), share(spec_kw).alias("ev_ramp_spec_days100"))
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("date", "imp"))), lambda d: d["imp"]))
+    runs = banded_events(whole.groupBy(key).agg(joined.alias("q")), [key], "q", {n: (low, high) for n, low, high, _, _ in classes}, min(EV_SCAN, *[c[3] for c in classes]))
+    hit = lambda name, least: (F.col("band") == name) & (F.col("length") >= least)
+    spec = functools.reduce(lambda a, b: a | b, [hit(n, least) for n, _, _, least, _ in classes])
+    tuned = functools.reduce(lambda a, b: a | b, [hit(n, least) for n, _, _, _, least in classes if n != untuned])
+    counts = [F.count_if(hit(n, x)).alias(f"ev_{n}_{tag}_rate100") for n, _, _, *least in classes for tag, x in zip(("spec", "tuned"), least)]
+    counts += [F.count_if(spec).alias("ev_spec_rate100"), F.count_if(tuned).alias("ev_tuned_rate100"), F.count_distinct(F.when(spec, F.floor(F.col("start") / slots))).alias("ev_spec_daysfrac")]
+    found = runs.groupBy(key).agg(*counts)
+    names = [c for c in found.columns if c != key]
+    out = daily.join(found, key, "left")
+    rate = lambda c: (1 if c == "ev_spec_daysfrac" else 100) * F.coalesce(F.col(c), F.lit(0)) / F.col("n_days")
+    return out.select(key, "n_days", "ev_ramp_max", "ev_ramp_days100", "ev_ramp_spec_days100", *[rate(c).alias(c) for c in names])
+
+
 def night_plateau_scores(events: DataFrame, n_days: DataFrame, key: str = "sample_id", window=(80, 96, 0, 24), least: int = 3) -> DataFrame:
     """Of sequential events (key, start over all days, length, excess): nights with one for each 100 days, median
     hours, and variation of energy over at least three of them."""

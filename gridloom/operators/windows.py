@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws
+
 
 def clear_days(weather: DataFrame, q: float = 0.75, top: float = 0.95, most: float = 1.5) -> DataFrame:
     """A day is clear if its radiation reaches the upper quartile of its calendar month; clearness is
@@ -44,13 +46,13 @@ def running_sums(df: DataFrame, order: str, sums: Sequence[str], descending: boo
 
 
 def numbered(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), seed: int = 0, name: str = "__r", buckets: int = 1024) -> DataFrame:
-    """Rows numbered from 1 within ``keys`` in an order drawn by a hash of the columns ``order``.
+    """Rows numbered from 1 within ``keys`` in an order drawn by a hash of the columns ``order`` (``functions.draws``, so SQL has the same).
 
     No partition holds a whole group: the hash cuts it into buckets, rows are numbered within a bucket, and buckets are
     counted first (for each group ``buckets`` rows at most).
     """
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in order], F.lit(seed))
-    rows = df.withColumn("__h", h).withColumn("__bucket", F.shiftright("__h", 64 - (buckets - 1).bit_length()))
+    h = draws.number(seed, *[F.col(f"`{c}`") for c in order])
+    rows = df.withColumn("__h", h).withColumn("__bucket", F.shiftright("__h", 4 * draws.DIGITS - (buckets - 1).bit_length()))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(*keys, "__bucket").agg(F.count("*").alias("__size"))
     starts = sizes.select(*keys, "__bucket", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))

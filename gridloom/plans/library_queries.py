@@ -158,12 +158,10 @@ def random_assignment_holds(spark, sf):
     return once.join(again, "c_custkey", "full").agg(F.count("c_custkey").alias("hosts"), F.count_distinct("c_custkey").alias("distinct_hosts"), F.count_if(F.col("n_nationkey").isNull()).cast("int").alias("without_donor"), F.bool_and(F.col("n_nationkey") == F.col("again")).alias("same_again"))
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT c_custkey) AS places, true AS same_again FROM customer")
+@query(f"SELECT c_custkey, row_number() OVER (ORDER BY {P.NUMBER.format("'1', CAST(c_custkey AS VARCHAR)")}, c_custkey) - 1 AS place FROM customer")
 def shuffled_order(spark, sf):
-    """An order drawn by hash: a place for each row, the same again"""
-    c = P.load(spark, sf, "customer").select("c_custkey", R.shuffled(P.load(spark, sf, "customer"), "c_custkey", 1).alias("place"))
-    again = P.load(spark, sf, "customer").repartition(3).select("c_custkey", R.shuffled(c, "c_custkey", 1).alias("again"))
-    return c.join(again, "c_custkey").agg(F.count("*").alias("rows"), F.count_distinct("place").alias("places"), F.bool_and(F.col("place") == F.col("again")).alias("same_again"))
+    """Each row's place in an order drawn by hash"""
+    return R.shuffled(P.load(spark, sf, "customer").select("c_custkey"), "c_custkey", 1)
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 12) GROUP BY o_custkey")
@@ -284,12 +282,12 @@ def label_washouts(spark, sf):
     return L.label_variants(o, "week", "a", "b", "ev").select("o_orderkey", *[f"label_{w}" for w in (0, 28, 56, 84)])
 
 
-@query("SELECT true AS whole, false AS twice")
+@query("SELECT count(*) FILTER (c_custkey % 3 = 0) AS labelled, count(*) FILTER (c_custkey % 3 > 0 AND c_custkey % 7 > 0 OR c_custkey % 33 = 0) AS exploratory, count(*) AS whole, count(*) FILTER (c_custkey % 33 = 0) AS twice, count(*) FILTER (c_custkey % 3 > 0 AND c_custkey % 7 = 0) AS left_out, CAST(0 AS BIGINT) AS foreign FROM customer")
 def reconciled(spark, sf):
-    """L24"""
+    """Labelled and exploratory keys held against all: some twice, some left out"""
     c = P.load(spark, sf, "customer").select("c_custkey")
-    labelled, rest = c.where("c_custkey % 3 = 0"), c.where("c_custkey % 3 <> 0")
-    return spark.createDataFrame([(L.reconcile(labelled, rest, c, "c_custkey"), L.reconcile(c, rest, c, "c_custkey"))], "whole boolean, twice boolean")
+    rest = c.where("c_custkey % 3 > 0 and c_custkey % 7 > 0 or c_custkey % 33 = 0")
+    return L.reconciliation(c.where("c_custkey % 3 = 0"), rest, c, "c_custkey")
 
 
 @query(P.sql("scored") + """, y AS (SELECT lang, quality, label, CASE WHEN score >= 1500 THEN 1 ELSE 0 END AS p FROM scored), c AS (SELECT lang, count(*) FILTER (label = 1 AND p = 1) AS tp, count(*) FILTER (label = 0 AND p = 1) AS fp, count(*) FILTER (label = 0 AND p = 0) AS tn, count(*) FILTER (label = 1 AND p = 0) AS fn FROM y GROUP BY lang)
@@ -310,16 +308,20 @@ def out_of_fold_rule(spark, sf):
     return out.groupBy("fold").agg(F.max("threshold").alias("threshold"), F.count("*").alias("n"), F.sum("predicted").alias("flagged"), F.count_if((F.col("predicted") == 1) & (F.col("label") == 1)).alias("hits"))
 
 
-@query("SELECT round(quantile_cont(c_acctbal, 0.9), 4) AS threshold FROM customer")
+@query("SELECT c_custkey, round(quantile_cont(c_acctbal, 0.9) OVER (), 4) AS threshold, c_acctbal >= quantile_cont(c_acctbal, 0.9) OVER () AS flagged FROM customer")
 def rate_threshold(spark, sf):
-    """L25"""
-    return spark.createDataFrame([(round(M.rate_matched_threshold(P.load(spark, sf, "customer"), "c_acctbal", 0.1), 4),)], "threshold double")
+    """The threshold that flags a tenth, on each row"""
+    c = P.load(spark, sf, "customer")
+    threshold = M.rate_matched_threshold(c, "c_acctbal", 0.1)
+    return c.select("c_custkey", F.lit(round(threshold, 4)).alias("threshold"), (F.col("c_acctbal") >= threshold).alias("flagged"))
 
 
-@query(f"SELECT '{M.freeze({'features': ['a', 'b'], 'c': 1.0, 'seed': 0})}' AS digest")
+@query("""SELECT sha256('{"langs": [' || string_agg('"' || lang || '"', ', ' ORDER BY lang) || '], "rows": ' || CAST(sum(n) AS BIGINT) || '}') AS digest FROM (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang)""")
 def frozen_configuration(spark, sf):
-    """The digest doesn't depend on the order of keys"""
-    return spark.createDataFrame([(M.freeze({"seed": 0, "c": 1.0, "features": ["a", "b"]}),)], "digest string")
+    """The digest of a configuration that a table gives; it doesn't depend on the order of keys"""
+    by = P.load(spark, sf, "documents").where("lang is not null").groupBy("lang").count()
+    row = by.agg(F.sum("count").alias("rows"), F.array_sort(F.collect_list("lang")).alias("langs")).first()  # a configuration: a few languages
+    return by.select(F.lit(M.freeze({"rows": row.rows, "langs": row.langs})).alias("digest")).distinct()
 
 
 # -- sources and sinks ------------------------------------------------------------------
@@ -333,7 +335,7 @@ def export_files(spark, sf):
     cell = lambda k: F.replace(F.try_element_at("m", F.lit(k)).cast("decimal(18,3)").cast("string"), F.lit("."), F.lit(","))
     names = exports.interval_names()
     wide = days.select(F.col("mp_id").alias("MP ID"), F.col("obis").alias("OBIS-Code"), F.date_format("date", "dd.MM.yyyy").alias("Datum"), F.col("plz").alias("PLZ"), *[cell(k).alias(n) for k, n in enumerate(names)])
-    sinks.write_csv(wide.coalesce(1), f"{root}/Januar 2024", ";")  # an export is one file a month
+    sinks.write_csv(wide, f"{root}/Januar 2024", ";")
     found = exports.discover_exports(spark, root)
     read = exports.by_content(exports.read_exports(spark, [e.path for e in found]), 2024, (1, 1))
     return R.slots(read, ["mp_id", "obis", "date", "plz"], "q").where("value is not null").select("mp_id", "obis", "date", "plz", "slot", F.round(F.col("value").cast("double"), 3).alias("kwh"))
@@ -376,12 +378,15 @@ def yearly_parquet(spark, sf):
     return exports.read_table(spark, f"{path}/data").select("event_id", "date", "year")
 
 
-@query("SELECT 'a' AS key, 1.5 AS value UNION ALL SELECT 'b', 2.0")
+@query("SELECT lang AS key, CAST(count(*) AS DOUBLE) AS value FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def json_artifact(spark, sf):
-    """S14, K04"""
+    """A table's summary as an artefact, and back"""
     path = f"{scratch(spark, 'json')}/config"
-    sinks.write_json(spark, {"b": 2.0, "a": 1.5}, path)
-    return spark.createDataFrame(list(exports.read_config(spark, path).items()), "key string, value double")
+    found = P.load(spark, sf, "documents").where("lang is not null").groupBy("lang").agg(F.count("*").cast("double").alias("n")).collect()  # a few languages
+    sinks.write_json(spark, {r.lang: r.n for r in found}, path)
+    if exports.read_config(spark, path) != {r.lang: r.n for r in found}:
+        raise ValueError("the artefact isn't what was written")
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,double>")).alias("key", "value"))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey * 10 AS feed_in, true AS refused, 1 AS made FROM nation")
@@ -408,8 +413,8 @@ def _streamed(spark, sf, make):
     path = scratch(spark, "stream")
     r = P.readings(spark, sf).select("mp_id", F.col("ts").cast("timestamp").alias("ts"), "register", "kwh")
     far = spark.createDataFrame([("end", dt.datetime(2030, 1, 1), "import", 0.0)], r.schema)
-    r.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    far.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    r.write.parquet(f"{path}/in")
+    far.write.mode("append").parquet(f"{path}/in")
     stream = spark.readStream.schema(r.schema).parquet(f"{path}/in")
     q = make(stream).writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").option("path", f"{path}/out").start()
     q.awaitTermination()

@@ -28,6 +28,22 @@ scan AS (SELECT mp_id, 1 AS i, NULL::INTEGER AS start, NULL::INTEGER AS length,
       (SELECT *, CAST(coalesce(nullif(list_position(list_transform(q[i + 1:64], lambda x: x - base >= 0.8 * 0.1), false), 0), 65 - i) - 1 AS INTEGER) AS n FROM
         (SELECT scan.mp_id, i, q, list_aggregate(q[greatest(i - 3, 1):i], 'quantile_cont', 0.5) AS base, q[i + 1] - q[i] >= 0.8 * 0.1 AS up FROM scan JOIN vec ON scan.mp_id = vec.mp_id WHERE i < 64))))),
 found AS (SELECT mp_id, start, length, excess FROM scan WHERE start IS NOT NULL) """
+
+
+def steps(name: str, series: str, low: float, high: float, least: int) -> str:
+    """The step detector over ``series`` (mp_id, q) as CTEs, of which ``name`` is (mp_id, start, length, excess); goes behind WITH RECURSIVE."""
+    edge = f"{0.8 * low!r}::DOUBLE"
+    within = f"mid >= {low!r}::DOUBLE" + (f" AND mid <= {high!r}::DOUBLE" if high != float("inf") else "")
+    return f"""{name}_scan AS (SELECT mp_id, 1 AS i, NULL::INTEGER AS start, NULL::INTEGER AS length, NULL::DOUBLE AS excess FROM {series} UNION ALL
+  SELECT mp_id, CAST(CASE WHEN ok THEN i + n ELSE i + 1 END AS INTEGER), CASE WHEN ok THEN i END, CASE WHEN ok THEN n END, CASE WHEN ok THEN mid END FROM
+    (SELECT *, up AND n >= {least} AND {within} AS ok FROM (SELECT *, list_aggregate(list_transform(q[i + 1:i + n], lambda x: x - base), 'quantile_cont', 0.5) AS mid FROM
+      (SELECT *, CAST(coalesce(nullif(list_position(list_transform(q[i + 1:], lambda x: x - base >= {edge}), false), 0), len(q) + 1 - i) - 1 AS INTEGER) AS n FROM
+        (SELECT s.mp_id, i, q, list_aggregate(q[greatest(i - 3, 1):i], 'quantile_cont', 0.5) AS base, q[i + 1] - q[i] >= {edge} AS up FROM {name}_scan s JOIN {series} v ON s.mp_id = v.mp_id WHERE i < len(q)))))),
+{name} AS (SELECT mp_id, start, length, excess FROM {name}_scan WHERE start IS NOT NULL)"""
+
+
+#: A number of 52 bits drawn by a seed and a key, as ``functions.draws`` has it.
+NUMBER = "CAST('0x' || md5(concat_ws(':', {0}))[1:13] AS BIGINT)"
 #: CRC-32 of a text in DuckDB: bytes, then bits, folded into a register.
 CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
 

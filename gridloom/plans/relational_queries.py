@@ -534,7 +534,8 @@ def hash_sample(spark, sf):
     return P.load(spark, sf, "supplier").where(T.in_hash_sample(F.col("s_suppkey"), 20)).select("s_suppkey")
 
 
-@query()
+@query(f"""WITH d AS (SELECT n_nationkey, row_number() OVER (ORDER BY {P.NUMBER.format("'0', CAST(n_nationkey AS VARCHAR)")}, n_nationkey) - 1 AS k, count(*) OVER () AS n FROM nation)
+SELECT c_custkey, n_nationkey FROM customer JOIN d ON {P.NUMBER.format("'host 0', CAST(c_custkey AS VARCHAR)")} % n = k""")
 def random_assignment(spark, sf):
     """Donors drawn by hash"""
     return R.assign_random(P.load(spark, sf, "customer").select("c_custkey"), P.load(spark, sf, "nation").select("n_nationkey"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions import vectors as V
 from ..operators import events as E
 from ..operators import labels as L
@@ -186,7 +187,7 @@ def leading_run(spark, sf):
     return P.profiles(spark, sf).select("mp_id", V.leading_run(F.transform("q", lambda x: x > -0.1)).alias("leading"))
 
 
-@query()
+@query(P.sql("vec") + ", c AS (SELECT mp_id, list_transform(q, lambda x: abs(x)) AS q FROM vec), r AS (SELECT mp_id, list_transform(range(0, 16), lambda i: q[CAST(floor(i * 63 / 15.0) AS BIGINT) + 1] + (q[least(CAST(floor(i * 63 / 15.0) AS BIGINT) + 2, 64)] - q[CAST(floor(i * 63 / 15.0) AS BIGINT) + 1]) * (i * 63 / 15.0 - floor(i * 63 / 15.0))) AS v, list_sum(q) AS total FROM c) SELECT mp_id, list_transform(v, lambda x: round(x * total / list_sum(v), 4)) AS v FROM r")
 def resampled_shape(spark, sf):
     """Tests hold energy and shape against NumPy"""
     out = P.profiles(spark, sf).select("mp_id", V.resample(F.transform("q", lambda x: F.abs(x)), 16).alias("v"))
@@ -383,13 +384,17 @@ def impute_median(spark, sf):
     return L.impute_median(c, ["v"])
 
 
-@query()
+@query(P.sql("scored") + f""", g AS (SELECT doc_id, max(label) AS label FROM scored GROUP BY doc_id), p AS (SELECT doc_id, label, (row_number() OVER (PARTITION BY label ORDER BY {P.NUMBER.format("'0', CAST(doc_id AS VARCHAR)")}, doc_id) - 0.5) / count(*) OVER (PARTITION BY label) AS placed FROM g)
+SELECT doc_id, label, CASE WHEN placed < 0.6::DOUBLE THEN 'train' WHEN placed < 0.8::DOUBLE THEN 'validation' ELSE 'test' END AS split FROM p""")
 def stratified_split(spark, sf):
     """Drawn by hash; tests assert that splits are disjoint, stratified and stable"""
     return L.split_groups(P.scored(spark, sf), "doc_id", "label")
 
 
-@query()
+@query(P.sql("scored") + f""", w AS (SELECT b, label, score >= 1500 AS a, score >= 3000 AS z, {draws.sql_poisson("u")} AS w FROM (SELECT *, {draws.SQL_UNIFORM.format("'0', CAST(doc_id AS VARCHAR), CAST(b AS VARCHAR)")} AS u FROM scored, range(100) t(b))),
+m AS (SELECT b, (sum(CASE WHEN z THEN w ELSE 0 END) FILTER (label = 1) / sum(w) FILTER (label = 1) + sum(CASE WHEN NOT z THEN w ELSE 0 END) FILTER (label = 0) / sum(w) FILTER (label = 0)
+  - sum(CASE WHEN a THEN w ELSE 0 END) FILTER (label = 1) / sum(w) FILTER (label = 1) - sum(CASE WHEN NOT a THEN w ELSE 0 END) FILTER (label = 0) / sum(w) FILTER (label = 0)) / 2 AS v FROM w WHERE w > 0 GROUP BY b)
+SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS resamples FROM m WHERE v IS NOT NULL""")
 def bootstrap_interval(spark, sf):
     """L14, L21, Y05"""
     d = predicted(spark, sf).withColumn("other", (F.col("score") >= 3000).cast("int"))
@@ -405,11 +410,30 @@ def signed_ranks(spark, sf):
     return S.wilcoxon(f, "a", "b").select("w_plus", "n", F.round("z", 6).alias("z"))
 
 
-@query()
+def _newton(rounds: int = 12) -> str:
+    """The optimum of the balanced, penalised likelihood of two scaled features, by Newton's steps."""
+    steps = ["t0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"]
+    for k in range(rounds):
+        steps.append(f"""g{k} AS (SELECT sum(r) AS g0, sum(r * u) - any_value(b1) / any_value(n) AS g1, sum(r * v) - any_value(b2) / any_value(n) AS g2, sum(h) AS h00, sum(h * u) AS h01, sum(h * v) AS h02, sum(h * u * u) + 1 / any_value(n) AS h11, sum(h * u * v) AS h12, sum(h * v * v) + 1 / any_value(n) AS h22, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2
+  FROM (SELECT *, w * (y - p) AS r, w * p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * u + b2 * v))) AS p FROM z, t{k})))""")
+        steps.append(f"""t{k + 1} AS MATERIALIZED (SELECT b0 + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / d AS b0, b1 + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / d AS b1,
+  b2 + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / d AS b2 FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS d FROM g{k}))""")
+    return ", ".join(steps) + f", fit AS (SELECT * FROM t{rounds})"
+
+
+@query("WITH RECURSIVE " + P.SQL["scored"] + """, x AS (SELECT doc_id, ln(1 + score) AS a, CAST(quality AS DOUBLE) AS b, CAST(label AS DOUBLE) AS y FROM scored), m AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb, CAST(count(*) AS DOUBLE) AS n, sum(y) AS np FROM x),
+z AS MATERIALIZED (SELECT doc_id, y, (a - ma) / sa AS u, (b - mb) / sb AS v, n, CASE WHEN y = 1 THEN 1 / (2 * np) ELSE 1 / (2 * (n - np)) END AS w FROM x, m), """ + _newton() + """,
+s AS MATERIALIZED (SELECT doc_id, y, n, 1 / (1 + exp(-(b0 + b1 * u + b2 * v))) AS score FROM z, fit), c AS (SELECT avg(score) FILTER (y = 1) AS c FROM s),
+q AS MATERIALIZED (SELECT doc_id, n, score, greatest(1e-6, least(1 - 1e-6, least(score / c, 1))) AS p FROM s, c), bins AS MATERIALIZED (SELECT round(ln(p / (1 - p)) * 64) / 64 AS x, count(*) AS k, any_value(n) AS n FROM q GROUP BY ALL),
+edge AS (SELECT sum(k / (1 + exp(-(x - 10)))) / any_value(n) - 0.3 AS low, sum(k / (1 + exp(-(x + 10)))) / any_value(n) - 0.3 AS high FROM bins),
+bis AS (SELECT 0 AS i, -10.0::DOUBLE AS lo, 10.0::DOUBLE AS hi UNION ALL SELECT i + 1, CASE WHEN f * (SELECT low FROM edge) > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN f * (SELECT low FROM edge) > 0 THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT i, lo, hi, sum(k / (1 + exp(-(x + (lo + hi) / 2)))) / any_value(n) - 0.3 AS f FROM bis, bins WHERE i < 80 GROUP BY i, lo, hi)),
+gamma AS (SELECT CASE WHEN low * high > 0 THEN 0 ELSE (SELECT (lo + hi) / 2 FROM bis WHERE i = 80) END AS g FROM edge)
+SELECT doc_id, round(score, 4) AS score, round(1 / (1 + exp(-(ln(p / (1 - p)) + g))), 4) AS p FROM q, gamma""")
 def logistic_scores(spark, sf):
-    """Held-out quality is asserted in the tests"""
+    """The fit against the optimum that Newton's steps find"""
     from ..operators import models as M
 
     x = P.scored(spark, sf).withColumn("log_chars", F.log1p("score")).withColumnRenamed("score", "n_chars")
     scored = M.score(M.fit_logistic(x, ["log_chars", "quality"], "label"), x)
-    return M.elkan_noto(scored, "label", prior=0.3).select("doc_id", F.round("score", 6).alias("score"), F.round("p", 6).alias("p"))
+    return M.elkan_noto(scored, "label", prior=0.3).select("doc_id", r4("score").alias("score"), r4("p").alias("p"))
\ No newline at end of file

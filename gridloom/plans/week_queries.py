@@ -99,3 +99,22 @@ def night_plateaus(spark, sf):
     e = sequential_events(v, ["sample_id"], "q", 0.1, 0.6, 2)
     out = K.night_plateau_scores(e, v.groupBy("sample_id").agg(F.count("*").alias("n_days")), window=(40, 64, 0, 12))
     return out.select("sample_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "sample_id"])
+
+
+_CHARGERS = (("a", 0.1, 0.2, 3, 5), ("b", 0.2, 0.35, 2, 3), ("c", 0.35, float("inf"), 2, 4))
+_RATES = ", ".join(f"round(100 * count(*) FILTER (band = '{n}' AND length >= {x}) / any_value(n_days)::DOUBLE, 6) AS ev_{n}_{tag}_rate100" for n, _, _, *least in _CHARGERS for tag, x in zip(("spec", "tuned"), least))
+_ANY = lambda k, names: " OR ".join(f"band = '{c[0]}' AND length >= {c[k]}" for c in _CHARGERS if c[0] in names)
+
+
+@query("WITH RECURSIVE i AS (SELECT CAST(vec_id // 4 AS VARCHAR) AS mp_id, vec_id % 4 AS d, list_transform(embedding, lambda x: greatest(CAST(x AS DOUBLE), 0)) AS imp FROM embeddings WHERE vec_id % 13 <> 0), "
+       "f AS (SELECT mp_id, list_max(list_transform(list_zip(imp[2:], imp[1:63]), lambda z: z[1] - z[2])) AS rise FROM i), day AS (SELECT mp_id, count(*) AS n_days, round(max(rise), 6) AS ev_ramp_max, round(100 * avg(CASE WHEN rise >= 0.3 THEN 1.0 ELSE 0 END), 6) AS ev_ramp_days100, round(100 * avg(CASE WHEN rise >= 0.2 THEN 1.0 ELSE 0 END), 6) AS ev_ramp_spec_days100 FROM f GROUP BY mp_id), "
+       "ser AS MATERIALIZED (SELECT mp_id, flatten(list(imp ORDER BY d)) AS q FROM i GROUP BY mp_id), " + ", ".join(P.steps(f"e_{n}", "ser", low, high, 2) for n, low, high, _, _ in _CHARGERS)
+       + ", e AS (" + " UNION ALL ".join(f"SELECT '{c[0]}' AS band, * FROM e_{c[0]}" for c in _CHARGERS) + f") SELECT day.mp_id AS sample_id, any_value(n_days) AS n_days, any_value(ev_ramp_max) AS ev_ramp_max, any_value(ev_ramp_days100) AS ev_ramp_days100, any_value(ev_ramp_spec_days100) AS ev_ramp_spec_days100, {_RATES}, "
+       f"round(100 * count(*) FILTER ({_ANY(3, 'abc')}) / any_value(n_days)::DOUBLE, 6) AS ev_spec_rate100, round(100 * count(*) FILTER ({_ANY(4, 'bc')}) / any_value(n_days)::DOUBLE, 6) AS ev_tuned_rate100, round(count(DISTINCT start // 64) FILTER ({_ANY(3, 'abc')}) / any_value(n_days)::DOUBLE, 6) AS ev_spec_daysfrac FROM day LEFT JOIN e ON day.mp_id = e.mp_id GROUP BY day.mp_id")
+def charger_scores(spark, sf):
+    """Ramps and the runs of each class of chargers, over days that are whole"""
+    e = P.load(spark, sf, "embeddings")
+    net = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") % 13 != 0) | (i != 5), x.cast("double")))
+    days = e.select((F.col("vec_id") / 4).cast("bigint").cast("string").alias("sample_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 4).cast("int")).alias("date"), net.alias("net"))
+    out = K.charger_scores(days, classes=_CHARGERS, untuned="a", ramp_kw=0.3, spec_kw=0.2, slots=64)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("sample_id", "n_days")})

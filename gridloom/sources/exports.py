@@ -34,12 +34,14 @@ def month_of_folder(name: str) -> tuple[int, int] | None:
 
 
 def choose_exports(paths: list[str], include_stalled: bool = True) -> list[MonthlyExport]:
-    """One file for each month; a finished file beats a stalled upload, then the smaller path."""
+    """One file for each month; a finished file beats a stalled upload, then the smaller path.  Parts that Spark wrote
+    (``part-*``) are one export together: their folder."""
     best: dict[tuple, tuple] = {}
     for path in paths:
         folder, _, name = path.rstrip("/").rpartition("/")
         month = month_of_folder(folder.rpartition("/")[2])
         stalled = ".csv.tmp" in name
+        path = folder if name.startswith("part-") else path
         if month and (name.endswith(".csv") or stalled and include_stalled):
             best[month] = min(best.get(month, (True, "~")), (stalled, path)) if month in best else (stalled, path)
     return [MonthlyExport(p, *m) for m, (_, p) in sorted(best.items())]
@@ -83,14 +85,15 @@ def check_header(header: list[str]) -> str:
 def read_exports(spark: SparkSession, paths: str | list[str], obis: str | None = None, check: bool = True) -> DataFrame:
     """Exports by position: (mp_id, obis, date, plz, q[96]).
 
-    Each file's header (there is one file a month) is held against the known forms before; in the shifted one the label of
+    The header of every file, also of a folder's parts, is held against the known forms before; in the shifted one the label of
     the register is missing, which positions repair.  Cells that aren't numbers are null.  The register predicate runs
     right at the scan.
     """
     if check:
-        for path in [paths] if isinstance(paths, str) else paths:
-            line = spark.read.text(path).first()
-            check_header(line.value.split(";") if line else [])
+        # first lines only: a file's text is pruned to its first 64 KiB before it is split
+        files = spark.read.format("binaryFile").load(paths).select("path", F.make_valid_utf8(F.substring("content", 1, 1 << 16).cast("string")).alias("head"))
+        for r in files.select(F.substring_index(F.replace("head", F.lit("\r")), "\n", 1).alias("line")).distinct().collect():
+            check_header(r.line.split(";"))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*META, *(f"c{k}" for k in range(SLOTS)), "rest"]])
     raw = spark.read.schema(schema).option("sep", ";").option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE").csv(paths)
     if obis:
@@ -135,32 +138,19 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     return reader.options(**options).parquet(path)
 
 
-def read_zipped(spark: SparkSession, path: str, member_suffix: str, sep: str = "\t", rows: int = 10_000) -> DataFrame:
-    """The members of zip archives as rows of text cells.  An archive is one task; its members are unpacked as
-    they are read, in batches of ``rows`` lines.  Quoted cells may hold separators and line ends."""
-    import csv
-    import io
-    import itertools
-    import zipfile
+def read_zipped(spark: SparkSession, path: str, member_suffix: str, sep: str = "\t", quote: str = '"', columns: list[str] | None = None) -> DataFrame:
+    """The members of zip archives as text columns; a task reads a member (see ``archives``)."""
+    from .archives import read_zipped_text
 
-    def members(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch.column(0):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for name in sorted(n for n in z.namelist() if n.endswith(member_suffix)):
-                        with z.open(name) as raw:
-                            lines = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""), delimiter=sep)
-                            head = [h.strip() for h in next(lines, [])]
-                            while part := [list(zip(head, line)) for line in itertools.islice(lines, rows)]:
-                                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.map_(pa.string(), pa.string()))], ["member", "cells"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(members, "member string, cells map<string,string>")
+    return read_zipped_text(spark, path, member_suffix, sep, quote, columns)
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Slot profiles (mp_id, month, p10, p50, p90), one array of 96 for each."""
+    """Slot profiles (mp_id, month, p10, p50, p90), one array of 96 for each: a Parquet table, or NPZ files."""
+    if path.endswith(".npz"):
+        from .archives import read_arrays
+
+        return read_arrays(spark, path)
     return spark.read.parquet(path)
 
 
@@ -169,24 +159,39 @@ def read_config(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
 
 
-def months_in_order(readings: DataFrame, work) -> list:
-    """``work`` for one month after the other; Spark parallelises within a month.  A month is asked for by the
-    bounds of its dates, which reach the scan: files and row groups of other months aren't read."""
-    months = [r.m for r in readings.select(F.trunc("date", "month").alias("m")).distinct().orderBy("m").collect()]
-    inside = lambda m: (F.col("date") >= F.lit(m)) & (F.col("date") < F.add_months(F.lit(m), 1))
-    return [work(m, readings.where(inside(m))) for m in months if m is not None]
+#: Months in a period.
+PERIODS = {"month": 1, "quarter": 3, "year": 12}
+
+
+def months_in_order(readings: DataFrame, work, at_once: int = 4, unit: str = "month") -> list:
+    """What ``work(first day, rows)`` gives for each period, in order of time.
+
+    Periods are worked on side by side, ``at_once`` of them, so that the tail of one doesn't leave the cluster idle; under a FAIR scheduler each
+    has a pool of its own.  A period is asked for by the bounds of its dates, which reach the scan: files and row groups of other periods aren't read.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    spark = readings.sparkSession
+    days = [r.m for r in readings.select(F.trunc("date", unit).alias("m")).distinct().orderBy("m").collect()]
+    inside = lambda m: (F.col("date") >= F.lit(m)) & (F.col("date") < F.add_months(F.lit(m), PERIODS[unit]))
+
+    def run(m):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{unit} {m}")
+        return work(m, readings.where(inside(m)))
+
+    with ThreadPoolExecutor(at_once) as threads:
+        waiting = [threads.submit(inheritable_thread_target(spark)(run), m) for m in days if m is not None]
+        return [w.result() for w in waiting]
+
 
+def months_resumed(readings: DataFrame, work, folder: str, at_once: int = 4, unit: str = "month") -> list[tuple]:
+    """(first day, table) of each period, in order.  ``work`` gives a DataFrame, which is stored below ``folder``; a period that was stored to the
+    end, by this run or one before it, is neither read nor worked on again."""
+    from .sinks import cached
 
-def download_once(spark: SparkSession, url: str, path: str) -> DataFrame:
-    """The cached copy if there is one; else fetched once into shared storage as one text table."""
-    try:
-        return spark.read.text(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    from urllib.request import urlopen
+    def run(m, rows: DataFrame):
+        return m, cached(readings.sparkSession, folder, f"{unit}={m:%Y-%m-%d}", lambda: work(m, rows))
 
-    with urlopen(url) as reply:  # noqa: S310
-        lines = reply.read().decode("utf-8-sig").splitlines()
-    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
-    return spark.read.text(path)
+    return months_in_order(readings, run, at_once, unit)

@@ -213,7 +213,9 @@ def test_models_learn_and_calibrate(spark):
     assert shifted.agg(F.avg("p")).first()[0] == pytest.approx(0.3, abs=0.01)
     calibrate = M.calibrate_sigmoid(oof, "y")
     assert oof.select(F.avg(calibrate(F.col("score")))).first()[0] == pytest.approx(y.mean(), abs=0.05)
-    loss = M.permutation_importance(M.fit_logistic(df, ["a", "b"], "y"), df, ["a", "b"], "y", lambda d: S.roc_auc(d, "y", "score").first()[0], 1)
+    model = M.fit_logistic(df, ["a", "b"], "y")
+    rows = M.permutation_importance(df.withColumn("key", F.monotonically_increasing_id()), "key", ["a", "b"], "y", lambda d: M.score(model, d), lambda d, by: M.area(d, by, "y"), 3)
+    loss = {r.feature: r.loss for r in rows.collect()}
     assert loss["a"] > 0.2 > abs(loss["b"])
     assert M.score(M.fit_boosted(df, ["a", "b"], "y", rounds=3), df).count() == 400
 
@@ -284,8 +286,13 @@ def test_spearman_p(spark):
     from gridloom.functions.numbers import incomplete_beta
 
     assert incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248, abs=1e-6)
+    few = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0)], "a double, b double")
+    assert S.spearman_test(few, "a", "b").first().p is None
+    same = spark.createDataFrame([(float(i), float(i)) for i in range(5)], "a double, b double")
+    assert S.spearman_test(same, "a", "b").first().p == 0
     df = spark.createDataFrame([(float(i), float(v)) for i, v in enumerate([2, 1, 4, 3, 6, 5, 8, 7, 10, 9])], "a double, b double")
-    rho, n, p = S.spearman_test(df, "a", "b")
+    rho, n, p = S.spearman_test(df, "a", "b").first()
+    assert p == pytest.approx(incomplete_beta((n - 2) / 2, 0.5, 1 - rho * rho), rel=1e-6)
     assert n == 10 and rho == pytest.approx(0.9393939) and p == pytest.approx(5.484e-05, rel=1e-3)
 
 
@@ -326,3 +333,53 @@ def test_repetition_is_by_power(spark):
     got = {r.id: r for r in E.event_features(df, e, ["id"], "repeat_block", repeat_days=3).collect()}
     assert got["alike"].event_repetition == 3 and got["other"].event_repetition == 1 and got["none"].event_count == 0
     assert got["alike"].score == pytest.approx(1 - np.exp(-1.5)) and got["other"].score == pytest.approx((1 - np.exp(-1.5)) / 3) and got["none"].score == 0
+
+
+def test_boosted_trees_stop_and_tell_gains(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    rows = [(i // 2, float(a), float(b), float(c), int((a > 0) != (b > 0))) for i, (a, b, c) in enumerate(rng.normal(size=(600, 3)))]
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double, y int")
+    fit = M.fit_stopped(df, ["a", "b", "c"], "y", "g", rounds=40, depth=2, rate=0.5, tolerance=0.05)
+    gains = {r.feature: r for r in fit.gains(spark, f"file://{tmp_path}/trees").collect()}
+    assert 0 < fit.rounds < 40 and sum(r.share for r in gains.values()) == pytest.approx(1)
+    assert gains["c"].gain < gains["a"].gain + gains["b"].gain and gains["a"].splits > 0
+    lone = M.fit_stopped(df, ["a"], "y", "g", rounds=5, depth=1)
+    assert lone.rounds <= 5
+
+
+def test_gradient_is_none_at_the_optimum_only(spark):
+    rng = np.random.default_rng(22)
+    rows = [(float(a), float(b), int(a + 0.5 * b + rng.normal() > 0.4), float(w)) for a, b, w in zip(rng.normal(size=300), rng.normal(size=300) * 9, rng.integers(1, 4, 300))]
+    df = spark.createDataFrame(rows, "a double, b double, y int, w double")
+    model = M.fit_logistic(df, ["a", "b"], "y", "w", c=0.5)
+    got = {r.feature: r.gradient for r in M.logistic_gradient(model, df, ["a", "b"], "y", "w", c=0.5).collect()}
+    assert set(got) == {"intercept", "a", "b"} and max(abs(x) for x in got.values()) < 1e-6
+    other = {r.feature: r.gradient for r in M.logistic_gradient(model, df, ["a", "b"], "y", None, c=0.5).collect()}
+    assert max(abs(x) for x in other.values()) > 1e-3
+
+
+def test_charger_classes_over_midnight(spark):
+    from gridloom.operators.weeks import charger_scores
+
+    flat = [0.2] * 96
+    evening, morning = list(flat), list(flat)
+    evening[88:] = [7.0] * 8  # runs on over midnight: 13 slots
+    morning[:5] = [7.0] * 5
+    noon = list(flat)
+    noon[40:43] = [4.2] * 3  # too short for the small class
+    gap = list(evening)
+    gap[3] = None  # not a whole day
+    rows = [("c", dt.date(2024, 1, 1), evening), ("c", dt.date(2024, 1, 2), morning), ("c", dt.date(2024, 1, 3), noon), ("c", dt.date(2024, 1, 4), flat), ("d", dt.date(2024, 1, 1), [-x for x in flat]), ("e", dt.date(2024, 1, 1), gap)]
+    got = {r.sample_id: r for r in charger_scores(spark.createDataFrame(rows, "sample_id string, date date, net array<double>")).collect()}
+    assert set(got) == {"c", "d"}
+    c = got["c"]
+    assert c.n_days == 4 and c.ev_ramp_max == pytest.approx(6.8) and c.ev_ramp_days100 == 0 and c.ev_ramp_spec_days100 == 25
+    assert c.ev_L2_large_spec_rate100 == 25 and c.ev_L2_large_tuned_rate100 == 25 and c.ev_L2_small_spec_rate100 == 0 and c.ev_spec_rate100 == 25 and c.ev_tuned_rate100 == 25 and c.ev_spec_daysfrac == 0.25
+    assert got["d"].ev_spec_rate100 == 0 and got["d"].ev_ramp_max == 0
+
+
+def test_places_of_a_shuffled_order(spark):
+    df = spark.createDataFrame([(f"k{i}",) for i in range(100)], "k string")
+    one = {r.k: r.place for r in R.shuffled(df, "k", 1).collect()}
+    assert sorted(one.values()) == list(range(100)) and one == {r.k: r.place for r in R.shuffled(df.repartition(5), "k", 1).collect()}
+    assert one != {r.k: r.place for r in R.shuffled(df, "k", 2).collect()}
