@@ -3,7 +3,7 @@
 Each rule is a regular expression with a priority, a label and its own keywords: the
 two longest words that every match must hold.  One pass of a keyword automaton over
 the lower-cased text selects the rules that can match at all; only these run.  Rules
-are clauses and notices of licenses, written by hand (SIGNATURES), and, for each
+are clauses and notices of licenses, written by hand (SIGNATURES, CLAUSES), and, for each
 family of licenses, its identifiers, addresses, grants and titles (FAMILIES, FORMS).
 A space of a rule stands for any white space and comment marks, so wrapped lines match.
 
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 
 from .batches import small_batches
 from .decontaminate import BREAKS
+from .license_clauses import CLAUSES
 from .textcore import joined_bytes, slices, word_bounds
 
 #: Fixed phrases, words in succession, and their labels.
@@ -306,7 +307,7 @@ def _rule(label: str, form: str, pattern: str) -> Rule:
 def rules() -> list[Rule]:
     """All rules, in order of priority."""
     out = []
-    for label, text in SIGNATURES:
+    for label, text in (*SIGNATURES, *CLAUSES):
         form = {"notice": "notice", "proprietary": "claim"}.get(label, "clause")
         out.append(Rule(label, form, rf"(?<![\w-]){text.replace(' ?', '@').replace(' ', GAP).replace('@', '(?:' + GAP + ')?')}", keywords(text)))
     for label, ids, names, urls in FAMILIES:

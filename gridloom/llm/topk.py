@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with a KD-tree in every shard.
 
-Vectors are integers.  A KD-tree over a bounded sample (``SAMPLE_ROWS``) cuts the space into
+Vectors are integers, and products exact ones.  A KD-tree over a bounded sample (``SAMPLE_NUMBERS``) cuts the space into
 cells at medians of the widest dimension; a cell's rows are cut into shards of about
 ``SHARD_ROWS`` rows, and its tight bounding box is taken over all of its rows.  A shard has
 a KD-tree of its own with the tight box of every node.  The score of a query against a box
@@ -16,7 +16,8 @@ a bound equals the k-th score.  The sample decides only which cells there are.
 Defined results: vectors that are null or hold null or non-finite components take no part,
 nor do null ids; vectors meet those of equal length only; of rows with one id each is a
 candidate and, if asked for, a query of its own, with a list of its own (equal rows have
-equal lists); a query doesn't meet rows of its own id; fewer than k candidates give all of
+equal lists); a query doesn't meet rows of its own id; a score that 64 bits can't hold counts and comes back as the nearest one
+that they can; fewer than k candidates give all of
 them; other columns aren't read; empty tables give no rows.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +38,44 @@ from .batches import small_batches
 
 K, SCALE, EVERY = 5, 256, 50
 SHARD_ROWS, BLOCK_QUERIES, STEP_QUERIES, LEAF = 16384, 16384, 1024, 128
-#: Rows that the cells are fitted on, cells at most, and numbers in their boxes at most.
-SAMPLE_ROWS, CELLS, BOX_NUMBERS = 1 << 16, 1024, 1 << 22
+#: Numbers that the cells are fitted on, cells at most, and numbers in their boxes at most.
+SAMPLE_NUMBERS, CELLS, BOX_NUMBERS = 1 << 22, 1024, 1 << 22
+#: Longest vectors (by a bound) whose products are integers of a double: EXACT ** 2 = 2 ** 52.
+EXACT, LONG = float(1 << 26), (1 << 63) - 1
 FOUND = "query_id long, hash long, copies long, vec_id long, score long"
 
 
+def products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Exact integer products of each query with each point (doubles that hold integers), kept within 64 bits.  Rows whose products
+    could leave the integers of a double are multiplied as Python's integers."""
+    out = np.zeros((len(queries), len(points)), np.int64)
+    if not out.size or not queries.shape[1]:
+        return out
+    q, p = (np.abs(x).max(axis=1) * math.sqrt(x.shape[1]) for x in (queries, points))
+    plain_q, plain_p = q < EXACT, p < EXACT
+    if plain_q.all() and plain_p.all():
+        return (queries @ points.T).astype(np.int64)
+    out[np.ix_(plain_q, plain_p)] = (queries[plain_q] @ points[plain_p].T).astype(np.int64)
+    whole = lambda x: [[int(v) for v in row] for row in x.tolist()]
+    for i, row in zip(np.flatnonzero(~plain_q).tolist(), whole(queries[~plain_q])):
+        out[i] = [_within(sum(map(operator.mul, row, other))) for other in whole(points)]
+    large = whole(points[~plain_p])
+    for i, row in zip(np.flatnonzero(plain_q).tolist(), whole(queries[plain_q]) if large else ()):
+        out[i, ~plain_p] = [_within(sum(map(operator.mul, row, other))) for other in large]
+    return out
+
+
+def _within(x: int) -> int:
+    return max(-LONG, min(LONG, x))
+
+
+def reached(bound: np.ndarray, queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bounds, raised by more than what rounding can have taken from them."""
+    return bound + (np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T) * 2.0**-44
+
+
 class Tree:
-    """KD-tree over rows of ``points`` (float64 holding integers, so products are exact)."""
+    """KD-tree over rows of ``points`` (float64 holding integers)."""
 
     def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
         self.points, self.ids = points, ids
@@ -70,12 +103,12 @@ class Tree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """(query, node): the most a point of the node can score."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return reached(np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T, queries, self.low, self.high)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query its best (scores, ids) among those that reach ``floor``."""
-        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
-        kth = floor.astype(np.float64).copy()
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries]
+        kth = floor.copy()
         bound = self.bounds(queries)
         # best first: a heap of (negated largest bound, node) with the queries that still want the node
         heap = [(-float(bound[:, 0].max()), 0)] if len(queries) else []
@@ -89,11 +122,11 @@ class Tree:
                     heapq.heappush(heap, (-float(bound[want, child].max()), child))
                 continue
             a, b = self.span[node]
-            score = queries[want] @ self.points[a:b].T
+            score = products(queries[want], self.points[a:b])
             ids = self.ids[a:b]
-            score[query_ids[want][:, None] == ids[None, :]] = -np.inf
-            for row, q in zip(score, want.tolist()):
-                good = np.flatnonzero(row >= max(kth[q], -1e300))
+            other = query_ids[want][:, None] != ids[None, :]
+            for row, ok, q in zip(score, other, want.tolist()):
+                good = np.flatnonzero((row >= kth[q]) & ok)
                 if not len(good):
                     continue
                 s, i = np.concatenate([best[q][0], row[good]]), np.concatenate([best[q][1], ids[good]])
@@ -113,7 +146,8 @@ def integers(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of each component as a double; null if the vector takes no part."""
     value = vector.cast("array<double>")
     bad = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(value, lambda x: F.floor(x * scale).cast("double")))
+    whole = lambda x: F.when(F.abs(x) >= 2.0**53, x).otherwise(F.floor(x).cast("double"))  # noqa: E731  (larger doubles are integers, which floor() can't return)
+    return F.when(~bad, F.transform(value, lambda x: whole(x * scale)))
 
 
 class Cells:
@@ -219,7 +253,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str
             for a in range(0, left.num_rows, STEP_QUERIES):
                 part = left.slice(a, STEP_QUERIES)
                 ids = of(part, "id")
-                floor = np.nan_to_num(of(part, "floor").astype(np.float64), nan=-1e300)
+                floor = pc.fill_null(part.column("floor"), -LONG).to_numpy()
                 found = tree.search(ids, _matrix(part.column("v").combine_chunks()), floor, k)
                 for i, h, c, (score, who) in zip(ids.tolist(), of(part, "hash").tolist(), of(part, "copies").tolist(), found):
                     for column, x in zip(out, ([i] * len(who), [h] * len(who), [c] * len(who), who.tolist(), [int(s) for s in score])):
@@ -240,7 +274,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str
         for c, (_, low, _) in shards.value.items():
             numbers.setdefault(len(low), []).append(c)
         for batch in batches:
-            floor = np.nan_to_num(batch.column(batch.schema.get_field_index("floor")).to_numpy(zero_copy_only=False).astype(np.float64), nan=-1e300)
+            floor = pc.fill_null(batch.column(batch.schema.get_field_index("floor")), -LONG).to_numpy(zero_copy_only=False)
             for n, rows, q in by_length(batch.column(batch.schema.get_field_index("v"))):
                 if n not in numbers:
                     continue
@@ -248,7 +282,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str
                 count = np.array([shards.value[c][0] for c in numbers[n]])
                 for a in range(0, len(rows), STEP_QUERIES):
                     some = q[a : a + STEP_QUERIES]
-                    bound = np.maximum(some, 0) @ high.T + np.minimum(some, 0) @ low.T
+                    bound = reached(np.maximum(some, 0) @ high.T + np.minimum(some, 0) @ low.T, some, low, high)
                     row, at = np.nonzero(bound >= floor[rows[a : a + STEP_QUERIES]][:, None])
                     many = count[at]
                     shard = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -256,10 +290,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str
                     cell = pa.array(np.repeat(np.array(numbers[n])[at], many), pa.int32())
                     yield picked.set_column(picked.schema.get_field_index("cell"), "cell", cell).append_column("shard", pa.array(shard, pa.int32()))
 
-    home = spread(asked).withColumn("floor", F.lit(None).cast("double"))
+    home = spread(asked).withColumn("floor", F.lit(None).cast("long"))
     start = best_of(met(home), k)
     # the k-th score at home, where there are k
-    floor = start.groupBy("query_id", "hash").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "hash", F.col("kth").cast("double").alias("floor"))
+    floor = start.groupBy("query_id", "hash").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "hash", F.col("kth").alias("floor"))
     asked = asked.join(floor, ["id", "hash"], "left")
     sent = asked.mapInArrow(reach, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema) + ", shard int")
     best = best_of(met(sent), k)
@@ -269,17 +303,16 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str
 def _fit_cells(points: DataFrame, shard_rows: int) -> dict[int, Cells]:
     """Cells of each length, from a sample."""
     sizes = {r.dim: r["count"] for r in points.groupBy(F.size("v").alias("dim")).count().collect()}
-    total = sum(sizes.values())
+    total = sum(n * max(1, dim) for dim, n in sizes.items())
     if not total:
         return {}
-    some = points.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / total) * (1 << 30))) if total > SAMPLE_ROWS else points
-    sample: dict = {n: [] for n in sizes}
-    for r in some.select("v").toLocalIterator():  # about SAMPLE_ROWS
-        sample[len(r.v)].append(r.v)
+    some = points.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_NUMBERS / total) * (1 << 30))) if total > SAMPLE_NUMBERS else points
+    held = some.select("v").toArrow().column(0).combine_chunks()  # about SAMPLE_NUMBERS numbers
+    sample = {n: np.zeros((0, n)) for n in sizes} | {n: matrix for n, _, matrix in by_length(held)}
     out, first = {}, 0
     for n, rows in sorted(sample.items()):
         most = max(1, min(CELLS, BOX_NUMBERS // max(1, 2 * n), math.ceil(sizes[n] / shard_rows)))
-        out[n] = Cells(np.array(rows, np.float64).reshape(len(rows), n), most, first)
+        out[n] = Cells(rows, most, first)
         first += out[n].count
     return out
 

@@ -55,6 +55,43 @@ def test_top_k_equals_its_sql(spark):
     assert got == sorted(db.execute(TOPK).fetchall())
 
 
+@pytest.mark.parametrize("scale", [1e5, 1e8, 1e30])
+def test_top_k_of_large_components_is_exact(spark, scale):
+    """Products beyond the integers of a double, beyond 64 bits, and small rows among large ones."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=5) * (scale if i % 3 == 0 else 1.0))]) for i in range(160)] + [(200 + i, [scale, 0.0, 0.0, 0.0, float(i)]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in T.exact_top_k(df, df.where("vec_id % 50 = 0"), shard_rows=40).collect())
+    whole = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    want = []
+    for i, v in whole:
+        if i % 50 == 0:
+            best = sorted((-max(-T.LONG, min(T.LONG, sum(a * b for a, b in zip(v, w)))), j) for j, w in whole if j != i)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_pruned_cells_are_not_visited(spark):
+    """Clusters far apart: a query goes to the shards of few cells only, and the result is whole."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(16, 8)) * 40
+    rows = [(i, [float(x) for x in np.round(centres[i % 16] + rng.normal(size=8), 2)]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    points = np.array([np.floor(256 * np.float32(v).astype(float)) for _, v in rows])
+    cells = T.Cells(points, 16, 0)
+    of = cells.of(points)
+    low, high = (np.array([f(points[of == c]) for c in range(cells.count)]) for f in (lambda x: x.min(axis=0), lambda x: x.max(axis=0)))
+    q = points[::50]
+    kth = np.sort(T.products(q, points), axis=1)[:, -6]
+    bound = T.reached(np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T, q, low, high)
+    assert cells.count == 16 and (bound >= kth[:, None]).sum() < 0.5 * bound.size
+    got = {(r.query_id, r["rank"]): r.score for r in T.exact_top_k(df, df.where("vec_id % 50 = 0"), shard_rows=100).collect()}
+    for k, i in enumerate(range(0, 1600, 50)):
+        score = T.products(q[k : k + 1], points)[0]
+        score[i] = -T.LONG
+        assert [got[i, r] for r in range(1, 6)] == sorted(score.tolist(), reverse=True)[:5]
+
+
 def test_cells_cut_at_medians():
     rng = np.random.default_rng(17)
     points = np.round(rng.normal(size=(2000, 3)) * 50)
@@ -326,7 +363,7 @@ def test_short_items_and_repeated_rows(spark):
 # -- licenses ------------------------------------------------------------------------
 def test_license_rules():
     rules = LS.rules()
-    assert len(rules) > 250 and all(r.keywords for r in rules) and len(LS.SIGNATURES) > 150
+    assert len(rules) > 250 and all(r.keywords for r in rules) and len(LS.SIGNATURES) + len(LS.CLAUSES) > len(rules) / 2
     scan = LS.Scanner()
     labels = lambda t: [r.label for _, _, r in scan.detections(t.lower())]
     assert labels("Licensed under the Apache License, Version 2.0.") == ["apache-2.0"]
@@ -353,7 +390,7 @@ def plain_words(pattern):
 
 def test_signatures_match_their_own_words():
     scan = LS.Scanner()
-    for label, text in LS.SIGNATURES:
+    for label, text in (*LS.SIGNATURES, *LS.CLAUSES):
         low = plain_words(text)
         assert any(r.label == label and r.form in ("clause", "claim", "notice") for i in scan.live(low) for r in [scan.rules[i]] if scan.compiled[i].search(low)), (label, text, low)
         wrapped = low.replace(" ", "\n * ")
@@ -424,7 +461,7 @@ def test_prefilter_holds_no_rule_back():
     phrases += [f"licensed under the {n}" for *_, names, _ in LS.FAMILIES for n in names if n.replace(" ", "").replace("-", "").isalnum()]
     phrases += [f"{n} license" for *_, names, _ in LS.FAMILIES for n in names if n.replace(" ", "").replace("-", "").isalnum()]
     phrases += [f"at https://{u}" for *_, urls in LS.FAMILIES for u in urls]
-    phrases += [plain_words(text) for _, text in LS.SIGNATURES]
+    phrases += [plain_words(text) for _, text in (*LS.SIGNATURES, *LS.CLAUSES)]
     for t in phrases:
         for gap in (" ", "\n", "  ", "\t", " \n * "):
             low = f"x {t.replace(' ', gap)} y"
