@@ -15,8 +15,8 @@ a lane begins with a walk over the words before it that a history holds, which l
 **Scale.**  The automaton of a corpus is larger than a task, that of a block of documents is not.  Documents are
 turned into token ids by blocks, once, in buckets of a table.  A block sends each of its distinct n-grams with its count in the
 block to the part of the key space that it belongs to; parts are many, as large as one another, and a frequent n-gram
-weighs one entry a block.  The totals go back to the blocks, bucketed like them, so that reading the two together
-needs no further exchange: each block builds the states and arcs that its texts can meet, with corpus-wide weights.
+weighs one entry a block.  The totals go back to the blocks, in buckets of the task that made the block like these (so a task
+writes one file, whatever the number of its blocks), and reading the two together needs no further exchange: each block builds the states and arcs that its texts can meet, with corpus-wide weights.
 n-grams are told apart by 64-bit hashes, of which the last two bits hold the order.
 
 Defined results: a null or empty text is one token, its end; a null id is learnt from; repeated rows count and are
@@ -27,7 +27,6 @@ than those named; a long text is a block of its own; an empty table gives no row
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import small_batches
+from .fingerprint_index import bucketed, most_buckets
 from .packed import binaries, pack, raw, unpack
 from .textcore import LOWER, U64, joined_bytes, mix, slices, word_bounds, word_hashes
 
@@ -52,7 +52,7 @@ CLASSES = 64
 TAG, START_TAG = U64(3), U64(3)
 START, END = mix(np.array([1, 2], U64)) & ~TAG
 START |= START_TAG
-TEXT_BLOCKS = "block long, size long, ids array<{0}>, learnt array<boolean>, sizes array<int>, vocabulary binary, tokens binary"
+TEXT_BLOCKS = "block long, task int, size long, ids array<{0}>, learnt array<boolean>, sizes array<int>, vocabulary binary, tokens binary"
 ENTRIES = "part int, block long, keys binary, counts binary"
 TOTALS = "block long, part int, totals binary, tokens long, words long"
 UNIT = 0.5
@@ -77,7 +77,8 @@ def text_blocks(docs: DataFrame, learn: Column, id: str, text: str) -> DataFrame
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
+        number = task << 32
         for batch in batches:
             for a, b in slices(batch, "text", BLOCK_BYTES):
                 part = batch.slice(a, b - a)
@@ -94,8 +95,8 @@ def text_blocks(docs: DataFrame, learn: Column, id: str, text: str) -> DataFrame
                 whole = pa.array([0, b - a], pa.int32())
                 lists = [pa.ListArray.from_arrays(whole, x) for x in (part.column(0), part.column(2), pa.array(n, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([number]), pa.array([len(tokens)]), *lists, pa.array([vocabulary.astype("<u8").tobytes()], pa.binary()), pa.array([_planes(tokens)], pa.binary()),
-                ], ["block", "size", "ids", "learnt", "sizes", "vocabulary", "tokens"])
+                    pa.array([number]), pa.array([task], pa.int32()), pa.array([len(tokens)]), *lists, pa.array([vocabulary.astype("<u8").tobytes()], pa.binary()), pa.array([_planes(tokens)], pa.binary()),
+                ], ["block", "task", "size", "ids", "learnt", "sizes", "vocabulary", "tokens"])
                 number += 1
 
     some = small_batches(docs).select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), learn.alias("learn"))
@@ -286,13 +287,6 @@ def _schema(kind: str) -> str:
     return f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _bucketed(df: DataFrame, buckets: int, folder: str) -> DataFrame:
-    """``df`` written and read again by buckets of ``block``: what is grouped by it next isn't exchanged."""
-    name = f"lm_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("path", folder).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
 def novelty_rates(blocks: DataFrame, totals: DataFrame, order: int) -> np.ndarray:
     """(order, class) -> share of new continuations after histories of that class of counts, from all training texts."""
 
@@ -309,8 +303,8 @@ def novelty_rates(blocks: DataFrame, totals: DataFrame, order: int) -> np.ndarra
         columns = zip(*rows) if rows else [[]] * 4
         return pa.table([pa.array(list(x), t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["k", "class", "single", "places"])
 
-    left, right = blocks.select("block", "learnt", "sizes", "vocabulary", "tokens"), totals.select("block", "part", "totals")
-    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, "k int, class int, single long, places long")
+    left, right = blocks.select("task", "block", "learnt", "sizes", "vocabulary", "tokens"), totals.select("task", "block", "part", "totals")
+    found = left.groupBy("task", "block").cogroup(right.groupBy("task", "block")).applyInArrow(run, "k int, class int, single long, places long")
     rates = np.full((order + 2, CLASSES), 0.5)
     for r in found.groupBy("k", "class").agg(F.sum("single").alias("single"), F.sum("places").alias("places")).collect():  # orders x CLASSES rows
         rates[r.k, r["class"]] = (r.single + UNIT) / (r.places + 1)
@@ -327,14 +321,15 @@ def score_texts(docs: DataFrame, folder: str, learn: Column | None = None, id: s
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     made = text_blocks(docs, learnt(id) if learn is None else learn, id, text)
     bytes_ = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("b")).first().b or 0
-    buckets = max(LEAST_PARTS, math.ceil(bytes_ / BUCKET_BYTES))
-    blocks = _bucketed(made, buckets, f"{folder}/blocks")
+    buckets = min(max(LEAST_PARTS, math.ceil(bytes_ / BUCKET_BYTES)), most_buckets(spark))
+    blocks = bucketed(made, "task", buckets, f"{folder}/blocks")
     size = blocks.agg(F.sum("size").alias("n")).first().n
     if not size:
         return spark.createDataFrame([], _schema(kind)).withColumn("train_tokens", F.lit(0).cast("long")).select(*columns)
     parts = max(LEAST_PARTS, math.ceil(size * 8 * order / PART_BYTES))
     entries = gram_entries(blocks, order, parts)
-    totals = _bucketed(entries.groupBy("part").applyInArrow(add_up, TOTALS), buckets, f"{folder}/totals")
+    answers = entries.groupBy("part").applyInArrow(add_up, TOTALS).withColumn("task", F.shiftright("block", 32).cast("int"))
+    totals = bucketed(answers.repartition(buckets, "task"), "task", buckets, f"{folder}/totals")
     seen = totals.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).first()
     tokens, words = seen.tokens, seen.words
     rates = novelty_rates(blocks, totals, order)
@@ -354,5 +349,5 @@ def score_texts(docs: DataFrame, folder: str, learn: Column | None = None, id: s
             ], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
         return pa.concat_tables(out)
 
-    scored = blocks.groupBy("block").cogroup(totals.select("block", "part", "totals").groupBy("block")).applyInArrow(run, _schema(kind))
+    scored = blocks.groupBy("task", "block").cogroup(totals.select("task", "block", "part", "totals").groupBy("task", "block")).applyInArrow(run, _schema(kind))
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long")).select(*columns)

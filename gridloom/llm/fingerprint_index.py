@@ -1,87 +1,129 @@
 """Log-structured index of window fingerprints.
 
-A *run* is a Parquet table of pieces (see ``repeats``): the hash of a piece's gram, a digest of
-its words, how often it occurred, and the hashes of its windows.  A run is sorted, written once and
-never changed.  A new batch's pieces are joined with all runs by gram: equal ones are repeated at
-once; where a gram stands in different pieces, their windows are joined in turn.  ``ingest`` writes
-the batch as a run of level 0; every ``fanout`` runs of a level are compacted into one run of the
-next, in which a piece stands once.
-
-All of it is Spark: joins and sums by key, of which none holds more than one row for each block of
-documents, run and distinct piece.  Pieces count as equal if the 64-bit hash of the gram and the
-64-bit BLAKE2 digest of the words agree; windows if the hashes of gram and window do.
+A *run* is a table of pieces (see ``repeats``): the hash of a piece's gram, a digest of its words, how often it
+occurred, the least block of documents that holds it, and, in an index that outlives its documents, the hashes of its windows.  A run
+is bucketed and sorted by gram, written once and never changed.  ``add`` writes a batch as a run of level 0; every ``fanout``
+runs of a level are merged into one run of the next, in which a piece stands once.  Runs have the same buckets, so they are
+merged, and totals taken, bucket by bucket without an exchange.
+
+Which pieces a block of documents is told of comes from joins of its own pieces with the totals; a side of them has one row
+for each distinct piece, the other one for each block and piece, which Spark can split where a piece is in every block.
+Pieces count as equal if the hash of the gram (63 bits) and the BLAKE2 digest of the words (64 bits) agree; windows if the
+hashes of gram and window do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FANOUT = 8
-PIECES = "block int, gram long, digest long, n long"
-SPELLED = "block int, gram long, window long, n long"
-ENTRIES = "gram long, digest long, n long, windows array<long>"
-#: Block of what comes from a run.
+FANOUT, BUCKETS = 4, 64
+PIECES = "block long, gram long, digest long, n long"
+SPELLED = "block long, gram long, window long, n long"
+ENTRIES = "gram long, digest long, n long, who long, windows array<long>"
+#: Block of what comes from the history.
 HISTORY = -1
 
 
-class FingerprintIndex:
-    """Runs below ``path`` (``level=L/run=N``); those that are there already are found again.  Without a path the
-    history is empty, and nothing can be ingested."""
+def bucketed(df: DataFrame, key: str, buckets: int, path: str, sort: tuple[str, ...] = (), **by: str) -> DataFrame:
+    """``df`` written and read again in buckets of ``key``: what is grouped by it next isn't exchanged.  ``by``: a column of folders."""
+    spark = df.sparkSession
+    name = f"t_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(min(buckets, most_buckets(spark)), key)
+    writer = writer.sortBy(*sort) if sort else writer
+    (writer.partitionBy(*by.values()) if by else writer).saveAsTable(name)
+    return spark.table(name)
+
+
+def most_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path, fanout
-        self.runs: list[tuple[int, int]] = _complete_runs(spark, path) if path else []
+class FingerprintIndex:
+    """Runs below ``path`` (``level=L/run=N-BUCKETS``); those that are there already are found again.  Without a path the
+    index is empty, and nothing can be added."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, buckets: int = BUCKETS):
+        self.spark, self.path, self.fanout, self.buckets = spark, path, fanout, min(buckets, most_buckets(spark))
+        self.runs: list[tuple[int, int]] = []
+        self._tables: dict[tuple[int, int], str] = {}
+        for level, number, size in _complete_runs(spark, path) if path else []:
+            self.buckets = size
+            self.runs.append((level, number))
+            name = f"t_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {name} ({ENTRIES.replace('gram long', '`gram` bigint')}) USING parquet CLUSTERED BY (gram) SORTED BY (gram, digest) INTO {size} BUCKETS LOCATION '{self._place(level, number)}'")
+            self._tables[level, number] = name
         self._next = 1 + max((n for _, n in self.runs), default=-1)
 
-    def history(self) -> DataFrame:
-        if not self.runs:
-            return self.spark.createDataFrame([], ENTRIES)
-        return self.spark.read.schema(ENTRIES).parquet(*[self._place(*r) for r in self.runs])
-
-    def told_pieces(self, batch: DataFrame) -> DataFrame:
-        """(block, gram, digest, repeated, spell): of the batch's pieces (PIECES) those that are repeated, in the batch
-        or in a run, or whose gram also stands in another piece; one block spells each of the latter."""
-        rows = batch
-        if self.runs:
-            rows = rows.unionByName(self.history().select(F.lit(HISTORY).alias("block"), "gram", "digest", "n"))
-        same, of_gram = Window.partitionBy("gram", "digest"), Window.partitionBy("gram")
-        marked = rows.withColumns({"total": F.sum("n").over(same), "who": F.min("block").over(same), "low": F.min("digest").over(of_gram), "high": F.max("digest").over(of_gram)})
-        told = marked.where(f"block <> {HISTORY} and (total > 1 or low < high)")
-        return told.select("block", "gram", "digest", (F.col("total") > 1).alias("repeated"), ((F.col("low") < F.col("high")) & (F.col("block") == F.col("who"))).alias("spell"))
-
-    def told_windows(self, spelled: DataFrame, told: DataFrame) -> DataFrame:
-        """(block, gram, window): of the spelled windows (SPELLED) those that occur more than once, runs included."""
-        rows = spelled
-        if self.runs:
-            old = self.history().join(told.select("gram").distinct(), "gram", "left_semi")
-            rows = rows.unionByName(old.select(F.lit(HISTORY).alias("block"), "gram", F.explode("windows").alias("window"), F.lit(1).cast("long").alias("n")))
-        total = F.sum("n").over(Window.partitionBy("gram", "window"))
-        return rows.withColumn("total", total).where(f"block <> {HISTORY} and total > 1").select("block", "gram", "window")
-
-    def ingest(self, entries: DataFrame) -> None:
-        """Adds a batch (ENTRIES) as a run and compacts full levels."""
+    def history(self) -> DataFrame | None:
+        """All rows of all runs."""
+        out = None
+        for r in self.runs:
+            one = self.spark.table(self._tables[r])
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def totals(self) -> DataFrame | None:
+        """(gram, digest, n, who): a row a piece."""
+        rows = self.history()
+        return None if rows is None else rows.groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min("who").alias("who"))
+
+    def add(self, entries: DataFrame) -> None:
+        """Adds a batch (ENTRIES) as a run and merges full levels."""
         self._write(0, entries)
         level = 0
         while len(full := [r for r in self.runs if r[0] == level]) >= self.fanout:
-            self._write(level + 1, self.spark.read.schema(ENTRIES).parquet(*[self._place(*r) for r in full]))
+            rows = None
+            for r in full:
+                one = self.spark.table(self._tables[r])
+                rows = one if rows is None else rows.unionByName(one)
+            self._write(level + 1, rows)
             self.runs = [r for r in self.runs if r not in full]
             for r in full:  # a run that is left behind by a crash holds what the next level holds too: see _complete_runs
+                self.spark.sql(f"DROP TABLE {self._tables.pop(r)}")
                 _drop(self.spark, self._place(*r))
             level += 1
 
     def _place(self, level: int, n: int) -> str:
-        return f"{self.path}/level={level}/run={n:06d}"
+        return f"{self.path}/level={level}/run={n:06d}-{self.buckets}"
 
     def _write(self, level: int, rows: DataFrame) -> None:
         if not self.path:
-            raise ValueError("an index without a path can't ingest")
+            raise ValueError("an index without a path can't be added to")
         number, self._next = self._next, self._next + 1
-        run = rows.groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"))
-        run.sortWithinPartitions("gram", "digest").write.parquet(self._place(level, number))
+        run = rows.groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min("who").alias("who"), F.first("windows").alias("windows"))
+        # a task a bucket, so that a run has one file a bucket
+        name = f"t_{uuid.uuid4().hex}"
+        writer = run.repartition(self.buckets, "gram").write.format("parquet").option("path", self._place(level, number)).option("compression", "zstd")
+        writer.bucketBy(self.buckets, "gram").sortBy("gram", "digest").saveAsTable(name)
+        self._tables[level, number] = name
         self.runs.append((level, number))
 
 
+def told_pieces(pieces: DataFrame, now: FingerprintIndex, before: FingerprintIndex) -> DataFrame:
+    """(block, gram, digest, repeated, spell): of the blocks' pieces (PIECES), which ``now`` holds, those that are repeated, there or in
+    ``before``, or whose gram also stands in another piece; one block spells each of the latter."""
+    total = now.totals()
+    if before.runs:
+        total = total.unionByName(before.totals()).groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min("who").alias("who"))
+    of_gram = total.groupBy("gram").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    marked = total.join(of_gram, "gram").where("n > 1 or low < high").select("gram", "digest", "n", "who", (F.col("low") < F.col("high")).alias("open"))
+    told = pieces.join(marked.withColumnRenamed("n", "total"), ["gram", "digest"])
+    return told.select("block", "gram", "digest", (F.col("total") > 1).alias("repeated"), (F.col("open") & (F.col("block") == F.col("who"))).alias("spell"))
+
+
+def told_windows(spelled: DataFrame, told: DataFrame, before: FingerprintIndex) -> DataFrame:
+    """(block, gram, window): of the spelled windows (SPELLED) those that occur more than once, ``before`` included."""
+    rows = spelled.select("gram", "window", "n")
+    if before.runs:
+        old = before.history().join(told.select("gram").distinct(), "gram", "left_semi")
+        rows = rows.unionByName(old.select("gram", F.explode("windows").alias("window"), F.lit(1).cast("long").alias("n")))
+    many = rows.groupBy("gram", "window").agg(F.sum("n").alias("n")).where("n > 1")
+    return spelled.join(many.select("gram", "window"), ["gram", "window"]).select("block", "gram", "window")
+
+
 def _folder(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
@@ -92,14 +134,15 @@ def _drop(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
-def _complete_runs(spark: SparkSession, path: str) -> list[tuple[int, int]]:
-    """(level, number) of the runs that were written to the end.  A run replaces all older ones of the level below:
+def _complete_runs(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
+    """(level, number, buckets) of the runs that were written to the end.  A run replaces all older ones of the level below:
     those that a crash kept from being dropped don't count."""
     files, place = _folder(spark, path)
     found = []
     for level in files.listStatus(place) if files.exists(place) else []:
         for run in files.listStatus(level.getPath()):
             if files.exists(spark._jvm.org.apache.hadoop.fs.Path(run.getPath(), "_SUCCESS")):
-                found.append((int(level.getPath().getName().partition("=")[2]), int(run.getPath().getName().partition("=")[2])))
-    newest = {level: max(n for l, n in found if l == level) for level, _ in found}
-    return sorted((l, n) for l, n in found if n > newest.get(l + 1, -1))
+                number, _, size = run.getPath().getName().partition("=")[2].partition("-")
+                found.append((int(level.getPath().getName().partition("=")[2]), int(number), int(size)))
+    newest = {level: max(n for l, n, _ in found if l == level) for level, _, _ in found}
+    return sorted((l, n, size) for l, n, size in found if n > newest.get(l + 1, -1))

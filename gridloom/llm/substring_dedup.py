@@ -5,30 +5,41 @@ document.  Each word covered by a window that also starts anywhere else, in the
 same document, another one, or one of an index's history, is removed.  Windows are judged on
 the input, so the result doesn't depend on an order of documents.
 
-A table is one batch: its pieces and windows are joined with the runs of a ``FingerprintIndex``
-(``index``; an empty history without one), and ``ingest`` adds it to them for the next batch.
+A table goes through a ``FingerprintIndex``.  Its documents are put in blocks and the blocks in batches; each batch's pieces
+are added to an index of the table's own as a sorted run, and runs are merged level by level.  Then every block is judged
+by the totals: its pieces are joined with those that are repeated.  Where a gram stands in different pieces, one block spells the
+windows of each.  An index of earlier tables (``index``) is merged with the totals; ``ingest`` adds a table to it for the next one.
 
 Defined results: a null or empty text has no words and comes back as an empty
 text; a text of fewer words than ``width`` is kept whole; equal rows count as
 separate documents (both lose what they share); null ids and all other columns are passed
-through, but for columns with the names of results, which are replaced, and ``__block``, which
-is lost; a long text is cut by no bound but its own; an empty table gives no rows.
+through, but for columns with the names of results, which are replaced; a long text is cut by no bound but its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .fingerprint_index import ENTRIES, PIECES, SPELLED, FingerprintIndex
-from .repeats import BLOCK, ONE, PIECE, Windows, covered, in_blocks, in_run, merged, spans
-from .textcore import U64, WORD_POWERS, joined_bytes, word_bounds, word_hashes
+from ..session import scratch
+from . import repeats
+from .batches import small_batches
+from .fingerprint_index import ENTRIES, HISTORY, PIECES, SPELLED, FingerprintIndex, bucketed, most_buckets, told_pieces, told_windows
+from .repeats import BLOCK, ONE, PIECE, Windows, covered, in_run, merged, spans
+from .textcore import U64, WORD_POWERS, joined_bytes, slices, word_bounds, word_hashes
 
 WIDTH, GRAM = 35, 16
+#: Batches that a table is cut into, and bytes of text in a bucket of blocks, at most about.
+BATCHES, BUCKET_BYTES, LEAST_BUCKETS = 8, 16 << 20, 16
+TASK, BATCH = "__task", "__batch"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -82,13 +93,40 @@ def _windows_of(windows: Windows, s: dict, lo: np.ndarray, hi: np.ndarray, piece
     return at, out
 
 
-def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, index: FingerprintIndex | None = None, layout: bool = False) -> DataFrame:
+def in_batches(docs: DataFrame, text: str, folder: str) -> tuple[DataFrame, int]:
+    """``docs`` with the number of a block (a slice of what a task reads), stored by batch and in buckets of the task, and the number of
+    buckets.  A task writes one file; blocks are grouped without an exchange."""
+    size = small_batches(docs).agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    buckets = min(max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES)), most_buckets(docs.sparkSession))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for a, b in slices(batch, text, repeats.BLOCK_BYTES):
+                part = batch.slice(a, b - a)
+                full = lambda x, t, n=b - a: pa.array(np.full(n, x), t)
+                yield pa.RecordBatch.from_arrays([*part.columns, full(task << 32 | number, pa.int64()), full(task, pa.int32()), full(task % BATCHES, pa.int32())], [*part.schema.names, BLOCK, TASK, BATCH])
+                number += 1
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    made = docs.mapInArrow(run, f"{fields}, {BLOCK} long, {TASK} int, {BATCH} int")
+    stored = bucketed(made, TASK, buckets, folder, batch=BATCH)
+    return stored, buckets
+
+
+def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = WIDTH, gram: int = GRAM, index: FingerprintIndex | None = None, layout: bool = False, folder: str | None = None) -> DataFrame:
     """All columns of ``docs``, with ``kept_text`` (kept words joined by one space; with ``layout``, the text as it is without the
-    removed words), ``n_words``, ``n_removed`` and ``spans`` (first and last removed word of each maximal run) added."""
+    removed words), ``n_words``, ``n_removed`` and ``spans`` (first and last removed word of each maximal run) added.
+    ``folder`` is new and shared: blocks, runs and what blocks are told are kept there until the result has been used."""
+    spark = docs.sparkSession
+    folder = folder or scratch(spark, "passages")
+    index = index or FingerprintIndex(spark)
+    names = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed", "spans")]
+    columns = [f"c{i}" for i in range(len(names))]
+    plain = docs.select(*[F.col(f"`{c}`").alias(new) for c, new in zip(names, columns)])
+    text = columns[names.index(text)]
     windows = Windows(text, width, min(gram, width), word_symbols)
-    index = index or FingerprintIndex(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in (BLOCK, "kept_text", "n_words", "n_removed", "spans")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
 
     def pieces(table: pa.Table) -> pa.Table:
         run = merged([merged([windows.pieces(s)[2]], PIECE) for s, _ in windows.walk(table)], PIECE)
@@ -137,18 +175,30 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = W
         out = out.append_column("n_words", pa.array(np.diff(bounds), pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
         return out.append_column("spans", pa.array(cut, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))))
 
-    blocked, _ = in_blocks(docs.select(*[f"`{c}`" for c in columns]), text)
-    by_block = blocked.groupBy(BLOCK)
-    told = index.told_pieces(by_block.applyInArrow(pieces, PIECES))
-    spelled = by_block.cogroup(told.where("spell").groupBy("block")).applyInArrow(spell, SPELLED)
-    found = index.told_windows(spelled, told)
+    stored, buckets = in_batches(plain, text, f"{folder}/blocks")
+    own = FingerprintIndex(spark, f"{folder}/index", buckets=max(8, buckets // 4))  # pieces take about a sixth of their text
+    places = []
+    for b in sorted(r[0] for r in stored.select(BATCH).distinct().collect()):
+        places.append(place := f"{folder}/pieces/batch={b}")
+        stored.where(F.col(BATCH) == b).groupBy(TASK, BLOCK).applyInArrow(pieces, PIECES).write.option("compression", "zstd").parquet(place)
+        own.add(spark.read.schema(PIECES).parquet(place).select("gram", "digest", "n", F.col("block").alias("who"), F.lit(None).cast("array<long>").alias("windows")))
+    by_block = stored.groupBy(TASK, BLOCK)
+    of_task = F.shiftright("block", 32).cast("int").alias(TASK)
+    if places:
+        found = told_pieces(spark.read.schema(PIECES).parquet(*places), own, index)
+        told = bucketed(found.select("*", of_task).repartition(buckets, TASK), TASK, buckets, f"{folder}/told")
+    else:
+        told = spark.createDataFrame([], "block long, gram long, digest long, repeated boolean, spell boolean").select("*", of_task)
+    by_block.cogroup(told.where("spell").groupBy(TASK, "block")).applyInArrow(spell, SPELLED).write.option("compression", "zstd").parquet(f"{folder}/spelled")
+    hits = told_windows(spark.read.schema(SPELLED).parquet(f"{folder}/spelled"), told, index).select("*", of_task)
     # kind 0: a repeated piece; 1: one whose windows have to be looked up; 2: a repeated window
-    news = told.selectExpr("block", "gram", "digest as check", "if(repeated, 0, 1) as kind").unionByName(found.selectExpr("block", "gram", "window as check", "2 as kind"))
-    return by_block.cogroup(news.groupBy("block")).applyInArrow(last, f"{fields}, kept_text string, n_words long, n_removed long, spans array<struct<first:long,last:long>>")
+    news = told.selectExpr("block", TASK, "gram", "digest as check", "if(repeated, 0, 1) as kind").unionByName(hits.selectExpr("block", TASK, "gram", "window as check", "2 as kind"))
+    out = by_block.cogroup(news.groupBy(TASK, "block")).applyInArrow(last, f"{fields}, kept_text string, n_words long, n_removed long, spans array<struct<first:long,last:long>>")
+    return out.toDF(*names, "kept_text", "n_words", "n_removed", "spans")
 
 
 def _block(table: pa.Table, n: int) -> pa.Array:
-    return pa.array(np.full(n, table.column(BLOCK)[0].as_py() if table.num_rows else 0), pa.int32())
+    return pa.array(np.full(n, table.column(BLOCK)[0].as_py() if table.num_rows else 0), pa.int64())
 
 
 def ingest(docs: DataFrame, index: FingerprintIndex, text: str = "text", width: int = WIDTH, gram: int = GRAM) -> None:
@@ -162,8 +212,7 @@ def ingest(docs: DataFrame, index: FingerprintIndex, text: str = "text", width:
                 at, entry = _windows_of(windows, s, lo, hi, piece)
                 edges = np.concatenate([[0], np.cumsum(hi - lo)])
                 spelled = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), _signed(entry["check"]))
-                yield pa.RecordBatch.from_arrays([_signed(piece["value"] >> ONE), _signed(piece["check"]), pa.array(np.ones(len(lo)), pa.int64()), spelled], ["gram", "digest", "n", "windows"])
-
-    from .batches import small_batches
+                ones = np.ones(len(lo), np.int64)
+                yield pa.RecordBatch.from_arrays([_signed(piece["value"] >> ONE), _signed(piece["check"]), pa.array(ones), pa.array(HISTORY * ones), spelled], ["gram", "digest", "n", "who", "windows"])
 
-    index.ingest(small_batches(docs).select(f"`{text}`").mapInArrow(entries, ENTRIES))
+    index.add(small_batches(docs).select(f"`{text}`").mapInArrow(entries, ENTRIES))
