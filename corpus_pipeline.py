@@ -70,7 +70,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages that occur more than once out of the texts, each with the white space behind it; lines, paragraphs and
     indentation of what is kept stay as they are.  ``n_chars`` follows the text."""
-    cut = remove_repeated_passages(docs, layout=True)
+    cut = remove_repeated_passages(docs, layout=True, folder=shared_folder(spark, "stage-passages"))
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     out = cut.withColumn("text", text)
