@@ -1,40 +1,46 @@
 """Log-structured index of window fingerprints.
 
 A *run* is a table of pieces (see ``repeats``): the hash of a piece's gram, a digest of its words, how often it
-occurred, the least block of documents that holds it, and, in an index that outlives its documents, the hashes of its windows.  A run
-is bucketed and sorted by gram, written once and never changed.  ``add`` writes a batch as a run of level 0; every ``fanout``
-runs of a level are merged into one run of the next, in which a piece stands once.  Runs have the same buckets, so they are
-merged, and totals taken, bucket by bucket without an exchange.
+occurred, and the block of documents that holds it; in a *lasting* index, which outlives its documents, a piece stands once and has the
+hashes of its windows instead.  A run is bucketed and sorted by gram, written once and never changed.  ``add`` writes a batch as a
+run of level 0; every ``fanout`` runs of a level are merged into one run of the next.  Runs have the same buckets, so they are
+merged, summed up and joined bucket by bucket without an exchange; a batch is exchanged once, whatever the history.
 
-Which pieces a block of documents is told of comes from joins of its own pieces with the totals; a side of them has one row
-for each distinct piece, the other one for each block and piece, which Spark can split where a piece is in every block.
+Sums and joins stream through a bucket's rows, of which there is one for each block and distinct piece at most: a passage in every
+document weighs one row a block, and no group is held.
 Pieces count as equal if the hash of the gram (63 bits) and the BLAKE2 digest of the words (64 bits) agree; windows if the
 hashes of gram and window do.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FANOUT, BUCKETS = 4, 64
-PIECES = "block long, gram long, digest long, n long"
 SPELLED = "block long, gram long, window long, n long"
-ENTRIES = "gram long, digest long, n long, who long, windows array<long>"
+ENTRIES = "gram long, digest long, n long, who long"
+LASTING = f"{ENTRIES}, windows array<long>"
 #: Block of what comes from the history.
 HISTORY = -1
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, path: str, sort: tuple[str, ...] = (), **by: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, buckets: int, path: str, sort: tuple[str, ...] = (), by: str | None = None) -> DataFrame:
     """``df`` written and read again in buckets of ``key``: what is grouped by it next isn't exchanged.  ``by``: a column of folders."""
-    spark = df.sparkSession
+    return df.sparkSession.table(_table(df, key, buckets, path, sort, by))
+
+
+def _table(df: DataFrame, key: str, buckets: int, path: str, sort: tuple[str, ...] = (), by: str | None = None) -> str:
+    # groups of (task, block) on both sides lie together already if both are in buckets of the task
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     name = f"t_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(min(buckets, most_buckets(spark)), key)
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(min(buckets, most_buckets(df.sparkSession)), key)
     writer = writer.sortBy(*sort) if sort else writer
-    (writer.partitionBy(*by.values()) if by else writer).saveAsTable(name)
-    return spark.table(name)
+    (writer.partitionBy(by) if by else writer).saveAsTable(name)
+    return name
 
 
 def most_buckets(spark: SparkSession) -> int:
@@ -45,41 +51,35 @@ class FingerprintIndex:
     """Runs below ``path`` (``level=L/run=N-BUCKETS``); those that are there already are found again.  Without a path the
     index is empty, and nothing can be added."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, buckets: int = BUCKETS):
-        self.spark, self.path, self.fanout, self.buckets = spark, path, fanout, min(buckets, most_buckets(spark))
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, buckets: int = BUCKETS, lasting: bool = True):
+        self.spark, self.path, self.fanout, self.buckets, self.lasting = spark, path, fanout, min(buckets, most_buckets(spark)), lasting
         self.runs: list[tuple[int, int]] = []
         self._tables: dict[tuple[int, int], str] = {}
         for level, number, size in _complete_runs(spark, path) if path else []:
             self.buckets = size
             self.runs.append((level, number))
             name = f"t_{uuid.uuid4().hex}"
-            spark.sql(f"CREATE TABLE {name} ({ENTRIES.replace('gram long', '`gram` bigint')}) USING parquet CLUSTERED BY (gram) SORTED BY (gram, digest) INTO {size} BUCKETS LOCATION '{self._place(level, number)}'")
+            spark.sql(f"CREATE TABLE {name} ({LASTING if lasting else ENTRIES}) USING parquet CLUSTERED BY (gram) SORTED BY (gram, digest) INTO {size} BUCKETS LOCATION '{self._place(level, number)}'")
             self._tables[level, number] = name
         self._next = 1 + max((n for _, n in self.runs), default=-1)
 
-    def history(self) -> DataFrame | None:
-        """All rows of all runs."""
-        out = None
-        for r in self.runs:
-            one = self.spark.table(self._tables[r])
-            out = one if out is None else out.unionByName(one)
-        return out
+    def rows(self, runs: list[tuple[int, int]] | None = None) -> DataFrame:
+        """All rows of some runs, or of all."""
+        tables = [self.spark.table(self._tables[r]) for r in runs or self.runs]
+        return functools.reduce(DataFrame.unionByName, tables)
 
-    def totals(self) -> DataFrame | None:
+    def totals(self) -> DataFrame:
         """(gram, digest, n, who): a row a piece."""
-        rows = self.history()
-        return None if rows is None else rows.groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min("who").alias("who"))
+        return _summed(self.rows())
 
     def add(self, entries: DataFrame) -> None:
-        """Adds a batch (ENTRIES) as a run and merges full levels."""
-        self._write(0, entries)
+        """Adds a batch as a run and merges full levels."""
+        if not self.path:
+            raise ValueError("an index without a path can't be added to")
+        self._write(0, entries.repartition(self.buckets, "gram"))
         level = 0
         while len(full := [r for r in self.runs if r[0] == level]) >= self.fanout:
-            rows = None
-            for r in full:
-                one = self.spark.table(self._tables[r])
-                rows = one if rows is None else rows.unionByName(one)
-            self._write(level + 1, rows)
+            self._write(level + 1, self.rows(full))
             self.runs = [r for r in self.runs if r not in full]
             for r in full:  # a run that is left behind by a crash holds what the next level holds too: see _complete_runs
                 self.spark.sql(f"DROP TABLE {self._tables.pop(r)}")
@@ -90,35 +90,34 @@ class FingerprintIndex:
         return f"{self.path}/level={level}/run={n:06d}-{self.buckets}"
 
     def _write(self, level: int, rows: DataFrame) -> None:
-        if not self.path:
-            raise ValueError("an index without a path can't be added to")
+        """``rows`` lie by bucket already, so a bucket gets one file (or one of each run that is merged)."""
         number, self._next = self._next, self._next + 1
-        run = rows.groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min("who").alias("who"), F.first("windows").alias("windows"))
-        # a task a bucket, so that a run has one file a bucket
-        name = f"t_{uuid.uuid4().hex}"
-        writer = run.repartition(self.buckets, "gram").write.format("parquet").option("path", self._place(level, number)).option("compression", "zstd")
-        writer.bucketBy(self.buckets, "gram").sortBy("gram", "digest").saveAsTable(name)
-        self._tables[level, number] = name
+        run = rows.groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min("who").alias("who"), F.first("windows").alias("windows")) if self.lasting else rows
+        self._tables[level, number] = _table(run, "gram", self.buckets, self._place(level, number), ("gram", "digest"))
         self.runs.append((level, number))
 
 
-def told_pieces(pieces: DataFrame, now: FingerprintIndex, before: FingerprintIndex) -> DataFrame:
-    """(block, gram, digest, repeated, spell): of the blocks' pieces (PIECES), which ``now`` holds, those that are repeated, there or in
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min("who").alias("who"))
+
+
+def told_pieces(now: FingerprintIndex, before: FingerprintIndex) -> DataFrame:
+    """(block, gram, digest, repeated, spell): of the blocks' pieces, which ``now`` holds, those that are repeated, there or in
     ``before``, or whose gram also stands in another piece; one block spells each of the latter."""
     total = now.totals()
     if before.runs:
-        total = total.unionByName(before.totals()).groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min("who").alias("who"))
+        total = _summed(total.unionByName(before.totals()))
     of_gram = total.groupBy("gram").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
-    marked = total.join(of_gram, "gram").where("n > 1 or low < high").select("gram", "digest", "n", "who", (F.col("low") < F.col("high")).alias("open"))
-    told = pieces.join(marked.withColumnRenamed("n", "total"), ["gram", "digest"])
-    return told.select("block", "gram", "digest", (F.col("total") > 1).alias("repeated"), (F.col("open") & (F.col("block") == F.col("who"))).alias("spell"))
+    marked = total.join(of_gram, "gram").where("n > 1 or low < high").select("gram", "digest", F.col("n").alias("total"), F.col("who").alias("speller"), (F.col("low") < F.col("high")).alias("open"))
+    told = now.rows().join(marked, ["gram", "digest"])
+    return told.select(F.col("who").alias("block"), "gram", "digest", (F.col("total") > 1).alias("repeated"), (F.col("open") & (F.col("who") == F.col("speller"))).alias("spell"))
 
 
 def told_windows(spelled: DataFrame, told: DataFrame, before: FingerprintIndex) -> DataFrame:
     """(block, gram, window): of the spelled windows (SPELLED) those that occur more than once, ``before`` included."""
     rows = spelled.select("gram", "window", "n")
     if before.runs:
-        old = before.history().join(told.select("gram").distinct(), "gram", "left_semi")
+        old = before.rows().join(told.select("gram").distinct(), "gram", "left_semi")
         rows = rows.unionByName(old.select("gram", F.explode("windows").alias("window"), F.lit(1).cast("long").alias("n")))
     many = rows.groupBy("gram", "window").agg(F.sum("n").alias("n")).where("n > 1")
     return spelled.join(many.select("gram", "window"), ["gram", "window"]).select("block", "gram", "window")

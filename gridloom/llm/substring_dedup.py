@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import scratch
 from . import repeats
 from .batches import small_batches
-from .fingerprint_index import ENTRIES, HISTORY, PIECES, SPELLED, FingerprintIndex, bucketed, most_buckets, told_pieces, told_windows
+from .fingerprint_index import ENTRIES, HISTORY, LASTING, SPELLED, FingerprintIndex, bucketed, most_buckets, told_pieces, told_windows
 from .repeats import BLOCK, ONE, PIECE, Windows, covered, in_run, merged, spans
 from .textcore import U64, WORD_POWERS, joined_bytes, slices, word_bounds, word_hashes
 
@@ -110,7 +110,7 @@ def in_batches(docs: DataFrame, text: str, folder: str) -> tuple[DataFrame, int]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     made = docs.mapInArrow(run, f"{fields}, {BLOCK} long, {TASK} int, {BATCH} int")
-    stored = bucketed(made, TASK, buckets, folder, batch=BATCH)
+    stored = bucketed(made, TASK, buckets, folder, by=BATCH)
     return stored, buckets
 
 
@@ -130,7 +130,7 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = W
 
     def pieces(table: pa.Table) -> pa.Table:
         run = merged([merged([windows.pieces(s)[2]], PIECE) for s, _ in windows.walk(table)], PIECE)
-        return pa.table({"block": _block(table, len(run)), "gram": _signed(run["value"] >> ONE), "digest": _signed(run["check"]), "n": _signed(U64(1) + (run["value"] & ONE))})
+        return pa.table({"gram": _signed(run["value"] >> ONE), "digest": _signed(run["check"]), "n": _signed(U64(1) + (run["value"] & ONE)), "who": _block(table, len(run))})
 
     def spell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         told, out = _entry(right, "gram", "digest"), []
@@ -176,19 +176,14 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = W
         return out.append_column("spans", pa.array(cut, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))))
 
     stored, buckets = in_batches(plain, text, f"{folder}/blocks")
-    own = FingerprintIndex(spark, f"{folder}/index", buckets=max(8, buckets // 4))  # pieces take about a sixth of their text
-    places = []
+    # pieces take about a sixth of their text
+    own = FingerprintIndex(spark, f"{folder}/index", buckets=max(8, buckets // 4), lasting=False)
     for b in sorted(r[0] for r in stored.select(BATCH).distinct().collect()):
-        places.append(place := f"{folder}/pieces/batch={b}")
-        stored.where(F.col(BATCH) == b).groupBy(TASK, BLOCK).applyInArrow(pieces, PIECES).write.option("compression", "zstd").parquet(place)
-        own.add(spark.read.schema(PIECES).parquet(place).select("gram", "digest", "n", F.col("block").alias("who"), F.lit(None).cast("array<long>").alias("windows")))
+        own.add(stored.where(F.col(BATCH) == b).groupBy(TASK, BLOCK).applyInArrow(pieces, ENTRIES))
     by_block = stored.groupBy(TASK, BLOCK)
     of_task = F.shiftright("block", 32).cast("int").alias(TASK)
-    if places:
-        found = told_pieces(spark.read.schema(PIECES).parquet(*places), own, index)
-        told = bucketed(found.select("*", of_task).repartition(buckets, TASK), TASK, buckets, f"{folder}/told")
-    else:
-        told = spark.createDataFrame([], "block long, gram long, digest long, repeated boolean, spell boolean").select("*", of_task)
+    found = told_pieces(own, index) if own.runs else spark.createDataFrame([], "block long, gram long, digest long, repeated boolean, spell boolean")
+    told = bucketed(found.select("*", of_task).repartition(buckets, TASK), TASK, buckets, f"{folder}/told")
     by_block.cogroup(told.where("spell").groupBy(TASK, "block")).applyInArrow(spell, SPELLED).write.option("compression", "zstd").parquet(f"{folder}/spelled")
     hits = told_windows(spark.read.schema(SPELLED).parquet(f"{folder}/spelled"), told, index).select("*", of_task)
     # kind 0: a repeated piece; 1: one whose windows have to be looked up; 2: a repeated window
@@ -215,4 +210,4 @@ def ingest(docs: DataFrame, index: FingerprintIndex, text: str = "text", width:
                 ones = np.ones(len(lo), np.int64)
                 yield pa.RecordBatch.from_arrays([_signed(piece["value"] >> ONE), _signed(piece["check"]), pa.array(ones), pa.array(HISTORY * ones), spelled], ["gram", "digest", "n", "who", "windows"])
 
-    index.add(small_batches(docs).select(f"`{text}`").mapInArrow(entries, ENTRIES))
+    index.add(small_batches(docs).select(f"`{text}`").mapInArrow(entries, LASTING))
