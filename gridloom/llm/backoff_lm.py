@@ -42,7 +42,7 @@ from .textcore import LOWER, U64, joined_bytes, mix, slices, word_bounds, word_h
 
 ORDER = 2
 #: Bytes of text in a block, of keys in a part, and of token ids in a bucket, at most about.
-BLOCK_BYTES, PART_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20, 4 << 20
 LEAST_PARTS = 16
 #: Tokens that a lane of the walk has at most.
 LANE = 256

@@ -5,19 +5,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Widths of little-endian integers, narrowest first.
-WIDTHS = (1, 2, 4, 8)
+#: What stands for a larger number.
+LARGE = 255
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Non-negative integers: a byte that says how wide they are, then each in that many bytes."""
-    top = int(values.max()) if len(values) else 0
-    width = next(w for w in WIDTHS if top < 1 << (8 * w))
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    """Non-negative integers, most of them small: their number, a byte for each, and behind these, in order, eight bytes for each large one."""
+    small = np.minimum(values, LARGE).astype(np.uint8)
+    return len(small).to_bytes(4, "little") + small.tobytes() + values[small == LARGE].astype("<u8").tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(memoryview(data)[:4], "little")
+    out = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
+    out[out == LARGE] = np.frombuffer(data, "<u8", offset=4 + n)
+    return out
 
 
 def raw(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ def folder(tmp_path):
 
 
 def test_packed_numbers():
-    for values in ([], [0], [255], [256, 1], [1 << 40, 3], [(1 << 62) + 1]):
+    for values in ([], [0], [254, 255], [256, 1, 255], [1 << 40, 3], [(1 << 62) + 1]):
         assert unpack(pack(np.array(values, np.int64))).tolist() == values
     data, bounds = raw(binaries(np.arange(6, dtype=np.uint8), np.array([0, 2, 2, 6])))
     assert data.tolist() == [0, 1, 2, 3, 4, 5] and bounds.tolist() == [0, 2, 2, 6]
