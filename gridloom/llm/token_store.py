@@ -20,12 +20,13 @@ Defined results: a null or empty text is the end id alone; equal rows have a
 recipe each and share chunks; null ids come first; ties of an id are ordered by
 their chunks' names; a long text is many chunks; only id and text are read, so other columns
 can't clash; an empty table makes an empty store; a missing chunk is an error.  Parts are as
-many as the session's shuffle partitions.
+many as the session's shuffle partitions at least, and more for more text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import struct
 import zlib
@@ -39,19 +40,92 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import small_batches
-from .bpe import ENCODED_BYTES, WordCache, byte_letters
-from .textcore import WORD_POWERS, U64, mix, prefix_hash, range_hash, slices
+from .bpe import _UNSAFE_RE2, CACHED_CHARS, CACHED_WORDS, ENCODED_BYTES, byte_letters, cut_words
+from .textcore import WORD_POWERS, U64, joined_bytes, mix, prefix_hash, range_hash, slices
 
 END_ID = 0
 #: Rolling hash: ids it looks at, bits that must be zero (so 2**bits ids a chunk on average), longest chunk.
 ROLL, CUT_BITS, LONGEST = 16, 11, 1 << 15
 PACK_BYTES, NAME = 1 << 20, 16
+#: Bytes of text in a part, at most about; parts are as many as shuffle partitions at least.
+PART_BYTES = 256 << 20
 _MAGIC = b"TIDS"
 #: A chunk in a recipe: its name and its number of ids.
 _ENTRY = np.dtype([("name", f"V{NAME}"), ("n", "<u4")])
 
 
 # -- ids --------------------------------------------------------------------
+def slice_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, the word at each place, bounds of the texts in places).  Texts are cut at spaces, and those whose cuts depend on
+    more than the space one by one."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    parts = pc.split_pattern(texts, " ")
+    odd = np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE_RE2).to_numpy(zero_copy_only=False))
+    if len(odd):
+        pieces, at = [], 0
+        for i in odd.tolist():
+            pieces += [parts.slice(at, i - at), pa.array([cut_words(texts[i].as_py())], parts.type)]
+            at = i + 1
+        parts = pa.concat_arrays([*pieces, parts.slice(at)])
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())]).astype(np.int64)
+    coded = parts.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), bounds
+
+
+class WordTable:
+    """Words and their ids, as Arrow and NumPy arrays: a look-up is one call for many words, by the words themselves.
+
+    What is known lies in two generations: a full young one becomes the old one, and a word that is met again moves back to
+    the young one.  So memory is bounded and frequent words stay.
+    """
+
+    def __init__(self, size: int = CACHED_WORDS):
+        self.size = size
+        self.young = self.old = Coded.none()
+
+    def ids_of(self, words: pa.Array, ask) -> "Coded":
+        """``words`` (distinct) with their ids; ``ask`` makes those of words that aren't known."""
+        place = pc.index_in(words, value_set=self.young.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        missing = np.flatnonzero(place < 0)
+        rest = words.take(pa.array(missing))
+        again = pc.index_in(rest, value_set=self.old.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        back, new = missing[again >= 0], missing[again < 0]
+        moved, made = self.old.take(again[again >= 0]), ask(words.take(pa.array(new)))
+        found = Coded.joined([self.young.take(place[place >= 0]), moved, made])
+        order = np.empty(len(words), np.int64)
+        order[np.concatenate([np.flatnonzero(place >= 0), back, new])] = np.arange(len(words))
+        short = np.flatnonzero(pc.binary_length(made.words).to_numpy(zero_copy_only=False) <= CACHED_CHARS)
+        self.young = Coded.joined([self.young, moved, made.take(short)])
+        if len(self.young.words) > self.size:
+            self.old, self.young = self.young, Coded.none()
+        return found.take(order)
+
+
+class Coded:
+    """Words and ids: those of word ``i`` are ``ids[bounds[i]:bounds[i + 1]]``."""
+
+    def __init__(self, words: pa.Array, ids: np.ndarray, bounds: np.ndarray):
+        self.words, self.ids, self.bounds = words, ids, bounds
+
+    @classmethod
+    def none(cls) -> "Coded":
+        return cls(pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+    @classmethod
+    def joined(cls, parts: list["Coded"]) -> "Coded":
+        sizes = np.concatenate([np.diff(p.bounds) for p in parts])
+        return cls(pa.concat_arrays([p.words for p in parts]), np.concatenate([p.ids for p in parts]), np.concatenate([[0], np.cumsum(sizes)]))
+
+    def take(self, at: np.ndarray) -> "Coded":
+        return Coded(self.words.take(pa.array(at, pa.int64())), *self.picked(at))
+
+    def picked(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at ``at``, end to end, and their bounds."""
+        size = np.diff(self.bounds)[at]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.arange(bounds[-1]) + np.repeat(self.bounds[at] - bounds[:-1], size)], bounds
+
+
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library, asked once for each word that is new to the worker.
 
@@ -72,7 +146,7 @@ class LibraryEncoder:
         count = lambda i: len(special[i].encode()) if i in special else sum(c in letters for c in self.tokenizer.id_to_token(i))
         #: bytes that each token stands for
         self.bytes = np.array([count(i) for i in range(size)], np.int64)
-        self.encode = WordCache(self._ask).encode
+        self.table = WordTable()
 
     @classmethod
     def of(cls, path: str) -> "LibraryEncoder":
@@ -81,49 +155,62 @@ class LibraryEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ask(self, words: list[str]) -> list[bytes]:
-        """The library's ids of words.  Words that begin with one space and don't end with white space are asked for
-        together, as one text: none of its tokens crosses their ends, so byte counts tell the words apart."""
-        out: list = [b""] * len(words)
-        together, size = joinable(words)
-        joined, alone = np.flatnonzero(together), np.flatnonzero(~together).tolist()
-        for a in range(0, len(joined), 4096):
-            at = joined[a : a + 4096]
-            places = at.tolist()
-            found = self.tokenizer.encode_batch_fast(["".join([words[i] for i in places])], add_special_tokens=False)[0]
-            ids = np.array(found.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size[at])) + 1
-            flat, last = ids.tobytes(), 0
-            for i, e in zip(places, (4 * ends).tolist()):
-                out[i] = flat[last:e]
-                last = e
-        for i, x in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)):
-            out[i] = struct.pack(f"<{len(x)}I", *x.ids)
-        return out
-
-
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds): ``ids[bounds[i]:bounds[i + 1]]`` are those of text ``i``.  No object is made of a word."""
+        words, index, bounds = slice_words(texts)
+        begins, place = np.unique(index[bounds[:-1]], return_inverse=True)  # the only words without a space in front
+        spaced = self.table.ids_of(words, self._ask)
+        plain = self._alone(words.take(pa.array(begins)))
+        index = index.copy()
+        index[bounds[:-1]] = len(words) + place
+        ids, ends = Coded.joined([spaced, plain]).picked(index)
+        return ids, ends[bounds]
+
+    def _ask(self, words: pa.Array) -> Coded:
+        """The library's ids of words with a space in front.  Of those that neither begin nor end with white space many
+        are asked for together, as one text: none of its tokens crosses their ends, so byte counts tell the words apart."""
+        together = joinable(words)
+        joined, alone = np.flatnonzero(together), np.flatnonzero(~together)
+        parts = [self._alone(words.take(pa.array(alone)), " ")]
+        for a in range(0, len(joined), JOINED_WORDS):
+            some = words.take(pa.array(joined[a : a + JOINED_WORDS]))
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py()
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int32)
+            size = pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size)) + 1
+            parts.append(Coded(some, ids, np.concatenate([[0], ends])))
+        order = np.empty(len(words), np.int64)
+        order[np.concatenate([alone, joined])] = np.arange(len(words))
+        return Coded.joined(parts).take(order)
+
+    def _alone(self, words: pa.Array, front: str = "") -> Coded:
+        found = self.tokenizer.encode_batch_fast([front + w for w in words.to_pylist()], add_special_tokens=False)
+        sizes = [len(x) for x in found]
+        return Coded(words, np.array([i for x in found for i in x.ids], np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+
+
+#: Words that the library is asked for at a time.
+JOINED_WORDS = 4096
 #: ASCII characters that print and aren't a space.
 _GRAPHIC = np.array([0x20 < b < 0x7F for b in range(256)])
 
 
-def joinable(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Which words begin with one space and both follow it and end with a printable character, and all sizes in bytes."""
-    column = pa.array(words, pa.large_string())
-    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+def joinable(words: pa.Array) -> np.ndarray:
+    """Which words (a space goes in front of each) begin and end with a printable character that isn't white space."""
+    body, bounds = joined_bytes(words)
+    size = np.diff(bounds)
     out = np.zeros(len(words), bool)
-    some = np.flatnonzero(size >= 2)
+    some = np.flatnonzero(size > 0)
     if not len(some):
-        return out, size
-    offsets = np.frombuffer(column.buffers()[1], "<i8", len(words) + 1, column.offset * 8)
-    body = np.frombuffer(column.buffers()[2], np.uint8)
-    begin = offsets[some]
-    # a word is ASCII if its greatest byte is; words of less than two bytes aren't asked about
-    ascii_ = np.maximum.reduceat(body, begin) < 0x80 if len(some) == np.count_nonzero(size) else np.array([words[i].isascii() for i in some.tolist()])
-    out[some] = ascii_ & (body[begin] == 0x20) & _GRAPHIC[body[begin + 1]] & _GRAPHIC[body[offsets[some + 1] - 1]]
-    for i in some[~ascii_ & (body[begin] == 0x20)].tolist():  # white space but for the space itself isn't printable
-        w = words[i]
-        out[i] = w[1] > " " and w[1].isprintable() and w[-1] != " " and w[-1].isprintable()
-    return out, size
+        return out
+    first, last = body[bounds[:-1][some]], body[bounds[1:][some] - 1]
+    high = np.maximum.reduceat(body, bounds[:-1][some])
+    plain = high < 0x80
+    out[some] = plain & _GRAPHIC[first] & _GRAPHIC[last]
+    odd = some[~plain]
+    for i, w in zip(odd.tolist(), words.take(pa.array(odd)).to_pylist()):
+        out[i] = w[0] > " " and w[0].isprintable() and w[-1] != " " and w[-1].isprintable()
+    return out
 
 
 # -- chunks -----------------------------------------------------------------
@@ -262,7 +349,8 @@ def _packs(stage: DataFrame, parts: int) -> DataFrame:
 def write_store(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the store of ``docs`` under ``path``, which must not exist yet."""
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first().n or 0
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
     _packs(_stage(docs, tokenizer, doc_id, text), parts).write.option("compression", "none").partitionBy("kind").parquet(f"{path}/content")
     recipes = _content(spark, path, 1).select("doc_id", "n_tokens", "names")
     recipes = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "names").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "names")

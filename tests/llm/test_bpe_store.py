@@ -53,6 +53,39 @@ def test_generations_bound_the_cache():
     assert len(cache.young) + len(cache.old) <= 8 and "y" * 100 not in cache.young
 
 
+def test_store_encoder_equals_library(library):
+    """Over several slices, with words that come again, beside one another and alone."""
+    encoder = ts.LibraryEncoder(PATH)
+    encoder.table.size = 200
+    batch = [*texts(2500, 4), None, *texts(500, 4), "an é ü  日本 word\u00a0", "one two one two " * 400]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in batch]
+    for k in range(0, len(batch), 700):
+        ids, bounds = encoder.encode(pa.array(batch[k : k + 700], pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want[k : k + 700]
+        assert len(encoder.table.young.words) <= 200
+    assert encoder.encode(pa.array([], pa.string()))[1].tolist() == [0]
+    assert encoder.encode(pa.array(["", None], pa.large_string()))[1].tolist() == [0, 0, 0]
+
+
+def test_word_table_keeps_what_is_met_again():
+    asked = []
+
+    def ask(words):
+        asked.extend(words.to_pylist())
+        sizes = [len(w) for w in words.to_pylist()]
+        return ts.Coded(words, np.repeat(np.arange(len(words)), sizes).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+
+    table = ts.WordTable(size=3)
+    for _ in range(3):
+        got = table.ids_of(pa.array(["a", "bb", ""]), ask)
+        assert got.words.to_pylist() == ["a", "bb", ""] and np.diff(got.bounds).tolist() == [1, 2, 0]
+    assert asked == ["a", "bb", ""]
+    for k in range(20):
+        got = table.ids_of(pa.array([f"w{k}", "bb", "y" * 100]), ask)
+        assert got.words.to_pylist() == [f"w{k}", "bb", "y" * 100] and np.diff(got.bounds).tolist() == [len(f"w{k}"), 2, 100]
+    assert asked.count("bb") == 1 and asked.count("y" * 100) == 20 and len(table.young.words) + len(table.old.words) <= 8
+
+
 def test_lexicon_is_minimal_and_exact():
     rnd = random.Random(2)
     words = sorted({bytes(rnd.choice(b"abc") for _ in range(rnd.randint(1, 6))) for _ in range(300)})
