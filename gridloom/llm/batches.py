@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of an Arrow batch between the JVM and Python: texts and sets vary a lot, so rows are no measure.
@@ -12,3 +17,22 @@ def small_batches(df: DataFrame) -> DataFrame:
     """Sets the session's bound for Arrow batches; returns ``df``."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
+
+
+def give_back() -> None:
+    """Gives memory that is free but still held to the system: Spark keeps a Python worker for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives its memory back at the end."""
+
+    @functools.wraps(run)
+    def and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return and_back

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import small_batches
+from .batches import small_batches, tidy
 from .lexicon import Lexicon, compile_words
 from .textcore import slices
 
@@ -277,7 +277,7 @@ def count_frequent(docs: DataFrame, text: str = "text", least_share: float = LEA
         rows = [(w, n) for w, n in found.items() if n >= least and w and len(w) <= CACHED_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
-    return small_batches(docs).select(F.col(f"`{text}`").alias(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select(F.col(f"`{text}`").alias(text)).mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
@@ -307,4 +307,4 @@ def encode_decode(docs: DataFrame, path: str, lexicon: bytes = b"", text: str =
                     out.append(pa.array(encoder.decode(ids, bounds), pa.string()))
                 yield pa.RecordBatch.from_arrays(out, [*columns, "ids", *["decoded_text"] * decoded])
 
-    return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(run, f"{fields}, ids array<int>" + ", decoded_text string" * decoded)
+    return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(tidy(run), f"{fields}, ids array<int>" + ", decoded_text string" * decoded)

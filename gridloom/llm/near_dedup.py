@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import small_batches
+from .batches import give_back, small_batches, tidy
 from .textcore import LOWER, U64, WORD_POWERS, joined_bytes, mix, prefix_hash, range_hash, slices, word_bounds, word_hashes
 
 SHINGLE, LEAST_SHARE = 5, (75, 100)
@@ -50,6 +50,8 @@ SKETCH_BITS, LEAST_ESTIMATE = 512, 0.5
 #: Classes of one band, and bytes of their sets, that are compared by one task with as many others, and
 #: shingles compared at a time.
 CHUNK, CHUNK_BYTES, COLUMNS = 1024, 16 << 20, 2048
+#: Rows of a group after which its memory is given back.
+BULKY = 256
 _N = BANDS * ROWS
 _DRAWN = np.frombuffer(hashlib.shake_256(b"minhash").digest(8 * _N), "<u4").reshape(2, _N)
 _TIMES, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
@@ -141,7 +143,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     pa.array(sketch, pa.binary()),
                 ], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, SIGNATURES)
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), SIGNATURES)
 
 
 def _saved(df: DataFrame, path: str) -> DataFrame:
@@ -164,7 +166,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
@@ -228,7 +230,7 @@ def _sketched(pairs: DataFrame, one: DataFrame) -> DataFrame:
 
     a = one.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     b = one.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _leader_pairs(members: DataFrame, one: DataFrame) -> DataFrame:
@@ -251,7 +253,7 @@ def _full_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, doc_id:
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("first"), F.col(f"`{text}`").alias("text"))
     # by merge at every size: a broadcast that only few classes allow would make another plan of a small table
-    found = texts.join(wanted.select("first").distinct().hint("merge"), "first", "left_semi").select("text").mapInArrow(run, "set_key binary, shingles binary")
+    found = texts.join(wanted.select("first").distinct().hint("merge"), "first", "left_semi").select("text").mapInArrow(tidy(run), "set_key binary, shingles binary")
     return found.dropDuplicates(["set_key"]).join(wanted.select("set_key", "id"), "set_key").select("id", "shingles")
 
 
@@ -313,6 +315,8 @@ def _cross_links(members: DataFrame, one: DataFrame, sets: DataFrame, parts: Dat
                     b.append(max(ids[i], ids[j[0]]))
                     joined[joined == joined[j[0]]] = joined[i]
                     j = j[joined[j] != joined[i]]
+        if len(part) > BULKY:
+            give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     keys = ["band", "x", "y"]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch
 from . import repeats
-from .batches import small_batches
+from .batches import give_back, small_batches, tidy
 from .fingerprint_index import ENTRIES, HISTORY, LASTING, SPELLED, FingerprintIndex, bucketed, most_buckets, told_pieces, told_windows
 from .repeats import BLOCK, ONE, PIECE, Windows, covered, in_run, merged, spans
 from .textcore import U64, WORD_POWERS, joined_bytes, slices, word_bounds, word_hashes
@@ -109,7 +109,7 @@ def in_batches(docs: DataFrame, text: str, folder: str) -> tuple[DataFrame, int]
                 number += 1
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    made = docs.mapInArrow(run, f"{fields}, {BLOCK} long, {TASK} int, {BATCH} int")
+    made = docs.mapInArrow(tidy(run), f"{fields}, {BLOCK} long, {TASK} int, {BATCH} int")
     stored = bucketed(made, TASK, buckets, folder, by=BATCH)
     return stored, buckets
 
@@ -130,6 +130,7 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = W
 
     def pieces(table: pa.Table) -> pa.Table:
         run = merged([merged([windows.pieces(s)[2]], PIECE) for s, _ in windows.walk(table)], PIECE)
+        give_back()
         return pa.table({"gram": _signed(run["value"] >> ONE), "digest": _signed(run["check"]), "n": _signed(U64(1) + (run["value"] & ONE)), "who": _block(table, len(run))})
 
     def spell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -154,6 +155,7 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = W
                 at, entry = _windows_of(windows, s, lo[look], hi[look], piece[look])
                 starts = np.sort(np.concatenate([spans(lo[hit], hi[hit]), at[in_run(entry, hits)]]))
             done.append(finish(part, s, starts))
+        give_back()
         return pa.concat_tables(done) if done else left.slice(0, 0).select(columns)
 
     def finish(part: pa.Table, s: dict, starts: np.ndarray) -> pa.Table:

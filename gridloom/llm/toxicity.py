@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import small_batches
+from .batches import small_batches, tidy
 from .decontaminate import BREAKS
 from .textcore import BYTE_CODES, BYTE_POWERS, LOWER, U64, joined_bytes, member, mix, prefix_hash, range_hash, slices, word_bounds
 
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str, train_rows: int = TRAIN
                         at, h = features(t, level)
                         above[at], of[at] = k, h
 
-    seen = train.where("toxic = 1").select("text").mapInArrow(contexts, "level int, feature long, context long, above int, prefix long")
+    seen = train.where("toxic = 1").select("text").mapInArrow(tidy(contexts), "level int, feature long, context long, above int, prefix long")
     seen = seen.groupBy("level", "feature", "context").agg(F.first("above").alias("above"), F.first("prefix").alias("prefix"))
     often = seen.groupBy("level", "feature").agg(F.count("*").alias("n"), F.first("above").alias("above"), F.first("prefix").alias("prefix")).where(F.col("n") >= LEAST_CONTEXTS).toPandas()
     level = []
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str, train_rows: int = TRAIN
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["level", "at", "n"])
 
-    clean = train.where("toxic = 0").select("text").mapInArrow(occurrences, "level int, at long, n long").groupBy("level", "at").agg(F.sum("n").alias("n")).toPandas()
+    clean = train.where("toxic = 0").select("text").mapInArrow(tidy(occurrences), "level int, at long, n long").groupBy("level", "at").agg(F.sum("n").alias("n")).toPandas()
     sent = spark.sparkContext.broadcast(_log_odds(level, clean, count))
 
     def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     passages.append([{"first": x, "last": y, "score": s} for x, y, s in found if model.lam * s - math.log(model.k * max(n, 1)) > -math.log(SIGNIFICANT)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array(passages, kind)], [*columns, "score", "passages"])
 
-    return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(run, f"{fields}score double, passages array<struct<first:long,last:long,score:double>>")
+    return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(tidy(run), f"{fields}score double, passages array<struct<first:long,last:long,score:double>>")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
