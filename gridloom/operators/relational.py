@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,3 +244,12 @@ def stacked(*frames: DataFrame) -> DataFrame:
 def per_group(df: DataFrame, keys: Sequence[str], function: Callable, schema: str) -> DataFrame:
     """A Python function of a group's rows, as Arrow-backed pandas."""
     return df.groupBy(*keys).applyInPandas(function, schema)
+
+
+def per_value(df: DataFrame, column: str, function: Callable, kind: str, name: str | None = None) -> DataFrame:
+    """A Python function of each value of a column, told to it in Arrow batches as a pandas series; for what built-in functions can't say."""
+
+    def each(values: pd.Series) -> pd.Series:
+        return function(values)
+
+    return df.withColumn(name or column, F.pandas_udf(each, kind)(F.col(column)))

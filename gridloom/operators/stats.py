@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
-from .windows import average_rank, running_sums
+from .windows import average_rank, running_sums, short
 
 
 def confusion(df: DataFrame, label: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -156,7 +156,8 @@ def pu_curve(df: DataFrame, positive: str, score: str, prior: float, points: int
 
 
 def trapezoid(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Area below sorted points; a curve is short."""
+    """Area below sorted points; a curve is short, which is checked."""
+    df = short(df)
     w = Window.orderBy(x, y)
     part = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(part.alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("area"))

@@ -173,6 +173,17 @@ def share_of_group(df: DataFrame, keys: Sequence[str], value: str, name: str = "
     return df.join(sums, list(keys)).withColumn(name, F.when(F.col("__s") > 0, F.col(value) / F.col("__s"))).drop("__s")
 
 
+#: Rows that a window without a partition may hold.
+SHORT_ROWS = 100_000
+
+
+def short(df: DataFrame, rows: int = SHORT_ROWS) -> DataFrame:
+    """The table, if it is as short as a window without a partition needs it; else an error."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"more than {rows} rows; number them in buckets (numbered, running_sums)")
+    return df
+
+
 def leaderboard(df: DataFrame, *order: Column) -> DataFrame:
-    """A position for each experiment; a leaderboard is short."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    """A position for each experiment; a leaderboard is short, which is checked."""
+    return short(df).withColumn("position", F.row_number().over(Window.orderBy(*order)))

@@ -407,6 +407,31 @@ def guarded_sinks(spark, sf):
     return spark.read.parquet(f"{path}/once").join(kept, "n_nationkey").select("n_nationkey", "n_name", "feed_in", F.lit(refused).alias("refused"), F.lit(len(made)).alias("made"))
 
 
+@query("""WITH t AS (SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL) SELECT 0 AS place, '| priority | n |' AS line UNION ALL SELECT 1, '| --- | --- |'
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY priority) + 1 AS INTEGER), '| ' || priority || ' | ' || n || ' |' FROM t""")
+def markdown_report(spark, sf):
+    """A small table as the lines of a report"""
+    t = P.load(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
+    return sinks.markdown_lines(t, "priority")
+
+
+@query("SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey) > 500000 AS large, count(*) OVER (PARTITION BY o_custkey) AS orders_of_customer FROM orders")
+def group_on_rows(spark, sf):
+    """A group's aggregates on each of its rows"""
+    o = R.with_group(P.load(spark, sf, "orders"), ["o_custkey"], F.sum("o_totalprice").alias("total"), F.count("*").alias("orders_of_customer"))
+    return o.select("o_orderkey", (F.col("total") > 500000).alias("large"), "orders_of_customer")
+
+
+@query("SELECT c_custkey, list_sum(list_transform(regexp_extract_all(c_name || CAST(c_custkey AS VARCHAR), '[0-9]'), lambda d: CAST(d AS BIGINT))) % 10 AS digit FROM customer")
+def per_value_function(spark, sf):
+    """A check digit, by a Python function of each value"""
+    def digit(texts):
+        return texts.map(lambda t: sum(int(c) for c in t if "0" <= c <= "9") % 10)
+
+    c = P.load(spark, sf, "customer").withColumn("t", F.concat("c_name", F.col("c_custkey").cast("string")))
+    return R.per_value(c, "t", digit, "long", "digit").select("c_custkey", "digit")
+
+
 # -- streams --------------------------------------------------------------------------------
 def _streamed(spark, sf, make):
     """All of a stream over the readings, in time order, and a last reading far behind that closes every window."""

@@ -6,7 +6,7 @@ import hashlib
 import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,15 @@ def cached(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def markdown_lines(df: DataFrame, order: str, rows: int = 50) -> DataFrame:
+    """(place, line) of a table for a report: the head, a rule, and the first rows by a column without equal values."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    top = df.orderBy(order).limit(rows).withColumn("place", F.row_number().over(Window.orderBy(order)) + 1)  # ``rows`` rows
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = df.sparkSession.range(2).select((F.col("id").cast("int")).alias("place"), F.when(F.col("id") == 0, line([F.lit(c) for c in df.columns])).otherwise(line([F.lit("---")] * len(df.columns))).alias("line"))
+    return head.unionByName(top.select("place", line([cell(c) for c in df.columns]).alias("line")))
+
+
 def markdown(df: DataFrame, rows: int = 50) -> str:
     """A small table for a report."""
     head = df.columns

@@ -383,3 +383,12 @@ def test_places_of_a_shuffled_order(spark):
     one = {r.k: r.place for r in R.shuffled(df, "k", 1).collect()}
     assert sorted(one.values()) == list(range(100)) and one == {r.k: r.place for r in R.shuffled(df.repartition(5), "k", 1).collect()}
     assert one != {r.k: r.place for r in R.shuffled(df, "k", 2).collect()}
+
+
+def test_windows_without_a_partition_are_short(spark):
+    df = spark.range(20).withColumn("y", F.lit(1.0))
+    assert W.leaderboard(df, F.desc("id")).where("position = 1").first().id == 19
+    assert W.short(df, 20).count() == 20
+    with pytest.raises(ValueError, match="more than 19"):
+        W.short(df, 19)
+    assert S.trapezoid(df, "id", "y").first().area == 19
