@@ -34,9 +34,19 @@ def daily_residual(power: Column, day: int = 96, q: float = 0.2) -> Column:
     return V.bind(bases, lambda b: F.transform(power, lambda x, i: x - F.get(b, F.floor(i / day).cast("int"))))
 
 
-def load_events(weeks: DataFrame, ids: Sequence[str], kwh: str = "q", amplitude: float = 3.0, day: int = 96, residual=daily_residual) -> DataFrame:
+def rolling_residual(power: Column, day: int = 96, width: int = 33, q: float = 0.2) -> Column:
+    """Power less the order statistic of the slots around it."""
+    return V.bind(V.rank_filter(power, width, q), lambda base: F.zip_with(power, base, lambda x, b: x - b))
+
+
+#: Baselines by name.
+BASELINES = {"daily_q20": daily_residual, "rolling_q20": rolling_residual}
+
+
+def load_events(weeks: DataFrame, ids: Sequence[str], kwh: str = "q", amplitude: float = 3.0, day: int = 96, residual="daily_q20") -> DataFrame:
     """Events of a week's curve, in kW: runs of residual >= amplitude, one slot closed, an hour at least, each with
-    its power, energy, edges, shape and place.  ``residual(power, day)`` takes the baseline off."""
+    its power, energy, edges, shape and place.  ``residual`` takes the baseline off: one of BASELINES, or a function of (power, day)."""
+    residual = BASELINES.get(residual, residual)
     base = weeks.select(*ids, F.transform(kwh, lambda e: e * 4.0).alias("x"))
     base = base.select(*ids, "x", residual(F.col("x"), day).alias("res"))
     base = base.select(*ids, "x", "res", F.transform("res", lambda e: e >= amplitude).alias("high"))

@@ -38,6 +38,15 @@ events AS (SELECT e.mp_id, e.s AS start, e.e AS "end", n / 4.0 AS duration, powe
 _MEASURES = ("duration", "power", "power90", "energy", "mad", "slope", "plateau", "rise", "fall", "symmetry", "negative_share", "midday_export_share", "interrupted_share", "nearby_ramp", "template", "start_hour", "end_hour")
 
 
+#: The same over the second baseline: the seventh of the 33 slots around each, the ends repeated.
+_ROLLING = _EVENTS.replace(
+    """base AS (SELECT mp_id, d, quantile_cont(x, 0.2) AS base FROM x GROUP BY ALL),
+r AS (SELECT x.*, x.x - base AS res, x.x - base >= 1.0 AS high FROM x JOIN base ON x.mp_id = base.mp_id AND x.d = base.d),""",
+    """whole AS (SELECT mp_id, list(x ORDER BY k) AS all_x FROM x GROUP BY mp_id), r0 AS (SELECT x.*, list_sort(list_transform(range(k - 16, k + 17), lambda i: all_x[least(greatest(i, 0), 671) + 1]))[7] AS base FROM x JOIN whole ON x.mp_id = whole.mp_id),
+r AS (SELECT * EXCLUDE (base), x - base AS res, x - base >= 1.0 AS high FROM r0),""",
+)
+
+
 def events(spark, sf):
     return E.load_events(weeks(spark, sf), ["mp_id"], amplitude=1.0)
 
@@ -49,6 +58,13 @@ def load_events(spark, sf):
     return e.select("mp_id", "start", "end", "day", "cross_midnight", *[r9(c).alias(c) for c in _MEASURES])
 
 
+@query(_ROLLING + ' SELECT mp_id, start, "end", CAST(day AS INTEGER) AS day, cross_midnight, ' + ", ".join(f"round({c}, 9) AS {c}" for c in _MEASURES) + " FROM events")
+def load_events_rolling(spark, sf):
+    """Events over the rolling baseline"""
+    e = E.load_events(weeks(spark, sf), ["mp_id"], amplitude=1.0, residual="rolling_q20")
+    return e.select("mp_id", "start", "end", "day", "cross_midnight", *[r9(c).alias(c) for c in _MEASURES])
+
+
 _FEATURES = ("count", "days", "duration", "energy", "longest", "power", "plateau", "paired", "repetition", "template", "night", "negative", "interruptions")
 _BY_WEEK = """{n} AS (SELECT a.mp_id, count(*)::DOUBLE AS event_count, count(DISTINCT day)::DOUBLE AS event_days, sum(duration) AS event_duration, sum(energy) AS event_energy, max(duration) AS event_longest, quantile_cont(power, 0.5) AS event_power, avg(plateau) AS event_plateau,
   avg(CASE WHEN rise > 0.8 AND fall > 0.8 AND symmetry > 0.3 THEN 1.0 ELSE 0 END) AS event_paired, max(rep)::DOUBLE AS event_repetition, avg(template) AS event_template, avg(CASE WHEN start_hour < 6 OR start_hour >= 22 THEN 1.0 ELSE 0 END) AS event_night, avg(negative_share) AS event_negative, avg(interrupted_share) AS event_interruptions
