@@ -83,9 +83,16 @@ class FingerprintIndex:
             self.runs = [r for r in self.runs if r not in full]
             for r in full:  # a run that is left behind by a crash holds what the next level holds too: see _complete_runs
                 self.spark.sql(f"DROP TABLE {self._tables.pop(r)}")
-                _drop(self.spark, self._place(*r))
+                drop_folder(self.spark, self._place(*r))
             level += 1
 
+    def drop(self) -> None:
+        """Removes all runs."""
+        for r in self.runs:
+            self.spark.sql(f"DROP TABLE {self._tables.pop(r)}")
+            drop_folder(self.spark, self._place(*r))
+        self.runs = []
+
     def _place(self, level: int, n: int) -> str:
         return f"{self.path}/level={level}/run={n:06d}-{self.buckets}"
 
@@ -128,7 +135,7 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop_folder(spark: SparkSession, path: str) -> None:
     files, place = _folder(spark, path)
     files.delete(place, True)
 

@@ -186,6 +186,7 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", width: int = W
     of_task = F.shiftright("block", 32).cast("int").alias(TASK)
     found = told_pieces(own, index) if own.runs else spark.createDataFrame([], "block long, gram long, digest long, repeated boolean, spell boolean")
     told = bucketed(found.select("*", of_task).repartition(buckets, TASK), TASK, buckets, f"{folder}/told")
+    own.drop()  # all that was asked of it is stored
     by_block.cogroup(told.where("spell").groupBy(TASK, "block")).applyInArrow(spell, SPELLED).write.option("compression", "zstd").parquet(f"{folder}/spelled")
     hits = told_windows(spark.read.schema(SPELLED).parquet(f"{folder}/spelled"), told, index).select("*", of_task)
     # kind 0: a repeated piece; 1: one whose windows have to be looked up; 2: a repeated window
