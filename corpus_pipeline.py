@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import build_lexicon, encode_decode
 from gridloom.llm.decontaminate import drop_contaminated
+from gridloom.llm.fingerprint_index import drop_folder
 from gridloom.llm.near_dedup import near_duplicates
 from gridloom.llm.queries import learnable, shared_folder, table, tokenizer_path
 from gridloom.llm.substring_dedup import remove_repeated_passages
@@ -54,13 +55,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     is a member like any other; rows without words are linked with nothing, but of one id only one stays."""
     folder = shared_folder(spark, "stage-near")
     # the rows' keys are written, so that all that follows sees the same
-    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(f"{folder}/rows")
+    docs.withColumn(ROW, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
-    judged = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), folder).withColumnRenamed("doc_id", ROW)
+    judged = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), f"{folder}/work").withColumnRenamed("doc_id", ROW)
     empty_twice = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.col("doc_id"))
     named = judged.join(rows.select(ROW, "doc_id"), ROW).select(ROW, "doc_id", empty_twice.alias("of_id"), F.when(empty_twice.isNull(), F.col("component_id")).alias("of_set"))
     named.write.parquet(f"{folder}/named")
     named = spark.read.parquet(f"{folder}/named")
+    drop_folder(spark, f"{folder}/work")  # what was found out is in ``named``
     first = named.groupBy("of_id", "of_set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
     gone = named.select(ROW).join(first, ROW, "left_anti")
     return rows.join(gone, ROW, "left_anti").select(*docs.columns)
