@@ -49,6 +49,8 @@ ROLL, CUT_BITS, LONGEST = 16, 11, 1 << 15
 PACK_BYTES, NAME = 1 << 20, 16
 #: Bytes of text in a part, at most about; parts are as many as shuffle partitions at least.
 PART_BYTES = 256 << 20
+#: What Spark says of a table whose size it can't tell is more than this.
+UNKNOWN_BYTES = 1 << 60
 _MAGIC = b"TIDS"
 #: A chunk in a recipe: its name and its number of ids.
 _ENTRY = np.dtype([("name", f"V{NAME}"), ("n", "<u4")])
@@ -349,8 +351,9 @@ def _packs(stage: DataFrame, parts: int) -> DataFrame:
 def write_store(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the store of ``docs`` under ``path``, which must not exist yet."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first().n or 0
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
+    # what Spark takes the table for, by its files: a look at the texts would cost as much as a part of the work
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES) if size < UNKNOWN_BYTES else 0)
     _packs(_stage(docs, tokenizer, doc_id, text), parts).write.option("compression", "none").partitionBy("kind").parquet(f"{path}/content")
     recipes = _content(spark, path, 1).select("doc_id", "n_tokens", "names")
     recipes = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "names").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "names")
