@@ -24,6 +24,16 @@ def clip(x: Column, low: float | None = None, high: float | None = None) -> Colu
     return F.when(x.isNotNull(), out)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """DuckDB's ``round`` of doubles: scaled, halves away from zero, and the sign stays (-0.0 for what rounds to zero from below; Spark's
+    ``round`` goes over decimals and has 0.0)."""
+    scaled = x * float(10**digits)
+    size = F.abs(scaled)
+    whole = F.rint(size)
+    out = F.signum(scaled) * F.when(size - whole == 0.5, whole + 1).otherwise(whole) / float(10**digits)
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)
+
+
 def kilowatts(kwh: Column) -> Column:
     """Energy of a quarter hour as power."""
     return kwh * 4.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numbers
 from ..session import scratch
 from ..sources import archives, downloads, exports
 from ..streaming import keyed, pairing
@@ -31,7 +32,7 @@ def array_profiles(spark, sf):
     path = scratch(spark, "arrays")
     e = P.load(spark, sf, "embeddings")
     archives.write_arrays(e.select("vec_id", "label", F.col("embedding").alias("p50"), F.lit(0.0).alias("unread")), path, 100)
-    return archives.read_arrays(spark, path, ["vec_id", "label", "p50"], 64).where("vec_id % 2 = 0").select("vec_id", "label", F.transform("p50", lambda x: F.round(x.cast("double"), 4)).alias("p50"))
+    return archives.read_arrays(spark, path, ["vec_id", "label", "p50"], 64).where("vec_id % 2 = 0").select("vec_id", "label", F.transform("p50", lambda x: numbers.rounded(x.cast("double"), 4)).alias("p50"))
 
 
 @query("""SELECT CAST(s_nationkey AS INTEGER) AS station, CASE WHEN l_shipdate < DATE '1995-06-17' THEN 'historical' ELSE 'recent' END AS period, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, true AS fetched, 0 AS again FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")

@@ -140,6 +140,15 @@ def test_wrapping_window_and_kilowatts(spark):
     assert spark.range(1).select(*[numbers.kilowatts(F.lit(x)) for x in (0.25, 1.0, -2.0)]).first()[:] == (1, 4, -8)
 
 
+def test_rounding_keeps_the_sign_as_sql_does(spark):
+    import duckdb
+
+    values = [-0.00003, -0.0, 0.0, 0.00003, -0.00005, 0.00005, 1.00005, -1.00015, 2.5, 0.49999999999999994e-4, 1e300, -1e306, float("inf"), float("nan"), None, 0.12345, -7.77775]
+    want = [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 4)", [x]).fetchone()[0] for x in values]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, x double")
+    assert list(map(repr, one(df, numbers.rounded(F.col("x"), 4)))) == list(map(repr, want))
+
+
 def test_temporal_label(spark):
     day = lambda s: F.lit(dt.date.fromisoformat(s))
     a, b = day("2024-02-01"), day("2024-03-01")

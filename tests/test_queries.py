@@ -36,6 +36,15 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == rows(names, reply.fetchall())
 
 
+def test_arrays_have_the_signs_of_sql(spark):
+    """-0.0 equals 0.0 in the test above"""
+    data = "/root/testdata/sf0.01"
+    reply = duckdb.connect().execute(catalogue.ORACLE_SQL["array_profiles"].replace("FROM embeddings", f"FROM '{data}/embeddings.parquet'"))
+    want = sorted(repr(r) for r in reply.fetchall())
+    assert any("-0.0," in r for r in want)
+    assert sorted(repr(tuple(r)) for r in catalogue.QUERIES["array_profiles"](spark, data).select("vec_id", "label", "p50").collect()) == want
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs_without_sql(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
