@@ -7,7 +7,8 @@ word that follows it.  So a text's ids are its words' ids one after another.
 
 Frequent words of the whole corpus are looked up in a minimal acyclic
 transducer (``lexicon``), mapped into memory by every worker; all others are
-split by the vocabulary's pattern and merged pair by pair, exactly.  Results are
+split by the vocabulary's pattern and merged pair by pair, exactly: many words of
+one length side by side, a merge of each at a time.  Results are
 the same with any lexicon, an empty one included.
 
 Defined results: a null or empty text has no ids and decodes to an empty text;
@@ -41,14 +42,18 @@ from .textcore import slices
 WHITE = r"\t-\r \x85\xa0  -     　"
 _UNSAFE = re.compile(rf"[{WHITE}] (?:[{WHITE}]|\Z)")
 _UNSAFE_RE2 = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] (?:[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\z)"
+_PLAIN = re.compile(rf" [^{WHITE}\u0250-\U0010ffff][^ \u0250-\U0010ffff]*")
 _CUT = re.compile(rf"(?<![{WHITE}]) | (?=[^{WHITE}])")
 #: Fixed value: the split pattern of byte-level vocabularies.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 LATIN_END = "\u0250"
 #: Words in the lexicon, words in a generation of a worker's cache, and the longest word that is kept.
 LEXICON_WORDS, CACHED_WORDS, CACHED_CHARS = 1 << 16, 200_000, 64
+#: Tokens longer than this are merged one by one; so many of one length are merged side by side.
+SIDE_BY_SIDE_BYTES, SIDE_BY_SIDE = 32, 4096
 #: Bytes of text that are encoded at a time: the more, the fewer distinct words they have for their size.
 ENCODED_BYTES = 6 << 20
+NO_PAIR = np.int32(0x7FFFFFFF)
 #: A task reports the words that make up at least this share of its words.
 LEAST_SHARE = 1 / (1 << 18)
 
@@ -85,6 +90,11 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        pairs = sorted((a * (size + 1) + b, rank, to) for (a, b), (rank, to) in self.merges.items())
+        self.size, self.pair_keys, self.pair_ranks = size, np.array([k for k, _, _ in pairs], np.int64), np.array([r for _, r, _ in pairs], np.int32)
+        self.merged_to = np.zeros(len(spec["model"]["merges"]), np.int32)
+        self.merged_to[self.pair_ranks] = [to for _, _, to in pairs]
+        self.known: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -129,6 +139,86 @@ class Vocabulary:
                 heapq.heappush(heap, (m[0], back[i], ids[back[i]], to, m[1]))
         return [x for x in ids if x >= 0]
 
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids, ``NO_PAIR`` for those that no merge has."""
+        if not len(self.pair_keys):
+            return np.full(a.shape, NO_PAIR, np.int32)
+        key = a.astype(np.int64) * (self.size + 1) + b
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_PAIR)
+
+    def merge_many(self, tokens: list[bytes]) -> list[bytes]:
+        """``merge`` of every token, as little-endian 32-bit integers."""
+        out: list = [None] * len(tokens)
+        by_size: dict[int, list[int]] = {}
+        for i, token in enumerate(tokens):
+            by_size.setdefault(len(token), []).append(i)
+        for n, which in by_size.items():
+            if n > SIDE_BY_SIDE_BYTES or len(which) < 8:
+                for i in which:
+                    out[i] = _packed(self.merge(tokens[i]))
+                continue
+            for k in range(0, len(which), SIDE_BY_SIDE):
+                some = which[k : k + SIDE_BY_SIDE]
+                body, ends = self._merge_side_by_side(b"".join([tokens[i] for i in some]), n)
+                for i, a, b in zip(some, [0, *ends], ends):
+                    out[i] = body[a:b]
+        return out
+
+    def _merge_side_by_side(self, joined: bytes, n: int) -> tuple[bytes, list[int]]:
+        """Tokens of ``n`` bytes each, one a row.  Places are linked, so a merge moves nothing; column ``n`` is the end on both sides."""
+        rows = len(joined) // n
+        ids = np.full((rows, n + 1), self.size, np.int32)
+        ids[:, :n] = np.array(self.single, np.int32)[np.frombuffer(joined, np.uint8)].reshape(rows, n)
+        rank = np.full((rows, n + 1), NO_PAIR, np.int32)
+        rank[:, : n - 1] = self.ranks_of(ids[:, : n - 1], ids[:, 1:n])
+        after = np.tile(np.arange(1, n + 2), (rows, 1))
+        back = np.tile(np.append(n, np.arange(n)), (rows, 1))
+        left = np.ones((rows, n), bool)
+        row = np.arange(rows)
+        while True:
+            at = rank[row].argmin(axis=1)  # the leftmost of least rank
+            best = rank[row, at]
+            some = best < NO_PAIR
+            row, at, best = row[some], at[some], best[some]
+            if not len(row):
+                break
+            gone, before = after[row, at], back[row, at]
+            then = after[row, gone]
+            to = self.merged_to[best]
+            ids[row, at], left[row, gone], rank[row, gone] = to, False, NO_PAIR
+            after[row, at], back[row, then] = then, at
+            rank[row, at] = self.ranks_of(to, ids[row, then])
+            rank[row, before] = self.ranks_of(ids[row, before], to)
+        return ids[:, :n][left].astype("<i4").tobytes(), (4 * np.cumsum(left.sum(axis=1))).tolist()
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """``encode_word`` of every word, as little-endian 32-bit integers.
+
+        Latin words that begin with their only space, and no other white space behind it, are split together: no token goes across that
+        space, and a token that begins with one begins a word.
+        """
+        special = self.split_special.search if self.split_special and self.split_special.search("\n".join(words)) else None
+        out: list = [None] * len(words)
+        plain = []
+        for i, word in enumerate(words):
+            if _PLAIN.fullmatch(word) and not (special and special(word)):
+                plain.append(i)
+            else:
+                out[i] = _packed(self.encode_word(word))
+        tokens = self.split.findall("".join([words[i] for i in plain]))
+        known = self.known
+        new = [t for t in dict.fromkeys(tokens) if t not in known]
+        known.update(zip(new, self.merge_many([t.encode() for t in new])))
+        ids = [known[t] for t in tokens]
+        first = [*[k for k, t in enumerate(tokens) if t[0] == " "], len(tokens)]
+        for i, a, b in zip(plain, first[:-1], first[1:], strict=True):
+            out[i] = ids[a] if b == a + 1 else b"".join(ids[a:b])
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        return out
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, white space and special tokens included."""
         out: list[int] = []
@@ -236,7 +326,8 @@ class Encoder:
     def _learn(self, words: list[str]) -> list[bytes]:
         """By the lexicon, or else by merging."""
         ranks = self.lexicon.ranks([w.encode() for w in words]).tolist() if self.lexicon else [-1] * len(words)
-        return [_packed(self.lexicon.ids_of(r) if r >= 0 else self.vocabulary.encode_word(w)) for w, r in zip(words, ranks)]
+        rest = iter(self.vocabulary.encode_words([w for w, r in zip(words, ranks) if r < 0]))
+        return [_packed(self.lexicon.ids_of(r)) if r >= 0 else next(rest) for r in ranks]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts of ``ids[bounds[i]:bounds[i + 1]]``."""

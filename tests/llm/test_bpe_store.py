@@ -42,6 +42,21 @@ def test_encoder_equals_library(library):
     assert decoded == [library.decode(x, skip_special_tokens=False) for x in want]
 
 
+def test_rare_words_are_merged_side_by_side(library, monkeypatch):
+    """Equal to the library's, and a word of ordinary length isn't merged on its own where many are learnt."""
+    rnd = random.Random(7)
+    letters = list("aeinrstTé09.,'-\n\t\x85")
+    words = [" " + rnd.choice("abcxyz(7ß") + "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 14))) for _ in range(6000)]
+    odd = [" ", "x", " \nb", " a b", " a<|endoftext|>b", " 日本", " " + "z" * 400, " a\n", " 's"]
+    vocabulary, alone = bpe.Vocabulary(PATH), []
+    merge = bpe.Vocabulary.merge
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda self, token: alone.append(token) or merge(self, token))
+    got = vocabulary.encode_words([*words, *odd])
+    assert [np.frombuffer(x, "<i4").tolist() for x in got] == [library.encode(w, add_special_tokens=False).ids for w in [*words, *odd]]
+    assert len(alone) < 300
+    assert vocabulary.encode_words([]) == [] and vocabulary.encode_words(["x"]) == [np.array(vocabulary.encode_word("x"), "<i4").tobytes()]
+
+
 def test_generations_bound_the_cache():
     learnt = []
     cache = bpe.WordCache(lambda words: learnt.extend(words) or [w.encode() for w in words], size=3)
