@@ -49,6 +49,8 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{
 LATIN_END = "\u0250"
 #: Words in the lexicon, words in a generation of a worker's cache, and the longest word that is kept.
 LEXICON_WORDS, CACHED_WORDS, CACHED_CHARS = 1 << 16, 200_000, 64
+#: Words in a generation, and tokens, that an encoder keeps within a task: the frequent words are in the lexicon.
+ENCODER_WORDS = 1 << 16
 #: Tokens longer than this are merged one by one; so many of one length are merged side by side.
 SIDE_BY_SIDE_BYTES, SIDE_BY_SIDE = 32, 4096
 #: Bytes of text that are encoded at a time: the more, the fewer distinct words they have for their size.
@@ -215,7 +217,7 @@ class Vocabulary:
         first = [*[k for k, t in enumerate(tokens) if t[0] == " "], len(tokens)]
         for i, a, b in zip(plain, first[:-1], first[1:], strict=True):
             out[i] = ids[a] if b == a + 1 else b"".join(ids[a:b])
-        if len(known) > CACHED_WORDS:
+        if len(known) > ENCODER_WORDS:
             known.clear()
         return out
 
@@ -305,14 +307,16 @@ class WordCache:
 
 
 class Encoder:
-    """Kept by a worker from task to task."""
+    """Vocabulary and lexicon are kept by a worker from task to task, words that it has met until the task ends: a worker
+    goes on to other stages."""
 
     _made: dict = {}
 
     def __init__(self, path: str, lexicon: Lexicon | None):
         self.vocabulary = Vocabulary(path)
         self.lexicon = lexicon
-        self.encode = WordCache(self._learn).encode
+        self.words = WordCache(self._learn, ENCODER_WORDS)
+        self.encode = self.words.encode
         self.table = pa.array(self.vocabulary.bytes, pa.binary())
 
     @classmethod
@@ -323,6 +327,10 @@ class Encoder:
             cls._made[key] = cls(path, Lexicon.mapped(data) if data else None)
         return cls._made[key]
 
+    def forget(self) -> None:
+        self.words.young, self.words.old = {}, {}
+        self.vocabulary.known = {}
+
     def _learn(self, words: list[str]) -> list[bytes]:
         """By the lexicon, or else by merging."""
         ranks = self.lexicon.ranks([w.encode() for w in words]).tolist() if self.lexicon else [-1] * len(words)
@@ -389,13 +397,16 @@ def encode_decode(docs: DataFrame, path: str, lexicon: bytes = b"", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path, shared.value)
-        for batch in batches:
-            for a, b in slices(batch, text, ENCODED_BYTES):
-                part = batch.slice(a, b - a)
-                ids, bounds = encoder.encode(part.column(columns.index(text)))
-                out = [*part.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
-                if decoded:
-                    out.append(pa.array(encoder.decode(ids, bounds), pa.string()))
-                yield pa.RecordBatch.from_arrays(out, [*columns, "ids", *["decoded_text"] * decoded])
+        try:
+            for batch in batches:
+                for a, b in slices(batch, text, ENCODED_BYTES):
+                    part = batch.slice(a, b - a)
+                    ids, bounds = encoder.encode(part.column(columns.index(text)))
+                    out = [*part.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
+                    if decoded:
+                        out.append(pa.array(encoder.decode(ids, bounds), pa.string()))
+                    yield pa.RecordBatch.from_arrays(out, [*columns, "ids", *["decoded_text"] * decoded])
+        finally:
+            encoder.forget()
 
     return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(tidy(run), f"{fields}, ids array<int>" + ", decoded_text string" * decoded)

@@ -68,6 +68,24 @@ def test_generations_bound_the_cache():
     assert len(cache.young) + len(cache.old) <= 8 and "y" * 100 not in cache.young
 
 
+def test_workers_forget_words_after_a_task(spark, library):
+    """What a worker has met isn't held while it works on later stages; within a task it is bounded."""
+    rnd = random.Random(5)
+    batch = [" ".join(f"{rnd.getrandbits(40):x}" for _ in range(3000)) for _ in range(4)]
+    coded = bpe.encode_decode(spark.createDataFrame([(t,) for t in batch], "text string").coalesce(1), PATH)
+    assert [r.ids for r in coded.collect()] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+
+    def held(batches):
+        for _ in batches:
+            pass
+        made = bpe.Encoder._made.values()
+        yield pa.RecordBatch.from_pydict({"made": [len(made)], "words": [sum(len(e.words.young) + len(e.words.old) + len(e.vocabulary.known) for e in made)]})
+
+    rows = spark.range(8).repartition(8).mapInArrow(held, "made long, words long").collect()
+    assert max(r.made for r in rows) == 1 and max(r.words for r in rows) == 0
+    assert bpe.Encoder(PATH, None).words.size == bpe.ENCODER_WORDS
+
+
 def test_store_encoder_equals_library(library):
     """Over several slices, with words that come again, beside one another and alone."""
     encoder = ts.LibraryEncoder(PATH)
