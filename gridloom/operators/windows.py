@@ -13,12 +13,16 @@ from ..functions import draws
 
 def clear_days(weather: DataFrame, q: float = 0.75, top: float = 0.95, most: float = 1.5) -> DataFrame:
     """A day is clear if its radiation reaches the upper quartile of its calendar month; clearness is
-    radiation over the 95th percentile."""
-    month = F.month("date").alias("__month")
-    limits = weather.groupBy(month).agg(F.percentile("radiation", q).alias("__q"), F.percentile("radiation", top).alias("__top"))
-    joined = weather.withColumn("__month", F.month("date")).join(limits, "__month")
+    radiation over the 95th percentile.
+
+    A month's limits and its days come from one pass: means of doubles that are worked out again, in another order of
+    addition, differ in their last bit, and the day that is the quartile itself wouldn't reach it.
+    """
+    month = Window.partitionBy("__month")  # a row a day, which the percentile holds in any case
+    limits = {name: F.percentile("radiation", p).over(month) for name, p in (("__q", q), ("__top", top))}
+    days = weather.withColumn("__month", F.month("date")).where("__month is not null").withColumns(limits)
     clearness = F.least(F.lit(most), F.greatest(F.lit(0.0), F.when(F.col("__top") > 0, F.col("radiation") / F.col("__top"))))
-    return joined.select(*weather.columns, (F.col("radiation") >= F.col("__q")).alias("is_clear"), clearness.alias("clearness"))
+    return days.select(*weather.columns, (F.col("radiation") >= F.col("__q")).alias("is_clear"), clearness.alias("clearness"))
 
 
 def largest_drop(years: DataFrame, key: str, value: str, order: str = "year") -> DataFrame:
