@@ -14,6 +14,11 @@ def ratio(x: Column, y: Column) -> Column:
     return F.when(y > 0, x / y)
 
 
+def divided(x: Column, y: Column) -> Column:
+    """DuckDB's division of doubles: by zero it is infinite, and 0 / 0 isn't a number (in Spark, an error or null)."""
+    return F.when(y == 0, x * F.lit(float("inf"))).otherwise(x / y)
+
+
 def clip(x: Column, low: float | None = None, high: float | None = None) -> Column:
     """P10: null stays null."""
     out = x
