@@ -1,7 +1,10 @@
 """Readers, writers and streams."""
 
 import datetime as dt
+import random
+import types
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,3 +336,86 @@ def test_keyed_pairs_over_restarts(spark, tmp_path):
     _sent(spark, [("m", t(30), "import", 5.0)], f"file://{tmp_path}/in")  # far behind the watermark
     assert _run(spark, tmp_path) == 1
     assert got() == want
+
+
+class _Counted:
+    """A state that counts what it is asked: each call is a message between two processes."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def __getattribute__(self, name):
+        if name in ("get", "update", "clear", "containsKey", "getValue", "updateValue", "removeKey", "iterator", "registerTimer", "deleteTimer"):
+            self.calls += 1
+        return object.__getattribute__(self, name)
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def containsKey(self, key):
+        return key in self.map
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_keyed_pairs_ask_the_state_for_a_bucket_and_not_for_a_row():
+    state, p = _Counted(), keyed.Pairing()
+    p.init(state)
+    n = 3000
+    rows = pd.DataFrame({"mp_id": [str(k % 7) for k in range(n)], "at": [k * 60_000_000 for k in range(n)], "register": "import", "imported": True, "kwh": 1.0})
+    assert list(p.handleInputRows(("0",), iter([rows[:2000], rows[2000:]]), None)) == []
+    assert state.calls <= 3 and state.timers == {0}
+    (both,) = p.handleInputRows(("0",), iter([rows[2990:].assign(register="export", imported=False, kwh=2.0)]), None)
+    assert both["complete"].all() and sorted(both["ts"].dt.minute + 60 * both["ts"].dt.hour + 1440 * (both["ts"].dt.day - 1)) == list(range(2990, 3000))
+    now = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 2995 * 60_000)
+    (alone,) = p.handleExpiredTimer(("0",), now, None)
+    assert len(alone) == 2990 and not alone["complete"].any() and alone["export"].isna().all()
+    assert state.calls <= 9 and state.timers == {0, 2995 * 60_000}  # Spark deletes the one that fired
+    now.getCurrentWatermarkInMs = lambda: 10**10
+    assert list(p.handleExpiredTimer(("0",), now, None)) == [] and state.value is None
+
+
+def test_pairing_as_arrays_equals_rows_one_by_one(monkeypatch):
+    """Repeats, missing values and null ids, in several calls"""
+    draw = random.Random(5)
+    monkeypatch.setattr(keyed, "ROWS", 40)
+    state, p, known, want, got = _Counted(), keyed.Pairing(), {}, [], []
+    p.init(state)
+    for _ in range(12):
+        rows = [(draw.choice(["a", "b", None]), draw.randrange(25), draw.random() < 0.5, draw.choice([None, 1.0, 2.0, 3.0])) for _ in range(60)]
+        for meter, at, imported, kwh in rows:
+            one = known.setdefault((meter, at), [None, None, False])
+            if not one[2]:
+                one[0 if imported else 1] = kwh
+                if None not in one[:2]:
+                    one[2] = True
+                    want.append((str(meter), at, *one[:2]))
+        frame = pd.DataFrame(rows, columns=["mp_id", "at", "imported", "kwh"]).astype({"kwh": "float64"})
+        for out in p.handleInputRows((0,), iter([frame[:25], frame[25:30], frame[30:]]), None):
+            got += [(str(m), int(t.value // 1000), i, e) for m, t, i, e in zip(out["mp_id"], out["ts"], out["import"], out["export"])]
+    assert sorted(got) == sorted(want) and len(want) > 40
+    (alone,) = p.handleExpiredTimer((0,), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 1), None)
+    plain = lambda x: None if pd.isna(x) else x
+    rest = sorted(((str(m), int(t.value // 1000), plain(i), plain(e)) for m, t, i, e in zip(alone["mp_id"], alone["ts"], alone["import"], alone["export"])), key=str)
+    assert rest == sorted(((str(m), at, i, e) for (m, at), (i, e, sent) in known.items() if not sent), key=str)
